@@ -29,11 +29,18 @@ _BLOCKS_ARROW = pa.schema([("src", pa.int32()), ("dst", pa.int32()), ("payload",
 _BITS_ARROW = pa.schema([("src", pa.int32()), ("kind", pa.int32()), ("dst", pa.int32()), ("n", pa.int32()), ("bits", pa.binary())])
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a local one where none is set, as in tests."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the session's checkpoint folder (shared by all executors), its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
