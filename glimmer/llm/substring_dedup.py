@@ -67,13 +67,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Nulls: a null text has no words and is kept empty; a null id comes after all other ids. Rows that repeat an
     id keep their own row each and are ordered by text. Texts shorter than a window are kept whole. An empty
-    table gives no rows; other columns, whatever their names, play no part. buckets: source buckets, four per
+    table gives no rows; other columns, whatever their names, play no part. buckets: source buckets, two per
     shuffle partition unless given; each must fit one task.
     """
     spark = docs.sparkSession
     period = max(p for p in COVERS if p <= max(1, window * 2 // 3))
-    targets = buckets or 4 * shuffle_partitions(spark)
-    texts = bucketed(docs, id_col, text_col, targets)
+    targets = shuffle_partitions(spark)
+    texts = bucketed(docs, id_col, text_col, buckets or 2 * targets)
 
     def anchors(table: pa.Table) -> pa.Table:
         return split_blocks(table["bucket"][0].as_py(), _Bucket(table, window, period).anchors, targets)
