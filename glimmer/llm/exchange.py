@@ -16,12 +16,14 @@ shuffles in one plan, so a lost executor's part is recomputed by Spark.
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BLOCKS = "src int, dst int, payload binary"
 BITS = "src int, kind int, dst int, n int, bits binary"
@@ -135,3 +137,22 @@ def bits_of(table: pa.Table, kind: int, n: int) -> np.ndarray:
     if len(out) != n:
         raise ValueError(f"{len(out)} flags came back for {n} fingerprints")
     return out
+
+
+def annotate(docs: DataFrame, text_col: str, columns: Callable[[pa.Array], list[pa.Array]], schema: str) -> DataFrame:
+    """(row, new columns): each input row whole, as the struct `row`, and what columns(texts) gives for its text.
+
+    The input's columns keep their names and can't clash with the new ones; no shuffle, order kept.
+    """
+    place = docs.columns.index(text_col)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row = batch.column(0)
+            new = columns(row.field(place).cast(pa.string()))
+            yield pa.RecordBatch.from_arrays([row, *new], names=["row", *names])
+
+    out = T.StructType.fromDDL(schema)
+    names = out.names
+    return packed.mapInArrow(run, T.StructType([packed.schema["row"], *out.fields]))
