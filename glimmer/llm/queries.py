@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmer.llm import decontaminate, packing, pii, substring_dedup, token_output, url_filters
+from glimmer.llm import ann, decontaminate, packing, pii, substring_dedup, token_output, url_filters
 from glimmer.llm.exchange import shared_folder
 
 
@@ -41,6 +41,11 @@ def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(_table(spark, sf_dir, "pages"), URL_RULES).withColumnRenamed("id", "page_id")
 
 
+def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return ann.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
@@ -62,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op4_token_output": op4_token_output,
     "op5_url_filters": op5_url_filters,
+    "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_pii": op7_pii,
     "op9_decontamination": op9_decontamination,
 }
