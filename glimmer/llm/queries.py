@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmer.llm import ann, decontaminate, packing, pii, substring_dedup, token_output, url_filters
+from glimmer.llm import ann, decontaminate, near_dedup, packing, pii, substring_dedup, token_output, url_filters
 from glimmer.llm.exchange import shared_folder
 
 
@@ -62,6 +62,10 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), decontaminate.is_contaminated().alias("contaminated"))
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op3_packing": op3_packing,
@@ -70,4 +74,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_pii": op7_pii,
     "op9_decontamination": op9_decontamination,
+    "op10_near_dedup": op10_near_dedup,
 }
