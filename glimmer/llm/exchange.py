@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from glimmer.llm.text_kernels import column_bytes
+
 BLOCKS = "src int, dst int, payload binary"
 BITS = "src int, kind int, dst int, n int, bits binary"
 _BLOCKS_ARROW = pa.schema([("src", pa.int32()), ("dst", pa.int32()), ("payload", pa.binary())])
@@ -103,27 +105,45 @@ def split_blocks(src: int, hashes: np.ndarray, targets: int) -> pa.Table:
     return pa.Table.from_arrays([pa.array(np.full(len(some), src, np.int32)), pa.array(some.astype(np.int32)), payload], schema=_BLOCKS_ARROW)
 
 
-def flag_shared(blocks: DataFrame, kind: int, earlier: bool) -> DataFrame:
-    """One bit per fingerprint of each block: another source bucket has it too (earlier: one before this)."""
+def block_hashes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(all hashes of a table of blocks, hashes per block); the blocks' order is kept."""
+    raw, offsets = column_bytes(table["payload"])
+    return raw.view(np.uint64), np.diff(offsets) // 8
+
+
+def flag_rows(table: pa.Table, flags: np.ndarray, sizes: np.ndarray, kind: int) -> pa.Table:
+    """The answer to blocks: `sizes` flags for each, as bits."""
+    edges = np.concatenate(([0], np.cumsum(sizes))).tolist()
+    bits = [np.packbits(flags[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
+    columns = [table["src"].combine_chunks(), pa.array(np.full(len(bits), kind, np.int32)), table["dst"].combine_chunks(), pa.array(np.asarray(sizes, np.int32)), pa.array(bits, pa.binary())]
+    return pa.Table.from_arrays(columns, schema=_BITS_ARROW)
+
+
+def occurs_elsewhere(hashes: np.ndarray, earlier: bool = False) -> np.ndarray:
+    """Which entries have an equal one (earlier: one before them)."""
+    order = np.argsort(hashes, kind="stable")
+    same = hashes[order][1:] == hashes[order][:-1]
+    flags = np.zeros(len(hashes), bool)
+    flags[order[1:][same]] = True
+    if not earlier:
+        flags[order[:-1][same]] = True
+    return flags
+
+
+def flag_shared(blocks: DataFrame, kind: int, earlier: bool, hot_kind: int | None = None, hot_sources: int = 0) -> DataFrame:
+    """One bit per fingerprint of each block: another source bucket has it too (earlier: one before this).
+
+    With hot_kind, a second answer of that kind tells which ones at least hot_sources source buckets have.
+    """
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        table = table.take(pc.sort_indices(table["src"])).combine_chunks()
-        payload = table["payload"].combine_chunks() if isinstance(table["payload"], pa.ChunkedArray) else table["payload"]
-        payload = payload.chunk(0) if isinstance(payload, pa.ChunkedArray) else payload
-        sizes = np.diff(np.frombuffer(payload.buffers()[1], np.int32)[payload.offset : payload.offset + len(payload) + 1]) // 8
-        first = np.frombuffer(payload.buffers()[1], np.int32)[payload.offset]
-        hashes = np.frombuffer(payload.buffers()[2], np.uint8)[first : first + 8 * int(sizes.sum())].view(np.uint64)
-        order = np.argsort(hashes, kind="stable")
-        same = hashes[order][1:] == hashes[order][:-1]
-        flags = np.zeros(len(hashes), bool)
-        flags[order[1:][same]] = True
-        if not earlier:
-            flags[order[:-1][same]] = True
-        edges = np.concatenate(([0], np.cumsum(sizes)))
-        bits = [np.packbits(flags[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        n = len(bits)
-        return pa.Table.from_arrays([table["src"].combine_chunks(), pa.array(np.full(n, kind, np.int32)), table["dst"].combine_chunks(), pa.array(sizes.astype(np.int32)), pa.array(bits, pa.binary())], schema=_BITS_ARROW)
+        table = table.take(pc.sort_indices(table["src"]))
+        hashes, sizes = block_hashes(table)
+        answers = [flag_rows(table, occurs_elsewhere(hashes, earlier), sizes, kind)]
+        if hot_kind is not None:
+            _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
+            answers.append(flag_rows(table, times[which] >= hot_sources, sizes, hot_kind))
+        return pa.concat_tables(answers)
 
     return blocks.groupBy("dst").applyInArrow(compare, BITS)
 
