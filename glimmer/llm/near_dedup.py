@@ -364,7 +364,8 @@ def _verified(texts: DataFrame, facts: DataFrame, clusters: DataFrame, m: int, p
         return run
 
     def against(queries: DataFrame, all_of: bool) -> DataFrame:
-        everywhere = queries.select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "class", "text")
+        part = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+        everywhere = queries.select(F.col("cluster").alias("cluster"), part, F.col("class").alias("class"), F.col("text").alias("text"))
         both = large.groupBy("cluster", "block").cogroup(everywhere.groupBy("cluster", "block")).applyInArrow(probe(all_of), ROWS)
         return both.select("a", "b")
 
