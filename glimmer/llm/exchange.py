@@ -130,20 +130,20 @@ def occurs_elsewhere(hashes: np.ndarray, earlier: bool = False) -> np.ndarray:
     return flags
 
 
-def flag_shared(blocks: DataFrame, kind: int, earlier: bool, hot_kind: int | None = None, hot_sources: int = 0) -> DataFrame:
+def flag_shared(blocks: DataFrame, kind: int, earlier: bool, hot_sources: int | None = None) -> DataFrame:
     """One bit per fingerprint of each block: another source bucket has it too (earlier: one before this).
 
-    With hot_kind, a second answer of that kind tells which ones at least hot_sources source buckets have.
+    With hot_sources, each bit is followed by one that tells whether at least so many source buckets have it.
     """
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table["src"]))
         hashes, sizes = block_hashes(table)
-        answers = [flag_rows(table, occurs_elsewhere(hashes, earlier), sizes, kind)]
-        if hot_kind is not None:
+        flags = occurs_elsewhere(hashes, earlier)
+        if hot_sources is not None:
             _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
-            answers.append(flag_rows(table, times[which] >= hot_sources, sizes, hot_kind))
-        return pa.concat_tables(answers)
+            flags, sizes = np.stack((flags, times[which] >= hot_sources), axis=1).ravel(), 2 * sizes
+        return flag_rows(table, flags, sizes, kind)
 
     return blocks.groupBy("dst").applyInArrow(compare, BITS)
 
@@ -159,20 +159,19 @@ def bits_of(table: pa.Table, kind: int, n: int) -> np.ndarray:
     return out
 
 
-def annotate(docs: DataFrame, text_col: str, columns: Callable[[pa.Array], list[pa.Array]], schema: str) -> DataFrame:
-    """(row, new columns): each input row whole, as the struct `row`, and what columns(texts) gives for its text.
+def annotate_rows(docs: DataFrame, inputs: list[str], columns: Callable[..., list[pa.Array]], schema: str) -> DataFrame:
+    """(row, new columns): each input row whole, as the struct `row`, and what columns(...) gives for these string columns.
 
     The input's columns keep their names and can't clash with the new ones; no shuffle, order kept.
     """
-    place = docs.columns.index(text_col)
+    places = [docs.columns.index(c) for c in inputs]
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    out = T.StructType.fromDDL(schema)
+    names = out.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row = batch.column(0)
-            new = columns(row.field(place).cast(pa.string()))
-            yield pa.RecordBatch.from_arrays([row, *new], names=["row", *names])
+            yield pa.RecordBatch.from_arrays([row, *columns(*[row.field(p).cast(pa.string()) for p in places])], names=["row", *names])
 
-    out = T.StructType.fromDDL(schema)
-    names = out.names
     return packed.mapInArrow(run, T.StructType([packed.schema["row"], *out.fields]))

@@ -72,8 +72,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     spark = docs.sparkSession
     period = max(p for p in COVERS if p <= max(1, window * 2 // 3))
-    targets = shuffle_partitions(spark)
-    texts = bucketed(docs, id_col, text_col, buckets or 2 * targets)
+    partitions = shuffle_partitions(spark)
+    targets = partitions // 2 + 1
+    texts = bucketed(docs, id_col, text_col, buckets or 2 * partitions)
 
     def anchors(table: pa.Table) -> pa.Table:
         return split_blocks(table["bucket"][0].as_py(), _Bucket(table, window, period).anchors, targets)
@@ -95,6 +96,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.Table.from_arrays([bucket.ids["id"].combine_chunks(), pa.array(bucket.words.counts, pa.int64()), pa.array(np.diff(lost), pa.int64()), to_column(raw, offsets, pa.string())], schema=_RESULT)
 
     by_bucket = texts.groupBy("bucket")
-    shared = flag_shared(by_bucket.applyInArrow(anchors, BLOCKS), ANCHORS, earlier=False)
+    shared = flag_shared(by_bucket.applyInArrow(anchors, BLOCKS), ANCHORS, earlier=False).repartition("src")  # read twice
     earlier = flag_shared(by_bucket.cogroup(shared.groupBy("src")).applyInArrow(windows, BLOCKS), WINDOWS, earlier=True)
     return by_bucket.cogroup(shared.unionByName(earlier).groupBy("src")).applyInArrow(results, RESULT)

@@ -31,7 +31,7 @@ from glimmer.llm.exchange import BITS, BLOCKS, bits_of, bucketed, flag_rows, fla
 from glimmer.llm.text_kernels import column_bytes, covered, mix, to_column
 
 GRAM, SYMBOL = 40, 8
-SHARED, HOT, SLICES, WINDOWS = 0, 1, 2, 3
+SHARED, SLICES, WINDOWS = 0, 1, 2
 
 SENT = "src int, dst int, kind int, payload binary"
 _SENT = pa.schema([("src", pa.int32()), ("dst", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
@@ -258,8 +258,8 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     if length % 8 or length < GRAM + 8:
         raise ValueError("length has to be a multiple of 8, at least 48")
-    targets = shuffle_partitions(docs.sparkSession)
-    sources = buckets or 4 * targets
+    partitions = shuffle_partitions(docs.sparkSession)
+    targets, sources = partitions // 2 + 1, buckets or 4 * partitions
     texts = bucketed(docs, id_col, text_col, sources).groupBy("bucket")
 
     def anchors(table: pa.Table) -> pa.Table:
@@ -267,7 +267,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def chosen(table: pa.Table, bits: pa.Table) -> _Shard:
         shard = _Shard(table, length)
-        shard.select(bits_of(bits, SHARED, len(shard.anchors)), bits_of(bits, HOT, len(shard.anchors)))
+        shard.select(*bits_of(bits, SHARED, 2 * len(shard.anchors)).reshape(-1, 2).T)
         return shard
 
     def slices(table: pa.Table, bits: pa.Table) -> pa.Table:
@@ -286,7 +286,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         kept = to_column(shard.raw[~removed], np.concatenate(([0], np.cumsum(~removed)))[shard.offsets], pa.binary())
         return pa.Table.from_arrays([*(pa.array(c) for c in columns), kept], schema=_RESULT)
 
-    shared = flag_shared(texts.applyInArrow(anchors, BLOCKS), SHARED, False, HOT, hot_sources or max(64, sources // 2))
+    shared = flag_shared(texts.applyInArrow(anchors, BLOCKS), SHARED, False, hot_sources or max(64, sources // 2)).repartition("src")  # read twice
     sent = texts.cogroup(shared.groupBy("src")).applyInArrow(slices, SENT)
     merged = sent.groupBy("dst").applyInArrow(lambda table: merge_shards(table, length), BITS)
     return texts.cogroup(shared.unionByName(merged).groupBy("src")).applyInArrow(results, RESULT)
