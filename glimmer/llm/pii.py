@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.exchange import annotate
+from glimmer.llm.exchange import annotate_rows
 
 #: In the order in which spans with one start are listed.
 KINDS = ("email", "ip", "card", "phone", "account", "login", "secret")
@@ -186,5 +186,5 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redacted(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with its own columns, personal data in the text replaced by [EMAIL], [IP] and so on; null stays null."""
     clean: Callable[[pa.Array], list[pa.Array]] = lambda texts: [_columns(texts)[1]]
-    marked = annotate(docs, text_col, clean, "clean string")
+    marked = annotate_rows(docs, [text_col], clean, "clean string")
     return marked.select(*[F.col("clean").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmer.llm import ann, decontaminate, near_dedup, packing, pii, substring_dedup, suffix_dedup, token_output, url_filters
+from glimmer.llm import ann, decontaminate, near_dedup, packing, pii, quality, substring_dedup, suffix_dedup, token_output, url_filters
 from glimmer.llm.exchange import shared_folder
 
 
@@ -22,6 +22,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = quality.score(docs, quality.train(docs, _table(spark, sf_dir, "labels")))
+    return out.select("row.doc_id", "p_junk", "p_toxic", "kept")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return out.select(F.col("id").alias("doc_id"), "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -73,6 +79,7 @@ def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op2_quality": op2_quality,
     "op3_packing": op3_packing,
     "op4_token_output": op4_token_output,
     "op5_url_filters": op5_url_filters,
