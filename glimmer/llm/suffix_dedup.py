@@ -31,6 +31,8 @@ from glimmer.llm.exchange import BITS, BLOCKS, bits_of, bucketed, flag_rows, fla
 from glimmer.llm.text_kernels import column_bytes, covered, mix, to_column
 
 GRAM, SYMBOL = 40, 8
+#: Bytes of slices that are refined at a time.
+PORTION = 1 << 20
 SHARED, SLICES, WINDOWS = 0, 1, 2
 
 SENT = "src int, dst int, kind int, payload binary"
@@ -173,6 +175,15 @@ def _ranges(starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
 
 
+def _portions(values: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> list[np.ndarray]:
+    """places, sorted by value, in parts of about PORTION bytes; a value is never split."""
+    if not len(places):
+        return []
+    first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
+    part = (np.cumsum(sizes) - sizes)[first] // PORTION
+    return np.split(places, first[np.flatnonzero(part[1:] != part[:-1]) + 1])
+
+
 def refine(raw: np.ndarray, bounds: np.ndarray, length: int) -> np.ndarray:
     """Which positions of the slices raw[bounds[k]:bounds[k+1]] start a string of `length` bytes that starts elsewhere too."""
     n = len(raw)
@@ -236,15 +247,15 @@ def merge_shards(table: pa.Table, length: int) -> pa.Table:
         whole = np.bincount(same) > 1
         one = order[new]  # of equal slices, the first
         lone = np.concatenate(([True], v[one][1:] != v[one][:-1])) & np.concatenate((v[one][1:] != v[one][:-1], [True]))
-        rest = one[~lone]
-        text = raw[_ranges(begin[rest], begin[rest] + size[rest] + length - 1)]
-        bounds = np.concatenate(([0], np.cumsum(size[rest] + length - 1)))
-        found = refine(text, bounds, length)
         # flags of each distinct slice, then of each slice that was sent
         starts = np.concatenate(([0], np.cumsum(size[one])))
         flags = np.repeat(whole, size[one])
-        mine = np.flatnonzero(~lone)
-        flags[_ranges(starts[mine], starts[mine] + size[rest])] |= found[_ranges(bounds[:-1], bounds[:-1] + size[rest])]
+        rest = np.flatnonzero(~lone)
+        for mine in _portions(v[one[rest]], size[one[rest]] + length - 1, rest):
+            some = one[mine]
+            bounds = np.concatenate(([0], np.cumsum(size[some] + length - 1)))
+            found = refine(raw[_ranges(begin[some], begin[some] + size[some] + length - 1)], bounds, length)
+            flags[_ranges(starts[mine], starts[mine] + size[some])] |= found[_ranges(bounds[:-1], bounds[:-1] + size[some])]
         answers.append(flag_rows(warm, flags[_ranges(starts[same], starts[same] + size)], np.array(per_block), SLICES))
     return pa.concat_tables(answers)
 
