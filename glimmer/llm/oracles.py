@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 #: Words of a text, one list per document.
-_SPACED = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), w -> w <> '')"
+_SPACED = r"list_filter(regexp_split_to_array({text}, '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 #: The same in lower case, A-Z only.
 _LOW = "translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -61,8 +61,8 @@ FROM hexes h LEFT JOIN kept USING (doc_id)
 """
 
 OP9 = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array({dlow}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS w FROM documents),
-b AS (SELECT item_id::VARCHAR AS item, list_filter(regexp_split_to_array({dlow}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), w -> w <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array({dlow}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, list_filter(regexp_split_to_array({dlow}, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w FROM benchmark WHERE item_id IS NOT NULL),
 windows AS (
   SELECT DISTINCT item, least(13, len(w)) AS size, array_to_string(w[s:s + least(13, len(w)) - 1], ' ') AS k
   FROM (SELECT item, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS s FROM b WHERE len(w) > 0)),
@@ -83,25 +83,25 @@ WITH RECURSIVE w AS (
   SELECT doc_id, {_SPACED.format(text=_LOW.format(text="coalesce(text, '')"))} AS w FROM documents),
 s AS (
   SELECT DISTINCT doc_id, g FROM (
-    SELECT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), k -> w[k] || ' ' || w[k + 1]) ELSE w END) AS g FROM w)),
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 2 THEN list_transform(range(1, len(w)), lambda k: w[k] || ' ' || w[k + 1]) ELSE w END) AS g FROM w)),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 common AS (
   SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
 links AS (
   SELECT x, y FROM common JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * c >= 80 * (p.n + q.n - c)),
-both AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+pairs AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
 reach(doc_id, seen) AS (
   SELECT doc_id, doc_id FROM w
   UNION
-  SELECT y, seen FROM reach JOIN both ON reach.doc_id = both.x WHERE seen < y),
+  SELECT y, seen FROM reach JOIN pairs ON reach.doc_id = pairs.x WHERE seen < y),
 least AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN n USING (doc_id)
 """
 
 OP6 = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> x::DOUBLE) AS e FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0)
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
 SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(q.e, c.e), c.vec_id)::INT AS rank, c.vec_id, list_distance(q.e, c.e) AS score
 FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
 QUALIFY rank <= 10

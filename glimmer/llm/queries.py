@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmer.llm import ann, decontaminate, near_dedup, packing, pii, quality, substring_dedup, suffix_dedup, token_output, url_filters
+from glimmer.llm import ann, decontaminate, near_dedup, oracles, packing, pii, quality, substring_dedup, suffix_dedup, token_output, url_filters
 from glimmer.llm.exchange import shared_folder
 
 
@@ -89,3 +89,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
 }
+
+#: DuckDB SQL of the queries that SQL can express.
+ORACLES: dict[str, str] = {
+    "op1_substring_dedup": oracles.OP1,
+    "op5_url_filters": oracles.OP5,
+    "op6_nearest_neighbours": oracles.OP6,
+    "op8_suffix_dedup": oracles.OP8,
+    "op9_decontamination": oracles.OP9,
+    "op10_near_dedup": oracles.OP10,
+}
