@@ -1,0 +1 @@
+"""Temporal interest analytics on Spark: irregular series, intervals and events per video, on DataFrames."""
