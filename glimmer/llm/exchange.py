@@ -115,7 +115,7 @@ def flag_rows(table: pa.Table, flags: np.ndarray, sizes: np.ndarray, kind: int)
     """The answer to blocks: `sizes` flags for each, as bits."""
     edges = np.concatenate(([0], np.cumsum(sizes))).tolist()
     bits = [np.packbits(flags[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    columns = [table["src"].combine_chunks(), pa.array(np.full(len(bits), kind, np.int32)), table["dst"].combine_chunks(), pa.array(np.asarray(sizes, np.int32)), pa.array(bits, pa.binary())]
+    columns = [table["src"], pa.array(np.full(len(bits), kind, np.int32)), table["dst"], pa.array(np.asarray(sizes, np.int32)), pa.array(bits, pa.binary())]
     return pa.Table.from_arrays(columns, schema=_BITS_ARROW)
 
 

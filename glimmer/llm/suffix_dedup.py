@@ -50,26 +50,28 @@ def eight_bytes(raw: np.ndarray) -> np.ndarray:
 
 
 def byte_grams(raw: np.ndarray, *lengths: int) -> list[np.ndarray]:
-    """Hashes of all substrings of each of these lengths (multiples of eight), by doubling."""
-    words = mix(eight_bytes(raw))
-    out = []
-    for k in lengths:
-        n = max(0, len(raw) - k + 1)
-        total, done, span, level, power = None, 0, 8, words, 0x9FB21C651E98DF25
-        with np.errstate(over="ignore"):
-            rest = k // 8
-            while rest:
-                if rest & 1:
-                    piece = level[done : done + n]
-                    total = piece.copy() if total is None else total * np.uint64(power) + piece
-                    done += span
-                rest >>= 1
-                if rest:
-                    level = level[: len(level) - span] * np.uint64(power) + level[span:]
-                    power = power * power & (2**64 - 1)
-                    span *= 2
-        out.append(mix(total))
-    return out
+    """Hashes of all substrings of each of these lengths (multiples of eight), by one round of doublings."""
+    level, span, power = mix(eight_bytes(raw)), 8, 0x9FB21C651E98DF25
+    out: list[np.ndarray | None] = [None] * len(lengths)
+    done = [0] * len(lengths)
+    with np.errstate(over="ignore"):
+        while span <= max(lengths):
+            for k, size in enumerate(lengths):
+                if size & span:
+                    n = max(0, len(raw) - size + 1)
+                    piece = level[done[k] : done[k] + n]
+                    if out[k] is None:
+                        out[k] = piece.copy()
+                    else:
+                        out[k] *= np.uint64(power)
+                        out[k] += piece
+                    done[k] += span
+            if 2 * span <= max(lengths):
+                longer = level[: max(0, len(level) - span)] * np.uint64(power)
+                longer += level[span:]
+                level, power = longer, power * power & (2**64 - 1)
+            span *= 2
+    return [mix(x) for x in out]
 
 
 def minimizer_runs(grams: np.ndarray, valid: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -111,10 +113,10 @@ class _Shard:
         self.docs, self.length = in_order(table), length
         self.raw, self.offsets = column_bytes(self.docs["text"])
         grams, self.windows = byte_grams(self.raw, GRAM, length)
-        ends = np.repeat(self.offsets[1:], np.diff(self.offsets))
-        place = np.arange(len(self.raw))
-        grams[place[: len(grams)] + GRAM > ends[: len(grams)]] = _END
-        valid = place[: len(self.windows)] + length <= ends[: len(self.windows)]
+        room = np.repeat(self.offsets[1:].astype(np.int32), np.diff(self.offsets)) - np.arange(len(self.raw), dtype=np.int32)
+        grams[room[: len(grams)] < GRAM] = _END
+        valid = room[: len(self.windows)] >= length
+        del room
         self.first, self.last, at = minimizer_runs(grams, valid, length - GRAM + 1)
         self.values = grams[at] if len(at) else np.zeros(0, np.uint64)
         self.offset = at - self.first
@@ -144,7 +146,7 @@ class _Shard:
         """Windows of each distinct slice."""
         return self.last[self.slices] - self.first[self.slices] + 1
 
-    def blocks(self, src: int, targets: int) -> pa.Table:
+    def blocks(self, src: int, targets: int, hot_targets: int) -> pa.Table:
         v, sizes = self.values[self.slices], self.slice_sizes()
         edges = target_edges(v, targets).tolist()
         rows = []
@@ -152,7 +154,7 @@ class _Shard:
             if b > a:
                 text = self.raw[_ranges(self.first[self.slices[a:b]], self.last[self.slices[a:b]] + self.length)]
                 rows.append((t, SLICES, b"".join([np.uint64(b - a).tobytes(), v[a:b].tobytes(), self.slice_keys[a:b].tobytes(), sizes[a:b].astype(np.int64).tobytes(), text.tobytes()])))
-        hot = split_blocks(src, self.hot_windows, targets)
+        hot = split_blocks(src, self.hot_windows, hot_targets)
         rows += [(t, WINDOWS, p) for t, p in zip(hot["dst"].to_pylist(), hot["payload"].to_pylist(), strict=True)]
         columns = [np.full(len(rows), src), [r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]]
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _SENT, strict=True)], schema=_SENT)
@@ -219,27 +221,26 @@ def refine(raw: np.ndarray, bounds: np.ndarray, length: int) -> np.ndarray:
 
 def merge_shards(table: pa.Table, length: int) -> pa.Table:
     """The answers to the slices and hot windows of several shards."""
-    table = table.take(pc.sort_indices(table["src"]))
     answers = []
     hot = table.filter(pc.equal(table["kind"], WINDOWS))
     if hot.num_rows:
         raw, offsets = column_bytes(hot["payload"])
         answers.append(flag_rows(hot, occurs_elsewhere(raw.view(np.uint64)), np.diff(offsets) // 8, WINDOWS))
     warm = table.filter(pc.equal(table["kind"], SLICES))
+    del table, hot
     if warm.num_rows:
-        values, keys, sizes, texts, per_block = [], [], [], [], []
-        for payload in warm["payload"]:
-            raw = np.frombuffer(payload.as_buffer(), np.uint8)
-            n = int(raw[:8].view(np.uint64)[0])
-            part = raw[8 : 8 + 24 * n].view(np.uint64)
+        raw, offsets = column_bytes(warm["payload"])
+        values, keys, sizes, places, per_block = [], [], [], [], []
+        for at in offsets[:-1].tolist():
+            n = int(raw[at : at + 8].copy().view(np.uint64)[0])
+            part = raw[at + 8 : at + 8 + 24 * n].copy().view(np.uint64)
             values.append(part[:n])
             keys.append(part[n : 2 * n])
             sizes.append(part[2 * n :].astype(np.int64))
-            texts.append(raw[8 + 24 * n :])
+            spans = sizes[-1] + length - 1
+            places.append(at + 8 + 24 * n + np.cumsum(spans) - spans)
             per_block.append(int(sizes[-1].sum()))
-        v, key, size = np.concatenate(values), np.concatenate(keys), np.concatenate(sizes)
-        raw = np.concatenate(texts)
-        begin = np.cumsum(size + length - 1) - (size + length - 1)
+        v, key, size, begin = (np.concatenate(x) for x in (values, keys, sizes, places))
         order = np.lexsort((key, v))
         new = np.concatenate(([True], (v[order][1:] != v[order][:-1]) | (key[order][1:] != key[order][:-1])))
         same = np.empty(len(v), np.int64)
@@ -265,12 +266,12 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     length: a multiple of eight, at least 48. A null text is empty; texts shorter than `length` are kept whole. Null
     ids and rows that repeat an id have a row each. An empty table gives no rows; other columns play no part.
-    buckets: source buckets, four per shuffle partition unless given. hot_sources: half of them, 64 at least.
+    buckets: source buckets, five per shuffle partition unless given. hot_sources: half of them, 64 at least.
     """
     if length % 8 or length < GRAM + 8:
         raise ValueError("length has to be a multiple of 8, at least 48")
     partitions = shuffle_partitions(docs.sparkSession)
-    targets, sources = partitions // 2 + 1, buckets or 4 * partitions
+    targets, sources = partitions // 2 + 1, buckets or 5 * partitions
     texts = bucketed(docs, id_col, text_col, sources).groupBy("bucket")
 
     def anchors(table: pa.Table) -> pa.Table:
@@ -282,7 +283,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return shard
 
     def slices(table: pa.Table, bits: pa.Table) -> pa.Table:
-        return chosen(table, bits).blocks(table["bucket"][0].as_py(), targets)
+        return chosen(table, bits).blocks(table["bucket"][0].as_py(), partitions * 2 // 3 + 1, partitions // 8 + 1)
 
     def results(table: pa.Table, bits: pa.Table) -> pa.Table:
         shard = chosen(table, bits)
