@@ -49,15 +49,14 @@ def timeline(
     """
     base = series.grid(videos.where(F.col("duration") > 0), config.step)
     sizes = base.select(KEY, "slots").distinct()
-    on_grid = base
-    for points, name in (
-        (motion, "motion"),
-        (audio.select(KEY, "time", F.col("loudness").alias("value")), "audio_loudness"),
-        (audio.select(KEY, "time", F.col("speech_probability").alias("value")), "speech"),
-        (sentiment.select(KEY, "time", F.col("score").alias("value")), "sentiment"),
-        (humor.select(KEY, "time", F.col("score").alias("value")), "humor"),
-    ):
-        on_grid = series.interpolate(series.valid_points(points), on_grid, name)
+    signals = {
+        "motion": motion.select(KEY, "time", "value"),
+        "audio_loudness": audio.select(KEY, "time", F.col("loudness").alias("value")),
+        "speech": audio.select(KEY, "time", F.col("speech_probability").alias("value")),
+        "sentiment": sentiment.select(KEY, "time", F.col("score").alias("value")),
+        "humor": humor.select(KEY, "time", F.col("score").alias("value")),
+    }
+    on_grid = series.interpolate_all({k: series.valid_points(v) for k, v in signals.items()}, base)
     flagged = (
         on_grid.join(event_flags(events, sizes, config.step), [KEY, "slot"], "left")
         .join(boundary_flags(boundaries, sizes, config.step), [KEY, "slot"], "left")

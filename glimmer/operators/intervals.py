@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from glimmer.config import EngineConfig
 from glimmer.functions.expressions import nearest
-from glimmer.operators.series import KEY, by_video
+from glimmer.operators.series import KEY, by_video, everything
 
 
 def quantiles(timeline: DataFrame, q: float) -> DataFrame:
@@ -16,11 +16,13 @@ def quantiles(timeline: DataFrame, q: float) -> DataFrame:
 
 
 def interest_peaks(timeline: DataFrame, q: float) -> DataFrame:
-    """(video_id, time, interest): inner points at or over the quantile that no neighbour exceeds."""
-    order = by_video("time")
-    sided = timeline.select(KEY, "time", "interest", F.lag("interest").over(order).alias("l"), F.lead("interest").over(order).alias("r"))
-    held = sided.join(quantiles(timeline, q), KEY)
-    return held.where((F.col("points") >= 3) & (F.col("interest") >= F.col("threshold")) & (F.col("interest") >= F.col("l")) & (F.col("interest") >= F.col("r"))).select(KEY, "time", "interest")
+    """(video_id, time, interest): inner points at or over the quantile that no neighbour exceeds; of three points at least."""
+    order, all_ = by_video("time"), everything()
+    sided = timeline.select(
+        KEY, "time", "interest", F.lag("interest").over(order).alias("l"), F.lead("interest").over(order).alias("r"),
+        F.percentile("interest", q).over(all_).alias("threshold"), F.count("*").over(all_).alias("points"),
+    )
+    return sided.where((F.col("points") >= 3) & (F.col("interest") >= F.col("threshold")) & (F.col("interest") >= F.col("l")) & (F.col("interest") >= F.col("r"))).select(KEY, "time", "interest")
 
 
 def boundary_arrays(boundaries: DataFrame) -> DataFrame:
@@ -35,12 +37,17 @@ def snapped(t: Column, marks: Column, window: float, inclusive: bool) -> Column:
     return F.when(close, near).otherwise(t)
 
 
-def candidates(peaks: DataFrame, videos: DataFrame, marks: DataFrame, config: EngineConfig) -> DataFrame:
-    """(video_id, peak, start, end): a window of the least duration around each peak, fitted into the video, snapped."""
+def window_around(peak: Column, duration: Column, config: EngineConfig) -> tuple[Column, Column]:
+    """(start, end): the least duration, centred on the peak, shifted and cut to fit into the video."""
     d = config.min_highlight
-    end = F.least(F.col("duration"), F.greatest(F.lit(0.0), F.col("time") - d / 2) + d)
+    end = F.least(duration, F.greatest(F.lit(0.0), peak - d / 2) + d)
     start = F.greatest(F.lit(0.0), end - d)
-    end = F.least(end, start + max(config.max_highlight, d))
+    return start, F.least(end, start + max(config.max_highlight, d))
+
+
+def candidates(peaks: DataFrame, videos: DataFrame, marks: DataFrame, config: EngineConfig) -> DataFrame:
+    """(video_id, peak, start, end): a window around each peak, both ends snapped to marks."""
+    start, end = window_around(F.col("time"), F.col("duration"), config)
     placed = peaks.join(videos.select(KEY, "duration"), KEY).select(KEY, F.col("time").alias("peak"), start.alias("start"), end.alias("end"))
     held = placed.join(marks, KEY, "left").withColumn("marks", F.coalesce("marks", F.array(F.lit(0.0))))
     return held.select(KEY, "peak", *[snapped(F.col(c), F.col("marks"), config.snap_window, True).alias(c) for c in ("start", "end")])
@@ -63,17 +70,16 @@ def best_window(timeline: DataFrame, videos: DataFrame, width: float) -> DataFra
 
     Without one that fits: from 0 to the width or the duration, score 0.
     """
-    order = Window.partitionBy(KEY).orderBy("time").rangeBetween(0, width)
-    means = timeline.select(KEY, "time", F.avg("interest").over(order).alias("score")).join(videos.select(KEY, "duration"), KEY).where(F.col("time") + width <= F.col("duration"))
+    mean = F.expr(f"avg(interest) OVER (PARTITION BY {KEY} ORDER BY time RANGE BETWEEN CURRENT ROW AND {float(width)}D FOLLOWING)")
+    means = timeline.select(KEY, "time", mean.alias("score")).join(videos.select(KEY, "duration"), KEY).where(F.col("time") + width <= F.col("duration"))
     best = means.groupBy(KEY).agg(F.max(F.struct("score", (-F.col("time")).alias("k"))).alias("b"))
     joined = videos.join(timeline.select(KEY).distinct(), KEY, "left_semi").join(best, KEY, "left")
     start, fits = -F.col("b.k"), F.col("b").isNotNull()
     return joined.select(KEY, F.when(fits, start).otherwise(F.lit(0.0)).alias("start"), F.when(fits, start + width).otherwise(F.least("duration", F.lit(width))).alias("end"), F.when(fits, F.greatest(F.col("b.score"), F.lit(0.0))).otherwise(F.lit(0.0)).alias("score"))
 
 
-def suppressed(scored: DataFrame, top_k: int) -> DataFrame:
-    """(video_id, start, end, score): by falling score (ties: earlier peak), those that overlap none taken before, top_k at most."""
-    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "peak", "start", "end")))
+def greedy(ranked: Column, top_k: int) -> Column:
+    """Of (k = -score, peak, start, end) in order: (start, end, score) of those that overlap none taken before, top_k at most."""
     empty = F.array().cast("array<struct<start: double, end: double, score: double>>")
 
     def take(acc: Column, c: Column) -> Column:
@@ -81,8 +87,13 @@ def suppressed(scored: DataFrame, top_k: int) -> DataFrame:
         one = F.array(F.struct(c["start"].alias("start"), c["end"].alias("end"), (-c["k"]).alias("score")))
         return F.when((F.size(acc) >= top_k) | meets, acc).otherwise(F.concat(acc, one))
 
-    kept = scored.groupBy(KEY).agg(F.aggregate(ranked, empty, take).alias("kept"))
-    return kept.select(KEY, F.inline("kept"))
+    return F.aggregate(ranked, empty, take)
+
+
+def suppressed(scored: DataFrame, top_k: int) -> DataFrame:
+    """(video_id, start, end, score): by falling score (ties: earlier peak), those that overlap none taken before."""
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("k"), "peak", "start", "end")))
+    return scored.groupBy(KEY).agg(greedy(ranked, top_k).alias("kept")).select(KEY, F.inline("kept"))
 
 
 def merged(items: DataFrame, arrays: DataFrame, gap: float) -> DataFrame:
@@ -98,13 +109,44 @@ def merged(items: DataFrame, arrays: DataFrame, gap: float) -> DataFrame:
 
 
 def highlights(timeline: DataFrame, videos: DataFrame, boundaries: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """(video_id, start, end, type, score) of videos with three points at least."""
-    enough = timeline.join(quantiles(timeline, config.peak_quantile).where(F.col("points") >= 3).select(KEY), KEY, "left_semi")
-    marks, arrays = boundary_arrays(boundaries), interest_arrays(enough)
-    found = candidates(interest_peaks(enough, config.peak_quantile), videos, marks, config)
-    scored = found.join(arrays, KEY).select(KEY, "peak", "start", "end", mean_in_window(F.col("points"), F.col("start"), F.col("end")).alias("score"))
-    without = videos.join(found.select(KEY).distinct(), KEY, "left_anti")
-    spare = best_window(enough.join(without.select(KEY), KEY, "left_semi"), without, config.min_highlight).join(marks, KEY, "left").withColumn("marks", F.coalesce("marks", F.array(F.lit(0.0))))
-    spare = spare.select(KEY, F.lit(0.0).alias("peak"), *[snapped(F.col(c), F.col("marks"), config.snap_window, True).alias(c) for c in ("start", "end")], "score")
-    out = merged(suppressed(scored.unionByName(spare), config.top_k), arrays, config.merge_gap)
-    return out.select(KEY, "start", "end", F.lit("top_interest").alias("type"), "score")
+    """(video_id, start, end, type, score) of videos with three points at least.
+
+    The timeline is read once: a video's points become one array, and peaks, windows, scores, suppression and
+    merging are expressions on it.
+    """
+    q, width = config.peak_quantile, config.min_highlight
+    arrays = timeline.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("time", "interest"))).alias("points"), F.percentile("interest", q).alias("threshold"))
+    rows = arrays.where(F.size("points") >= 3).join(videos.select(KEY, "duration"), KEY).join(boundary_arrays(boundaries), KEY, "left").withColumn("marks", F.coalesce("marks", F.array(F.lit(0.0))))
+    points, marks = F.col("points"), F.col("marks")
+
+    def is_peak(i: Column) -> Column:
+        x = F.get(points, i)["interest"]
+        return (x >= F.col("threshold")) & (x >= F.get(points, i - 1)["interest"]) & (x >= F.get(points, i + 1)["interest"])
+
+    inner = F.sequence(F.lit(1), F.size(points) - 2)
+    rows = rows.withColumn("peaks", F.transform(F.filter(inner, is_peak), lambda i: F.get(points, i)["time"]))
+
+    def item(peak: Column, start: Column, end: Column, score: Column) -> Column:
+        return F.struct((-score).alias("k"), peak.alias("peak"), start.alias("start"), end.alias("end"))
+
+    def around(peak: Column) -> Column:
+        start, end = (snapped(t, marks, config.snap_window, True) for t in window_around(peak, F.col("duration"), config))
+        return item(peak, start, end, mean_in_window(points, start, end))
+
+    # without a peak: the first window with the highest mean
+    tried = F.transform(F.filter(points, lambda p: p["time"] + width <= F.col("duration")), lambda p: F.struct((-mean_in_window(points, p["time"], p["time"] + width)).alias("k"), p["time"].alias("t")))
+    best = F.array_min(tried)
+    ends = F.coalesce(best["t"], F.lit(0.0)), F.coalesce(best["t"] + width, F.least("duration", F.lit(width)))
+    spare = item(F.lit(0.0), *[snapped(t, marks, config.snap_window, True) for t in ends], F.greatest(F.coalesce(-best["k"], F.lit(0.0)), F.lit(0.0)))
+    found = F.when(F.size("peaks") > 0, F.transform("peaks", around)).otherwise(F.array(spare))
+    rows = rows.withColumn("kept", F.array_sort(greedy(F.array_sort(found), config.top_k)))
+
+    def join(acc: Column, c: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        end = F.greatest(last["end"], c["end"])
+        wide = F.struct(last["start"].alias("start"), end.alias("end"), mean_in_window(points, last["start"], end).alias("score"))
+        near = (F.size(acc) > 0) & (c["start"] <= F.try_element_at(acc, F.lit(-1))["end"] + config.merge_gap)
+        return F.when(near, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wide))).otherwise(F.concat(acc, F.array(c)))
+
+    empty = F.array().cast("array<struct<start: double, end: double, score: double>>")
+    return rows.select(KEY, F.inline(F.aggregate("kept", empty, join))).select(KEY, "start", "end", F.lit("top_interest").alias("type"), "score")

@@ -73,27 +73,45 @@ def smoothed(column: str, points: int, *order: str) -> Column:
     return F.sum(column).over(frame) / F.lit(float(points))
 
 
-def interpolate(points: DataFrame, targets: DataFrame, name: str = "value") -> DataFrame:
-    """targets (video_id, time, ...) with `name`: points linearly interpolated at each time.
+def interpolate_all(signals: dict[str, DataFrame], targets: DataFrame) -> DataFrame:
+    """targets (video_id, time, ...) with a column per signal: its points linearly interpolated at each time.
 
     0 outside the points' range and without points; a single point holds everywhere. Points of one time are averaged
-    first. One union and one window: the points before and after each target are carried along the sorted series.
+    first. All signals take one union, one partitioning by video and one sort per direction: the points before and
+    after each target are carried along the sorted series.
     """
-    clean = points.groupBy(KEY, "time").agg(F.avg("value").alias("value"))
+    names = list(signals)
     columns = [c for c in targets.columns if c not in (KEY, "time")]
-    rows = targets.select(KEY, "time", F.struct(*[F.col(c) for c in columns]).alias("rest") if columns else F.lit(True).alias("rest"), F.lit(None).cast("double").alias("value"))
-    both = rows.unionByName(clean.select(KEY, "time", F.lit(None).cast(rows.schema["rest"].dataType).alias("rest"), "value"))
-    # a point stands before the target of the same time, so that both looks see it
-    known = F.when(F.col("value").isNotNull(), F.struct("time", "value"))
-    back = by_video("time", F.col("value").isNull()).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = by_video("time", F.col("value").isNotNull()).rowsBetween(0, Window.unboundedFollowing)
-    total = F.count("value").over(everything())
-    seen = both.select(KEY, "time", "rest", F.last(known, ignorenulls=True).over(back).alias("p"), F.first(known, ignorenulls=True).over(ahead).alias("q"), total.alias("n"), F.max("value").over(everything()).alias("only"), F.col("value").isNull().alias("wanted")).where("wanted")
-    span = F.col("q.time") - F.col("p.time")
-    between = F.when(span == 0, F.col("p.value")).otherwise(F.col("p.value") + (F.col("q.value") - F.col("p.value")) / span * (F.col("time") - F.col("p.time")))
-    value = F.when(F.col("n") == 1, F.col("only")).when(F.col("p").isNull() | F.col("q").isNull(), F.lit(0.0)).otherwise(between)
-    value = F.coalesce(F.when(F.col("n") > 0, value), F.lit(0.0)).alias(name)
-    return seen.select(KEY, "time", *[F.col(f"rest.`{c}`").alias(c) for c in columns], value)
+    value = {n: f"value_{k}" for k, n in enumerate(names)}
+    points = None
+    for name, rows in signals.items():
+        own = rows.select(KEY, "time", *[(F.col("value") if n == name else F.lit(None).cast("double")).alias(value[n]) for n in names])
+        points = own if points is None else points.unionByName(own)
+    points = points.groupBy(KEY, "time").agg(*[F.avg(v).alias(v) for v in value.values()])
+    wanted = targets.select(KEY, "time", F.struct(*[F.col(c) for c in columns], F.lit(True).alias("wanted")).alias("rest"), *[F.lit(None).cast("double").alias(v) for v in value.values()])
+    rows = wanted.unionByName(points.withColumn("rest", F.lit(None).cast(wanted.schema["rest"].dataType)))
+    # points stand before the target of the same time in either direction
+    back = by_video("time", F.col("rest").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = by_video(F.desc("time"), F.col("rest").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    seen = rows
+    for k, v in enumerate(value.values()):
+        point = F.when(F.col(v).isNotNull(), F.struct(F.col("time").alias("t"), F.col(v).alias("v")))
+        seen = seen.withColumns({f"p{k}": F.last(point, ignorenulls=True).over(back), f"q{k}": F.last(point, ignorenulls=True).over(ahead), f"n{k}": F.count(v).over(everything()), f"m{k}": F.max(v).over(everything())})
+
+    def at(k: int) -> Column:
+        p, q = F.col(f"p{k}"), F.col(f"q{k}")
+        span = q["t"] - p["t"]
+        between = F.when(span == 0, p["v"]).otherwise(p["v"] + (q["v"] - p["v"]) / span * (F.col("time") - p["t"]))
+        inside = p.isNotNull() & q.isNotNull()
+        return F.coalesce(F.when(F.col(f"n{k}") == 1, F.col(f"m{k}")).when(inside, between), F.lit(0.0))
+
+    found = [at(k).alias(n) for k, n in enumerate(names)]
+    return seen.where(F.col("rest").isNotNull()).select(KEY, "time", *[F.col(f"rest.`{c}`").alias(c) for c in columns], *found)
+
+
+def interpolate(points: DataFrame, targets: DataFrame, name: str = "value") -> DataFrame:
+    """interpolate_all() of one signal."""
+    return interpolate_all({name: points}, targets)
 
 
 def safe_mean(points: DataFrame, value_col: str = "value") -> DataFrame:
