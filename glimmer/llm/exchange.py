@@ -111,12 +111,17 @@ def block_hashes(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return raw.view(np.uint64), np.diff(offsets) // 8
 
 
+def answer(table: pa.Table, flags: list[np.ndarray], kind: int) -> pa.Table:
+    """The answer to a table of blocks: flags for each of them, as bits."""
+    sizes, bits = [len(f) for f in flags], [np.packbits(f).tobytes() for f in flags]
+    columns = [table["src"], pa.array(np.full(len(bits), kind, np.int32)), table["dst"], pa.array(sizes, pa.int32()), pa.array(bits, pa.binary())]
+    return pa.Table.from_arrays(columns, schema=_BITS_ARROW)
+
+
 def flag_rows(table: pa.Table, flags: np.ndarray, sizes: np.ndarray, kind: int) -> pa.Table:
-    """The answer to blocks: `sizes` flags for each, as bits."""
+    """answer() from all blocks' flags in a row."""
     edges = np.concatenate(([0], np.cumsum(sizes))).tolist()
-    bits = [np.packbits(flags[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    columns = [table["src"], pa.array(np.full(len(bits), kind, np.int32)), table["dst"], pa.array(np.asarray(sizes, np.int32)), pa.array(bits, pa.binary())]
-    return pa.Table.from_arrays(columns, schema=_BITS_ARROW)
+    return answer(table, [flags[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)], kind)
 
 
 def occurs_elsewhere(hashes: np.ndarray, earlier: bool = False) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from glimmer.llm.exchange import BITS, BLOCKS, bits_of, bucketed, flag_rows, flag_shared, in_order, occurs_elsewhere, shuffle_partitions, split_blocks, target_edges
+from glimmer.llm.exchange import BITS, BLOCKS, answer, bits_of, bucketed, flag_rows, flag_shared, in_order, occurs_elsewhere, shuffle_partitions, split_blocks, target_edges
 from glimmer.llm.text_kernels import column_bytes, covered, mix, to_column
 
 GRAM, SYMBOL = 40, 8
@@ -239,7 +239,7 @@ def merge_shards(table: pa.Table, length: int) -> pa.Table:
             sizes.append(part[2 * n :].astype(np.int64))
             spans = sizes[-1] + length - 1
             places.append(at + 8 + 24 * n + np.cumsum(spans) - spans)
-            per_block.append(int(sizes[-1].sum()))
+            per_block.append(n)
         v, key, size, begin = (np.concatenate(x) for x in (values, keys, sizes, places))
         order = np.lexsort((key, v))
         new = np.concatenate(([True], (v[order][1:] != v[order][:-1]) | (key[order][1:] != key[order][:-1])))
@@ -257,7 +257,13 @@ def merge_shards(table: pa.Table, length: int) -> pa.Table:
             bounds = np.concatenate(([0], np.cumsum(size[some] + length - 1)))
             found = refine(raw[_ranges(begin[some], begin[some] + size[some] + length - 1)], bounds, length)
             flags[_ranges(starts[mine], starts[mine] + size[some])] |= found[_ranges(bounds[:-1], bounds[:-1] + size[some])]
-        answers.append(flag_rows(warm, flags[_ranges(starts[same], starts[same] + size)], np.array(per_block), SLICES))
+        edges, bits = np.concatenate(([0], np.cumsum(per_block))).tolist(), []
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            own = starts[same[a:b]]
+            bits.append(flags[_ranges(own, own + size[a:b])])
+        answers.append(answer(warm, bits, SLICES))
+        del raw, warm
+    pa.default_memory_pool().release_unused()
     return pa.concat_tables(answers)
 
 
@@ -266,12 +272,12 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     length: a multiple of eight, at least 48. A null text is empty; texts shorter than `length` are kept whole. Null
     ids and rows that repeat an id have a row each. An empty table gives no rows; other columns play no part.
-    buckets: source buckets, five per shuffle partition unless given. hot_sources: half of them, 64 at least.
+    buckets: source buckets, four per shuffle partition unless given. hot_sources: half of them, 64 at least.
     """
     if length % 8 or length < GRAM + 8:
         raise ValueError("length has to be a multiple of 8, at least 48")
     partitions = shuffle_partitions(docs.sparkSession)
-    targets, sources = partitions // 2 + 1, buckets or 5 * partitions
+    targets, sources = partitions // 2 + 1, buckets or 4 * partitions
     texts = bucketed(docs, id_col, text_col, sources).groupBy("bucket")
 
     def anchors(table: pa.Table) -> pa.Table:
@@ -283,7 +289,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return shard
 
     def slices(table: pa.Table, bits: pa.Table) -> pa.Table:
-        return chosen(table, bits).blocks(table["bucket"][0].as_py(), partitions * 2 // 3 + 1, partitions // 8 + 1)
+        return chosen(table, bits).blocks(table["bucket"][0].as_py(), partitions, partitions // 8 + 1)
 
     def results(table: pa.Table, bits: pa.Table) -> pa.Table:
         shard = chosen(table, bits)
