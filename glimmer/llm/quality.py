@@ -177,7 +177,7 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray
     return fitted[0], fitted[1], joint
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", quality_col: str = "quality", toxic_col: str = "toxic", fit_rows: int = 16_000, pool_rows: int = 2_000, features: int = 1_500, rounds: int = 3, picks: int = 200) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", quality_col: str = "quality", toxic_col: str = "toxic", fit_rows: int = 10_000, pool_rows: int = 2_000, features: int = 1_500, rounds: int = 3, picks: int = 200) -> Model:
     """Models of both targets. Labels without a document, and documents or labels without an id, play no part.
 
     A target whose labels are missing or all alike gets no classifier: its probability is then its label's, or 0.
@@ -227,13 +227,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             for name in TARGETS:
                 doc, feature = model.presence(views, targets[name])
                 edges = np.searchsorted(doc, np.arange(views.n + 1))
-                lists.append(pa.array([feature[a:b].tolist() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.list_(pa.int64())))
-            yield pa.RecordBatch.from_arrays([batch["id"], batch["source"], batch["lang"], batch["junk"], batch["toxic"], pa.array(views.figures.tolist(), pa.list_(pa.float64())), *lists], names=["id", "source", "lang", "junk", "toxic", "figures", "f_junk", "f_toxic"])
+                lists.append(pa.array([feature[a:b].astype(np.int32).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary()))
+            yield pa.RecordBatch.from_arrays([batch["id"], batch["source"], batch["lang"], batch["junk"], batch["toxic"], pa.array([f.tobytes() for f in views.figures], pa.binary()), *lists], names=["id", "source", "lang", "junk", "toxic", "figures", "f_junk", "f_toxic"])
 
-    rows = sample.mapInArrow(extracted, "id long, source string, lang string, junk int, toxic int, figures array<double>, f_junk array<long>, f_toxic array<long>").toPandas().sort_values("id", ignore_index=True)
+    rows = sample.mapInArrow(extracted, "id long, source string, lang string, junk int, toxic int, figures binary, f_junk binary, f_toxic binary").toPandas().sort_values("id", ignore_index=True)
     if not len(rows):
         return model
-    figures = np.stack(rows["figures"].to_numpy())
+    figures = np.frombuffer(b"".join(rows["figures"]), np.float64).reshape(len(rows), len(FIGURES))
     model.edges = np.quantile(figures, [k / BINS for k in range(1, BINS)], axis=0).T
     model.sources = rows["source"].dropna().value_counts().index[:32].tolist()
     model.languages = rows["lang"].dropna().value_counts().index[:16].tolist()
@@ -245,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             continue
         text = np.zeros((len(rows), len(target.features)), np.float32)
         for d, some in enumerate(rows[f"f_{name}"]):
-            text[d, some] = 1
+            text[d, np.frombuffer(some, np.int32)] = 1
         order = np.flatnonzero(y >= 0)
         fold = np.zeros(len(rows), bool)
         for v in (0, 1):
