@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from glimmer.llm.decontaminate import Lookup
 from glimmer.llm.exchange import annotate_rows, checkpointed
-from glimmer.llm.text_kernels import ALNUM_SPLIT, LOWER, SPACE_SPLIT, Words, column_bytes, mix, split_words
+from glimmer.llm.text_kernels import ALNUM_SPLIT, LOWER, SPACE_SPLIT, Words, column_bytes, mix, portions, split_words
 
 TARGETS = ("junk", "toxic")
 FIGURES = ("chars", "words", "word_bytes", "line_words", "upper", "symbols", "digits", "distinct", "longest_run")
@@ -105,6 +105,8 @@ class Target:
     """One target's classifiers: log-odds of the text view, of the metadata view, and how they combine."""
 
     features: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
+    #: What a feature counts in training: its log-odds ratio among the labelled.
+    scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
     text: np.ndarray = field(default_factory=lambda: np.zeros(1))
     meta: np.ndarray = field(default_factory=lambda: np.zeros(1))
     join: np.ndarray = field(default_factory=lambda: np.zeros(3))
@@ -135,6 +137,11 @@ class Model:
         return pairs // len(target.features), pairs % len(target.features)
 
     def score(self, texts: pa.Array, sources: list[str | None], languages: list[str | None]) -> list[np.ndarray]:
+        """(p_junk, p_toxic)."""
+        parts = [self._score(texts[p], sources[p], languages[p]) for p in portions(texts)]
+        return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(len(TARGETS))]
+
+    def _score(self, texts: pa.Array, sources: list[str | None], languages: list[str | None]) -> list[np.ndarray]:
         views = Views(texts)
         meta = self.metadata(views.figures, sources, languages)
         out = []
@@ -174,13 +181,19 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray
             fitted[v] = fit_logistic(views[v][rows], given[v][rows], np.where(known[rows], 1.0, 0.5))
     odds = np.stack([_log_odds(v[fold], w) for v, w in zip(views, fitted, strict=True)], axis=1).astype(np.float32)
     joint = fit_logistic(odds, y[fold], decay=1e-5, steps=1500)
+    if (against := joint[:2] < 0).any():  # a view that speaks against its own labels has no signal
+        odds[:, against] = 0
+        joint = fit_logistic(odds, y[fold], decay=1e-5, steps=1500)
+        joint[:2][against] = 0
     return fitted[0], fitted[1], joint
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", quality_col: str = "quality", toxic_col: str = "toxic", fit_rows: int = 10_000, pool_rows: int = 2_000, features: int = 1_500, rounds: int = 3, picks: int = 200) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", quality_col: str = "quality", toxic_col: str = "toxic", fit_rows: int = 10_000, pool_rows: int = 2_000, features: int = 1_500, least_z: float = 3.0, rounds: int = 3, picks: int = 200) -> Model:
     """Models of both targets. Labels without a document, and documents or labels without an id, play no part.
 
     A target whose labels are missing or all alike gets no classifier: its probability is then its label's, or 0.
+    features: the most that a target has; only those whose shares among positive and negative documents differ by
+    least_z standard errors count, so that the many neutral words of a long text can't outweigh a few telling ones.
     """
     chosen = labels.select(F.col(id_col).cast("long").alias("id"), (F.col(quality_col) == 0).cast("int").alias("junk"), (F.col(toxic_col) == 1).cast("int").alias("toxic")).where(F.col("id").isNotNull()).dropDuplicates(["id"])
     known = chosen.orderBy(F.xxhash64("id"), "id").limit(fit_rows)
@@ -191,7 +204,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     sample = checkpointed(slim.join(wanted, "id").dropDuplicates(["id"]))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b[p] for b in batches for p in portions(b["text"])):
             views = Views(batch["text"])
             order = np.lexsort((views.features, views.owners))
             f, d = views.features[order], views.owners[order]
@@ -215,13 +228,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         a, b = F.col(f"{short}1"), F.col(f"{short}0")
         share = (a + b + 1) / (yes + no + 2)
         z = (a / yes - b / no) / F.sqrt(share * (1 - share + 1e-9) * (1 / yes + 1 / no))
-        top = counts.select("feature", F.abs(z).alias("z")).orderBy(F.desc("z"), "feature").limit(features).toPandas()
-        targets[name].features = np.sort(top["feature"].to_numpy(np.int64).view(np.uint64))
+        ratio = F.log((a + 0.5) / (yes + 1)) - F.log((b + 0.5) / (no + 1))
+        top = counts.select("feature", F.abs(z).alias("z"), ratio.alias("ratio")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "feature").limit(features).toPandas()
+        names = top["feature"].to_numpy(np.int64).view(np.uint64)
+        order = np.argsort(names)
+        targets[name].features, targets[name].scale = names[order], top["ratio"].to_numpy()[order]
 
     model = Model(np.zeros((len(FIGURES), BINS - 1)), [], [], targets)
 
     def extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b[p] for b in batches for p in portions(b["text"])):
             views = Views(batch["text"])
             lists = []
             for name in TARGETS:
@@ -245,7 +261,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             continue
         text = np.zeros((len(rows), len(target.features)), np.float32)
         for d, some in enumerate(rows[f"f_{name}"]):
-            text[d, np.frombuffer(some, np.int32)] = 1
+            some = np.frombuffer(some, np.int32)
+            text[d, some] = target.scale[some]
         order = np.flatnonzero(y >= 0)
         fold = np.zeros(len(rows), bool)
         for v in (0, 1):
@@ -253,8 +270,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if len(np.unique(y[(y >= 0) & ~fold])) < 2:
             fold[:] = False
             target.text, target.meta, target.join = fit_logistic(text[order], y[order]), fit_logistic(meta[order], y[order]), np.array([1.0, 0, 0])
-            continue
-        target.text, target.meta, target.join = co_train(text, meta, y, fold, rounds, picks)
+        else:
+            target.text, target.meta, target.join = co_train(text, meta, y, fold, rounds, picks)
+        target.text[:-1] *= target.scale
     return model
 
 
