@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from glimmer.llm.exchange import BITS, BLOCKS, answer, bits_of, bucketed, flag_rows, flag_shared, in_order, occurs_elsewhere, shuffle_partitions, split_blocks, target_edges
-from glimmer.llm.text_kernels import column_bytes, covered, mix, to_column
+from glimmer.llm.text_kernels import column_bytes, covered, mix, offset_portions, to_column
 
 GRAM, SYMBOL = 40, 8
 #: Bytes of slices that are refined at a time.
@@ -112,24 +112,29 @@ class _Shard:
     def __init__(self, table: pa.Table, length: int):
         self.docs, self.length = in_order(table), length
         self.raw, self.offsets = column_bytes(self.docs["text"])
-        grams, self.windows = byte_grams(self.raw, GRAM, length)
-        room = np.repeat(self.offsets[1:].astype(np.int32), np.diff(self.offsets)) - np.arange(len(self.raw), dtype=np.int32)
-        grams[room[: len(grams)] < GRAM] = _END
-        valid = room[: len(self.windows)] >= length
-        del room
-        self.first, self.last, at = minimizer_runs(grams, valid, length - GRAM + 1)
-        self.values = grams[at] if len(at) else np.zeros(0, np.uint64)
-        self.offset = at - self.first
+        found = [self._runs(self.offsets[p.start : p.stop + 1]) for p in offset_portions(self.offsets, PORTION)] or [self._runs(self.offsets)]
+        # of each run: first and last window, minimizer, how far in it lies, hashes of both windows
+        self.first, self.last, self.values, self.offset, self.head, self.tail = (np.concatenate(x) for x in zip(*found, strict=True))
         self.anchors, self.which, times = np.unique(self.values, return_inverse=True, return_counts=True)
         self.repeated = times > 1
 
+    def _runs(self, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The runs of some documents; all arrays as long as their text go with this call."""
+        base = int(offsets[0])
+        raw = self.raw[base : offsets[-1]]
+        grams, windows = byte_grams(raw, GRAM, self.length)
+        room = np.repeat((offsets[1:] - base).astype(np.int32), np.diff(offsets)) - np.arange(len(raw), dtype=np.int32)
+        grams[room[: len(grams)] < GRAM] = _END
+        first, last, at = minimizer_runs(grams, room[: len(windows)] >= self.length, self.length - GRAM + 1)
+        return first + base, last + base, grams[at], at - first, windows[first], windows[last]
+
     def select(self, shared: np.ndarray, hot: np.ndarray) -> None:
         """Splits the runs with a shared minimizer into slices and hot windows, each distinct one once."""
         live = (shared | self.repeated)[self.which]
         warm = np.flatnonzero(live & ~hot[self.which])
         a, b = self.first[warm], self.last[warm]
         with np.errstate(over="ignore"):
-            key = mix(self.windows[a] + mix(self.windows[b] ^ (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            key = mix(self.head[warm] + mix(self.tail[warm] ^ (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
         order = np.lexsort((key, self.values[warm]))
         warm, key = warm[order], key[order]
         v = self.values[warm]
@@ -139,9 +144,19 @@ class _Shard:
         self.slice_twice = np.bincount(self.slice_of, minlength=len(self.slices)) > 1
         spans = np.flatnonzero(live & hot[self.which])
         self.hot_at = _ranges(self.first[spans], self.last[spans] + 1)
-        self.hot_windows, self.hot_which, times = np.unique(self.windows[self.hot_at], return_inverse=True, return_counts=True)
+        self.hot_windows, self.hot_which, times = np.unique(self._windows(self.first[spans], self.last[spans]), return_inverse=True, return_counts=True)
         self.hot_twice = times > 1
 
+    def _windows(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Hashes of all windows of some runs, some runs at a time."""
+        sizes = last - first + self.length
+        out = [np.zeros(0, np.uint64)]
+        for p in offset_portions(np.concatenate(([0], np.cumsum(sizes))), PORTION):
+            hashes = byte_grams(self.raw[_ranges(first[p], last[p] + self.length)], self.length)[0]
+            begin = np.cumsum(sizes[p]) - sizes[p]
+            out.append(hashes[_ranges(begin, begin + last[p] - first[p] + 1)])
+        return np.concatenate(out)
+
     def slice_sizes(self) -> np.ndarray:
         """Windows of each distinct slice."""
         return self.last[self.slices] - self.first[self.slices] + 1

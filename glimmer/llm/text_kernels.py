@@ -161,7 +161,11 @@ def keep_words(words: Words, kept: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def portions(texts: pa.Array, size: int = 1 << 21) -> list[slice]:
     """Consecutive rows of about `size` bytes of text each, so that what is made from them stays small."""
-    _, offsets = column_bytes(texts)
+    return offset_portions(column_bytes(texts)[1], size)
+
+
+def offset_portions(offsets: np.ndarray, size: int) -> list[slice]:
+    """portions() of texts with these offsets."""
     part = offsets[:-1] // size
     cuts = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)] if len(part) else [0]
     return [slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
