@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from glimmer.llm.components import components
 from glimmer.llm.exchange import checkpointed, shuffle_partitions, target_edges
-from glimmer.llm.text_kernels import LOWER, SPACE_SPLIT, column_bytes, gram_hashes, mix, split_words
+from glimmer.llm.text_kernels import LOWER, SPACE_SPLIT, column_bytes, gram_hashes, mix, portions, split_words
 
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Estimates this far below the threshold aren't verified: eight standard errors of 455 registers.
@@ -239,7 +239,7 @@ def _candidates(texts: DataFrame, bands: int, rows: int, targets: int) -> DataFr
         held_keys, held_names = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         seen: set[int] = set()
         turn = 0
-        for batch in batches:
+        for batch in (b[p] for b in batches for p in portions(b["text"])):
             hashes, bounds = shingle_sets(batch["text"])
             names, sizes = class_of(hashes, bounds), np.diff(bounds)
             ids = batch["id"]
@@ -294,7 +294,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per input row: id, n_shingles, component_id (the smallest id of the group), kept (id = component_id).
 
     A null or empty text, or one of white space, has no shingles and is a group of its own; a text of one word has
-    one shingle. A null id is linked with nothing and kept. Rows that repeat an id and text are in one group and all
+    one shingle. A null id is linked with nothing and kept, its n_shingles null unless it is 0. Rows that repeat an id and text are in one group and all
     kept or all dropped. An empty table gives no rows; other columns play no part.
     """
     spark = docs.sparkSession
