@@ -126,7 +126,8 @@ class _Shard:
         room = np.repeat((offsets[1:] - base).astype(np.int32), np.diff(offsets)) - np.arange(len(raw), dtype=np.int32)
         grams[room[: len(grams)] < GRAM] = _END
         first, last, at = minimizer_runs(grams, room[: len(windows)] >= self.length, self.length - GRAM + 1)
-        return first + base, last + base, grams[at], at - first, windows[first], windows[last]
+        # minimizers are small hashes; mixed once more they are spread evenly over the merge tasks
+        return first + base, last + base, mix(grams[at]), at - first, windows[first], windows[last]
 
     def select(self, shared: np.ndarray, hot: np.ndarray) -> None:
         """Splits the runs with a shared minimizer into slices and hot windows, each distinct one once."""
