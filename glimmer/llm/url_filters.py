@@ -47,6 +47,35 @@ def alias_of(url: Column) -> Column:
     return F.concat(host_of(url), F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^#]*)", 1))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that begins with a slash, its . and .. segments resolved."""
+    parts = F.split(F.substring(path, 2, F.length(path)), "/")
+
+    def step(done: Column, part: Column) -> Column:
+        up = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when(part == "..", up).when(part == ".", done).otherwise(F.concat(done, F.array(part)))
+
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    kept = F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def resolved(url: Column, goal: Column) -> Column:
+    """The absolute form of a link on the page `url`; a link with a scheme stays as it is."""
+    own = F.when(F.length(path_of(url)) > 0, path_of(url)).otherwise("/")
+    folder = F.regexp_extract(own, r"^(.*/)", 1)
+    path, rest = F.regexp_extract(goal, r"^([^?#]*)", 1), F.regexp_extract(goal, r"^[^?#]*(.*)$", 1)
+    site = F.concat(F.lit("http://"), host_of(url))
+    return (
+        F.when(goal.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), goal)
+        .when(goal.startswith("//"), F.concat(F.lit("http:"), goal))
+        .when(goal.startswith("/"), F.concat(site, _without_dots(path), rest))
+        .when(goal.startswith("#"), url)
+        .when(goal.startswith("?"), F.concat(site, own, rest))
+        .otherwise(F.concat(site, _without_dots(F.concat(folder, path)), rest))
+    )
+
+
 def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Column:
     """Index of the longest rule (host/path) that fits, else null. The rule list is part of the plan."""
     order = sorted(range(len(rules)), key=lambda k: (-len(rules[k][1]), rules[k][1]))
@@ -59,13 +88,12 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> C
 
 
 def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(a, b): aliases that a redirect or a canonical link joins. Relative links keep the page's scheme and host."""
+    """(a, b): aliases that a redirect or a canonical link joins. Relative links are resolved against the page's host and path."""
     html, url = F.col(html_col), F.col(url_col)
     canonical = F.when(html.ilike("%canonical%"), F.regexp_extract(F.regexp_extract(html, _LINK, 0), _HREF, 1))
     redirect = F.when(html.ilike("%http-equiv%"), F.regexp_extract(F.regexp_extract(html, _META, 0), _GOES, 1))
     goals = pages.select(url.alias("url"), F.explode(F.array(canonical, redirect)).alias("goal")).where(F.length("goal") > 0)
-    goal = F.when(F.col("goal").startswith("//"), F.concat(F.lit("http:"), F.col("goal"))).when(F.col("goal").startswith("/"), F.concat(F.lit("http://"), host_of(F.col("url")), F.col("goal"))).otherwise(F.col("goal"))
-    return goals.select(alias_of(F.col("url")).alias("a"), alias_of(goal).alias("b")).where((F.length("a") > 0) & (F.length("b") > 0))
+    return goals.select(alias_of(F.col("url")).alias("a"), alias_of(resolved(F.col("url"), F.col("goal"))).alias("b")).where((F.length("a") > 0) & (F.length("b") > 0))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
@@ -84,7 +112,7 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "pag
     edges = link_edges(pages, url_col, html_col)
     if redirects is not None:
         a, b = redirects.columns[:2]
-        edges = edges.unionByName(redirects.select(alias_of(F.col(a)).alias("a"), alias_of(F.col(b)).alias("b")))
+        edges = edges.unionByName(redirects.select(alias_of(F.col(a)).alias("a"), alias_of(resolved(F.col(a), F.col(b))).alias("b")))
     groups = components(edges)
     # a target may be known only from links: it is judged by the rules as well
     known = groups.select("node", "component", F.regexp_extract("node", r"^([^/?#]*)", 1).alias("host"), F.regexp_extract("node", r"^[^/?#]*([^?]*)", 1).alias("path"))

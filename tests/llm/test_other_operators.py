@@ -110,6 +110,23 @@ def test_blocks_spread_over_redirects_but_not_past_an_allow(spark):
     assert url_filters.judge(pages.limit(0), rules).count() == 0 and url_filters.judge(pages, []).where("verdict = 'block'").count() == 0
 
 
+def test_relative_links_are_resolved(spark):
+    cases = [
+        ("http://a.com/d/e.html", "next.html", "http://a.com/d/next.html"), ("http://a.com/d/e/f", "../g?q=1#x", "http://a.com/d/g?q=1#x"), ("http://a.com/d/e?z=/y", "?p=1", "http://a.com/d/e?p=1"),
+        ("http://a.com", "x", "http://a.com/x"), ("http://a.com", "?p=1", "http://a.com/?p=1"), ("http://a.com/d/e", "./", "http://a.com/d/"), ("http://a.com/d/e/f", "..", "http://a.com/d/"),
+        ("http://a.com/d", "../../g", "http://a.com/g"), ("http://a.com/d", "/b/./c/../h", "http://a.com/b/h"), ("http://a.com/d", "//b.com/x", "http://b.com/x"), ("http://a.com/d", "https://b.com/x/../y", "https://b.com/x/../y"),
+        ("http://a.com/d", "#top", "http://a.com/d"), ("http://a.com/d/e", "to?u=http://b.com/", "http://a.com/d/to?u=http://b.com/"), ("http://a.com/d/e", "mailto:me@b.com", "mailto:me@b.com"),
+    ]
+    out = spark.createDataFrame(cases, "url string, goal string, want string").select("url", "goal", "want", url_filters.resolved(F.col("url"), F.col("goal")).alias("got")).collect()
+    assert [(r["url"], r["goal"], r["got"]) for r in out] == cases
+
+    goes = '<meta http-equiv="refresh" content="0; url=%s">'
+    pages = spark.createDataFrame([(1, "http://a.com/x/old", goes % "../bad/new"), (2, "http://a.com/bad/new", ""), (3, "http://a.com/bad", goes % "bad?p=1"), (4, "http://a.com/y?q", goes % "?p=2"), (5, "http://a.com/y?p=2", goes % "bad/")], "page_id long, url string, html string")
+    assert {r["id"]: r["verdict"] for r in url_filters.judge(pages, [("block", "a.com/bad/")]).collect()} == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "block"}
+    log = spark.createDataFrame([("http://a.com/bad", "bad/")], "source string, target string")
+    assert url_filters.judge(pages, [("block", "a.com/bad/")], redirects=log).where("id = 3 and verdict = 'block'").count() == 1
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 99), (99, 98), (98, 100), (7, 7), (None, 3), (3, None), (200, 201), (200, 201)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
