@@ -188,10 +188,40 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, fold: np.ndarray
     return fitted[0], fitted[1], joint
 
 
+def _prior(y: np.ndarray) -> np.ndarray:
+    """How nothing but a constant combines: the share of positives, but below one half, as no document stands out."""
+    return np.array([0, 0, min(np.log((y == 1).sum() / ((y == 0).sum() + 1)), -1e-3)])
+
+
+def by_metadata(meta: np.ndarray, y: np.ndarray, folds: int = 8, least_z: float = 2.0) -> tuple[np.ndarray, np.ndarray]:
+    """(metadata, joint) coefficients from labelled rows of both kinds, where no text feature tells them apart.
+
+    Each part of the rows gets log-odds from a fit on the others; these are calibrated, unless the order that they
+    give (Mann-Whitney) is less than least_z standard errors better than chance: then only a constant is left.
+    """
+    part = np.zeros(len(y), np.int64)
+    for v in (0, 1):
+        part[y == v] = np.arange((y == v).sum()) % folds
+    odds = np.zeros(len(y), np.float32)
+    for k in range(folds):
+        if (mine := part == k).any() and len(np.unique(y[~mine])) == 2:
+            odds[mine] = _log_odds(meta[mine], fit_logistic(meta[~mine], y[~mine]))
+    values, which, times = np.unique(odds, return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(times) - (times - 1) / 2)[which]
+    yes, no = int((y == 1).sum()), int((y == 0).sum())
+    above = ranks[y == 1].sum() - yes * (yes + 1) / 2 - yes * no / 2
+    whole = fit_logistic(meta, y)
+    if above < least_z * np.sqrt(yes * no * (yes + no + 1) / 12):
+        return whole, _prior(y)
+    _, w, c = np.insert(fit_logistic(odds[:, None], y, decay=1e-5, steps=1500), 0, 0)
+    return whole, np.array([0, w, c])
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", quality_col: str = "quality", toxic_col: str = "toxic", fit_rows: int = 10_000, pool_rows: int = 2_000, features: int = 1_500, least_z: float = 3.0, rounds: int = 3, picks: int = 200) -> Model:
     """Models of both targets. Labels without a document, and documents or labels without an id, play no part.
 
     A target whose labels are missing or all alike gets no classifier: its probability is then its label's, or 0.
+    One without telling text features (few labels, for instance) is judged by metadata, or by a constant below one half.
     features: the most that a target has; only those whose shares among positive and negative documents differ by
     least_z standard errors count, so that the many neutral words of a long text can't outweigh a few telling ones.
     """
@@ -257,7 +287,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for name in TARGETS:
         target = targets[name]
         y = rows[name].fillna(-1).to_numpy(np.int64)
+        if len(np.unique(y[y >= 0])) < 2:
+            continue
         if not len(target.features):
+            target.meta, target.join = by_metadata(meta[y >= 0], y[y >= 0])
             continue
         text = np.zeros((len(rows), len(target.features)), np.float32)
         for d, some in enumerate(rows[f"f_{name}"]):
@@ -272,6 +305,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             target.text, target.meta, target.join = fit_logistic(text[order], y[order]), fit_logistic(meta[order], y[order]), np.array([1.0, 0, 0])
         else:
             target.text, target.meta, target.join = co_train(text, meta, y, fold, rounds, picks)
+            if not target.join[:2].any():
+                target.join = _prior(y)
         target.text[:-1] *= target.scale
     return model
 

@@ -183,3 +183,20 @@ def test_no_labels_keeps_everything(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r["kept"] for r in quality.score(docs, quality.train(docs, none)).collect()] == [True]
     assert quality.score(docs.limit(0), quality.train(docs.limit(0), none)).count() == 0
+
+
+@pytest.mark.parametrize("positive", [4, 6])
+@pytest.mark.parametrize("telling", [True, False])
+def test_a_handful_of_labels_leaves_clean_documents(spark, positive, telling):
+    rng = np.random.default_rng(4)
+    junk = lambda k: k < positive or 8 <= k < 20
+    rows = [(k, " ".join(f"w{rng.integers(10**6)}" for _ in range(30)), "en", "spam" if telling and junk(k) else "web") for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(k, 0 if k < positive else 1, 0) for k in range(8)], "doc_id long, quality int, toxic int")
+    model = quality.train(docs, labels)
+    assert not len(model.targets["junk"].features)
+    kept = {r["row"]["doc_id"] for r in quality.score(docs, model).where("kept").collect()}
+    if telling and positive == 4:
+        assert kept == {k for k in range(60) if not junk(k)}
+    else:
+        assert kept >= {k for k in range(60) if not junk(k)}
