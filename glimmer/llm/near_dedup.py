@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -232,13 +233,13 @@ def _table(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n)], schema=_ROWS)
 
 
-def _candidates(texts: DataFrame, bands: int, rows: int, targets: int) -> DataFrame:
-    """Documents (id, class, size) and star edges between classes that share a bucket."""
+def _sent(texts: DataFrame, bands: int, rows: int, targets: int) -> DataFrame:
+    """(dst, kind, payload): a task's documents, edges and bucket keys, each kind dealt out over all targets."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_keys, held_names = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
         seen: set[int] = set()
-        turn = 0
+        turn = TaskContext.get().partitionId()
         for batch in (b[p] for b in batches for p in portions(b["text"])):
             hashes, bounds = shingle_sets(batch["text"])
             names, sizes = class_of(hashes, bounds), np.diff(bounds)
@@ -257,13 +258,23 @@ def _candidates(texts: DataFrame, bands: int, rows: int, targets: int) -> DataFr
             held_keys.append(band_keys(registers, bands, rows).ravel())
             held_names.append(np.repeat(names[new], bands))
         keys, least, a, b = _stars(np.concatenate(held_keys), np.concatenate(held_names))
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([EDGE], pa.int32()), pa.array([np.stack((a, b), axis=1).tobytes()], pa.binary())], schema=_PACKED)
+        with np.errstate(over="ignore"):
+            home = (mix(a.view(np.uint64) * _GOLD) % np.uint64(targets)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        local, cuts = np.stack((a, b), axis=1)[order], np.searchsorted(home[order], np.arange(targets + 1))
+        dealt = [(t, local[cuts[t] : cuts[t + 1]].tobytes()) for t in range(targets) if cuts[t + 1] > cuts[t]]
+        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in dealt], pa.int32()), pa.array([EDGE] * len(dealt), pa.int32()), pa.array([x for _, x in dealt], pa.binary())], schema=_PACKED)
         edges = target_edges(keys, targets)
         both = np.stack((keys.view(np.int64), least), axis=1)
         blocks = [(t, both[edges[t] : edges[t + 1]].tobytes()) for t in range(targets) if edges[t + 1] > edges[t]]
         yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in blocks], pa.int32()), pa.array([KEYS] * len(blocks), pa.int32()), pa.array([x for _, x in blocks], pa.binary())], schema=_PACKED)
 
+    return texts.mapInArrow(pack, "dst int, kind int, payload binary")
+
+
+def _candidates(texts: DataFrame, bands: int, rows: int, targets: int) -> DataFrame:
+    """Documents (id, class, size) and star edges between classes that share a bucket."""
+
     def meet(table: pa.Table) -> pa.Table:
         raw = {kind: np.frombuffer(b"".join(table.filter(pc.equal(table["kind"], kind))["payload"].to_pylist()), np.int64) for kind in (DOCUMENT, EDGE, KEYS)}
         facts, local, keys = raw[DOCUMENT].reshape(-1, 3), raw[EDGE].reshape(-1, 2), raw[KEYS].reshape(-1, 2)
@@ -271,7 +282,7 @@ def _candidates(texts: DataFrame, bands: int, rows: int, targets: int) -> DataFr
         zeros = np.zeros(len(a) + len(local), np.int64)
         return pa.Table.from_batches([_table(DOCUMENT, facts[:, 0].copy(), facts[:, 1].copy(), facts[:, 2].copy()), _table(EDGE, np.concatenate((a, local[:, 0])), np.concatenate((b, local[:, 1])), zeros)])
 
-    return texts.mapInArrow(pack, "dst int, kind int, payload binary").groupBy("dst").applyInArrow(meet, ROWS)
+    return _sent(texts, bands, rows, targets).groupBy("dst").applyInArrow(meet, ROWS)
 
 
 def _block_of(table: pa.Table, m: int, percent: int) -> Block:
