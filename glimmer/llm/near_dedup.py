@@ -18,8 +18,9 @@ Method.
    member that agrees best with the others, then each class that is still outside the largest group against the
    classes that hold one of its rarest shingles (a link needs one of any fifth of a set, plus one).
 5. Clusters of more than `block` classes are cut into blocks. Each block is worked as above; the best members of
-   blocks elect a few hubs, which all blocks are compared with; classes outside the largest group then go to
-   every block, as a query set in blocks.
+   blocks elect a few hubs, which all blocks are compared with. While more than a block of classes is outside the
+   largest group, the largest groups outside name hubs of their own. Classes that are outside then go to every block,
+   `block` of them in a task; a task tries only what may connect two groups, and gives as many links as connect them.
 
 Links are exact on 64-bit shingle hashes; no partner is capped. Texts cross the network once for the classes in
 clusters (a join on the id); nothing about all documents is collected.
@@ -33,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmer.llm.components import components
@@ -46,6 +47,9 @@ MARGIN = 0.15
 #: Clusters up to this size need no best member; every class is looked up.
 SMALL = 24
 HUBS = 4
+#: Further elections, sixteen times as many hubs each, before what is left is asked about in blocks; a round has to
+#: halve the groups that are left, as each costs a search for components.
+HUB_ROUNDS = 2
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _TURN = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -326,6 +330,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return grouped.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
+def _spanning(part: Block, asked: Block, label: dict[int, int], all_of: bool) -> list[tuple[int, int]]:
+    """Links of asked classes with members, as many as connect their groups; label: the group that a class is in so far."""
+    known, where = np.unique([label[n] for n in (*part.names.tolist(), *asked.names.tolist())], return_inverse=True)
+    at, own = where[: len(part.names)], where[len(part.names) :].tolist()
+    root, everyone, pairs = np.arange(len(known)), np.arange(len(part.names)), []
+    for q, name in enumerate(asked.names.tolist()):
+        near = everyone if all_of else part.holders(asked.items(q))
+        near = near[root[at[near]] != root[own[q]]]
+        for d in part.linked(near, asked.items(q), asked.registers[q]).tolist():
+            old, new = root[at[d]], root[own[q]]
+            if old != new:
+                root[root == old] = new
+                pairs.append((name, int(part.names[d])))
+    return pairs
+
+
 def _verified(texts: DataFrame, facts: DataFrame, clusters: DataFrame, m: int, percent: int, block: int) -> DataFrame:
     """(a, b): links between classes, as many as connect each group."""
     reps = facts.groupBy("class").agg(F.min("id").alias("id"))
@@ -364,26 +384,50 @@ def _verified(texts: DataFrame, facts: DataFrame, clusters: DataFrame, m: int, p
 
     def probe(all_of: bool):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
-            part, asked = _block_of(left, m, percent), _block_of(right, m, percent)
-            everyone, pairs = np.arange(len(part.names)), []
-            for q in range(len(asked.names)):
-                near = everyone if all_of else part.holders(asked.items(q))
-                near = near[part.names[near] != asked.names[q]]
-                pairs += [(int(asked.names[q]), int(part.names[d])) for d in part.linked(near, asked.items(q), asked.registers[q]).tolist()]
-            return pa.Table.from_batches([_edge_table(pairs)])
+            if not right.num_rows:
+                return pa.Table.from_batches([_edge_table([])])
+            marks = left.filter(pc.is_null(left["text"]))
+            label = dict(zip(marks["class"].to_pylist(), marks["group"].to_pylist(), strict=True))
+            label |= dict(zip(right["class"].to_pylist(), right["group"].to_pylist(), strict=True))
+            part, asked = _block_of(left.filter(pc.is_valid(left["text"])), m, percent), _block_of(right, m, percent)
+            return pa.Table.from_batches([_edge_table(_spanning(part, asked, label, all_of))])
 
         return run
 
-    def against(queries: DataFrame, all_of: bool) -> DataFrame:
-        part = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
-        everywhere = queries.select(F.col("cluster").alias("cluster"), part, F.col("class").alias("class"), F.col("text").alias("text"))
-        both = large.groupBy("cluster", "block").cogroup(everywhere.groupBy("cluster", "block")).applyInArrow(probe(all_of), ROWS)
-        return both.select("a", "b")
-
-    links = checkpointed(links.unionByName(against(large.join(hubs, ["cluster", "class"], "left_semi"), True)).distinct())
-    groups = components(links).toDF("class", "group")
-    at = large.select("cluster", "class").join(groups, "class", "left").select("cluster", "class", F.coalesce("group", "class").alias("group"))
-    counts = at.groupBy("cluster", "group").agg(F.count("*").alias("n"))
-    main = counts.groupBy("cluster").agg(F.max_by("group", F.struct("n", "group")).alias("main"))
-    outside = at.join(main, "cluster").where(F.col("group") != F.col("main")).select("cluster", "class")
-    return links.unionByName(against(large.join(outside, ["cluster", "class"], "left_semi"), False)).distinct()
+    def against(queries: DataFrame, at: DataFrame, all_of: bool) -> DataFrame:
+        """queries (cluster, class, group, turn, turns) against all blocks of their clusters, one turn of them in a task."""
+        blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+        renamed = [F.col(c).alias(c) for c in ("cluster", "turn", "class", "group", "text")]  # the same columns are on the other side
+        asked = large.join(queries, ["cluster", "class"]).select(*renamed[:1], blocks, *renamed[1:])
+        turns = F.broadcast(queries.groupBy("cluster").agg(F.max("turns").alias("turns")))  # a row per large cluster
+        turn = F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn")
+        members = large.join(turns, "cluster").select("cluster", "block", turn, "class", F.lit(None).cast("long").alias("group"), "text")
+        marks = at.join(turns, "cluster").select("cluster", "block", turn, "class", "group", F.lit(None).cast("string").alias("text"))
+        keys = ["cluster", "block", "turn"]
+        return members.unionByName(marks).groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(probe(all_of), ROWS).select("a", "b")
+
+    alone = large.select("cluster", "block", "class", F.col("class").alias("group"))
+    one = [F.lit(0).alias("turn"), F.lit(1).alias("turns")]
+    links = checkpointed(links.unionByName(against(hubs.select("cluster", "class", F.col("class").alias("group"), *one), alone, True)).distinct())
+    last = None
+    for turn in range(HUB_ROUNDS + 1):
+        groups = components(links).toDF("class", "group")
+        at = checkpointed(large.select("cluster", "block", "class").join(groups, "class", "left").select("cluster", "block", "class", F.coalesce("group", "class").alias("group")))
+        counts = at.groupBy("cluster", "group").agg(F.count("*").alias("n"))
+        main = counts.groupBy("cluster").agg(F.max_by("group", F.struct("n", "group")).alias("main"))
+        outside = at.join(main, "cluster").where(F.col("group") != F.col("main")).select("cluster", "class", "group")
+        # clusters with more classes outside than one task is asked about, and the groups these are in
+        crowded = outside.groupBy("cluster", "group").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("groups")).where(F.col("n") > block)
+        left = crowded.agg(F.sum("groups")).first()[0] or 0
+        if turn == HUB_ROUNDS or not left or (last is not None and left > 0.5 * last):
+            break
+        last = left
+        # hubs of the largest groups outside: the classes with most links
+        degrees = links.select(F.col("a").alias("class")).unionByName(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("degree"))
+        ranked = outside.join(crowded.select("cluster"), "cluster", "left_semi").join(degrees, "class", "left").groupBy("cluster", "group").agg(F.count("*").alias("n"), F.max_by("class", F.struct(F.coalesce("degree", F.lit(0)), "class")).alias("class"))
+        place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "group"))
+        elected = ranked.withColumn("place", place).where(F.col("place") <= 16 * HUBS).select("cluster", "class", "group", *one)
+        links = checkpointed(links.unionByName(against(elected, at, True)).distinct())
+    turns = outside.groupBy("cluster").agg(F.ceil(F.count("*") / block).cast("int").alias("turns"))
+    queries = checkpointed(outside.join(turns, "cluster").select("cluster", "class", "group", F.pmod(F.xxhash64("class", F.lit(1)), F.col("turns")).cast("int").alias("turn"), "turns"))
+    return links.unionByName(against(queries, at, False)).distinct()

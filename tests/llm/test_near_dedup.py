@@ -8,6 +8,7 @@ import pyarrow as pa
 import pytest
 
 from glimmer.llm import near_dedup
+from glimmer.llm.components import components
 
 DOCS = "doc_id long, text string, id string, class int"
 
@@ -92,3 +93,19 @@ def test_edges_and_facts_of_many_tasks_meet_in_no_single_target(spark):
     for kind in (near_dedup.DOCUMENT, near_dedup.EDGE):
         sizes = [r["n"] for r in sent.where(sent["kind"] == kind).groupBy("dst").sum("n").toDF("dst", "n").collect()]
         assert len(sizes) == 8 and max(sizes) < sum(sizes) / 2
+
+
+def test_a_second_family_of_a_cluster_gives_a_spanning_set_of_links(spark):
+    rng = np.random.default_rng(8)
+    bases = [[f"w{rng.integers(10**6)}" for _ in range(80)] for _ in range(40)]
+    rows = [(n, edited(bases[0 if n < 60 else 1], rng, 0.01) + f" end{n}") for n in range(100)] + [(100 + k, " ".join(b)) for k, b in enumerate(bases[2:])]
+    hashes, bounds = near_dedup.shingle_sets(pa.array([t for _, t in rows]))
+    names = near_dedup.class_of(hashes, bounds).tolist()
+    texts = spark.createDataFrame(rows, "id long, text string")
+    facts = spark.createDataFrame([(n, c, 80) for n, c in enumerate(names)], "id long, class long, n long")
+    clusters = spark.createDataFrame([(c, min(names)) for c in names], "class long, cluster long")
+    links = [(r["a"], r["b"]) for r in near_dedup._verified(texts, facts, clusters, 455, 80, 8).collect()]
+    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    want = groups(rows)
+    assert {n: found.get(c, c) for n, c in enumerate(names)} == {n: min(c for k, c in enumerate(names) if want[k][1] == want[n][1]) for n in range(len(names))}
+    assert len(links) < 5 * len(rows)
