@@ -1,6 +1,6 @@
 """Near-duplicate groups by SetSketch registers.
 
-A document's set is its distinct 2-word shingles (lower-cased ASCII, words split at white space); documents are
+A document's set is its distinct shingles of `words` words, two unless given (lower-cased ASCII, words split at white space); documents are
 linked when their Jaccard similarity reaches the threshold, and a group is what links connect.
 
 Method.
@@ -237,7 +237,7 @@ def _table(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordB
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n)], schema=_ROWS)
 
 
-def _sent(texts: DataFrame, bands: int, rows: int, targets: int) -> DataFrame:
+def _sent(texts: DataFrame, bands: int, rows: int, targets: int, words: int = 2) -> DataFrame:
     """(dst, kind, payload): a task's documents, edges and bucket keys, each kind dealt out over all targets."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,7 +245,7 @@ def _sent(texts: DataFrame, bands: int, rows: int, targets: int) -> DataFrame:
         seen: set[int] = set()
         turn = TaskContext.get().partitionId()
         for batch in (b[p] for b in batches for p in portions(b["text"])):
-            hashes, bounds = shingle_sets(batch["text"])
+            hashes, bounds = shingle_sets(batch["text"], words)
             names, sizes = class_of(hashes, bounds), np.diff(bounds)
             ids = batch["id"]
             some = np.flatnonzero((sizes > 0) & ~np.asarray(ids.is_null()))
@@ -276,7 +276,7 @@ def _sent(texts: DataFrame, bands: int, rows: int, targets: int) -> DataFrame:
     return texts.mapInArrow(pack, "dst int, kind int, payload binary")
 
 
-def _candidates(texts: DataFrame, bands: int, rows: int, targets: int) -> DataFrame:
+def _candidates(texts: DataFrame, bands: int, rows: int, targets: int, words: int) -> DataFrame:
     """Documents (id, class, size) and star edges between classes that share a bucket."""
 
     def meet(table: pa.Table) -> pa.Table:
@@ -286,12 +286,12 @@ def _candidates(texts: DataFrame, bands: int, rows: int, targets: int) -> DataFr
         zeros = np.zeros(len(a) + len(local), np.int64)
         return pa.Table.from_batches([_table(DOCUMENT, facts[:, 0].copy(), facts[:, 1].copy(), facts[:, 2].copy()), _table(EDGE, np.concatenate((a, local[:, 0])), np.concatenate((b, local[:, 1])), zeros)])
 
-    return _sent(texts, bands, rows, targets).groupBy("dst").applyInArrow(meet, ROWS)
+    return _sent(texts, bands, rows, targets, words).groupBy("dst").applyInArrow(meet, ROWS)
 
 
-def _block_of(table: pa.Table, m: int, percent: int) -> Block:
+def _block_of(table: pa.Table, m: int, percent: int, words: int) -> Block:
     """The distinct classes of a table of (class, text)."""
-    hashes, bounds = shingle_sets(table["text"])
+    hashes, bounds = shingle_sets(table["text"], words)
     wanted = table["class"].to_numpy()
     names = class_of(hashes, bounds)
     _, first = np.unique(np.where(names == wanted, names, 0), return_index=True)
@@ -305,20 +305,20 @@ def _edge_table(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return _table(EDGE, pairs[:, 0].copy(), pairs[:, 1].copy(), np.zeros(len(pairs), np.int64))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, bands: int = 65, rows: int = 7, block: int = 1024) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, bands: int = 65, rows: int = 7, block: int = 1024, words: int = 2) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id of the group), kept (id = component_id).
 
     A null or empty text, or one of white space, has no shingles and is a group of its own; a text of one word has
-    one shingle. A null id is linked with nothing and kept, its n_shingles null unless it is 0. Rows that repeat an id and text are in one group and all
+    one shingle, as has one of fewer than `words` words. A null id is linked with nothing and kept, its n_shingles null unless it is 0. Rows that repeat an id and text are in one group and all
     kept or all dropped. An empty table gives no rows; other columns play no part.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     m = bands * rows
-    found = checkpointed(_candidates(texts, bands, rows, shuffle_partitions(spark)))
+    found = checkpointed(_candidates(texts, bands, rows, shuffle_partitions(spark), words))
     facts = found.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("id"), F.col("b").alias("class"), "n")
     clusters = components(found.where(F.col("kind") == EDGE).select("a", "b")).toDF("class", "cluster")
-    edges = checkpointed(_verified(texts, facts, clusters, m, percent, block))
+    edges = checkpointed(_verified(texts, facts, clusters, m, percent, block, words))
     groups = components(edges).toDF("class", "group")
 
     named = facts.join(groups, "class", "left").select("id", "n", F.coalesce("group", "class").alias("group"))
@@ -346,7 +346,7 @@ def _spanning(part: Block, asked: Block, label: dict[int, int], all_of: bool) ->
     return pairs
 
 
-def _verified(texts: DataFrame, facts: DataFrame, clusters: DataFrame, m: int, percent: int, block: int) -> DataFrame:
+def _verified(texts: DataFrame, facts: DataFrame, clusters: DataFrame, m: int, percent: int, block: int, words: int = 2) -> DataFrame:
     """(a, b): links between classes, as many as connect each group."""
     reps = facts.groupBy("class").agg(F.min("id").alias("id"))
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("classes"))
@@ -355,7 +355,7 @@ def _verified(texts: DataFrame, facts: DataFrame, clusters: DataFrame, m: int, p
     held = checkpointed(texts.join(members, "id").select("cluster", "block", "blocks", "class", "text"))
 
     def work(table: pa.Table) -> pa.Table:
-        part = _block_of(table, m, percent)
+        part = _block_of(table, m, percent, words)
         part.connect()
         out = [_edge_table(part.edges)]
         if table["blocks"][0].as_py() > 1:
@@ -372,7 +372,7 @@ def _verified(texts: DataFrame, facts: DataFrame, clusters: DataFrame, m: int, p
     nominees = first.where(F.col("kind") == HUB).select(F.col("a").alias("class"), F.col("b").alias("cluster"))
 
     def elect(table: pa.Table) -> pa.Table:
-        part = _block_of(table, m, percent)
+        part = _block_of(table, m, percent, words)
         score = np.zeros(len(part.names), np.int64)
         for column in part.registers.T:
             _, which, times = np.unique(column, return_inverse=True, return_counts=True)
@@ -389,7 +389,7 @@ def _verified(texts: DataFrame, facts: DataFrame, clusters: DataFrame, m: int, p
             marks = left.filter(pc.is_null(left["text"]))
             label = dict(zip(marks["class"].to_pylist(), marks["group"].to_pylist(), strict=True))
             label |= dict(zip(right["class"].to_pylist(), right["group"].to_pylist(), strict=True))
-            part, asked = _block_of(left.filter(pc.is_valid(left["text"])), m, percent), _block_of(right, m, percent)
+            part, asked = _block_of(left.filter(pc.is_valid(left["text"])), m, percent, words), _block_of(right, m, percent, words)
             return pa.Table.from_batches([_edge_table(_spanning(part, asked, label, all_of))])
 
         return run

@@ -109,3 +109,13 @@ def test_a_second_family_of_a_cluster_gives_a_spanning_set_of_links(spark):
     want = groups(rows)
     assert {n: found.get(c, c) for n, c in enumerate(names)} == {n: min(c for k, c in enumerate(names) if want[k][1] == want[n][1]) for n in range(len(names))}
     assert len(links) < 5 * len(rows)
+
+
+def test_the_pipeline_links_by_five_words(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(200)]
+    changed = [f"edit{k}" if k % 25 == 12 else w for k, w in enumerate(words)]  # J is 0.85 on two words, 0.66 on five
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words) + " end")], "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_deduplication(spark, docs, "").collect()) == [1, 2]
+    assert sorted(r["id"] for r in near_dedup.near_duplicates(docs).where("kept").collect()) == [1]
