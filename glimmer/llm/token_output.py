@@ -1,15 +1,17 @@
 """Token ids as fixed-width bit-packed files.
 
-Format. A shard is one binary image of consecutive documents in ascending order of id: a header, the documents'
-ids and first positions, the byte offset of each block, then the blocks. A block is BLOCK ids of `bits` bits each,
-the fewest that the vocabulary needs, most significant bit first, padded to whole bytes. So the ids of any block,
-and by its first position those of any document, are unpacked by numpy without reading what comes before.
-
-A Spark file holds shard images as rows (shard, n_docs, n_tokens, image), uncompressed: Spark's own writer and
-commit protocol make the output whole when a task or an executor is lost, on any file system Spark can write.
-
-Scale. One shuffle moves each document's ids (two or four bytes each) to its shard; shards are ranges of ids.
-Positions in the whole corpus are the running sums of the shards' counts, which are read from two columns.
+Format. An image holds consecutive documents in ascending order of id: a header, the documents' ids and first
+positions, the byte offset of each block, then the blocks. A block is BLOCK ids of `bits` bits each, the fewest that
+the vocabulary needs, most significant bit first, padded to whole bytes. So the ids of any block, and by its first
+position those of any document, are unpacked by numpy without reading what comes before.
+
+A Spark file holds images as rows (part, first, n_docs, n_tokens, image), uncompressed: Spark's own writer and commit
+protocol make the output whole when a task or an executor is lost, on any file system Spark can write.
+
+Scale. One shuffle deals the texts out by ranges of their ids and sorts each range; a task encodes its range as it
+goes and closes an image every IMAGE ids, so it holds one image and one batch, whatever the range's size. An image
+says where it begins within its range; a range's first position in the corpus is the sum of the ranges before it, a
+table with a row per shuffle partition, which is all that reading broadcasts.
 """
 
 from __future__ import annotations
@@ -19,20 +21,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glimmer.llm.exchange import range_bucket, shuffle_partitions
-from glimmer.llm.text_kernels import column_bytes
+from glimmer.llm.exchange import shuffle_partitions
+from glimmer.llm.text_kernels import portions
 from glimmer.llm.vocabulary import encoder
 
 MAGIC = b"BITS\x01"
 _HEADER = struct.Struct("<5sBIQQ")  # magic, bits, ids a block, documents, ids
 BLOCK = 4096
 
-SHARDS = "shard int, n_docs long, n_tokens long, image binary"
-_SHARDS = pa.schema([("shard", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("image", pa.binary())])
-_CODED = pa.schema([("shard", pa.int32()), ("id", pa.int64()), ("ids", pa.binary())])
+#: Ids after which an image is closed; a document lies in one image.
+IMAGE = 1 << 20
+#: Bytes of a row group: what a reader holds of a file at a time.
+ROW_GROUP = 1 << 24
+_NULL = np.iinfo(np.int64).min
+
+IMAGES = "part int, first long, n_docs long, n_tokens long, image binary"
+_IMAGES = pa.schema([("part", pa.int32()), ("first", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("image", pa.binary())])
 DOCS = "id long, start long, n_tokens long, ids binary"
 _DOCS = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids", pa.binary())])
 
@@ -95,56 +103,72 @@ class ShardReader:
         return self.read(int(self.starts[index]), int(self.starts[index + 1]))
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, vocabulary: int, id_col: str = "doc_id", text_col: str = "text", shards: int | None = None) -> None:
-    """Encodes every text, appends end_id, and writes the shards, in ascending order of id, to `path`.
+def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, vocabulary: int | None = None, id_col: str = "doc_id", text_col: str = "text", parts: int | None = None, image_ids: int = IMAGE) -> None:
+    """Encodes every text, appends end_id, and writes the images, in ascending order of id, to `path`.
 
     A null text is empty (its end id alone); a null id comes last and is stored as the least long. Rows that repeat an
-    id are kept one by one, in the order of their ids' bytes. An empty table writes no shard; other columns play no
-    part. vocabulary: the number of ids, the end id included; it sets the bits. shards: ranges of ids, four per
-    shuffle partition unless given.
+    id are kept one by one, in the order of a hash of their texts, then of the texts, so that an id (or null) of many
+    rows is dealt out as well; only rows with one id and one text share a task, which holds an image of them at a time.
+    Very long texts make an image of their own. An empty table writes no image; other columns play no part.
+    vocabulary: the number of ids, the end id included, as the tokenizer has it unless given; it sets the bits.
+    parts: ranges of ids, one per shuffle partition unless given.
     """
-    bits = max(1, (max(vocabulary, end_id + 1) - 1).bit_length())
+    bits = max(1, (max(vocabulary or encoder(tokenizer_path).size, end_id + 1) - 1).bit_length())
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    dealt = slim.select(range_bucket(slim, "id", shards or 4 * shuffle_partitions(docs.sparkSession)).alias("shard"), "id", "text")
-
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(tokenizer_path)
-        end = np.array([end_id], coder.dtype).tobytes()
-        for batch in batches:
-            ids = [coder.encode(t.as_py() or "") + end for t in batch["text"]]
-            yield pa.RecordBatch.from_arrays([batch["shard"], batch["id"], pa.array(ids, pa.binary())], schema=_CODED)
-
-    def build(table: pa.Table) -> pa.Table:
-        coder = encoder(tokenizer_path)
-        table = table.combine_chunks()
-        keys = table["id"].fill_null(np.iinfo(np.int64).max).to_numpy()
-        order = np.argsort(keys, kind="stable")
-        if len(np.unique(keys)) < len(keys):
-            texts = table["ids"].to_pylist()
-            order = np.array(sorted(range(len(keys)), key=lambda k: (keys[k], texts[k])))
-        table = table.take(pa.array(order))
-        raw, offsets = column_bytes(table["ids"])
-        image = build_shard(table["id"].fill_null(np.iinfo(np.int64).min).to_numpy(), np.diff(offsets) // coder.dtype.itemsize, raw.view(coder.dtype), bits)
-        arrays = [[table["shard"][0].as_py()], [table.num_rows], [len(raw) // coder.dtype.itemsize], [image]]
-        return pa.Table.from_arrays([pa.array(a, f.type) for a, f in zip(arrays, _SHARDS, strict=True)], schema=_SHARDS)
-
-    images = dealt.mapInArrow(encode, "shard int, id long, ids binary").groupBy("shard").applyInArrow(build, SHARDS)
-    images.write.mode("overwrite").option("compression", "none").parquet(path)
+    order = [F.col("id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder, part, first = encoder(tokenizer_path), TaskContext.get().partitionId(), 0
+        keys: list[np.ndarray] = []
+        counts: list[np.ndarray] = []
+        held: list[np.ndarray] = []
+
+        def close() -> pa.RecordBatch:
+            nonlocal first
+            ids, sizes = np.concatenate(held), np.concatenate(counts)
+            image = build_shard(np.concatenate(keys), sizes, ids, bits)
+            for parts_of in (keys, counts, held):
+                parts_of.clear()
+            arrays = [[part], [first], [len(sizes)], [len(ids)], [image]]
+            first += len(ids)
+            return pa.RecordBatch.from_arrays([pa.array(a, f.type) for a, f in zip(arrays, _IMAGES, strict=True)], schema=_IMAGES)
+
+        for batch in (b[p] for b in batches for p in portions(b["text"])):
+            ids, offsets = coder.encode_batch(batch["text"], end_id)
+            names = batch["id"].fill_null(_NULL).to_numpy()
+            at = 0
+            while at < len(names):  # as many documents as the image still takes, one at least
+                room = image_ids - sum(map(len, held))
+                stop = max(at + 1, int(np.searchsorted(offsets, offsets[at] + room, side="right")) - 1)
+                keys.append(names[at:stop])
+                counts.append(np.diff(offsets[at : stop + 1]))
+                held.append(ids[offsets[at] : offsets[stop]])
+                at = stop
+                if sum(map(len, held)) >= image_ids or at < len(names):
+                    yield close()
+        if held:
+            yield close()
+
+    ranges = slim.repartitionByRange(parts or shuffle_partitions(docs.sparkSession), *order[:2]).sortWithinPartitions(*order)
+    ranges.mapInArrow(build, IMAGES).write.mode("overwrite").option("compression", "none").option("parquet.block.size", ROW_GROUP).parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """One row per document of the files: id, start (ids of all documents before it), n_tokens, ids (little-endian 32-bit)."""
-    files = spark.read.schema(SHARDS).parquet(path)
-    before = F.sum("n_tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
-    base = files.select("shard", F.coalesce(before, F.lit(0)).alias("base"))
+    files = spark.read.schema(IMAGES).parquet(path)
+    totals = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))  # a row per range, at most as many as the writer's partitions
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    base = F.broadcast(totals.select("part", F.coalesce(before, F.lit(0)).alias("base")))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first, image in zip(batch["base"].to_pylist(), batch["image"], strict=True):
+            for first, image in zip(batch["first"].to_pylist(), batch["image"], strict=True):
                 shard = ShardReader(image.as_buffer())
+                if 4 * shard.n_tokens > np.iinfo(np.int32).max:
+                    raise OverflowError(f"an image of {shard.n_tokens} ids does not fit one Arrow column")
                 ids = shard.read(0, shard.n_tokens).astype("<u4")
                 payload = pa.Array.from_buffers(pa.binary(), len(shard.doc_ids), [None, pa.py_buffer((shard.starts * 4).astype(np.int32)), pa.py_buffer(ids)])
-                keys = pa.array(shard.doc_ids, mask=shard.doc_ids == np.iinfo(np.int64).min)
+                keys = pa.array(shard.doc_ids, mask=shard.doc_ids == _NULL)
                 yield pa.RecordBatch.from_arrays([keys, pa.array(shard.starts[:-1] + first), pa.array(np.diff(shard.starts)), payload], schema=_DOCS)
 
-    return files.join(base, "shard").select("base", "image").mapInArrow(decode, DOCS)
+    return files.join(base, "part").select((F.col("base") + F.col("first")).alias("first"), "image").mapInArrow(decode, DOCS)
