@@ -4,7 +4,8 @@ Alternates "large star" (each node links its larger neighbours to the smallest l
 (it links its smaller neighbours and itself to that label), until each node points straight at the smallest node
 of its component. The smallest label per node is a map-side combined aggregate, so a node with a third of all
 edges gathers nothing in one task; the join back to its edges is one that Spark splits where a key is hot.
-Each round is checkpointed; the number of rounds grows with the logarithm of a component's size.
+Each round is checkpointed; the number of rounds grows with the logarithm of a component's size. Edges are held in
+partitions of PART_EDGES, so that a short list takes its rounds within one task and shuffles nothing.
 """
 
 from __future__ import annotations
@@ -14,21 +15,24 @@ from pyspark.sql import functions as F
 
 from glimmer.llm.exchange import checkpointed
 
+#: Edges a task holds.
+PART_EDGES = 400_000
 #: Rounds after which something is wrong: 2**40 nodes in a path need fewer.
 MOST_ROUNDS = 60
 
 
+def _turned(edges: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v): for each row, these pairs of its columns."""
+    pair = F.explode(F.array(*[F.struct(F.col(x).alias("u"), F.col(y).alias("v")) for x, y in pairs])).alias("pair")
+    return edges.select(pair).select("pair.u", "pair.v")
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (u, v), u linked with v, u > v. One star round's edges, again u > v and distinct."""
-    both = edges.select("u", "v")
-    if large:
-        both = both.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    both = _turned(edges, ("u", "v"), ("v", "u")) if large else edges.select("u", "v")
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
     joined = both.join(least, "u")
-    if large:
-        out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+    out = joined.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")) if large else _turned(joined, ("v", "m"), ("u", "m"))
     return out.where(F.col("u") > F.col("v")).distinct()
 
 
@@ -47,8 +51,8 @@ def components(edges: DataFrame) -> DataFrame:
         if state["n"] == 0 or state == last:
             break
         last = state
+        now = now.coalesce(-(-state["n"] // PART_EDGES))
         now = checkpointed(_star(_star(now, large=True), large=False))
     else:
         raise RuntimeError("components did not settle")
-    labels = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return labels.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    return _turned(now, ("u", "v"), ("v", "v")).distinct().toDF("node", "component")

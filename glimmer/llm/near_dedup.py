@@ -17,9 +17,9 @@ Method.
    low, verified on full sets. Only as many pairs are tried as decide which classes are connected: all against the
    member that agrees best with the others, then each class that is still outside the largest group against the
    classes that hold one of its rarest shingles (a link needs one of any fifth of a set, plus one).
-5. Clusters of more than `block` classes are cut into blocks. Each block is worked as above; the best members of
-   blocks elect a few hubs, which all blocks are compared with. While more than a block of classes is outside the
-   largest group, the largest groups outside name hubs of their own. Classes that are outside then go to every block,
+5. Clusters of more than `block` classes, or of more than BLOCK_SHINGLES shingles, are cut into blocks. Each block is
+   worked as above; the best members of blocks elect a few hubs, `block` of them in a task, over as many levels as that
+   takes; all blocks are compared with the hubs. While more than a block of classes is outside the largest group, the largest groups outside name hubs of their own. Classes that are outside then go to every block,
    `block` of them in a task; a task tries only what may connect two groups, and gives as many links as connect them.
 
 Links are exact on 64-bit shingle hashes; no partner is capped. Texts cross the network once for the classes in
@@ -47,6 +47,10 @@ MARGIN = 0.15
 #: Clusters up to this size need no best member; every class is looked up.
 SMALL = 24
 HUBS = 4
+#: Shingles of a block, about: what a task reads of a cluster of long texts.
+BLOCK_SHINGLES = 1 << 20
+#: Distinct sets after which a task sends what it holds of bucket keys.
+HELD_SETS = 1 << 15
 #: Further elections, sixteen times as many hubs each, before what is left is asked about in blocks; a round has to
 #: halve the groups that are left, as each costs a search for components.
 HUB_ROUNDS = 2
@@ -240,8 +244,23 @@ def _table(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordB
 def _sent(texts: DataFrame, bands: int, rows: int, targets: int, words: int = 2) -> DataFrame:
     """(dst, kind, payload): a task's documents, edges and bucket keys, each kind dealt out over all targets."""
 
+    def rows_of(kind: int, dealt: list[tuple[int, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in dealt], pa.int32()), pa.array([kind] * len(dealt), pa.int32()), pa.array([x for _, x in dealt], pa.binary())], schema=_PACKED)
+
+    def flushed(held_keys: list[np.ndarray], held_names: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, least, a, b = _stars(np.concatenate(held_keys), np.concatenate(held_names))
+        with np.errstate(over="ignore"):
+            home = (mix(a.view(np.uint64) * _GOLD) % np.uint64(targets)).astype(np.int64)
+        order = np.argsort(home, kind="stable")
+        local, cuts = np.stack((a, b), axis=1)[order], np.searchsorted(home[order], np.arange(targets + 1))
+        yield rows_of(EDGE, [(t, local[cuts[t] : cuts[t + 1]].tobytes()) for t in range(targets) if cuts[t + 1] > cuts[t]])
+        edges = target_edges(keys, targets)
+        both = np.stack((keys.view(np.int64), least), axis=1)
+        yield rows_of(KEYS, [(t, both[edges[t] : edges[t + 1]].tobytes()) for t in range(targets) if edges[t + 1] > edges[t]])
+
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_keys, held_names = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        held_keys: list[np.ndarray] = []
+        held_names: list[np.ndarray] = []
         seen: set[int] = set()
         turn = TaskContext.get().partitionId()
         for batch in (b[p] for b in batches for p in portions(b["text"])):
@@ -250,7 +269,7 @@ def _sent(texts: DataFrame, bands: int, rows: int, targets: int, words: int = 2)
             ids = batch["id"]
             some = np.flatnonzero((sizes > 0) & ~np.asarray(ids.is_null()))
             facts = np.stack((ids.fill_null(0).to_numpy()[some], names[some], sizes[some]), axis=1).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([turn % targets], pa.int32()), pa.array([DOCUMENT], pa.int32()), pa.array([facts.tobytes()], pa.binary())], schema=_PACKED)
+            yield rows_of(DOCUMENT, [(turn % targets, facts.tobytes())])
             turn += 1
             _, first = np.unique(names[some], return_index=True)
             new = [d for d in some[np.sort(first)].tolist() if int(names[d]) not in seen]
@@ -261,17 +280,11 @@ def _sent(texts: DataFrame, bands: int, rows: int, targets: int, words: int = 2)
             registers = sketches(np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts]))), bands * rows)
             held_keys.append(band_keys(registers, bands, rows).ravel())
             held_names.append(np.repeat(names[new], bands))
-        keys, least, a, b = _stars(np.concatenate(held_keys), np.concatenate(held_names))
-        with np.errstate(over="ignore"):
-            home = (mix(a.view(np.uint64) * _GOLD) % np.uint64(targets)).astype(np.int64)
-        order = np.argsort(home, kind="stable")
-        local, cuts = np.stack((a, b), axis=1)[order], np.searchsorted(home[order], np.arange(targets + 1))
-        dealt = [(t, local[cuts[t] : cuts[t + 1]].tobytes()) for t in range(targets) if cuts[t + 1] > cuts[t]]
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in dealt], pa.int32()), pa.array([EDGE] * len(dealt), pa.int32()), pa.array([x for _, x in dealt], pa.binary())], schema=_PACKED)
-        edges = target_edges(keys, targets)
-        both = np.stack((keys.view(np.int64), least), axis=1)
-        blocks = [(t, both[edges[t] : edges[t + 1]].tobytes()) for t in range(targets) if edges[t + 1] > edges[t]]
-        yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in blocks], pa.int32()), pa.array([KEYS] * len(blocks), pa.int32()), pa.array([x for _, x in blocks], pa.binary())], schema=_PACKED)
+            if len(seen) >= HELD_SETS:
+                yield from flushed(held_keys, held_names)
+                held_keys, held_names, seen = [], [], set()
+        if held_keys:
+            yield from flushed(held_keys, held_names)
 
     return texts.mapInArrow(pack, "dst int, kind int, payload binary")
 
@@ -305,12 +318,13 @@ def _edge_table(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return _table(EDGE, pairs[:, 0].copy(), pairs[:, 1].copy(), np.zeros(len(pairs), np.int64))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, bands: int = 65, rows: int = 7, block: int = 1024, words: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, bands: int = 65, rows: int = 7, block: int = 256, words: int = 2) -> DataFrame:
     """One row per input row: id, n_shingles, component_id (the smallest id of the group), kept (id = component_id).
 
     A null or empty text, or one of white space, has no shingles and is a group of its own; a text of one word has
-    one shingle, as has one of fewer than `words` words. A null id is linked with nothing and kept, its n_shingles null unless it is 0. Rows that repeat an id and text are in one group and all
-    kept or all dropped. An empty table gives no rows; other columns play no part.
+    one shingle, as has one of fewer than `words` words; a text of any length is taken whole. A null id is linked with
+    nothing and kept, its n_shingles null unless it is 0. Rows that repeat an id and text are in one group and all kept
+    or all dropped; rows of one id with different texts are judged each by its own text. An empty table gives no rows; other columns play no part.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -318,12 +332,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     found = checkpointed(_candidates(texts, bands, rows, shuffle_partitions(spark), words))
     facts = found.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("id"), F.col("b").alias("class"), "n")
     clusters = components(found.where(F.col("kind") == EDGE).select("a", "b")).toDF("class", "cluster")
-    edges = checkpointed(_verified(texts, facts, clusters, m, percent, block, words))
-    groups = components(edges).toDF("class", "group")
-
-    named = facts.join(groups, "class", "left").select("id", "n", F.coalesce("group", "class").alias("group"))
-    least = named.groupBy("group").agg(F.min("id").alias("component_id"))
-    grouped = named.join(least, "group").select("id", F.col("n").alias("n_shingles"), "component_id")
+    reps = checkpointed(facts.groupBy("class").agg(F.min("id").alias("id"), F.max("n").alias("n")))
+    links = _verified(texts, reps, clusters, m, percent, block, words)
+    groups = components(links).toDF("class", "group")
+    # written between aggregating by group and joining on it, so that Spark can split a join's hot group or class
+    grouping = checkpointed(reps.join(groups, "class", "left").select("class", "id", F.coalesce("group", "class").alias("group")))
+    least = checkpointed(grouping.groupBy("group").agg(F.min("id").alias("component_id")))
+    classes = checkpointed(grouping.join(least, "group").select("class", "component_id"))
+    grouped = facts.join(classes, "class").select("id", F.col("n").alias("n_shingles"), "component_id")
     bare = texts.where(F.col("id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     count = F.when(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(0)).cast("long")
     alone = bare.select("id", F.coalesce(count, F.lit(None).cast("long")).alias("n_shingles"), F.col("id").alias("component_id"))
@@ -346,12 +362,12 @@ def _spanning(part: Block, asked: Block, label: dict[int, int], all_of: bool) ->
     return pairs
 
 
-def _verified(texts: DataFrame, facts: DataFrame, clusters: DataFrame, m: int, percent: int, block: int, words: int = 2) -> DataFrame:
-    """(a, b): links between classes, as many as connect each group."""
-    reps = facts.groupBy("class").agg(F.min("id").alias("id"))
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("classes"))
-    blocks = F.ceil(F.col("classes") / block)
-    members = clusters.join(sizes, "cluster").join(reps, "class").select("cluster", "class", "id", blocks.cast("int").alias("blocks"), F.pmod(F.xxhash64("class"), blocks).cast("int").alias("block"))
+def _verified(texts: DataFrame, reps: DataFrame, clusters: DataFrame, m: int, percent: int, block: int, words: int = 2) -> DataFrame:
+    """(a, b): links between classes, as many as connect each group. reps: (class, id, n), one document of each class."""
+    sized = clusters.join(reps, "class").select("cluster", "class", "id", "n")
+    sizes = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
+    blocks = F.col("parts")
+    members = sized.join(sizes, "cluster").select("cluster", "class", "id", blocks.cast("int").alias("blocks"), F.pmod(F.xxhash64("class"), blocks).cast("int").alias("block"))
     held = checkpointed(texts.join(members, "id").select("cluster", "block", "blocks", "class", "text"))
 
     def work(table: pa.Table) -> pa.Table:
@@ -369,8 +385,6 @@ def _verified(texts: DataFrame, facts: DataFrame, clusters: DataFrame, m: int, p
     if large.isEmpty():
         return links
 
-    nominees = first.where(F.col("kind") == HUB).select(F.col("a").alias("class"), F.col("b").alias("cluster"))
-
     def elect(table: pa.Table) -> pa.Table:
         part = _block_of(table, m, percent, words)
         score = np.zeros(len(part.names), np.int64)
@@ -380,7 +394,15 @@ def _verified(texts: DataFrame, facts: DataFrame, clusters: DataFrame, m: int, p
         top = np.argsort(-score, kind="stable")[:HUBS]
         return pa.Table.from_batches([_table(HUB, part.names[top], np.full(len(top), table["cluster"][0].as_py()), np.zeros(len(top), np.int64))])
 
-    hubs = large.join(nominees, ["cluster", "class"], "left_semi").groupBy("cluster").applyInArrow(elect, ROWS).select(F.col("a").alias("class"), F.col("b").alias("cluster"))
+    hubs = first.where(F.col("kind") == HUB).select(F.col("a").alias("class"), F.col("b").alias("cluster"))
+    most = large.agg(F.max("blocks")).first()[0]  # nominees of one cluster: one per block
+    while True:
+        parts = -(-most // block)
+        booth = F.pmod(F.xxhash64("class", F.lit(most)), F.lit(parts)).cast("int").alias("booth")
+        hubs = large.join(hubs, ["cluster", "class"], "left_semi").select("cluster", "class", "text", booth).groupBy("cluster", "booth").applyInArrow(elect, ROWS).select(F.col("a").alias("class"), F.col("b").alias("cluster"))
+        if parts == 1:
+            break
+        hubs, most = checkpointed(hubs), HUBS * parts
 
     def probe(all_of: bool):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:

@@ -102,7 +102,7 @@ def test_a_second_family_of_a_cluster_gives_a_spanning_set_of_links(spark):
     hashes, bounds = near_dedup.shingle_sets(pa.array([t for _, t in rows]))
     names = near_dedup.class_of(hashes, bounds).tolist()
     texts = spark.createDataFrame(rows, "id long, text string")
-    facts = spark.createDataFrame([(n, c, 80) for n, c in enumerate(names)], "id long, class long, n long")
+    facts = spark.createDataFrame([(n, c, 80) for n, c in enumerate(names)], "id long, class long, n long").select("class", "id", "n")
     clusters = spark.createDataFrame([(c, min(names)) for c in names], "class long, cluster long")
     links = [(r["a"], r["b"]) for r in near_dedup._verified(texts, facts, clusters, 455, 80, 8).collect()]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
