@@ -221,8 +221,8 @@ class Block:
 
 
 _PACKED = pa.schema([("dst", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
-_ROWS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
-ROWS = "kind int, a long, b long, n long"
+_ROWS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("mark", pa.int64())])
+ROWS = "kind int, a long, b long, n long, mark long"
 DOCUMENT, EDGE, KEYS, HUB = 0, 1, 2, 3
 
 
@@ -237,8 +237,10 @@ def _stars(keys: np.ndarray, names: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return keys[fresh], names[fresh], pairs[:, 0], pairs[:, 1]
 
 
-def _table(kind: int, a: np.ndarray, b: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b), pa.array(n)], schema=_ROWS)
+def _table(kind: int, a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> pa.RecordBatch:
+    """Rows of one kind; what isn't given is 0."""
+    zeros = [np.zeros(len(a), np.int64)] * (2 - len(more))
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in (a, b, *more, *zeros))], schema=_ROWS)
 
 
 def _sent(texts: DataFrame, bands: int, rows: int, targets: int, words: int = 2) -> DataFrame:
@@ -268,7 +270,7 @@ def _sent(texts: DataFrame, bands: int, rows: int, targets: int, words: int = 2)
             names, sizes = class_of(hashes, bounds), np.diff(bounds)
             ids = batch["id"]
             some = np.flatnonzero((sizes > 0) & ~np.asarray(ids.is_null()))
-            facts = np.stack((ids.fill_null(0).to_numpy()[some], names[some], sizes[some]), axis=1).astype(np.int64)
+            facts = np.stack((ids.fill_null(0).to_numpy()[some], names[some], sizes[some], batch["mark"].to_numpy()[some]), axis=1).astype(np.int64)
             yield rows_of(DOCUMENT, [(turn % targets, facts.tobytes())])
             turn += 1
             _, first = np.unique(names[some], return_index=True)
@@ -294,10 +296,9 @@ def _candidates(texts: DataFrame, bands: int, rows: int, targets: int, words: in
 
     def meet(table: pa.Table) -> pa.Table:
         raw = {kind: np.frombuffer(b"".join(table.filter(pc.equal(table["kind"], kind))["payload"].to_pylist()), np.int64) for kind in (DOCUMENT, EDGE, KEYS)}
-        facts, local, keys = raw[DOCUMENT].reshape(-1, 3), raw[EDGE].reshape(-1, 2), raw[KEYS].reshape(-1, 2)
+        facts, local, keys = raw[DOCUMENT].reshape(-1, 4), raw[EDGE].reshape(-1, 2), raw[KEYS].reshape(-1, 2)
         _, _, a, b = _stars(keys[:, 0].copy().view(np.uint64), keys[:, 1].copy())
-        zeros = np.zeros(len(a) + len(local), np.int64)
-        return pa.Table.from_batches([_table(DOCUMENT, facts[:, 0].copy(), facts[:, 1].copy(), facts[:, 2].copy()), _table(EDGE, np.concatenate((a, local[:, 0])), np.concatenate((b, local[:, 1])), zeros)])
+        return pa.Table.from_batches([_table(DOCUMENT, *facts.T), _table(EDGE, np.concatenate((a, local[:, 0])), np.concatenate((b, local[:, 1])))])
 
     return _sent(texts, bands, rows, targets, words).groupBy("dst").applyInArrow(meet, ROWS)
 
@@ -315,35 +316,59 @@ def _block_of(table: pa.Table, m: int, percent: int, words: int) -> Block:
 
 def _edge_table(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     pairs = np.array(edges, np.int64).reshape(-1, 2)
-    return _table(EDGE, pairs[:, 0].copy(), pairs[:, 1].copy(), np.zeros(len(pairs), np.int64))
+    return _table(EDGE, *pairs.T)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, bands: int = 65, rows: int = 7, block: int = 256, words: int = 2) -> DataFrame:
-    """One row per input row: id, n_shingles, component_id (the smallest id of the group), kept (id = component_id).
+    """One row per input row: id, mark (xxhash64 of the text), n_shingles, component_id (the smallest id of the group), kept.
+
+    Kept is the text with the smallest id of its group, and of several such texts one.
 
     A null or empty text, or one of white space, has no shingles and is a group of its own; a text of one word has
     one shingle, as has one of fewer than `words` words; a text of any length is taken whole. A null id is linked with
     nothing and kept, its n_shingles null unless it is 0. Rows that repeat an id and text are in one group and all kept
-    or all dropped; rows of one id with different texts are judged each by its own text. An empty table gives no rows; other columns play no part.
+    or all dropped; rows of one id with different texts are judged each by its own text. An empty table
+    gives no rows; other columns play no part.
     """
     spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     m = bands * rows
     found = checkpointed(_candidates(texts, bands, rows, shuffle_partitions(spark), words))
-    facts = found.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("id"), F.col("b").alias("class"), "n")
+    facts = found.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("id"), F.col("b").alias("class"), "n", "mark")
     clusters = components(found.where(F.col("kind") == EDGE).select("a", "b")).toDF("class", "cluster")
     reps = checkpointed(facts.groupBy("class").agg(F.min("id").alias("id"), F.max("n").alias("n")))
     links = _verified(texts, reps, clusters, m, percent, block, words)
     groups = components(links).toDF("class", "group")
     # written between aggregating by group and joining on it, so that Spark can split a join's hot group or class
     grouping = checkpointed(reps.join(groups, "class", "left").select("class", "id", F.coalesce("group", "class").alias("group")))
-    least = checkpointed(grouping.groupBy("group").agg(F.min("id").alias("component_id")))
-    classes = checkpointed(grouping.join(least, "group").select("class", "component_id"))
-    grouped = facts.join(classes, "class").select("id", F.col("n").alias("n_shingles"), "component_id")
+    least = checkpointed(grouping.groupBy("group").agg(F.min(F.struct("id", "class")).alias("first")))
+    classes = checkpointed(grouping.join(least, "group").select("class", F.col("first.id").alias("component_id"), (F.col("class") == F.col("first.class")).alias("first")))
+    kept = (F.col("id") == F.col("component_id")) & F.col("first")
+    grouped = facts.join(classes, "class").select("id", "mark", F.col("n").alias("n_shingles"), "component_id", kept.alias("kept"))
     bare = texts.where(F.col("id").isNull() | F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     count = F.when(F.col("text").isNull() | ~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(0)).cast("long")
-    alone = bare.select("id", F.coalesce(count, F.lit(None).cast("long")).alias("n_shingles"), F.col("id").alias("component_id"))
-    return grouped.unionByName(alone).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    alone = bare.select("id", "mark", F.coalesce(count, F.lit(None).cast("long")).alias("n_shingles"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return grouped.unionByName(alone)
+
+
+def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:
+    """The rows of docs, with their own columns, that stay: of each group of near duplicates one.
+
+    Rows are told apart by id and text: another text of an id that is dropped elsewhere stays. Of rows that repeat id
+    and text one stays, any of them where other columns differ. Rows with a null id stay, and rows without shingles
+    unless they repeat another. An empty table gives no rows; columns of any name may be there besides.
+    """
+    found = checkpointed(near_duplicates(docs, id_col, text_col, **options).select("id", "mark", "kept"))
+    key = [docs[f"`{id_col}`"].cast("long"), F.xxhash64(docs[f"`{text_col}`"].cast("string"))]
+    same = lambda other: key[0].eqNullSafe(other["id"]) & (key[1] == other["mark"])
+    rest = docs.join(found.where(~F.col("kept")), same(found), "left_anti")
+    again = found.where(F.col("kept") & F.col("id").isNotNull()).groupBy("id", "mark").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    if (again := checkpointed(again)).isEmpty():
+        return rest
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    struct = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    one = rest.join(again, same(again), "left_semi").select(struct, place.alias("place")).where(F.col("place") == 1).select("row.*")
+    return rest.join(again, same(again), "left_anti").unionByName(one)
 
 
 def _spanning(part: Block, asked: Block, label: dict[int, int], all_of: bool) -> list[tuple[int, int]]:
@@ -376,7 +401,7 @@ def _verified(texts: DataFrame, reps: DataFrame, clusters: DataFrame, m: int, pe
         out = [_edge_table(part.edges)]
         if table["blocks"][0].as_py() > 1:
             best = part.best()
-            out.append(_table(HUB, part.names[[best]], np.array([table["cluster"][0].as_py()]), np.zeros(1, np.int64)))
+            out.append(_table(HUB, part.names[[best]], np.array([table["cluster"][0].as_py()])))
         return pa.Table.from_batches(out)
 
     first = checkpointed(held.groupBy("cluster", "block").applyInArrow(work, ROWS))
@@ -392,7 +417,7 @@ def _verified(texts: DataFrame, reps: DataFrame, clusters: DataFrame, m: int, pe
             _, which, times = np.unique(column, return_inverse=True, return_counts=True)
             score += times[which]
         top = np.argsort(-score, kind="stable")[:HUBS]
-        return pa.Table.from_batches([_table(HUB, part.names[top], np.full(len(top), table["cluster"][0].as_py()), np.zeros(len(top), np.int64))])
+        return pa.Table.from_batches([_table(HUB, part.names[top], np.full(len(top), table["cluster"][0].as_py()))])
 
     hubs = first.where(F.col("kind") == HUB).select(F.col("a").alias("class"), F.col("b").alias("cluster"))
     most = large.agg(F.max("blocks")).first()[0]  # nominees of one cluster: one per block
