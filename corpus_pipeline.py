@@ -23,8 +23,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_deduplication(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (by 5-word shingles) stays, that with the smallest id."""
-    dropped = near_dedup.near_duplicates(docs, words=5).where(~F.col("kept")).select(F.col("id").alias("doc_id"))
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    return near_dedup.without_near_duplicates(docs, words=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
