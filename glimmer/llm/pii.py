@@ -2,8 +2,9 @@
 
 Method. One Aho-Corasick pass over a text finds anchors: at-signs, schemes, plus signs, digits and identifier
 cues. At an anchor a small deterministic parser expands to the boundaries of an email address, a network address,
-a card or phone number, an account number (IBAN), a login inside an address, or a key or secret after its cue, and
-validates it. Texts without an anchor cost that one pass.
+a card or phone number, an account number (IBAN, or digits after their cue), a social security or passport number, a
+login inside an address, an issued key, or a password, key or token assigned after its cue, and
+validates it. Cues count in either case (issued keys in their own). Texts without an anchor cost that one pass.
 
 The four base kinds are the leftmost non-overlapping matches of these patterns, kept if they validate:
   email  [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from glimmer.llm.exchange import annotate_rows
 
 #: In the order in which spans with one start are listed.
-KINDS = ("email", "ip", "card", "phone", "account", "login", "secret")
+KINDS = ("email", "ip", "card", "phone", "account", "login", "secret", "identity")
 
 Span = tuple[int, int, str]
 
@@ -35,11 +36,36 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _SPACED = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+#: In one piece, in either case; or in groups of four, in capitals.
+_IBAN = re.compile(r"[A-Za-z]{2}[0-9]{2}[A-Za-z0-9]{11,30}(?![A-Za-z0-9])")
+_IBAN_GROUPS = re.compile(r"[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _LOGIN = re.compile(r"[A-Za-z0-9._~%-]+:[^\s/@]+(?=@)")
-_ACCESS_KEY = re.compile(r"AKIA[A-Z0-9]{16}(?![A-Za-z0-9])")
-_ASSIGNED = re.compile(r"\s?[=:]\s?([\"']?)([^\s\"']{8,})\1")
-_CUES = {"@": "at", "://": "scheme", "+": "plus", "AKIA": "key", "password": "assigned", "token": "assigned", "secret": "assigned", "api_key": "assigned"}
+_EQUALS = re.compile(r"[\"']?\s?[=:]\s?([\"']?)")
+_BEARER = re.compile(r"\s+([A-Za-z0-9._~+/=-]{16,})")
+_RUN = re.compile(r"[^\s\"']*")
+#: What may stand between "account" or the like and the number.
+_NUMBER = re.compile(r"(?i:[\s_]?(?:number|num|nr|no|#))?[\s.:#=]{0,3}(?:is\s)?([0-9](?:[ -]?[0-9]){6,16})(?![A-Za-z0-9]|[ -]?[0-9])")
+_SOCIAL = re.compile(r"(?i:[\s_]?security)?(?i:[\s_]?(?:number|num|no|#))?[\s.:#=]{0,3}(?:is\s)?([0-9]{3})([ -]?)([0-9]{2})\2([0-9]{4})(?![A-Za-z0-9])")
+_PASSPORT = re.compile(r"(?i:[\s_]?(?:number|num|no|#))?[\s.:#=]{0,3}(?:is\s)?((?=[A-Z]{0,2}[0-9])[A-Z0-9]{7,9})(?![A-Za-z0-9])")
+#: Beginnings of issued keys (fixed values), with the rest that each needs.
+_ISSUED = {
+    "AKIA": r"[A-Z0-9]{16}", "ASIA": r"[A-Z0-9]{16}", "AIza": r"[A-Za-z0-9_-]{35}", "ghp_": r"[A-Za-z0-9]{20,}", "gho_": r"[A-Za-z0-9]{20,}", "ghs_": r"[A-Za-z0-9]{20,}", "github_pat_": r"[A-Za-z0-9_]{22,}",
+    "glpat-": r"[A-Za-z0-9_-]{20,}", "sk-": r"(?=[A-Za-z-]*[0-9])[A-Za-z0-9_-]{20,}", "sk_live_": r"[A-Za-z0-9]{16,}", "pk_live_": r"[A-Za-z0-9]{16,}", "xoxb-": r"[A-Za-z0-9-]{20,}", "xoxp-": r"[A-Za-z0-9-]{20,}",
+    "npm_": r"[A-Za-z0-9]{30,}", "hf_": r"[A-Za-z0-9]{30,}", "eyJ": r"[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}",
+}
+_ISSUED_KEYS = {cue: re.compile(re.escape(cue) + rest + r"(?![A-Za-z0-9])") for cue, rest in _ISSUED.items()}
+#: Cues are found in either case; issued keys are then matched in their own.
+_CUES = {
+    "@": "at", "://": "scheme", "+": "plus", "bearer": "bearer", "account": "account", "acct": "account", "iban": "account", "ssn": "social", "social": "social", "passport": "passport",
+    **dict.fromkeys(("password", "passwd", "passphrase", "pwd", "token", "secret", "credential", "api_key", "api-key", "apikey", "access_key", "access-key", "private_key", "auth_key"), "assigned"),
+}
+_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+
+
+def _lowered(text: str) -> str:
+    """Of the same length, A-Z in lower case at least."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_LOWER)
 
 
 def luhn(digits: str) -> bool:
@@ -59,60 +85,95 @@ def _iban(text: str) -> bool:
 
 
 class Finder:
-    """All spans of a text, by start, then kind."""
+    """All spans of a text, by start, then kind. A text is gone through once, however many cues it has."""
 
     def __init__(self) -> None:
         self.automaton = ahocorasick.Automaton()
-        for cue, kind in [*_CUES.items(), *((str(d), "digit") for d in range(10))]:
-            self.automaton.add_word(cue, (kind, len(cue)))
+        cues: dict[str, list[tuple[str, str]]] = {}
+        for cue, kind in [*_CUES.items(), *((str(d), "digit") for d in range(10)), *((cue, "issued") for cue in _ISSUED)]:
+            cues.setdefault(cue.lower(), []).append((kind, cue))
+        for low, some in cues.items():
+            self.automaton.add_word(low, (some, len(low)))
         self.automaton.make_automaton()
 
     def spans(self, text: str) -> list[Span]:
         found: list[Span] = []
-        email_end = dotted_end = spaced_end = 0
-        for end, (kind, size) in self.automaton.iter(text):
-            at = end + 1 - size
-            if kind == "digit":
-                if at >= dotted_end:
-                    match = _DOTTED.match(text, at)
-                    dotted_end = match.end()
-                    if "." in match[0]:
-                        found += self._ips(match[0], at)
-                if at >= spaced_end:
-                    match = _SPACED.match(text, at)
-                    spaced_end = match.end() if match else at + 1
-                    if match and 14 <= match.end() - at:
-                        digits = match[0].replace(" ", "").replace("-", "")
-                        if 14 <= len(digits) <= 19 and luhn(digits):
-                            found.append((at, match.end(), "card"))
-                    if at >= 2 and text[at - 2 : at].isascii() and text[at - 2 : at].isupper():
-                        found += self._account(text, at - 2)
-            elif kind == "at":
-                start = at
-                while start > email_end and text[start - 1] in _LOCAL:
-                    start -= 1
-                match = _DOMAIN.match(text, at + 1) if start < at else None
-                if match:
-                    email_end = match.end()
-                    found.append((start, email_end, "email"))
-            elif kind == "plus":
-                match = _PHONE.match(text, at)
-                if match and 10 <= sum(c.isdigit() for c in match[0]) <= 15:
-                    found.append((at, match.end(), "phone"))
-            elif kind == "scheme":
-                match = _LOGIN.match(text, end + 1)
-                if match:
-                    found.append((*match.span(), "login"))
-            elif kind == "key":
-                match = _ACCESS_KEY.match(text, at)
-                if match and not (at and text[at - 1].isalnum()):
-                    found.append((*match.span(), "secret"))
-            else:
-                match = _ASSIGNED.match(text, end + 1)
-                if match and any(c.isdigit() for c in match[2]):
-                    found.append((*match.span(2), "secret"))
+        ends = {"email": 0, "dotted": 0, "spaced": 0}
+        run = [0, 0, -1]  # the last run without white space or quotes: its bounds, its last digit
+        for end, (kinds, size) in self.automaton.iter(_lowered(text)):
+            for kind, cue in kinds:
+                self._expand(text, kind, cue, end + 1 - size, end + 1, found, ends, run)
         return sorted(set(found), key=lambda s: (s[0], KINDS.index(s[2]), s[1]))
 
+    def _expand(self, text: str, kind: str, cue: str, at: int, after: int, found: list[Span], ends: dict[str, int], run: list[int]) -> None:
+        """What a cue at text[at:after] leads to."""
+        if kind == "digit":
+            if at >= ends["dotted"]:
+                match = _DOTTED.match(text, at)
+                ends["dotted"] = match.end()
+                if "." in match[0]:
+                    found += self._ips(match[0], at)
+            if at >= ends["spaced"]:
+                match = _SPACED.match(text, at)
+                ends["spaced"] = match.end() if match else at + 1
+                if match and 14 <= match.end() - at:
+                    digits = match[0].replace(" ", "").replace("-", "")
+                    if 14 <= len(digits) <= 19 and luhn(digits):
+                        found.append((at, match.end(), "card"))
+                if at >= 2 and text[at - 2 : at].isascii() and text[at - 2 : at].isalpha():
+                    found += self._account(text, at - 2)
+        elif kind == "at":
+            start = at
+            while start > ends["email"] and text[start - 1] in _LOCAL:
+                start -= 1
+            match = _DOMAIN.match(text, at + 1) if start < at else None
+            if match:
+                ends["email"] = match.end()
+                found.append((start, match.end(), "email"))
+        elif kind == "plus":
+            match = _PHONE.match(text, at)
+            if match and 10 <= sum(c.isdigit() for c in match[0]) <= 15:
+                found.append((at, match.end(), "phone"))
+        elif kind == "scheme":
+            match = _LOGIN.match(text, after)
+            if match:
+                found.append((*match.span(), "login"))
+        elif kind == "issued":
+            match = _ISSUED_KEYS[cue].match(text, at)
+            if match and not (at and (text[at - 1].isalnum() or text[at - 1] == "_")):
+                found.append((*match.span(), "secret"))
+        elif kind == "assigned":
+            match = _EQUALS.match(text, after)
+            if match:
+                self._value(text, match.end(), match[1], found, run)
+        elif at and text[at - 1].isalnum():  # the other cues are words
+            return
+        elif kind == "bearer":
+            match = _BEARER.match(text, after)
+            if match and any(c.isdigit() for c in match[1]):
+                found.append((*match.span(1), "secret"))
+        elif kind == "account":
+            match = _NUMBER.match(text, after)
+            if match:
+                found.append((*match.span(1), "account"))
+        elif kind == "social":
+            match = _SOCIAL.match(text, after)
+            if match and match[1] not in ("000", "666") and match[1] < "900" and match[3] != "00" and match[4] != "0000":
+                found.append((match.start(1), match.end(), "identity"))
+        elif kind == "passport":
+            match = _PASSPORT.match(text, after)
+            if match:
+                found.append((*match.span(1), "identity"))
+
+    def _value(self, text: str, start: int, quote: str, found: list[Span], run: list[int]) -> None:
+        """An assigned value of eight characters or more with a digit; its run is looked at once for all cues in it."""
+        if not run[0] <= start < run[1]:
+            stop = _RUN.match(text, start).end()
+            last = next((k for k in range(stop - 1, start - 1, -1) if text[k].isdigit()), -1)
+            run[:] = [start, stop, last]
+        if run[1] - start >= 8 and run[2] >= start and (not quote or text[run[1] : run[1] + 1] == quote):
+            found.append((start, run[1], "secret"))
+
     def _ips(self, chain: str, at: int) -> list[Span]:
         out, parts = [], chain.split(".")
         for k in range(0, len(parts) - 3, 4):
@@ -125,14 +186,13 @@ class Finder:
     def _account(self, text: str, at: int) -> list[Span]:
         if at and text[at - 1].isalnum():
             return []
-        match = _IBAN.match(text, at)
-        if not match:
-            return []
-        end = match.end()
-        while end > at + 14:  # the run of letters and digits may go on into the next words
-            if text[end - 1] != " " and (end == len(text) or not text[end].isalnum()) and _iban(text[at:end]):
-                return [(at, end, "account")]
-            end -= 1
+        for shape in (_IBAN, _IBAN_GROUPS):
+            match = shape.match(text, at)
+            while match:
+                if _iban(match[0].upper()):
+                    return [(at, match.end(), "account")]
+                shorter = match[0].rfind(" ")  # the last group may be the next word
+                match = shape.fullmatch(text, at, at + shorter) if shorter > 0 else None
         return []
 
 
@@ -172,7 +232,8 @@ def _columns(texts: pa.Array) -> list[pa.Array]:
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: id, spans (array of start, end, kind; empty for a null or empty text).
 
-    Ids may be null or repeat; other columns play no part; an empty table gives no rows.
+    Ids may be null or repeat; texts are taken whole, in time that grows with their length; other columns play no part;
+    an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

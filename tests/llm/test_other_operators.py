@@ -44,11 +44,44 @@ def test_added_kinds_and_redaction():
     assert pii.redact(text, spans) == "iban [ACCOUNT], https://[LOGIN]@host/x, [SECRET], password=[SECRET] end"
 
 
+#: (text, what has to be found in it)
+PLANTED = [
+    ("PASSWORD=abc12345", "abc12345"), ("Password: abc12345 x", "abc12345"), ('API_KEY="k3yk3yk3y"', "k3yk3yk3y"), ("passwd=hunter2hunter2;", "hunter2hunter2;"), ('{"token": "t0kent0ken"}', "t0kent0ken"),
+    ("ghp_abcdefghij0123456789abcdefghij012345", "ghp_abcdefghij0123456789abcdefghij012345"), ("key sk-abcdefghij0123456789abcd.", "sk-abcdefghij0123456789abcd"), ("Authorization: Bearer abcdef0123456789abcdef", "abcdef0123456789abcdef"),
+    ("account number 12345678901", "12345678901"), ("Acct no. 1234-5678-90", "1234-5678-90"), ("my SSN 123-45-6789.", "123-45-6789"), ("Social Security number is 123 45 6789", "123 45 6789"), ("passport no: X1234567", "X1234567"),
+    ("de89370400440532013000", "de89370400440532013000"), ("DE89 3704 0044 0532 0130 00 and", "DE89 3704 0044 0532 0130 00"), ("İpassword=abc12345", "abc12345"),
+]
+CLEAN = ["the password is long", "password=secretword", "token ring and secret santa", "account 12", "ssn 000-12-3456", "ssn 12-3", "task-based sk-learning", "de89370400440532013001", "social 1234", "my passport expired", "an accountant with 12345678 things", "bearer of news: 12"]
+
+
+def test_planted_cases_are_found_and_clean_text_is_left():
+    finder = pii.Finder()
+    missed = [t for t, want in PLANTED if want not in [t[a:b] for a, b, _ in finder.spans(t)]]
+    assert not missed and not [t for t in CLEAN if finder.spans(t)]
+    rng = np.random.default_rng(5)
+    fill = lambda: " ".join(f"word{rng.integers(90)}" for _ in range(rng.integers(0, 20)))
+    texts = [(f"{fill()} ", *PLANTED[k % len(PLANTED)], f" {fill()}") for k in range(400)]
+    found = sum(any((len(a) + t.index(w), len(a) + t.index(w) + len(w)) == s[:2] for s in finder.spans(a + t + b)) for a, t, w, b in texts)
+    assert found == len(texts)  # recall of planted spans
+
+
+def test_time_grows_with_the_length_of_a_text():
+    import time
+
+    def seconds(text):
+        began = time.perf_counter()
+        pii.Finder().spans(text)
+        return time.perf_counter() - began
+
+    for unit in ("token=", "secret:", "://a:", "a@", "+1", "1.", "1 ", "DE12 ", "password='", "ssn ", "account 1 "):
+        assert seconds(unit * 40_000) < 8, unit  # quadratic work would take minutes
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     docs = spark.createDataFrame([(1, "a@b.co", "x"), (None, None, None), (1, "a@b.co", "x"), (2, "", "y")], "doc_id long, text string, row string")
     out = pii.redacted(docs)
     assert out.columns == docs.columns
-    assert sorted(map(str, out.collect())) == sorted(map(str, [(1, "[EMAIL]", "x"), (None, None, None), (1, "[EMAIL]", "x"), (2, "", "y")])) or {r["text"] for r in out.collect()} == {"[EMAIL]", None, ""}
+    assert sorted(map(str, out.collect())) == sorted(f"Row(doc_id={i}, text={t!r}, row={r!r})" for i, t, r in [(1, "[EMAIL]", "x"), (None, None, None), (1, "[EMAIL]", "x"), (2, "", "y")])
     assert pii.find(docs.limit(0)).count() == 0 and sum(len(r["spans"]) for r in pii.find(docs).collect()) == 2
 
 
@@ -127,6 +160,20 @@ def test_relative_links_are_resolved(spark):
     assert url_filters.judge(pages, [("block", "a.com/bad/")], redirects=log).where("id = 3 and verdict = 'block'").count() == 1
 
 
+def test_entities_in_links_are_decoded_and_columns_may_clash(spark):
+    text = [("/x?a=1&amp;b=2", "/x?a=1&b=2"), ("&#47;y&#x2F;z", "/y/z"), ("&quot;&lt;&gt;&apos;", "\"<>'"), ("&amp;amp;", "&amp;"), ("a&b&#;&#x;", "a&b&#;&#x;"), ("&#252;&#x1F600;", "ü😀"), (None, None)]
+    out = spark.createDataFrame(text, "raw string, want string").select("want", url_filters.decoded(F.col("raw")).alias("got")).collect()
+    assert [r["got"] for r in out] == [w for _, w in text]
+    pages = spark.createDataFrame(
+        [(1, "http://a.com/x?a=1&b=2", "", "q", 0, "w"), (2, "http://ok.com/1", '<meta http-equiv=refresh content="0;URL=http://a.com/x?a=1&amp;b=2">', "q", 0, "w"), (3, "http://ok.com/2", "<link rel='canonical' href='http:&#47;&#x2f;ok.com/1'>", "q", 0, "w"), (None, None, None, None, None, None)],
+        "page_id long, url string, html string, host string, k int, verdict string",
+    )
+    found = {r["id"]: (r["host"], r["verdict"]) for r in url_filters.judge(pages, [("block", "a.com/x")]).collect()}
+    assert found == {1: ("a.com", "block"), 2: ("ok.com", "block"), 3: ("ok.com", "block"), None: ("", "allow")}
+    copies = pages.withColumn("page_id", F.lit(7)).unionByName(pages).unionByName(pages)
+    assert url_filters.judge(copies, [("block", "a.com/x")]).where("verdict = 'block'").count() == 9
+
+
 def test_components(spark):
     edges = [(k, k + 1) for k in range(40)] + [(100, 99), (99, 98), (98, 100), (7, 7), (None, 3), (3, None), (200, 201), (200, 201)]
     found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

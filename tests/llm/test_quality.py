@@ -1,6 +1,5 @@
 """Co-training: what the views exchange, whom they choose, and what it gains on held-out documents."""
 
-
 import numpy as np
 import pyarrow as pa
 import pytest
