@@ -15,6 +15,8 @@ shuffles in one plan, so a lost executor's part is recomputed by Spark.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -34,9 +36,14 @@ _BITS_ARROW = pa.schema([("src", pa.int32()), ("kind", pa.int32()), ("dst", pa.i
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a local one where none is set, as in tests."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where none is set, a local session gets one of its own, as in tests."""
     context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir() or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)
     return folder

@@ -47,6 +47,23 @@ def alias_of(url: Column) -> Column:
     return F.concat(host_of(url), F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^#]*)", 1))
 
 
+def decoded(text: Column) -> Column:
+    """HTML's character references in an attribute: the named ones that markup needs, and numbers; others stay."""
+    def character(part: Column) -> Column:
+        hexed = F.regexp_extract(part, r"^[xX]([0-9A-Fa-f]{1,6});", 1)
+        code = F.when(F.length(hexed) > 0, F.conv(hexed, 16, 10)).otherwise(F.regexp_extract(part, r"^([0-9]{1,7});", 1)).try_cast("int")
+        known = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        letter = F.decode(F.unhex(F.lpad(F.hex(F.when(known, code).otherwise(F.lit(32))), 8, "0")), "UTF-32")
+        return F.when(known, F.concat(letter, F.regexp_extract(part, r"(?s)^[0-9A-Fa-fxX]+;(.*)$", 1))).otherwise(F.concat(F.lit("&#"), part))
+
+    parts = F.split(text, "&#")
+    numbered = F.concat(F.element_at(parts, 1), F.array_join(F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), character), ""))
+    out = F.when(text.contains("&#"), numbered).otherwise(text)
+    for name, letter in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        out = F.replace(out, F.lit(f"&{name};"), F.lit(letter))
+    return out
+
+
 def _without_dots(path: Column) -> Column:
     """A path that begins with a slash, its . and .. segments resolved."""
     parts = F.split(F.substring(path, 2, F.length(path)), "/")
@@ -88,11 +105,11 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> C
 
 
 def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(a, b): aliases that a redirect or a canonical link joins. Relative links are resolved against the page's host and path."""
+    """(a, b): aliases that a redirect or a canonical link joins. Character references are decoded, relative links resolved against the page's host and path."""
     html, url = F.col(html_col), F.col(url_col)
     canonical = F.when(html.ilike("%canonical%"), F.regexp_extract(F.regexp_extract(html, _LINK, 0), _HREF, 1))
     redirect = F.when(html.ilike("%http-equiv%"), F.regexp_extract(F.regexp_extract(html, _META, 0), _GOES, 1))
-    goals = pages.select(url.alias("url"), F.explode(F.array(canonical, redirect)).alias("goal")).where(F.length("goal") > 0)
+    goals = pages.select(url.alias("url"), F.explode(F.array(canonical, redirect)).alias("goal")).select("url", decoded(F.col("goal")).alias("goal")).where(F.length("goal") > 0)
     return goals.select(alias_of(F.col("url")).alias("a"), alias_of(resolved(F.col("url"), F.col("goal"))).alias("b")).where((F.length("a") > 0) & (F.length("b") > 0))
 
 
@@ -101,7 +118,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "pag
 
     rules: (allow or block, "host/path"). redirects: further (from url, to url) rows, of a crawl log for instance.
     A null url, or one without ://, has empty host and path, fits no rule and is allowed. Null html has no edges.
-    Rows may repeat; other columns play no part; an empty table gives no rows.
+    Rows may repeat; other columns, whatever their names, play no part; an empty table gives no rows. Of several
+    canonical links, or redirects, of a page the first counts.
     """
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     rule = F.lit(None).cast("int") if not rules else best_rule(F.col("host"), F.col("path"), rules)
