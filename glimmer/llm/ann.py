@@ -6,22 +6,30 @@ an index of its own. Two codes within Hamming distance r agree in at least one o
 so probing each substring's index within that distance retrieves every code within r. The retrieved vectors are
 ranked by their true distance in double precision. r is learned too: the distance within which nearly all true
 neighbours of sample queries lie (a sample's neighbours are farther than the whole table's, so r is on the safe
-side). Where a block holds fewer than k codes within r, the radius grows until it has k.
-
-Scale. Every vector is indexed. Vectors are dealt by a hash of their id into blocks, queries likewise; a task
-serves one block of queries on one block of vectors and returns k rows a query. Equal vectors, however many, are
-spread over all blocks. The sample is `fit_rows` rows whatever the table's size.
+side). A query that finds fewer than k rows within r is asked again of all vectors, through one substring.
+
+Scale. The index is a table keyed by (substring, value): a vector is in it once per substring, whatever the number of
+queries. A query goes to the values within reach of its own, a join on that key. Neighbouring values share a cell of
+about `block` vectors, and a value with more of them (equal vectors, for instance) is dealt out over salts, so a task
+serves one block; a vector that several substrings retrieve counts for the first of them alone. How far that prunes
+is up to the data: where true neighbours differ in few bits of a substring, next to nothing is probed; where they
+differ in a third of all bits, as isotropic vectors do, any exact probing within r visits most of the table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-FOUND = "query_id long, vec_id long, score double"
-_FOUND = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
+from glimmer.llm.exchange import checkpointed
+
+FOUND = "query_id long, which long, vec_id long, score double"
+_FOUND = pa.schema([("query_id", pa.int64()), ("which", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -38,7 +46,6 @@ class Codes:
     def __init__(self, sample: np.ndarray, bits: int, substrings: int, k: int, coverage: float, rounds: int = 30):
         rng = np.random.default_rng(7)
         self.bits = min(bits, sample.shape[1])
-        self.bits -= self.bits % substrings if self.bits >= substrings else 0
         self.substrings = min(substrings, self.bits)
         self.mean = sample.mean(axis=0)
         centred = sample - self.mean
@@ -61,6 +68,21 @@ class Codes:
                 distances.append(np.bitwise_count(codes[near] ^ codes[q]))
             self.radius = int(np.quantile(np.concatenate(distances), coverage, method="higher"))
 
+    @property
+    def width(self) -> int:
+        return self.bits // self.substrings
+
+    def parts(self, codes: np.ndarray, substring: int) -> np.ndarray:
+        """The codes' values in one substring; the last one has the bits that are left over."""
+        last = substring == self.substrings - 1
+        size = self.bits - self.width * substring if last else self.width
+        return (codes >> np.uint64(substring * self.width)) & np.uint64((1 << size) - 1)
+
+    def reach(self, radius: int) -> list[int]:
+        """By substring, the differing bits up to which it has to be probed (-1: not at all), so that one of them retrieves each code within the radius."""
+        share, rest = divmod(radius, self.substrings)
+        return [share if s <= rest else share - 1 for s in range(self.substrings)]
+
     def encode(self, vectors: np.ndarray) -> np.ndarray:
         signs = (vectors - self.mean) @ self.matrix > 0
         out = np.zeros(len(vectors), np.uint64)
@@ -69,90 +91,126 @@ class Codes:
         return out
 
 
-class BlockIndex:
-    """The substring indexes of one block of vectors."""
-
-    def __init__(self, codes: Codes, ids: np.ndarray, vectors: np.ndarray):
-        self.coder, self.ids, self.vectors = codes, ids, vectors
-        self.codes = codes.encode(vectors)
-        self.width = codes.bits // codes.substrings
-        self.mask = np.uint64((1 << self.width) - 1)
-        self.tables = []
-        for s in range(codes.substrings):
-            part = (self.codes >> np.uint64(s * self.width)) & self.mask
-            order = np.argsort(part, kind="stable")
-            values, first = np.unique(part[order], return_index=True)
-            self.tables.append((values, np.append(first, len(order)), order))
-
-    def within(self, code: np.uint64, radius: int) -> np.ndarray:
-        """Positions of all codes within the radius, by probing each substring."""
-        marked = np.zeros(len(self.codes), bool)
-        share, rest = divmod(radius, self.coder.substrings)
-        for s, (values, first, order) in enumerate(self.tables):
-            reach = share if s <= rest else share - 1
-            if reach < 0:
-                continue
-            part = (code >> np.uint64(s * self.width)) & self.mask
-            for v in np.flatnonzero(np.bitwise_count(values ^ part) <= reach):
-                marked[order[first[v] : first[v + 1]]] = True
-        at = np.flatnonzero(marked)
-        return at[np.bitwise_count(self.codes[at] ^ code) <= radius]
-
-    def search(self, query_id: int, query: np.ndarray, code: np.uint64, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, distances) of the k nearest found, ties to smaller ids; rows of the query's own id don't count."""
-        radius = self.coder.radius
-        while True:
-            at = self.within(code, radius)
-            at = at[self.ids[at] != query_id]
-            if len(at) >= k or radius >= self.coder.bits:
-                break
-            radius += self.coder.substrings
+class Cell:
+    """The index of one substring over one block of vectors."""
+
+    def __init__(self, coder: Codes, substring: int, ids: np.ndarray, vectors: np.ndarray, codes: np.ndarray):
+        self.coder, self.substring, self.ids, self.vectors, self.codes = coder, substring, ids, vectors, codes
+        part = coder.parts(codes, substring)
+        self.order = np.argsort(part, kind="stable")
+        self.values, first = np.unique(part[self.order], return_index=True)
+        self.first = np.append(first, len(part))
+
+    def within(self, code: np.uint64, radius: int, reach: list[int]) -> np.ndarray:
+        """Positions of the codes within the radius that this substring retrieves and none before it does."""
+        near = np.flatnonzero(np.bitwise_count(self.values ^ self.coder.parts(code, self.substring)) <= reach[self.substring])
+        at = np.concatenate([np.zeros(0, np.int64), *[self.order[self.first[v] : self.first[v + 1]] for v in near.tolist()]])
+        apart = self.codes[at] ^ code
+        fits = np.bitwise_count(apart) <= radius
+        for s in range(self.substring):
+            fits &= ~(np.bitwise_count(self.coder.parts(apart, s)).astype(np.int64) <= reach[s])
+        return at[fits]
+
+    def search(self, query: np.ndarray, code: np.uint64, k: int, radius: int, reach: list[int]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, distances) of the k nearest of these, ties to smaller ids."""
+        at = self.within(code, radius, reach)
         apart = np.sqrt(((self.vectors[at] - query) ** 2).sum(axis=1))
         order = np.lexsort((self.ids[at], apart))[:k]
         return self.ids[at][order], apart[order]
 
 
-def _matrix(column: pa.ChunkedArray, size: int) -> np.ndarray:
-    flat = column.combine_chunks()
+def _matrix(column: pa.Array | pa.ChunkedArray, size: int) -> np.ndarray:
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(-1, size)
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 64, substrings: int = 8, coverage: float = 0.995, fit_rows: int = 20_000, block: int = 8_192, query_block: int = 4_096) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", bits: int = 64, substrings: int = 8, coverage: float = 0.995, fit_rows: int = 20_000, block: int = 8_192) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found of the vectors, by Euclidean distance.
 
     Vectors that are null, zero or not finite, have no id, or differ in size from most take no part on either side.
-    A query never finds rows of its own id; ties go to the smaller id; repeated rows are found once each. Fewer than
-    k candidates give fewer rows; empty tables give none. Other columns play no part.
+    A query's own row, the one with its id and vector, doesn't count; another row with its id does. A query that is
+    there twice has its answer twice; ties go to the smaller id; repeated rows are found once each. Fewer than k
+    candidates give fewer rows; empty tables give none. Other columns, whatever their names, play no part.
     """
     rows = usable(vectors, id_col, vector_col)
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows).toPandas()
+    sample = rows.orderBy(F.xxhash64("id"), "id").limit(fit_rows).toArrow()
     spark = vectors.sparkSession
-    empty = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    if not len(sample):
-        return empty
-    size = int(sample["vec"].map(len).mode()[0])
-    codes = Codes(np.stack(sample["vec"][sample["vec"].map(len) == size].to_numpy()), bits, substrings, k, coverage)
+    if not sample.num_rows:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    sizes, times = np.unique(pc.list_value_length(sample["vec"]).to_numpy(), return_counts=True)
+    size = int(sizes[times.argmax()])
+    coder = Codes(_matrix(sample.filter(pc.equal(pc.list_value_length(sample["vec"]), size))["vec"], size), bits, substrings, k, coverage)
     rows = rows.where(F.size("vec") == size)
-    asked = usable(queries, id_col, vector_col).where(F.size("vec") == size)
-    n, m = rows.count(), asked.count()
-    blocks, query_blocks = max(1, -(-n // block)), max(1, -(-m // query_block))
-
-    index = rows.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))))
-    asked = asked.withColumn("part", F.pmod(F.xxhash64("id", F.lit(2)), F.lit(query_blocks)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-
-    def serve(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, near, apart = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-        if left.num_rows and right.num_rows:
-            held = BlockIndex(codes, left["id"].to_numpy(), _matrix(left["vec"], size))
-            points = _matrix(right["vec"], size)
-            for q, point, code in zip(right["id"].to_pylist(), points, codes.encode(points), strict=True):
-                found, distance = held.search(q, point, code, k)
-                ids.append(np.full(len(found), q, np.int64))
-                near.append(found)
-                apart.append(distance)
-        return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in (ids, near, apart)], schema=_FOUND)
-
-    found = index.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(serve, FOUND)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return found.withColumn("rank", place).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    #: Equal queries are asked once.
+    asked = usable(queries, id_col, vector_col).where(F.size("vec") == size).groupBy("id", "vec").agg(F.count("*").alias("times"))
+    n = rows.count()
+    depth = min(coder.width, max(0, (max(1, n // block) - 1).bit_length()))  # bits of a value that name its cell
+    shift = coder.width - depth
+
+    def indexed(only: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                codes = coder.encode(_matrix(batch["vec"], size))
+                for s in range(coder.substrings) if only is None else [only]:
+                    cells = (coder.parts(codes, s) >> np.uint64(shift)).astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), s, np.int32)), pa.array(cells), batch["id"], batch["vec"], pa.array(codes.view(np.int64))], names=["s", "cell", "id", "vec", "code"])
+
+        return run
+
+    def probes(reach: list[int], only: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        """Each query, for each cell that holds a value within reach."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                codes = coder.encode(_matrix(batch["vec"], size))
+                for s in range(coder.substrings) if only is None else [only]:
+                    own = coder.parts(codes, s) >> np.uint64(shift)
+                    most = coder.bits - coder.width * s if s == coder.substrings - 1 else coder.width
+                    cells = np.arange(1 << (most - shift), dtype=np.uint64)
+                    near = [np.flatnonzero(np.bitwise_count(cells ^ v).astype(np.int64) <= reach[s]) for v in own]
+                    which = pa.array(np.repeat(np.arange(len(own)), [len(x) for x in near]))
+                    at = np.concatenate([np.zeros(0, np.int64), *near])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), s, np.int32)), pa.array(at), batch["id"].take(which), batch["vec"].take(which), pa.array(codes.view(np.int64)).take(which)], names=["s", "cell", "id", "vec", "code"])
+
+        return run
+
+    shape = "s int, cell long, id long, vec array<double>, code long"
+
+    def answers(asked: DataFrame, radius: int, only: int | None) -> DataFrame:
+        """(query_id, which, vec_id, score): the k + 1 nearest of each task for each query."""
+        reach = coder.reach(radius) if only is None else [coder.bits if s == only else -1 for s in range(coder.substrings)]
+        index = rows.mapInArrow(indexed(only), shape)
+        cells = index.groupBy("s", "cell").agg(F.ceil(F.count("*") / block).cast("int").alias("salts"))  # at most substrings * 2**width rows
+        salted = index.join(F.broadcast(cells), ["s", "cell"]).withColumn("salt", F.pmod(F.xxhash64("id", "code"), F.col("salts")).cast("int"))
+        sent = asked.select("id", "vec").mapInArrow(probes(reach, only), shape).join(F.broadcast(cells.select(*[F.col(c).alias(c) for c in cells.columns])), ["s", "cell"]).withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)))
+
+        def serve(left: pa.Table, right: pa.Table) -> pa.Table:
+            found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3 + (np.zeros(0),)]
+            if left.num_rows and right.num_rows:
+                held = Cell(coder, left["s"][0].as_py(), left["id"].to_numpy(), _matrix(left["vec"], size), left["code"].to_numpy().view(np.uint64))
+                for q, which, point, code in zip(right["id"].to_pylist(), right["which"].to_pylist(), _matrix(right["vec"], size), right["code"].to_numpy().view(np.uint64), strict=True):
+                    near, apart = held.search(point, code, k + 1, radius, reach)
+                    found.append((np.full(len(near), q, np.int64), np.full(len(near), which, np.int64), near, apart))
+            return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=_FOUND)
+
+        keys = ["s", "cell", "salt"]
+        return salted.groupBy(*keys).cogroup(sent.withColumn("which", F.xxhash64("vec")).groupBy(*keys)).applyInArrow(serve, FOUND)
+
+    def ranked(found: DataFrame) -> DataFrame:
+        """The k best of each query, without its own row."""
+        order = Window.partitionBy("query_id", "which").orderBy("score", "vec_id")
+        best = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1)
+        own = ((F.col("vec_id") == F.col("query_id")) & (F.col("score") == 0)).cast("int")
+        before = F.sum(own).over(order.rowsBetween(Window.unboundedPreceding, 0))
+        best = best.withColumn("own", own).withColumn("before", before).where((F.col("own") == 0) | (F.col("before") > 1))
+        return best.withColumn("rank", (F.col("place") - F.least("before", F.lit(1))).cast("int")).where(F.col("rank") <= k).select("query_id", "which", "rank", "vec_id", "score")
+
+    best = checkpointed(ranked(answers(asked, coder.radius, None)))
+    named = asked.withColumn("which", F.xxhash64("vec")).withColumnRenamed("id", "query_id")
+    full = best.where(F.col("rank") == k).select("query_id", "which")
+    short = checkpointed(named.join(full, ["query_id", "which"], "left_anti").select(F.col("query_id").alias("id"), "vec"))
+    if not short.isEmpty():
+        again = ranked(answers(short, coder.bits, 0))
+        best = best.join(full, ["query_id", "which"], "left_semi").unionByName(again)
+    return best.join(named.select("query_id", "which", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("copy")), ["query_id", "which"]).select("query_id", "rank", "vec_id", "score")

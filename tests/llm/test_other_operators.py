@@ -204,6 +204,44 @@ def test_search_finds_nine_in_ten(spark):
     assert ann.search(table.limit(0), table).count() == 0
 
 
+def test_repeated_queries_and_ids(spark):
+    rng = np.random.default_rng(2)
+    vectors = rng.normal(size=(300, 16))
+    rows = [(k, v.tolist(), 0.5, 1) for k, v in enumerate(vectors)]
+    rows += [rows[100], (100, vectors[7].tolist(), 0.5, 1), rows[8], rows[8]]  # a query twice, another row of its id, a candidate three times
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, score double, rank int")
+    found = ann.search(table, table.where("vec_id in (100, 8)"), coverage=1.0, block=64).collect()
+
+    def nearest(q):
+        """Of all rows but one with this query's id and vector."""
+        apart = sorted((float(np.sqrt(((np.array(v) - q[1]) ** 2).sum())), i) for i, v, *_ in rows)
+        apart.remove((0.0, q[0]))
+        return [(n + 1, i, round(d, 9)) for n, (d, i) in enumerate(apart[:10])]
+
+    wanted = sorted((q[0], *x) for q in rows if q[0] in (100, 8) for x in nearest(q))
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in found) == wanted and len(found) == 60
+
+
+@pytest.mark.parametrize(("bits", "substrings"), [(16, 8), (16, 3), (10, 4), (8, 8)])
+def test_probing_retrieves_each_code_within_the_radius_once(bits, substrings):
+    rng = np.random.default_rng(bits)
+    vectors = rng.normal(size=(400, 16))
+    coder = ann.Codes(vectors, bits, substrings, 5, 0.9)
+    codes = coder.encode(vectors)
+    for radius in (0, 1, 3, coder.radius, bits):
+        reach = coder.reach(radius)
+        for q in range(0, 400, 40):
+            got = np.concatenate([ann.Cell(coder, s, np.arange(400), vectors, codes).within(codes[q], radius, reach) for s in range(coder.substrings)])
+            assert sorted(got.tolist()) == np.flatnonzero(np.bitwise_count(codes ^ codes[q]) <= radius).tolist()
+
+
+def test_few_candidates_are_all_found(spark):
+    rng = np.random.default_rng(3)
+    table = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(rng.normal(size=(7, 8)))], "vec_id long, embedding array<double>")
+    found = ann.search(table, table).collect()
+    assert sorted((r["query_id"], r["vec_id"]) for r in found) == [(q, v) for q in range(7) for v in range(7) if q != v]
+
+
 def test_held_out_accuracy(spark):
     rng = np.random.default_rng(1)
     clean = [f"word{k}" for k in range(300)]
