@@ -27,9 +27,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimmer.llm.decontaminate import Lookup
 from glimmer.llm.exchange import annotate_rows, checkpointed
-from glimmer.llm.text_kernels import ALNUM_SPLIT, LOWER, SPACE_SPLIT, Words, column_bytes, mix, portions, split_words
+from glimmer.llm.text_kernels import ALNUM_SPLIT, LOWER, SPACE_SPLIT, Lookup, Words, column_bytes, mix, portions, split_words
 
 TARGETS = ("junk", "toxic")
 #: Style of a text; part of the text view.

@@ -109,18 +109,20 @@ def contamination(docs, items, window=13):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("slice_words", [10**6, 30])
-def test_decontamination(spark, slice_words):
+@pytest.mark.parametrize("bits", [decontaminate.BITS, (9, 9)])
+def test_decontamination(spark, bits, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BITS", bits)  # few bits: many shingles are let through that are none of the benchmark's
     rng = np.random.default_rng(7)
     pool = [f"t{k}" for k in range(60)]
-    items = [(k, " ".join(rng.choice(pool, n))) for k, n in enumerate([30, 20, 13, 5, 2, 1])] + [(7, ""), (8, None), (0, "t1 t2 t3"), (10, "Ü-Ü ß")]
+    items = [(k, " ".join(rng.choice(pool, n))) for k, n in enumerate([30, 20, 13, 5, 2, 1])] + [(7, ""), (8, None), (0, "t1 t2 t3"), (10, "Ü-Ü ß"), (11, " ".join(rng.choice(pool, 13)) + " t5 t6"), (12, "t5 t6 t7 " * 9)]
     docs = [(k, " ".join(rng.choice(pool, 60))) for k in range(20)]
+    docs += [(50, f"{items[0][1]} {items[0][1]} {items[1][1]}"), (51, items[0][1] + " and"), (52, items[0][1] + " and"), (53, " ".join(items[0][1].split()[:13])), (54, " ".join(items[0][1].split()[1:13]))]
     docs += [(30 + k, f"x y {items[k][1]} z".upper()) for k in range(6)] + [(40, None), (41, ""), (42, "Ü Ü. ß"), (42, "Ü Ü. ß"), (None, "t1 t2, t3")]
-    frame = spark.createDataFrame([(i, t, "q") for i, t in docs], "doc_id long, text string, items string")
-    bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontaminate.find_contamination(frame, bench, slice_words=slice_words).collect()
+    frame = spark.createDataFrame([(i, t, "q", 0, 0) for i, t in docs], "doc_id long, text string, items string, k1 int, n_hit int")
+    bench = spark.createDataFrame([(i, t, "w", 1) for i, t in items], "item_id long, text string, window string, item int")
+    found = decontaminate.find_contamination(frame, bench).collect()
     assert sorted([(r["id"], r["n_words"], r["n_hit"], r["items"]) for r in found], key=str) == contamination(docs, items)
-    kept = decontaminate.without_contamination(frame, bench, slice_words=slice_words)
+    kept = decontaminate.without_contamination(frame, bench)
     assert kept.columns == frame.columns and kept.count() == sum(not (h and 20 * h >= n) for _, n, h, _ in contamination(docs, items))
     assert decontaminate.find_contamination(frame.limit(0), bench).count() == 0
     assert decontaminate.find_contamination(frame, bench.limit(0)).where("n_hit > 0").count() == 0
