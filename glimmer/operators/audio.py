@@ -30,6 +30,16 @@ def features(frames: DataFrame, points: int, width: float, threshold: float | No
     return smooth.withColumn("speech_probability", sigmoid(F.col("loudness"), level, width))
 
 
+def on_loudness_times(loudness: DataFrame, energy: DataFrame) -> DataFrame:
+    """loudness, energy (video_id, time, value), sampled differently, as (video_id, time, loudness, energy).
+
+    Energy is interpolated at the times of loudness, 0 outside its points. Videos without points of either are left out.
+    """
+    loud, power = series.valid_points(loudness), series.valid_points(energy, keep_nan=False)
+    both = loud.join(power.select(KEY).distinct(), KEY, "left_semi").select(KEY, "time", F.col("value").alias("loudness"))
+    return series.interpolate(power, both, "energy")
+
+
 def loud_score(frames: DataFrame) -> DataFrame:
     """frames (video_id, time, loudness, energy) with score: 0.6 of scaled loudness and 0.4 of scaled energy, clipped."""
     return frames.withColumn("score", clip(0.6 * series.unit_range(F.col("loudness")) + 0.4 * series.unit_range(F.col("energy"))))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmer.config import EngineConfig
@@ -36,39 +36,67 @@ def coverage(segments: DataFrame, slots: DataFrame, step: float) -> DataFrame:
     return joined.select(KEY, "slot", "slots", (F.sum(F.coalesce("d", F.lit(0))).over(by_video("slot")) > 0).alias("covered"))
 
 
+def score_or_sentiment(points: DataFrame) -> DataFrame:
+    """(video_id, time, value): the score of each point, or what is named `sentiment` where there is none."""
+    named = [F.col(c).try_cast("double") for c in ("score", "sentiment") if c in points.columns]
+    return points.select(KEY, "time", F.coalesce(*named).alias("value"))
+
+
 def timeline(
     videos: DataFrame, motion: DataFrame, audio: DataFrame, sentiment: DataFrame, humor: DataFrame, events: DataFrame,
     boundaries: DataFrame, segments: DataFrame, config: EngineConfig = EngineConfig(),
 ) -> DataFrame:
     """The fused timeline of videos with a positive duration.
 
-    motion: (video_id, time, value). audio: (video_id, time, loudness, speech_probability). sentiment, humor:
-    (video_id, time, score). events: (video_id, time, type). boundaries: (video_id, time). segments: (video_id,
-    start, end). Every signal is interpolated on the grid, scaled, weighted and summed. Dialogue is what the speech
-    probability says where there is any, else what segments cover.
+    motion: (video_id, time, value). audio: (video_id, time, loudness, speech_probability). sentiment: (video_id,
+    time, score or sentiment). humor: (video_id, time, score). events: (video_id, time, type). boundaries: (video_id,
+    time). segments: (video_id, start, end). Every signal is interpolated on the grid, scaled, weighted and summed.
+    Dialogue is what the speech probability says where there is any, else what segments cover.
+
+    Grid, points, events, boundaries and the ends of segments are one union, partitioned by video once and brought
+    down to a row per time; flags are columns of that row, coverage a running sum over it.
     """
-    base = series.grid(videos.where(F.col("duration") > 0), config.step)
-    sizes = base.select(KEY, "slots").distinct()
+    step = config.step
     signals = {
         "motion": motion.select(KEY, "time", "value"),
         "audio_loudness": audio.select(KEY, "time", F.col("loudness").alias("value")),
         "speech": audio.select(KEY, "time", F.col("speech_probability").alias("value")),
-        "sentiment": sentiment.select(KEY, "time", F.col("score").alias("value")),
+        "sentiment": score_or_sentiment(sentiment),
         "humor": humor.select(KEY, "time", F.col("score").alias("value")),
     }
-    on_grid = series.interpolate_all({k: series.valid_points(v) for k, v in signals.items()}, base)
-    flagged = (
-        on_grid.join(event_flags(events, sizes, config.step), [KEY, "slot"], "left")
-        .join(boundary_flags(boundaries, sizes, config.step), [KEY, "slot"], "left")
-        .join(coverage(segments, base.select(KEY, "slot", "slots"), config.step).select(KEY, "slot", "covered"), [KEY, "slot"], "left")
-    )
+    flags = ("has_laughter", "has_loud_sound", "is_scene_boundary")
+    # at: what belongs to the slot nearest to it; later: so many slots on
+    kinds = {"time": "double", "slot": "long", "slots": "long", "at": "double", "later": "long", "delta": "long"} | dict.fromkeys(flags, "boolean") | dict.fromkeys(signals, "double")
+
+    def rows(df: DataFrame, **given: Column) -> DataFrame:
+        return df.select(KEY, *[given.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
+
+    told = lambda kind: F.coalesce(F.col("type").contains(kind), F.lit(False))
+    reach = segments.where(F.col("end") > F.col("start"))
+    parts = [
+        rows(series.grid(videos.where(F.col("duration") > 0), step), time=F.col("time"), slot=F.col("slot"), slots=F.col("slots")),
+        *[rows(series.valid_points(v, keep_nan=False), time=F.col("time"), **{k: F.col("value")}) for k, v in signals.items()],
+        rows(events, at=F.col("time"), has_laughter=told("laughter"), has_loud_sound=told("loud")),
+        rows(boundaries, at=F.col("time"), is_scene_boundary=F.lit(True)),
+        rows(reach, at=F.col("start"), later=F.lit(0), delta=F.lit(1)),
+        rows(reach, at=F.col("end"), later=F.lit(1), delta=F.lit(-1)),
+    ]
+    together = parts[0]
+    for part in parts[1:]:
+        together = together.unionByName(part)
+    placed = together.where(F.col("time").isNotNull() | F.col("at").isNotNull()).repartition(KEY).withColumn("slots", F.max("slots").over(by_video())).where(F.col("slots").isNotNull())
+    place = slot_of(F.col("at"), step, F.col("slots")) + F.coalesce("later", F.lit(0))
+    placed = placed.withColumn("time", F.coalesce("time", place * F.lit(step)))
+    one = placed.groupBy(KEY, "time").agg(F.max("slot").alias("slot"), F.sum("delta").alias("delta"), *[F.max(c).alias(c) for c in flags], *[F.avg(c).alias(c) for c in signals])
+    over = F.sum(F.coalesce("delta", F.lit(0))).over(by_video("time").rowsBetween(Window.unboundedPreceding, 0))
+    seen = series.carried(one.withColumn("covered", over > 0), list(signals)).where(F.col("slot").isNotNull())
+    on_grid = seen.select(KEY, "slot", "time", "covered", *flags, *[series.interpolated(c).alias(c) for c in signals])
     spoken = F.when(F.max("speech").over(by_video()) > 0, F.col("speech") >= config.dialogue_threshold).otherwise(F.col("covered"))
-    flags = {c: F.coalesce(c, F.lit(False)) for c in ("has_laughter", "has_loud_sound", "is_scene_boundary")}
-    rows = flagged.select(
+    rows_ = on_grid.select(
         KEY, "slot", "time", series.unit_range(F.col("motion")).alias("motion"), series.unit_range(F.col("audio_loudness")).alias("audio_loudness"),
-        "sentiment", clip(F.col("humor")).alias("humor"), *[e.alias(c) for c, e in flags.items()], F.coalesce(spoken, F.lit(False)).alias("is_dialogue"),
+        "sentiment", clip(F.col("humor")).alias("humor"), *[F.coalesce(c, F.lit(False)).alias(c) for c in flags], F.coalesce(spoken, F.lit(False)).alias("is_dialogue"),
     )
     w = config.weights()
     heard = clip(config.laughter_boost * F.col("has_laughter").cast("double") + config.loud_boost * F.col("has_loud_sound").cast("double"))
     interest = w["motion"] * F.col("motion") + w["audio"] * F.col("audio_loudness") + w["sentiment"] * clip(F.abs("sentiment")) + w["humor"] * F.col("humor") + w["events"] * heard
-    return rows.select(KEY, "slot", "time", clip(interest).alias("interest"), "motion", "audio_loudness", "sentiment", "humor", "has_laughter", "has_loud_sound", "is_scene_boundary", "is_dialogue")
+    return rows_.select(KEY, "slot", "time", clip(interest).alias("interest"), "motion", "audio_loudness", "sentiment", "humor", *flags, "is_dialogue")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmer.config import EngineConfig
-from glimmer.functions.expressions import nearest
+from glimmer.functions.expressions import bound, count_before, nearest
 from glimmer.operators.series import KEY, by_video, everything
 
 
@@ -37,6 +37,22 @@ def snapped(t: Column, marks: Column, window: float, inclusive: bool) -> Column:
     return F.when(close, near).otherwise(t)
 
 
+def snap_to_marks(points: DataFrame, marks: DataFrame, window: float, inclusive: bool, time_col: str = "time") -> DataFrame:
+    """points with `snapped` and `near`: the nearest mark (the earlier on ties; null without any), and it or else the time itself.
+
+    Points and marks are one union, sorted by time in either direction; no array rides on the points.
+    """
+    row = F.struct(*[F.col(c) for c in points.columns])
+    both = points.select(KEY, F.col(time_col).alias("t"), row.alias("row")).unionByName(marks.where(F.col("time").isNotNull()).select(KEY, F.col("time").alias("t")), allowMissingColumns=True)
+    mark, after = F.when(F.col("row").isNull(), F.col("t")), F.col("row").isNotNull()
+    low = F.last(mark, ignorenulls=True).over(by_video("t", after).rowsBetween(Window.unboundedPreceding, 0))
+    high = F.last(mark, ignorenulls=True).over(by_video(F.desc("t"), after).rowsBetween(Window.unboundedPreceding, 0))
+    held = both.withColumn("low", low).withColumn("high", high).where(after)
+    t, near = F.col("t"), F.when(F.col("low").isNull() | (F.col("high") - F.col("t") < F.col("t") - F.col("low")), F.col("high")).otherwise(F.col("low"))
+    close = F.abs(near - t) <= window if inclusive else F.abs(near - t) < window
+    return held.select("row.*", F.when(close, near).otherwise(t).alias("snapped"), near.alias("near"))
+
+
 def window_around(peak: Column, duration: Column, config: EngineConfig) -> tuple[Column, Column]:
     """(start, end): the least duration, centred on the peak, shifted and cut to fit into the video."""
     d = config.min_highlight
@@ -46,23 +62,36 @@ def window_around(peak: Column, duration: Column, config: EngineConfig) -> tuple
 
 
 def candidates(peaks: DataFrame, videos: DataFrame, marks: DataFrame, config: EngineConfig) -> DataFrame:
-    """(video_id, peak, start, end): a window around each peak, both ends snapped to marks."""
+    """(video_id, peak, start, end): a window around each peak, both ends snapped to marks unless the config says not to."""
     start, end = window_around(F.col("time"), F.col("duration"), config)
     placed = peaks.join(videos.select(KEY, "duration"), KEY).select(KEY, F.col("time").alias("peak"), start.alias("start"), end.alias("end"))
     held = placed.join(marks, KEY, "left").withColumn("marks", F.coalesce("marks", F.array(F.lit(0.0))))
-    return held.select(KEY, "peak", *[snapped(F.col(c), F.col("marks"), config.snap_window, True).alias(c) for c in ("start", "end")])
+    return held.select(KEY, "peak", *[_placed(F.col(c), config).alias(c) for c in ("start", "end")])
+
+
+def _placed(t: Column, config: EngineConfig) -> Column:
+    return snapped(t, F.col("marks"), config.snap_window, True) if config.snap_to_scenes else t
 
 
 def interest_arrays(timeline: DataFrame) -> DataFrame:
-    """(video_id, points): time and interest as one sorted array per video, as long as the video."""
-    return timeline.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("time", "interest"))).alias("points"))
+    """(video_id, points): time, interest and its running sum as one sorted array per video, as long as the video."""
+    return with_sums(timeline.select(KEY, "time", "interest")).groupBy(KEY).agg(_points().alias("points"))
+
+
+def with_sums(timeline: DataFrame) -> DataFrame:
+    return timeline.withColumn("upto", F.sum("interest").over(by_video("time").rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def _points() -> Column:
+    return F.array_sort(F.collect_list(F.struct("time", "interest", "upto")))
 
 
 def mean_in_window(points: Column, start: Column, end: Column) -> Column:
-    """Mean interest from start to end, both included; 0 without points."""
-    inside = F.filter(points, lambda p: (p["time"] >= start) & (p["time"] <= end))
-    total = F.aggregate(inside, F.lit(0.0), lambda acc, p: acc + p["interest"])
-    return F.when(F.size(inside) > 0, total / F.size(inside)).otherwise(F.lit(0.0))
+    """Mean interest from start to end, both included; 0 without points. Two bisections and two running sums."""
+    time = lambda p: p["time"]
+    ends = F.struct(count_before(points, start, time).alias("a"), count_before(points, end, time, inclusive=True).alias("b"))
+    upto = lambda i: F.coalesce(F.get(points, i - 1)["upto"], F.lit(0.0))
+    return bound(ends, lambda e: F.when(e["b"] > e["a"], (upto(e["b"]) - upto(e["a"])) / (e["b"] - e["a"])).otherwise(F.lit(0.0)))
 
 
 def best_window(timeline: DataFrame, videos: DataFrame, width: float) -> DataFrame:
@@ -108,38 +137,56 @@ def merged(items: DataFrame, arrays: DataFrame, gap: float) -> DataFrame:
     return held.select(KEY, "start", "end", score.alias("score"))
 
 
-def highlights(timeline: DataFrame, videos: DataFrame, boundaries: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """(video_id, start, end, type, score) of videos with three points at least.
+def _found(timeline: DataFrame, videos: DataFrame, boundaries: DataFrame, config: EngineConfig, spare: bool) -> DataFrame:
+    """(video_id, points, found): the scored windows (k = -score, peak, start, end) of videos with three points at least.
 
-    The timeline is read once: a video's points become one array, and peaks, windows, scores, suppression and
-    merging are expressions on it.
+    The timeline is read once: neighbours and running sums come from one sort, then a video's points become one array.
+    spare: a video without a peak gets the first window with the highest mean.
     """
     q, width = config.peak_quantile, config.min_highlight
-    arrays = timeline.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("time", "interest"))).alias("points"), F.percentile("interest", q).alias("threshold"))
-    rows = arrays.where(F.size("points") >= 3).join(videos.select(KEY, "duration"), KEY).join(boundary_arrays(boundaries), KEY, "left").withColumn("marks", F.coalesce("marks", F.array(F.lit(0.0))))
-    points, marks = F.col("points"), F.col("marks")
-
-    def is_peak(i: Column) -> Column:
-        x = F.get(points, i)["interest"]
-        return (x >= F.col("threshold")) & (x >= F.get(points, i - 1)["interest"]) & (x >= F.get(points, i + 1)["interest"])
-
-    inner = F.sequence(F.lit(1), F.size(points) - 2)
-    rows = rows.withColumn("peaks", F.transform(F.filter(inner, is_peak), lambda i: F.get(points, i)["time"]))
+    order = by_video("time")
+    sided = with_sums(timeline.select(KEY, "time", "interest")).withColumn("l", F.lag("interest").over(order)).withColumn("r", F.lead("interest").over(order))
+    top = F.when((F.col("interest") >= F.col("l")) & (F.col("interest") >= F.col("r")), F.struct("time", "interest"))
+    arrays = sided.groupBy(KEY).agg(_points().alias("points"), F.array_sort(F.collect_list(top)).alias("tops"), F.percentile("interest", q).alias("threshold"))
+    rows = arrays.where(F.size("points") >= 3).join(videos.select(KEY, "duration"), KEY)
+    if config.snap_to_scenes:
+        rows = rows.join(boundary_arrays(boundaries), KEY, "left").withColumn("marks", F.coalesce("marks", F.array(F.lit(0.0))))
+    points = F.col("points")
+    rows = rows.withColumn("peaks", F.transform(F.filter("tops", lambda p: p["interest"] >= F.col("threshold")), lambda p: p["time"]))
 
     def item(peak: Column, start: Column, end: Column, score: Column) -> Column:
         return F.struct((-score).alias("k"), peak.alias("peak"), start.alias("start"), end.alias("end"))
 
     def around(peak: Column) -> Column:
-        start, end = (snapped(t, marks, config.snap_window, True) for t in window_around(peak, F.col("duration"), config))
-        return item(peak, start, end, mean_in_window(points, start, end))
-
-    # without a peak: the first window with the highest mean
-    tried = F.transform(F.filter(points, lambda p: p["time"] + width <= F.col("duration")), lambda p: F.struct((-mean_in_window(points, p["time"], p["time"] + width)).alias("k"), p["time"].alias("t")))
-    best = F.array_min(tried)
-    ends = F.coalesce(best["t"], F.lit(0.0)), F.coalesce(best["t"] + width, F.least("duration", F.lit(width)))
-    spare = item(F.lit(0.0), *[snapped(t, marks, config.snap_window, True) for t in ends], F.greatest(F.coalesce(-best["k"], F.lit(0.0)), F.lit(0.0)))
-    found = F.when(F.size("peaks") > 0, F.transform("peaks", around)).otherwise(F.array(spare))
-    rows = rows.withColumn("kept", F.array_sort(greedy(F.array_sort(found), config.top_k)))
+        start, end = (_placed(t, config) for t in window_around(peak, F.col("duration"), config))
+        return bound(F.struct(start.alias("start"), end.alias("end")), lambda w: item(peak, w["start"], w["end"], mean_in_window(points, w["start"], w["end"])))
+
+    found = F.transform("peaks", around)
+    if spare:
+        tried = F.transform(F.filter(points, lambda p: p["time"] + width <= F.col("duration")), lambda p: F.struct((-mean_in_window(points, p["time"], p["time"] + width)).alias("k"), p["time"].alias("t")))
+
+        def window(best: Column) -> Column:
+            ends = F.coalesce(best["t"], F.lit(0.0)), F.coalesce(best["t"] + width, F.least("duration", F.lit(width)))
+            return item(F.lit(0.0), *[_placed(t, config) for t in ends], F.greatest(F.coalesce(-best["k"], F.lit(0.0)), F.lit(0.0)))
+
+        found = F.when(F.size("peaks") > 0, found).otherwise(F.array(bound(F.array_min(tried), window)))
+    return rows.select(KEY, "points", found.alias("found"))
+
+
+def scored_candidates(timeline: DataFrame, videos: DataFrame, boundaries: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """(video_id, peak, start, end, score): the window of each peak with its mean interest."""
+    out = _found(timeline, videos, boundaries, config, spare=False).select(KEY, F.inline("found"))
+    return out.select(KEY, "peak", "start", "end", (-F.col("k")).alias("score"))
+
+
+def highlights(timeline: DataFrame, videos: DataFrame, boundaries: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """(video_id, start, end, type, score) of videos with three points at least.
+
+    Peaks, windows, scores, suppression and merging are expressions on one array per video.
+    """
+    rows = _found(timeline, videos, boundaries, config, spare=True)
+    points = F.col("points")
+    rows = rows.withColumn("kept", F.array_sort(greedy(F.array_sort("found"), config.top_k)))
 
     def join(acc: Column, c: Column) -> Column:
         last = F.try_element_at(acc, F.lit(-1))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.operators import series
@@ -27,6 +27,26 @@ def differences(frames: DataFrame) -> DataFrame:
     return frames.select(KEY, "frame_index", "time", F.abs(F.col("value") - before).alias("value")).where(F.col("value").isNotNull())
 
 
+def mean_difference(a: Column, b: Column) -> Column:
+    """Mean absolute difference of two frames' pixels (arrays of one size); 0 without pixels."""
+    apart = F.zip_with(a, b, lambda x, y: F.abs(x.cast("double") - y.cast("double")))
+    return F.when(F.size(apart) > 0, F.aggregate(apart, F.lit(0.0), lambda acc, x: acc + x) / F.size(apart)).otherwise(F.lit(0.0))
+
+
+def moving_fraction(magnitudes: Column, threshold: float = 0.1) -> Column:
+    """Share of a frame's pixels whose flow exceeds this part of the largest; 0 where nothing moves."""
+    top = F.array_max(magnitudes)
+    moving = F.size(F.filter(magnitudes, lambda x: x / top > threshold)) / F.size(magnitudes)
+    return F.when((F.size(magnitudes) > 0) & (top > 0), moving).otherwise(F.lit(0.0))
+
+
+def pixel_differences(frames: DataFrame) -> DataFrame:
+    """frames (video_id, frame_index, time, pixels) as (video_id, frame_index, time, value): mean change from the frame before."""
+    before = F.lag("pixels").over(series.by_video("frame_index"))
+    pairs = frames.select(KEY, "frame_index", "time", "pixels", before.alias("before")).where(F.col("before").isNotNull())
+    return pairs.select(KEY, "frame_index", "time", mean_difference(F.col("before"), F.col("pixels")).alias("value"))
+
+
 def heatmap(changes: DataFrame, videos: DataFrame) -> DataFrame:
     """(video_id, second, value): mean change per second, dense, scaled to 0..1; empty seconds count as 0 first."""
     return series.min_max(series.fill_gaps(series.second_means(changes), videos))

@@ -64,6 +64,12 @@ def adaptive_cuts(deltas: DataFrame, ratio: float = 3.0, least_delta: float = 15
     return scored.groupBy(KEY).agg(F.array_sort(F.collect_list(hit)).alias("t")).select(KEY, F.explode(accepted_cuts(F.col("t"), min_length)).alias("time"))
 
 
+def content_cuts(deltas: DataFrame, threshold: float = 27.0, min_length: float = 0.6) -> DataFrame:
+    """(video_id, time): 0 and the times whose delta reaches the threshold, min_length apart."""
+    hit = F.when(F.col("value") >= threshold, F.col("time"))
+    return deltas.groupBy(KEY).agg(F.array_sort(F.collect_list(hit)).alias("t")).select(KEY, F.explode(accepted_cuts(F.col("t"), min_length)).alias("time"))
+
+
 def scenes_between(cuts: DataFrame, videos: DataFrame) -> DataFrame:
     """(video_id, index, start, end): from each cut to the next, the last to the end of the video."""
     ends = cuts.join(videos.select(KEY, "duration"), KEY).withColumn("end", F.coalesce(F.lead("time").over(by_video("time")), "duration"))

@@ -20,10 +20,17 @@ def everything() -> Window:
     return by_video().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
 
-def valid_points(points: DataFrame, time_col: str = "time", value_col: str = "value") -> DataFrame:
-    """(video_id, time, value) as doubles; rows whose time or value is missing or no number go."""
+def valid_points(points: DataFrame, time_col: str = "time", value_col: str = "value", keep_nan: bool = True) -> DataFrame:
+    """(video_id, time, value) as doubles; rows whose time or value is missing or can't be read as a number go."""
     out = points.select(KEY, F.col(time_col).try_cast("double").alias("time"), F.col(value_col).try_cast("double").alias("value"))
-    return out.dropna(subset=["time", "value"])
+    return out.where(F.col("time").isNotNull() & F.col("value").isNotNull()) if keep_nan else out.dropna(subset=["time", "value"])
+
+
+def zipped_points(rows: DataFrame, times: str, values: str) -> DataFrame:
+    """(video_id, time, value) of two arrays side by side; what the longer one has more is left out."""
+    n = F.least(F.size(times), F.size(values))
+    pairs = F.when(n > 0, F.arrays_zip(F.slice(times, F.lit(1), n).alias("time"), F.slice(values, F.lit(1), n).alias("value")))
+    return rows.select(KEY, F.inline(pairs))
 
 
 def second_means(points: DataFrame) -> DataFrame:
@@ -40,11 +47,21 @@ def grid(videos: DataFrame, step: float = 1.0) -> DataFrame:
 
 
 def fill_gaps(means: DataFrame, videos: DataFrame) -> DataFrame:
-    """Every second of videos of known duration, 0 where there is none; observed seconds only of the others."""
-    seconds = grid(videos, 1.0).select(KEY, F.col("slot").alias("second"))
-    dense = seconds.join(means, [KEY, "second"], "left").select(KEY, "second", F.coalesce("value", F.lit(0.0)).alias("value"))
-    open_ended = videos.where(F.col("duration").isNull()).select(KEY)
-    return dense.unionByName(means.join(open_ended, KEY, "left_semi"))
+    """Every second of videos of known duration, 0 where there is none; observed seconds only of the others.
+
+    One union and one partitioning by video serve the grid, the means and what is known of each video.
+    """
+    none = {"second": "long", "value": "double", "dense": "boolean", "open": "boolean"}
+
+    def rows(df: DataFrame, **given: Column) -> DataFrame:
+        return df.select(KEY, *[given.get(c, F.lit(None).cast(kind)).alias(c) for c, kind in none.items()])
+
+    grid_rows = rows(grid(videos, 1.0), second=F.col("slot"), dense=F.lit(True))
+    both = grid_rows.unionByName(rows(videos, open=F.col("duration").isNull())).unionByName(rows(means, second=F.col("second"), value=F.col("value")))
+    held = both.repartition(KEY).groupBy(KEY, "second").agg(F.max("value").alias("value"), F.max("dense").alias("dense"), F.max("open").alias("open"))
+    held = held.withColumn("open", F.max("open").over(by_video()))
+    dense = F.coalesce("dense", F.lit(False))
+    return held.where(F.col("second").isNotNull() & (dense | F.coalesce("open", F.lit(False)))).select(KEY, "second", F.coalesce("value", F.when(dense, F.lit(0.0))).alias("value"))
 
 
 def min_max(df: DataFrame, column: str = "value") -> DataFrame:
@@ -91,24 +108,29 @@ def interpolate_all(signals: dict[str, DataFrame], targets: DataFrame) -> DataFr
     wanted = targets.select(KEY, "time", F.struct(*[F.col(c) for c in columns], F.lit(True).alias("wanted")).alias("rest"), *[F.lit(None).cast("double").alias(v) for v in value.values()])
     rows = wanted.unionByName(points.withColumn("rest", F.lit(None).cast(wanted.schema["rest"].dataType)))
     # points stand before the target of the same time in either direction
-    back = by_video("time", F.col("rest").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = by_video(F.desc("time"), F.col("rest").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    seen = rows
-    for k, v in enumerate(value.values()):
-        point = F.when(F.col(v).isNotNull(), F.struct(F.col("time").alias("t"), F.col(v).alias("v")))
-        seen = seen.withColumns({f"p{k}": F.last(point, ignorenulls=True).over(back), f"q{k}": F.last(point, ignorenulls=True).over(ahead), f"n{k}": F.count(v).over(everything()), f"m{k}": F.max(v).over(everything())})
-
-    def at(k: int) -> Column:
-        p, q = F.col(f"p{k}"), F.col(f"q{k}")
-        span = q["t"] - p["t"]
-        between = F.when(span == 0, p["v"]).otherwise(p["v"] + (q["v"] - p["v"]) / span * (F.col("time") - p["t"]))
-        inside = p.isNotNull() & q.isNotNull()
-        return F.coalesce(F.when(F.col(f"n{k}") == 1, F.col(f"m{k}")).when(inside, between), F.lit(0.0))
-
-    found = [at(k).alias(n) for k, n in enumerate(names)]
+    seen = carried(rows, list(value.values()), F.col("rest").isNotNull())
+    found = [interpolated(v).alias(n) for n, v in value.items()]
     return seen.where(F.col("rest").isNotNull()).select(KEY, "time", *[F.col(f"rest.`{c}`").alias(c) for c in columns], *found)
 
 
+def carried(rows: DataFrame, values: list[str], *after: Column) -> DataFrame:
+    """rows (video_id, time, values) with what interpolated() needs: of each column the points before and after, their count, their maximum."""
+    back = by_video("time", *after).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = by_video(F.desc("time"), *after).rowsBetween(Window.unboundedPreceding, 0)
+    point = {v: F.when(F.col(v).isNotNull(), F.struct(F.col("time").alias("t"), F.col(v).alias("v"))) for v in values}
+    seen = rows.withColumns({f"{v}_p": F.last(x, ignorenulls=True).over(back) for v, x in point.items()})
+    seen = seen.withColumns({f"{v}_q": F.last(x, ignorenulls=True).over(ahead) for v, x in point.items()})
+    return seen.withColumns({f"{v}_{k}": f(v).over(everything()) for v in values for k, f in (("n", F.count), ("m", F.max))})
+
+
+def interpolated(v: str) -> Column:
+    """Of a row of carried(): the column's value at its time; 0 outside the points, a single one holds everywhere."""
+    p, q = F.col(f"{v}_p"), F.col(f"{v}_q")
+    span = q["t"] - p["t"]
+    between = F.when(span == 0, p["v"]).otherwise(p["v"] + (q["v"] - p["v"]) / span * (F.col("time") - p["t"]))
+    return F.coalesce(F.when(F.col(f"{v}_n") == 1, F.col(f"{v}_m")).when(p.isNotNull() & q.isNotNull(), between), F.lit(0.0))
+
+
 def interpolate(points: DataFrame, targets: DataFrame, name: str = "value") -> DataFrame:
     """interpolate_all() of one signal."""
     return interpolate_all({name: points}, targets)

@@ -92,6 +92,11 @@ def humor(segments: DataFrame, language: Language = RUSSIAN) -> DataFrame:
     return segments.select(KEY, "pos", midpoint().alias("time"), humor_score(F.col("text"), language).alias("score"))
 
 
+def in_time_order(scores: DataFrame) -> DataFrame:
+    """scores with `place`, from 1: by time, those of one time in order of position."""
+    return scores.withColumn("place", F.row_number().over(by_video("time", "pos")))
+
+
 def humor_summary(scores: DataFrame, threshold: float) -> DataFrame:
     return scores.groupBy(KEY).agg(F.coalesce(F.avg("score"), F.lit(0.0)).alias("mean"), F.coalesce(F.max("score"), F.lit(0.0)).alias("max"), F.count_if(F.col("score") > threshold).alias("count_positive"))
 

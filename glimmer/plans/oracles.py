@@ -187,6 +187,25 @@ def sql(select: str, last: str) -> str:
     return "WITH RECURSIVE " + ",\n".join(f"{p} AS ({PARTS[p]})" for p in PARTS if p in needed) + f"\n{select}"
 
 
+PARTS |= {
+    "pix": "SELECT video_id, (time * 2)::BIGINT AS frame_index, time, list_transform(h, lambda x: floor(abs(x) * 100)::INT) AS px FROM hist",
+    "pixpairs": "SELECT * FROM (SELECT *, lag(px) OVER (PARTITION BY video_id ORDER BY frame_index) AS before FROM pix) WHERE before IS NOT NULL",
+    "ccuts": """SELECT video_id, 0.0::DOUBLE AS time FROM hscore GROUP BY video_id
+      UNION SELECT s.video_id, min(c.time) FROM ccuts s JOIN hscore c ON s.video_id = c.video_id AND c.score >= 0.9::DOUBLE AND c.time - s.time >= 1.5::DOUBLE GROUP BY s.video_id, s.time""",
+    "adapt": """SELECT video_id, time, score FROM (SELECT *, (sum(score) OVER w - score) / greatest(count(*) OVER w - 1, 1) AS around FROM hscore WINDOW w AS (PARTITION BY video_id ORDER BY time ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING))
+      WHERE score >= 0.5 AND (around <= 1e-5 OR score / around >= 1.02::DOUBLE)""",
+    "acuts": """SELECT video_id, 0.0::DOUBLE AS time FROM hscore GROUP BY video_id
+      UNION SELECT s.video_id, min(c.time) FROM acuts s JOIN adapt c ON s.video_id = c.video_id AND c.time - s.time >= 1.5::DOUBLE GROUP BY s.video_id, s.time""",
+    "power": "SELECT video_id, time, avg(value * value) AS v FROM sig WHERE event_type = 'view' GROUP BY ALL",
+    "louds": "SELECT video_id, event_id, time, value FROM sig WHERE event_type <> 'view' AND video_id IN (SELECT video_id FROM power)",
+    "resampled": """SELECT video_id, time, value AS loudness, CASE WHEN n = 1 THEN m WHEN pt IS NULL OR qt IS NULL THEN 0.0::DOUBLE WHEN qt = pt THEN pv ELSE pv + (qv - pv) / (qt - pt) * (time - pt) END AS energy
+      FROM (SELECT video_id, event_id, time, value, last_value(pt IGNORE NULLS) OVER b AS pt, last_value(pv IGNORE NULLS) OVER b AS pv, last_value(pt IGNORE NULLS) OVER a AS qt, last_value(pv IGNORE NULLS) OVER a AS qv,
+                   count(pv) OVER (PARTITION BY video_id) AS n, max(pv) OVER (PARTITION BY video_id) AS m
+            FROM (SELECT video_id, event_id, time, value, NULL::DOUBLE AS pt, NULL::DOUBLE AS pv, 1 AS w FROM louds UNION ALL SELECT video_id, NULL, time, NULL, time, v, 0 FROM power)
+            WINDOW b AS (PARTITION BY video_id ORDER BY time, w ROWS UNBOUNDED PRECEDING), a AS (PARTITION BY video_id ORDER BY time DESC, w ROWS UNBOUNDED PRECEDING)) WHERE event_id IS NOT NULL""",
+    "told": "SELECT video_id, slot, motion, audio_loudness, has_laughter, has_loud_sound, covered FROM rows_ JOIN cover USING (video_id, slot)",
+}
+
 _CHAPTER = """CASE WHEN contains(topic, '_') THEN array_to_string(string_split(topic, '_')[1:2], ' ') WHEN topic = 'silence' THEN 'Пауза' WHEN topic = 'general' THEN 'Общий контент' WHEN topic = 'intro' THEN 'Вступление'
   WHEN topic = 'dialog' THEN 'Диалог' WHEN topic = 'action' THEN 'Экшн' WHEN topic = 'comedy' THEN 'Комедия' ELSE upper(topic[1]) || lower(topic[2:]) END"""
 _TOLD = "list_filter([CASE WHEN motion > 0.5 THEN 'высокая активность' END, CASE WHEN humor > 0.3 THEN 'юмористический контент' END, CASE WHEN sentiment > 0.4 THEN 'эмоциональные моменты' END, CASE WHEN dialogue THEN 'диалоги' END], lambda x: x IS NOT NULL)"
@@ -253,6 +272,21 @@ ORACLES: dict[str, str] = {
     "w16_j5_topic_blocks": sql("SELECT video_id, block, pos FROM held", "held"),
     "w17_merge": sql(f"""SELECT video_id, "start", "end", {r6('score')} AS score FROM mrg50""", "mrg50"),
     "w18_absorb_short": sql(f"""SELECT video_id, chapter, {r6('"start"')} AS "start", {r6('"end"')} AS "end", topic FROM chaps""", "chaps"),
+    "a7_pixel_difference": sql(f"SELECT video_id, frame_index, time, {r6('list_sum(list_transform(list_zip(px, before), lambda z: abs(z[1] - z[2])))::DOUBLE / len(px)')} AS value FROM pixpairs", "pixpairs"),
+    "a8_moving_fraction": sql(f"SELECT video_id, frame_index, {r6('CASE WHEN list_max(px) > 0 THEN len(list_filter(px, lambda x: x::DOUBLE / list_max(px) > 0.3::DOUBLE))::DOUBLE / len(px) ELSE 0.0::DOUBLE END')} AS value FROM pix", "pix"),
+    "f8_covered_dialogue": sql(f"""SELECT video_id, slot, coalesce(covered, false) AS is_dialogue, {r6(clip("0.4::DOUBLE * motion + 0.3::DOUBLE * audio_loudness + 0.2::DOUBLE * " + clip("0.5::DOUBLE * has_laughter::INT + 0.3::DOUBLE * has_loud_sound::INT")))} AS interest FROM told""", "told"),
+    "f9_unsnapped": sql(f"""SELECT video_id, peak, {r6('s')} AS "start", {r6('e')} AS "end" FROM placed""", "placed"),
+    "f12_document": sql(f"""SELECT v.video_id, round(v.duration, 4) AS duration, s.transcript, s.positions, s.texts, round(s.sum_of_starts, 4) AS sum_of_starts, t.topics, c.titles, round(c.chapter_seconds, 4) AS chapter_seconds
+      FROM sv v JOIN (SELECT video_id, string_agg(text, ' ' ORDER BY pos) AS transcript, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS positions, string_agg(text, '|' ORDER BY pos) AS texts, sum("start") AS sum_of_starts FROM seg GROUP BY video_id) s USING (video_id)
+      JOIN (SELECT video_id, string_agg(topic, '|' ORDER BY block) AS topics FROM topics GROUP BY video_id) t USING (video_id)
+      JOIN (SELECT video_id, string_agg('Глава ' || chapter || ': ' || {_CHAPTER}, '|' ORDER BY chapter) AS titles, sum({r6('"end"')} - {r6('"start"')}) AS chapter_seconds FROM stats GROUP BY video_id) c USING (video_id)""", "stats"),
+    "j13_energy_on_loudness": sql("SELECT video_id, round(time, 4) AS time, loudness, round(energy, 4) AS energy FROM resampled", "resampled"),
+    "j14_zipped_points": sql("""SELECT video_id, a.t AS time, b.pos AS value FROM (SELECT video_id, "start" AS t, row_number() OVER (PARTITION BY video_id ORDER BY "start") AS i FROM seg) a JOIN (SELECT video_id, pos, row_number() OVER (PARTITION BY video_id ORDER BY pos) AS i FROM seg WHERE pos % 3 <> 2) b USING (video_id, i)""", "seg"),
+    "k2_time_order": sql("SELECT video_id, pos, floor(time / 20)::DOUBLE AS time, row_number() OVER (PARTITION BY video_id ORDER BY floor(time / 20), pos)::INT AS place FROM funny", "funny"),
+    "p11_scene_starts": sql("""SELECT DISTINCT video_id, "start"::DOUBLE AS time FROM numbered""", "numbered"),
+    "p15_score_or_sentiment": sql(f"SELECT video_id, {r6('time')} AS time, {r6('CASE WHEN value > 100 THEN value ELSE value / 2 END')} AS value FROM sig", "sig"),
+    "w6_adaptive_cuts": sql("SELECT video_id, time FROM acuts", "acuts"),
+    "w6_content_cuts": sql("SELECT video_id, time FROM ccuts", "ccuts"),
 }
 for _key, _test in (("j3_snap_inclusive", "<= 5"), ("j4_snap_strict", "< 5")):
     ORACLES[_key] = sql(f"""SELECT video_id, event_id, {_snap('t', _test)} AS snapped, {_near('t')} AS near FROM (SELECT video_id, event_id, floor(time)::DOUBLE AS t FROM sig)

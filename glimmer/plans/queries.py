@@ -6,12 +6,13 @@ Series that later meet a threshold are rounded before it, so that the same compa
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimmer.config import EngineConfig
-from glimmer.functions.expressions import nearest, signed_confidence
+from glimmer.functions.expressions import signed_confidence
 from glimmer.operators import audio, chapters, document, fusion, intervals, motion, scenes, series, text
 from glimmer.operators.series import KEY
 from glimmer.sources import media, tables
@@ -44,7 +45,8 @@ def _heat(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _levels(spark: SparkSession, d: str) -> DataFrame:
-    return _signals(spark, d).groupBy(KEY, "time").agg(F.avg("value").alias("rms"))
+    # partitioned by video at once, as what follows needs it
+    return _signals(spark, d).select(KEY, "time", "value").repartition(KEY).groupBy(KEY, "time").agg(F.avg("value").alias("rms"))
 
 
 def _features(spark: SparkSession, d: str) -> DataFrame:
@@ -329,9 +331,9 @@ def j4_snap_strict(spark: SparkSession, d: str) -> DataFrame:
 
 def _snap(spark: SparkSession, d: str, inclusive: bool) -> DataFrame:
     points = _signals(spark, d).select(KEY, "event_id", F.floor("time").cast("double").alias("t"))
-    marks = intervals.boundary_arrays(_marks(spark, d).select(KEY, F.floor("time").cast("double").alias("time")))
-    held = points.join(marks, KEY)
-    return held.select(KEY, "event_id", intervals.snapped(F.col("t"), F.col("marks"), 5.0, inclusive).alias("snapped"), nearest(F.col("marks"), F.col("t")).alias("near"))
+    marks = _marks(spark, d).select(KEY, F.floor("time").cast("double").alias("time"))
+    found = intervals.snap_to_marks(points, marks, 5.0, inclusive, "t").where(F.col("near").isNotNull())
+    return found.select(KEY, "event_id", "snapped", "near")
 
 
 def f9_candidates(spark: SparkSession, d: str) -> DataFrame:
@@ -340,10 +342,7 @@ def f9_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    line = _timeline(spark, d)
-    found = intervals.candidates(_peaks(line), _videos(spark, d), intervals.boundary_arrays(_marks(spark, d)), CONFIG)
-    held = found.join(intervals.interest_arrays(line), KEY)
-    return rounded(held.select(KEY, "peak", "start", "end", intervals.mean_in_window(F.col("points"), F.col("start"), F.col("end")).alias("score")), "start", "end", "score")
+    return rounded(intervals.scored_candidates(_timeline(spark, d), _videos(spark, d), _marks(spark, d), CONFIG), "start", "end", "score")
 
 
 def j6_window_mean(spark: SparkSession, d: str) -> DataFrame:
@@ -355,8 +354,9 @@ def k4_nms_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w17_merge(spark: SparkSession, d: str) -> DataFrame:
-    kept = intervals.suppressed(_scored(spark, d), 50)
-    return rounded(intervals.merged(kept, intervals.interest_arrays(_timeline(spark, d)), 24.0), "score")
+    wide = replace(CONFIG, top_k=50, merge_gap=24.0)
+    found = intervals.highlights(_timeline(spark, d), _videos(spark, d), _marks(spark, d), wide)
+    return rounded(found.select(KEY, "start", "end", "score"), "start", "end", "score")
 
 
 def highlights(spark: SparkSession, d: str) -> DataFrame:
@@ -396,8 +396,12 @@ def s11_truncate(spark: SparkSession, d: str) -> DataFrame:
     return cut.select(KEY, "t.truncated", "t.total_length", F.array_join(F.transform("t.first_items", lambda x: x.cast("string")), ",").alias("first_items"), F.array_join(F.transform("t.last_items", lambda x: x.cast("string")), ",").alias("last_items"))
 
 
+_DOCUMENT = """video_info struct<duration_seconds: double>, transcript string, segments array<struct<pos: long, start: double, text: string>>,
+  topics array<struct<block: int, topic: string>>, chapters array<struct<chapter: int, start: double, end: double, title: string>>"""
+
+
 def f12_document(spark: SparkSession, d: str) -> DataFrame:
-    """The JSON document of each transcript."""
+    """The JSON document of each transcript, field by field as it reads back."""
     segments, videos = _segments(spark, d), _segment_videos(spark, d)
     sections = {
         "segments": document.listed(segments, "segments", "pos"),
@@ -405,7 +409,84 @@ def f12_document(spark: SparkSession, d: str) -> DataFrame:
         "topics": document.listed(_topics(spark, d), "topics", "block"),
         "chapters": document.listed(f10_f11_chapters(spark, d), "chapters", "chapter"),
     }
-    return document.as_json(document.document(videos, sections))
+    read = document.as_json(document.document(videos, sections)).select(KEY, F.from_json("json", _DOCUMENT).alias("doc"))
+
+    def joined(section: str, field: str, mark: str) -> Column:
+        return F.array_join(F.transform(F.col(f"doc.{section}"), lambda x: x[field].cast("string")), mark)
+
+    seconds = F.aggregate("doc.chapters", F.lit(0.0), lambda acc, c: acc + (c["end"] - c["start"]))
+    starts = F.aggregate("doc.segments", F.lit(0.0), lambda acc, x: acc + x["start"])
+    out = read.select(
+        KEY, F.col("doc.video_info.duration_seconds").alias("duration"), F.col("doc.transcript").alias("transcript"), joined("segments", "pos", ",").alias("positions"), joined("segments", "text", "|").alias("texts"),
+        starts.alias("sum_of_starts"), joined("topics", "topic", "|").alias("topics"), joined("chapters", "title", "|").alias("titles"), seconds.alias("chapter_seconds"),
+    )
+    return rounded(out, "duration", "sum_of_starts", "chapter_seconds", places=4)
+
+
+def _pixels(spark: SparkSession, d: str) -> DataFrame:
+    """Stand-in frames of whole numbers, so that sums are exact."""
+    grey = F.transform("hist", lambda x: F.floor(F.abs(x.cast("double")) * 100).cast("int"))
+    return tables.histograms(spark, d).select(KEY, (F.col("time") * 2).cast("long").alias("frame_index"), "time", grey.alias("pixels"))
+
+
+def a7_pixel_difference(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(motion.pixel_differences(_pixels(spark, d)), "value")
+
+
+def a8_moving_fraction(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(_pixels(spark, d).select(KEY, "frame_index", motion.moving_fraction(F.col("pixels"), 0.3).alias("value")), "value")
+
+
+def _deltas(spark: SparkSession, d: str) -> DataFrame:
+    return _hist_scores(spark, d).select(KEY, "time", F.col("score").alias("value"))
+
+
+def w6_content_cuts(spark: SparkSession, d: str) -> DataFrame:
+    return scenes.content_cuts(_deltas(spark, d), 0.9, 1.5)
+
+
+def w6_adaptive_cuts(spark: SparkSession, d: str) -> DataFrame:
+    return scenes.adaptive_cuts(_deltas(spark, d), ratio=1.02, least_delta=0.5, min_length=1.5)
+
+
+def j13_energy_on_loudness(spark: SparkSession, d: str) -> DataFrame:
+    rows = _signals(spark, d)
+    loud = rows.where(F.col("event_type") != "view").select(KEY, "time", "value")
+    energy = rows.where(F.col("event_type") == "view").select(KEY, "time", (F.col("value") * F.col("value")).alias("value"))
+    return rounded(audio.on_loudness_times(loud, energy), "time", "energy", places=4)
+
+
+def j14_zipped_points(spark: SparkSession, d: str) -> DataFrame:
+    lists = _segments(spark, d).groupBy(KEY).agg(F.array_sort(F.collect_list("start")).alias("starts"), F.array_sort(F.collect_list(F.when(F.col("pos") % 3 != 2, F.col("pos")))).alias("positions"))
+    return series.zipped_points(lists, "starts", "positions")
+
+
+def k2_time_order(spark: SparkSession, d: str) -> DataFrame:
+    coarse = text.humor(_segments(spark, d), _MARKERS).withColumn("time", F.floor(F.col("time") / 20).cast("double"))
+    return text.in_time_order(coarse).select(KEY, "pos", "time", "place")
+
+
+def p11_scene_starts(spark: SparkSession, d: str) -> DataFrame:
+    return scenes.boundaries(u1_scene_boundaries(spark, d))
+
+
+def p15_score_or_sentiment(spark: SparkSession, d: str) -> DataFrame:
+    rows = _signals(spark, d).select(KEY, "event_id", "time", F.when(F.col("value") > 100, F.col("value")).alias("score"), (F.col("value") / 2).alias("sentiment"))
+    return rounded(fusion.score_or_sentiment(rows), "time", "value")
+
+
+def f8_covered_dialogue(spark: SparkSession, d: str) -> DataFrame:
+    """Dialogue where the audio tells nothing: what segments cover."""
+    silent = _features(spark, d).withColumn("speech_probability", F.lit(0.0))
+    none = _scores(spark, d, "none", 0.0)
+    heat = _heat(spark, d).select(KEY, F.col("second").cast("double").alias("time"), "value")
+    out = fusion.timeline(_videos(spark, d), heat, silent, none, none, _events(spark, d), _marks(spark, d), _spans(spark, d), replace(CONFIG, normalize_weights=False))
+    return rounded(out, "interest").select(KEY, "slot", "is_dialogue", "interest")
+
+
+def f9_unsnapped(spark: SparkSession, d: str) -> DataFrame:
+    found = intervals.scored_candidates(_timeline(spark, d), _videos(spark, d), _marks(spark, d), replace(CONFIG, snap_to_scenes=False))
+    return rounded(found.select(KEY, "peak", "start", "end"), "start", "end")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
@@ -416,4 +497,6 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     k4_nms_topk, p1_frame_sampling_diff, p2_rate_sampling, p5_transcript_filter, p6_scene_filter, p7_valid_points, p8_usable_segments, p10_label_score, s2_video_info, s11_truncate, u1_scene_boundaries,
     w5_shot_boundaries, w6_adaptive_ratio, w7_smoothing_zero_pad, w8_speech_probability, w9_peaks_distance_prominence, w10_peak_fallback, w11_peak_extent,
     w12_interest_peaks, w13_best_window, w16_j5_topic_blocks, w17_merge, w18_absorb_short,
+    a7_pixel_difference, a8_moving_fraction, f8_covered_dialogue, f9_unsnapped, j13_energy_on_loudness, j14_zipped_points, k2_time_order, p11_scene_starts, p15_score_or_sentiment,
+    w6_content_cuts, w6_adaptive_cuts,
 )}

@@ -57,7 +57,7 @@ def chapter_stage(have: Mapping[str, DataFrame], config: EngineConfig) -> Mappin
 
 
 def document_stage(have: Mapping[str, DataFrame], config: EngineConfig) -> Mapping[str, DataFrame]:
-    orders = {"motion": ["time"], "audio": ["time"], "segments": ["pos"], "sentiment": ["time"], "humor": ["time"], "topics": ["block"], "events": ["time"], "boundaries": ["time"], "timeline": ["time"], "highlights": ["start"], "chapters": ["chapter"]}
+    orders = {"motion": ["time"], "audio": ["time"], "segments": ["pos"], "sentiment": ["time"], "humor": ["time", "pos"], "topics": ["block"], "events": ["time"], "boundaries": ["time"], "timeline": ["time"], "highlights": ["start"], "chapters": ["chapter"]}
     sections = {k: document.listed(have[k], k, *order) for k, order in orders.items()}
     return {"document": document.document(have["videos"], sections)}
 

@@ -10,11 +10,14 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimmer.operators.series import KEY
 
+#: The label that counts neither way.
+NEUTRAL = "NEUTRAL"
 #: path -> rows of the decoder's schema, without video_id.
 Decoder = Callable[[str], Iterator[pd.DataFrame]]
 
@@ -25,6 +28,23 @@ def files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     return found.select(F.element_at(F.split("path", "/"), -1).alias(KEY), "path", F.col("length").alias("file_size_bytes"))
 
 
+def one_file(spark: SparkSession, path: str | None) -> DataFrame:
+    """files() of a single file; a missing or empty path, one that leads nowhere and a folder are errors."""
+    if not path:
+        raise ValueError("no path is given")
+    try:
+        found = files(spark, path)
+        rows = found.select("path").limit(2).collect()
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(path) from error
+        raise
+    named = path.rstrip("/").split("://")[-1].split("/")[-1]
+    if len(rows) != 1 or rows[0]["path"].split("/")[-1] != named:
+        raise IsADirectoryError(path)
+    return found
+
+
 def video_info(rows: DataFrame) -> DataFrame:
     """rows (video_id, fps, frame_count, file_size_bytes) with usable fps (25 unless positive and finite) and the duration.
 
@@ -66,17 +86,29 @@ def transcribed(audio: DataFrame, load: Callable[[], Any], transcribe: Callable[
     return audio.select(KEY, "path").mapInPandas(run, "video_id string, pos long, start double, end double, text string")
 
 
-def classified(segments: DataFrame, load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]], batch: int = 8) -> DataFrame:
-    """(video_id, time, label, confidence) of usable segments (video_id, start, end, text), `batch` texts at a time."""
+def classified(segments: DataFrame, load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]], batch: int = 8, most_words: int = 256) -> DataFrame:
+    """(video_id, time, label, confidence) of usable segments (video_id, start, end, text), `batch` texts at a time.
+
+    A model gets the first most_words words of a text. Where it can't be loaded every segment is neutral, as by the rule.
+    """
+
+    def neutral(texts: list[str]) -> list[tuple[str, float]]:
+        return [(NEUTRAL, 0.0)] * len(texts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = None
         for rows in batches:
-            model = load() if model is None else model
-            found = [x for k in range(0, len(rows), batch) for x in model(rows["text"].iloc[k : k + batch].tolist())]
+            if model is None:
+                try:
+                    model = load()
+                except Exception:  # no such model or library here: the rule holds
+                    model = neutral
+            texts = rows["text"].tolist()
+            found = [x for k in range(0, len(rows), batch) for x in model(texts[k : k + batch])]
             yield pd.DataFrame({KEY: rows[KEY], "time": rows["time"], "label": [x[0] for x in found], "confidence": [float(x[1]) for x in found]})
 
-    timed = segments.select(KEY, ((F.col("start") + F.col("end")) / 2).alias("time"), "text")
+    words = F.slice(F.split(F.trim("text"), r"\s+"), 1, most_words)
+    timed = segments.select(KEY, ((F.col("start") + F.col("end")) / 2).alias("time"), F.when(F.size(F.split(F.trim("text"), r"\s+")) > most_words, F.array_join(words, " ")).otherwise(F.col("text")).alias("text"))
     return timed.mapInPandas(run, "video_id string, time double, label string, confidence double")
 
 

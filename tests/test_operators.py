@@ -233,3 +233,69 @@ def test_decoders_and_models_are_plugged_in(spark, tmp_path):
     assert heard.first()["text"] == "model"
     told = media.classified(heard, lambda: lambda texts: [("POSITIVE", 0.5)] * len(texts))
     assert text.model_sentiment(told).first()["score"] == 0.5
+
+
+def test_a_model_that_cannot_be_loaded_is_neutral_and_long_texts_are_cut(spark):
+    def broken():
+        raise ImportError("no such library")
+
+    rows = segments(spark, ("one two  three", 0, 2), ("x", 2, 4))
+    told = media.classified(rows, broken)
+    assert [r["score"] for r in text.model_sentiment(told).collect()] == [0, 0] == [r["score"] for r in text.rule_sentiment(rows).collect()]
+    seen = media.classified(rows, lambda: lambda texts: [(t, 1.0) for t in texts], most_words=2)
+    assert sorted(r["label"] for r in seen.collect()) == ["one two", "x"]
+
+
+def test_one_file(spark, tmp_path):
+    (tmp_path / "x.bin").write_bytes(b"abcd")
+    assert media.one_file(spark, str(tmp_path / "x.bin")).first()["file_size_bytes"] == 4
+    for path, error in ((None, ValueError), ("", ValueError), (str(tmp_path / "none"), FileNotFoundError), (str(tmp_path), IsADirectoryError)):
+        with pytest.raises(error):
+            media.one_file(spark, path)
+
+
+def test_settings_come_from_a_file_and_the_environment(tmp_path, monkeypatch):
+    (tmp_path / "s.env").write_text("# settings\nGLIMMER_TOP_K=3\nGLIMMER_STEP = '0.5'\nGLIMMER_SNAP_TO_SCENES=no\nOTHER=1\n")
+    monkeypatch.setenv("GLIMMER_TOP_K", "4")
+    found = EngineConfig.from_env(str(tmp_path / "s.env"))
+    assert (found.top_k, found.step, found.snap_to_scenes, found.merge_gap) == (4, 0.5, False, 3.0)
+    assert EngineConfig(weight_motion=2.0, normalize_weights=False).weights()["motion"] == 2.0
+
+
+def test_documents_are_written_as_json_lines(spark, tmp_path):
+    docs = document.document(video(spark, 2.0), {"transcript": spark.createDataFrame([("v", "привет")], "video_id string, transcript string")})
+    media.write_documents(docs, str(tmp_path / "out"))
+    assert "привет" in "".join(p.read_text(encoding="utf-8") for p in (tmp_path / "out").glob("*.json"))
+
+
+def test_zipped_points_and_scores(spark):
+    rows = spark.createDataFrame([("v", [1.0, 2.0, 3.0], [5.0, 6.0]), ("w", None, [1.0]), ("x", [], [1.0])], "video_id string, a array<double>, b array<double>")
+    assert [tuple(r) for r in series.zipped_points(rows, "a", "b").collect()] == [("v", 1.0, 5.0), ("v", 2.0, 6.0)]
+    mixed = spark.createDataFrame([("v", 0.0, 0.5, None), ("v", 1.0, None, 0.2)], "video_id string, time double, score double, sentiment double")
+    assert column(fusion.score_or_sentiment(mixed), "value") == [0.5, 0.2]
+    assert column(fusion.score_or_sentiment(mixed.drop("score")), "value") == [None, 0.2]
+
+
+def test_snapping_to_marks_without_arrays(spark):
+    marks = spark.createDataFrame([("v", 0.0), ("v", 5.0), ("v", 10.0), ("v", None)], "video_id string, time double")
+    rows = spark.createDataFrame([("v", 2.5, 1), ("v", 7.6, 2), ("v", 15.0, 3), ("v", 5.0, 4), ("w", 1.0, 5)], "video_id string, time double, row int")
+    found = {r["row"]: (r["near"], r["snapped"]) for r in intervals.snap_to_marks(rows, marks, 5.0, False).collect()}
+    assert found == {1: (0.0, 0.0), 2: (10.0, 10.0), 3: (10.0, 15.0), 4: (5.0, 5.0), 5: (None, 1.0)}
+
+
+def test_means_by_running_sums_are_those_of_the_points(spark):
+    rng = np.random.default_rng(1)
+    t, x = np.sort(rng.uniform(0, 100, 300)), rng.random(300)
+    line = points(spark, *zip(t, x, strict=True)).withColumnRenamed("value", "interest")
+    ends = [(float(a), float(b)) for a, b in rng.uniform(-10, 110, (60, 2))] + [(float(t[3]), float(t[9])), (200.0, 300.0)]
+    held = spark.createDataFrame([("v", a, b) for a, b in ends], "video_id string, a double, b double").join(intervals.interest_arrays(line), KEY)
+    for r in held.select("a", "b", intervals.mean_in_window(F.col("points"), F.col("a"), F.col("b")).alias("m")).collect():
+        inside = x[(t >= r["a"]) & (t <= r["b"])]
+        assert r["m"] == pytest.approx(inside.mean() if len(inside) else 0, abs=1e-12)
+
+
+def test_pixels(spark):
+    rows = spark.createDataFrame([("v", 0, 0.0, [0, 4]), ("v", 1, 1.0, [2, 0]), ("v", 2, 2.0, [])], "video_id string, frame_index long, time double, pixels array<int>")
+    assert column(motion.pixel_differences(rows.where("frame_index < 2")), "value") == [3.0]
+    flow = spark.createDataFrame([(1, [0.0, 1.0, 0.05, 0.2]), (2, [0.0, 0.0]), (3, [])], "k int, m array<double>")
+    assert column(flow.select("k", motion.moving_fraction(F.col("m")).alias("f")), "f", "k") == [0.5, 0.0, 0.0]
