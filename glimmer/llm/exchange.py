@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glimmer.llm.text_kernels import column_bytes
+from glimmer.llm.text_kernels import as_offsets, column_bytes
 
 BLOCKS = "src int, dst int, payload binary"
 BITS = "src int, kind int, dst int, n int, bits binary"
@@ -59,31 +59,42 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def range_bucket(df: DataFrame, column: str, buckets: int) -> Column:
-    """0..buckets-1, ascending with the column's value; rows of one value share a bucket, null goes to the last.
+def range_bucket(df: DataFrame, column: str, tie: str, buckets: int) -> Column:
+    """0, 1, ..., ascending with the column's value, nulls in the last ones.
 
-    The bounds are approximate quantiles of that one column, found by a map-side combined aggregate; they are
-    at most `buckets` longs, whatever the input. A row finds its range by binary search, on the JVM.
+    A value that fills several buckets, or null, is dealt out over them by a hash of `tie`; only rows that agree in both
+    have to share a bucket. The bounds are approximate quantiles of that one column, found by a map-side combined
+    aggregate: `buckets` longs. A row finds its range by bisection, on the JVM.
     """
     steps = [k / buckets for k in range(1, buckets)]
-    found = df.agg(F.percentile_approx(column, steps, 20 * buckets).alias("q")).first()["q"] if steps else None
-    bounds = sorted(set(found or []))
+    found = df.agg(F.count("*").alias("n"), F.count(column).alias("known"), F.percentile_approx(column, steps or [0.5], 20 * buckets).alias("q")).first()
+    bounds = sorted(found["q"] or []) if steps else []
+    empty = -(-buckets * (found["n"] - found["known"]) // max(1, found["n"]))  # buckets of nulls
+    value, mark = F.col(column), F.xxhash64(tie, F.lit(1))
     if not bounds:
-        return F.lit(0)
-    array = F.array(*[F.lit(b) for b in bounds])
-    jumps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+        place = F.lit(0)
+    else:
+        array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<bigint>")
+        jumps = F.array(*[F.lit(1 << k) for k in range(len(bounds).bit_length() - 1, -1, -1)])
 
-    def step(low: Column, jump: Column) -> Column:
-        return F.when((low + jump <= len(bounds)) & (F.try_element_at(array, low + jump) <= F.col(column)), low + jump).otherwise(low)
+        def before(inclusive: bool) -> Column:
+            def step(low: Column, jump: Column) -> Column:
+                bound = F.try_element_at(array, low + jump)
+                return F.when((low + jump <= len(bounds)) & (bound <= value if inclusive else bound < value), low + jump).otherwise(low)
 
-    search = F.aggregate(F.array(*[F.lit(j) for j in jumps]), F.lit(0), step)
-    return F.when(F.col(column).isNull(), F.lit(len(bounds))).otherwise(search)
+            return F.aggregate(jumps, F.lit(0), step)
 
+        place = before(True)
+        if len(set(bounds)) < len(bounds):
+            place = place - F.pmod(mark, F.greatest(place - before(False), F.lit(1))).cast("int")
+    return F.when(value.isNull(), F.lit(len(bounds) + 1) + F.pmod(mark, F.lit(max(1, empty))).cast("int")).otherwise(place).cast("int")
 
-def bucketed(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """(bucket, id, text) only; other columns don't travel."""
+
+def bucketed(docs: DataFrame, id_col: str, text_col: str, buckets: int, most_bytes: int) -> DataFrame:
+    """(bucket, id, text) only; other columns don't travel. At least `buckets` ranges of ids, of about `most_bytes` of text each at most."""
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return slim.select(range_bucket(slim, "id", buckets).alias("bucket"), "id", "text")
+    size = slim.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
+    return slim.select(range_bucket(slim, "id", "text", max(buckets, -(-size // most_bytes))).alias("bucket"), "id", "text")
 
 
 def in_order(table: pa.Table) -> pa.Table:
@@ -108,7 +119,7 @@ def split_blocks(src: int, hashes: np.ndarray, targets: int) -> pa.Table:
     some = np.flatnonzero(np.diff(edges))
     raw = np.ascontiguousarray(hashes).view(np.uint8)
     offsets = np.concatenate((edges[some], [len(hashes)])) * 8
-    payload = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(raw)])
+    payload = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(as_offsets(offsets)), pa.py_buffer(raw)])
     return pa.Table.from_arrays([pa.array(np.full(len(some), src, np.int32)), pa.array(some.astype(np.int32)), payload], schema=_BLOCKS_ARROW)
 
 
@@ -142,20 +153,13 @@ def occurs_elsewhere(hashes: np.ndarray, earlier: bool = False) -> np.ndarray:
     return flags
 
 
-def flag_shared(blocks: DataFrame, kind: int, earlier: bool, hot_sources: int | None = None) -> DataFrame:
-    """One bit per fingerprint of each block: another source bucket has it too (earlier: one before this).
-
-    With hot_sources, each bit is followed by one that tells whether at least so many source buckets have it.
-    """
+def flag_shared(blocks: DataFrame, kind: int, earlier: bool) -> DataFrame:
+    """One bit per fingerprint of each block: another source bucket has it too (earlier: one before this)."""
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.take(pc.sort_indices(table["src"]))
         hashes, sizes = block_hashes(table)
-        flags = occurs_elsewhere(hashes, earlier)
-        if hot_sources is not None:
-            _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
-            flags, sizes = np.stack((flags, times[which] >= hot_sources), axis=1).ravel(), 2 * sizes
-        return flag_rows(table, flags, sizes, kind)
+        return flag_rows(table, occurs_elsewhere(hashes, earlier), sizes, kind)
 
     return blocks.groupBy("dst").applyInArrow(compare, BITS)
 

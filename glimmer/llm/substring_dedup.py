@@ -28,6 +28,9 @@ from glimmer.llm.text_kernels import SPACE_SPLIT, Words, column_bytes, covered,
 #: Difference covers (perfect difference sets where they exist) by period.
 COVERS = {1: (0,), 3: (0, 1), 7: (0, 1, 3), 13: (0, 1, 3, 9)}
 
+#: Text of a source bucket, about: a task holds some ten times as much.
+BUCKET_BYTES = 1 << 25
+
 RESULT = "id long, n_words long, n_removed long, kept_text string"
 _RESULT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 ANCHORS, WINDOWS = 0, 1
@@ -66,15 +69,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """One row per input row: id, n_words, n_removed, kept_text (words joined by one space).
 
     Nulls: a null text has no words and is kept empty; a null id comes after all other ids. Rows that repeat an
-    id keep their own row each and are ordered by text. Texts shorter than a window are kept whole. An empty
-    table gives no rows; other columns, whatever their names, play no part. buckets: source buckets, two per
-    shuffle partition unless given; each must fit one task.
+    id keep their own row each, in an order that depends on their texts alone. Texts shorter than a window are kept
+    whole; a text is never cut. An empty table gives no rows; other columns, whatever their names, play no part.
+    buckets: the least number of source buckets, two per shuffle partition unless given; large inputs have more.
     """
     spark = docs.sparkSession
     period = max(p for p in COVERS if p <= max(1, window * 2 // 3))
     partitions = shuffle_partitions(spark)
     targets = partitions // 2 + 1
-    texts = bucketed(docs, id_col, text_col, buckets or 2 * partitions)
+    texts = bucketed(docs, id_col, text_col, buckets or 2 * partitions, BUCKET_BYTES)
 
     def anchors(table: pa.Table) -> pa.Table:
         return split_blocks(table["bucket"][0].as_py(), _Bucket(table, window, period).anchors, targets)

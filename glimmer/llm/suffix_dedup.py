@@ -1,23 +1,26 @@
 """Exact byte-level dedup: every byte inside a string of `length` bytes that occurs more than once is removed.
 
-Method: merging shards' suffix orders by interleave refinement. A shard is the part of the corpus that one source
-bucket holds. Suffixes of several shards are interleaved in the order of their first bytes, and the interleave is
-refined from right to left: the suffix SYMBOL bytes further left comes after stable sorting by those bytes (the
-shard's Burrows-Wheeler symbols, taken eight bytes at a time), so a block of suffixes with equal prefixes of h
-bytes splits into blocks with equal prefixes of h + SYMBOL bytes. No suffix is compared or sorted from scratch. The
-round in which a block splits bounds the common prefix; a block of one suffix is settled and leaves; blocks that
-still hold two or more when h reaches `length` are the repeated intervals.
-
-What is refined. All suffixes of a corpus would cost hundreds of rounds over every byte, so two exact steps
-shrink the input first. (1) Each window of `length` bytes has a minimizer: the least hash among its GRAM-byte
+Method: merging shards' Burrows-Wheeler transforms by iterative interleave refinement. A shard is the part of the
+corpus that one source bucket holds; its transform lists its suffixes in order, each with the symbol before it (eight
+bytes wide), and the lengths of the prefixes that neighbours share. Shards are merged by refining their interleave:
+at first it has the suffixes in the order of their first bytes, a merge of ordered runs; a round takes the suffixes of
+each block (equal prefixes of h bytes) in interleaved order and deals them out by the symbols before them, which gives
+the interleave, and the blocks, of prefixes of h + SYMBOL bytes. No suffix is compared or sorted again; ties keep the
+shards' own order. A block of one shard's suffixes is settled, as that shard's transform knows its common prefixes; it
+leaves. The round in which neighbours part is their common prefix; blocks that are left when h reaches `length`, and
+neighbours in a shard that share as much, are the repeated intervals.
+
+What is refined. All suffixes of a corpus would cost hundreds of rounds over every byte, so a pre-filter shrinks the
+input first, exactly. (1) Each window of `length` bytes has a minimizer: the least hash among its GRAM-byte
 substrings, leftmost on ties. Equal windows have equal minimizers, so a window whose minimizer occurs once in
 the corpus is not repeated; minimizers (about one in 80 bytes) are compared by the packed exchange. (2) Windows
-with one minimizer form a slice of text; slices go to the merge task of their minimizer, so equal windows meet.
-Slices that are equal as a whole are collapsed, within a shard before they are sent, then across shards.
+with one minimizer form a slice of text; slices go to the merge task of their minimizer, so equal windows meet, and
+slices that are equal as a whole (by a 64-bit hash within a minimizer) are one, in a shard and across shards.
 
-Hot minimizers (those in more than `hot_sources` source buckets, as in a passage that a third of all rows hold)
-could gather many different slices; their windows are compared by 64-bit hashes instead, dealt out by the hash,
-each at most once per shard. Nothing is collected and no pairs are made. Texts cross the network once.
+Minimizers with more than HOT_SLICES different slices (a phrase with other surroundings in each of very many documents)
+would gather without bound in one merge task; the count is summed before slices are sent. Their windows are compared by
+64-bit hashes instead, dealt out by the hash, each at most once per shard. Nothing is collected and no pairs are made.
+Texts cross the network once.
 """
 
 from __future__ import annotations
@@ -27,12 +30,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from glimmer.llm.exchange import BITS, BLOCKS, answer, bits_of, bucketed, flag_rows, flag_shared, in_order, occurs_elsewhere, shuffle_partitions, split_blocks, target_edges
+from glimmer.llm.exchange import BITS, answer, bits_of, bucketed, flag_rows, in_order, occurs_elsewhere, shuffle_partitions, split_blocks, target_edges
 from glimmer.llm.text_kernels import column_bytes, covered, mix, offset_portions, to_column
 
 GRAM, SYMBOL = 40, 8
 #: Bytes of slices that are refined at a time.
 PORTION = 1 << 20
+#: Different slices (some 300 bytes each) of one minimizer that a merge task takes.
+HOT_SLICES = 20_000
+#: Text of a source bucket, about: a task holds some ten times as much.
+BUCKET_BYTES = 1 << 24
 SHARED, SLICES, WINDOWS = 0, 1, 2
 
 SENT = "src int, dst int, kind int, payload binary"
@@ -106,6 +113,23 @@ def minimizer_runs(grams: np.ndarray, valid: np.ndarray, width: int) -> tuple[np
     return begins, ends, np.where(nearest <= last[home], nearest, tail[home])
 
 
+def window_hashes(raw: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """Hashes of the strings of `length` bytes (a multiple of eight) that start at these places."""
+    out = np.zeros(len(starts), np.uint64)
+    if not len(starts):
+        return out
+    words = np.ndarray((len(raw) - 7,), dtype="<u8", buffer=np.ascontiguousarray(raw).data, strides=(1,))
+    for p in range(0, len(starts), 1 << 16):
+        at = starts[p : p + (1 << 16)]
+        h = np.zeros(len(at), np.uint64)
+        for k in range(0, length, 8):
+            h ^= words[at + k]
+            h *= np.uint64(0x9FB21C651E98DF25)
+            h ^= h >> np.uint64(29)
+        out[p : p + len(at)] = mix(h)
+    return out
+
+
 class _Shard:
     """The windows and slices of one source bucket."""
 
@@ -113,8 +137,8 @@ class _Shard:
         self.docs, self.length = in_order(table), length
         self.raw, self.offsets = column_bytes(self.docs["text"])
         found = [self._runs(self.offsets[p.start : p.stop + 1]) for p in offset_portions(self.offsets, PORTION)] or [self._runs(self.offsets)]
-        # of each run: first and last window, minimizer, how far in it lies, hashes of both windows
-        self.first, self.last, self.values, self.offset, self.head, self.tail = (np.concatenate(x) for x in zip(*found, strict=True))
+        # of each run: first and last window, and minimizer
+        self.first, self.last, self.values = (np.concatenate(x) for x in zip(*found, strict=True))
         self.anchors, self.which, times = np.unique(self.values, return_inverse=True, return_counts=True)
         self.repeated = times > 1
 
@@ -122,20 +146,37 @@ class _Shard:
         """The runs of some documents; all arrays as long as their text go with this call."""
         base = int(offsets[0])
         raw = self.raw[base : offsets[-1]]
-        grams, windows = byte_grams(raw, GRAM, self.length)
+        (grams,) = byte_grams(raw, GRAM)
         room = np.repeat((offsets[1:] - base).astype(np.int32), np.diff(offsets)) - np.arange(len(raw), dtype=np.int32)
         grams[room[: len(grams)] < GRAM] = _END
-        first, last, at = minimizer_runs(grams, room[: len(windows)] >= self.length, self.length - GRAM + 1)
+        first, last, at = minimizer_runs(grams, room[: max(0, len(raw) - self.length + 1)] >= self.length, self.length - GRAM + 1)
         # minimizers are small hashes; mixed once more they are spread evenly over the merge tasks
-        return first + base, last + base, mix(grams[at]), at - first, windows[first], windows[last]
+        return first + base, last + base, mix(grams[at])
+
+    def keys(self, runs: np.ndarray) -> np.ndarray:
+        """What equal slices have in common: a hash of the first window, of the last one, and of their distance."""
+        a, b = self.first[runs], self.last[runs]
+        head, tail = window_hashes(self.raw, a, self.length), window_hashes(self.raw, b, self.length)
+        with np.errstate(over="ignore"):
+            return mix(head + mix(tail ^ (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+    def slice_counts(self) -> np.ndarray:
+        """By minimizer, the different slices that it has here."""
+        many = np.flatnonzero(self.repeated[self.which])
+        counts = np.ones(len(self.anchors), np.int64)
+        own, key = self.which[many], self.keys(many)
+        order = np.lexsort((key, own))
+        own, key = own[order], key[order]
+        new = np.concatenate(([True], (own[1:] != own[:-1]) | (key[1:] != key[:-1]))) if len(own) else np.zeros(0, bool)
+        some, times = np.unique(own[new], return_counts=True)
+        counts[some] = times
+        return counts
 
     def select(self, shared: np.ndarray, hot: np.ndarray) -> None:
         """Splits the runs with a shared minimizer into slices and hot windows, each distinct one once."""
         live = (shared | self.repeated)[self.which]
         warm = np.flatnonzero(live & ~hot[self.which])
-        a, b = self.first[warm], self.last[warm]
-        with np.errstate(over="ignore"):
-            key = mix(self.head[warm] + mix(self.tail[warm] ^ (b - a).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        key = self.keys(warm)
         order = np.lexsort((key, self.values[warm]))
         warm, key = warm[order], key[order]
         v = self.values[warm]
@@ -149,14 +190,8 @@ class _Shard:
         self.hot_twice = times > 1
 
     def _windows(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """Hashes of all windows of some runs, some runs at a time."""
-        sizes = last - first + self.length
-        out = [np.zeros(0, np.uint64)]
-        for p in offset_portions(np.concatenate(([0], np.cumsum(sizes))), PORTION):
-            hashes = byte_grams(self.raw[_ranges(first[p], last[p] + self.length)], self.length)[0]
-            begin = np.cumsum(sizes[p]) - sizes[p]
-            out.append(hashes[_ranges(begin, begin + last[p] - first[p] + 1)])
-        return np.concatenate(out)
+        """Hashes of all windows of some runs."""
+        return window_hashes(self.raw, _ranges(first, last + 1), self.length)
 
     def slice_sizes(self) -> np.ndarray:
         """Windows of each distinct slice."""
@@ -202,37 +237,92 @@ def _portions(values: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> list
     return np.split(places, first[np.flatnonzero(part[1:] != part[:-1]) + 1])
 
 
-def refine(raw: np.ndarray, bounds: np.ndarray, length: int) -> np.ndarray:
-    """Which positions of the slices raw[bounds[k]:bounds[k+1]] start a string of `length` bytes that starts elsewhere too."""
-    n = len(raw)
-    repeated = np.zeros(n, bool)
-    left = np.repeat(bounds[1:], np.diff(bounds)) - np.arange(n)  # bytes to the end of the slice
-    before = np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))
-    rounds = -(-length // SYMBOL)
-    h = length - SYMBOL * (rounds - 1)
-    symbols = eight_bytes(raw)
-    # the first interleave: by the first h bytes
-    order = np.flatnonzero(left >= h)
-    order = order[np.argsort(symbols[order] >> np.uint64(8 * (8 - h)), kind="stable")]
-    key = symbols[order] >> np.uint64(8 * (8 - h))
-    starts = np.concatenate(([True], key[1:] != key[:-1])) if len(order) else np.zeros(0, bool)
-    for k in range(rounds):
+class Transforms:
+    """The transforms of several shards' slices: raw[bounds[k]:bounds[k + 1]] is a slice of shard owner[k], shards ascending.
+
+    order: each shard's suffixes in the order of their first `length` bytes (those that end with their slice first), one
+    shard after another; symbol: the SYMBOL bytes before each; common: how many bytes each shares with the one before it
+    in its shard, in whole steps. A suffix reaches to the end of its slice; those shorter than the first key don't count.
+    """
+
+    def __init__(self, raw: np.ndarray, bounds: np.ndarray, owner: np.ndarray, length: int):
+        sizes = np.diff(bounds)
+        places, words = np.arange(len(raw)), eight_bytes(raw)
+        self.length, self.words = length, words
+        self.before = places - np.repeat(bounds[:-1], sizes)  # bytes to the start of the slice
+        self.left = np.repeat(bounds[1:], sizes) - places  # bytes to its end
+        self.shard = np.repeat(np.unique(owner, return_inverse=True)[1].astype(np.int32), sizes)
+        # the first key is what `length` has over whole symbols, or one symbol
+        self.first = length - SYMBOL * (-(-length // SYMBOL) - 1)
+        self.keys = words >> np.uint64(8 * (SYMBOL - self.first))
+        order, common = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        edges = bounds[np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True])))] if len(owner) else np.zeros(1, np.int64)
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            one = self._ordered(a + np.flatnonzero(self.left[a:b] >= self.first))
+            order.append(one[0])
+            common.append(one[1])
+        self.order, self.common = np.concatenate(order), np.concatenate(common)
+
+    def _ordered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order, common) of the suffixes of one shard, refined a symbol at a time where they still agree."""
+        at = at[np.argsort(self.keys[at], kind="stable")]
+        key = self.keys[at]
+        common = np.where(np.concatenate(([False], key[1:] == key[:-1])), self.first, 0) if len(at) else np.zeros(0, np.int64)
+        for depth in range(self.first, self.length, SYMBOL):
+            same = common == depth
+            if not same.any():
+                break
+            inside = same.copy()
+            inside[:-1] |= same[1:]
+            some = np.flatnonzero(inside)
+            block, room = np.cumsum(~same)[some], self.left[at[some]] >= depth + SYMBOL
+            symbol = np.where(room, self.words[np.minimum(at[some] + depth, len(self.words) - 1)], 0)
+            turn = np.lexsort((symbol, room, block))
+            at[some] = at[some][turn]
+            symbol, room, block = symbol[turn], room[turn], block[turn]
+            again = np.concatenate(([False], (symbol[1:] == symbol[:-1]) & room[1:] & room[:-1] & (block[1:] == block[:-1])))
+            common[some[again]] = depth + SYMBOL
+        return at, common
+
+
+def interleave(shards: Transforms) -> np.ndarray:
+    """Places of the strings of `length` bytes that several shards have, by refining the shards' interleave.
+
+    A round takes the suffixes in interleaved order and deals them out by the symbols before them, so that blocks of
+    equal prefixes get SYMBOL bytes longer to the left. A block of one shard leaves: its own transform knows it.
+    """
+    # the first interleave: ordered runs, merged by the first key, ties in the order of shards
+    at = shards.order[np.argsort(shards.keys[shards.order], kind="stable")]
+    key = shards.keys[at]
+    starts = np.concatenate(([True], key[1:] != key[:-1])) if len(at) else np.zeros(0, bool)
+    for left in range(shards.length - shards.first, -1, -SYMBOL):
         block = np.cumsum(starts) - 1
-        many = np.bincount(block, minlength=1)[block] > 1 if len(block) else np.zeros(0, bool)
-        order, block = order[many], block[many]
-        if k == rounds - 1 or not len(order):
+        parts = ~starts
+        parts[1:] &= shards.shard[at[1:]] != shards.shard[at[:-1]]
+        several = np.zeros(block[-1] + 1 if len(block) else 1, bool)
+        several[block[parts]] = True
+        live = several[block]
+        at, block = at[live], block[live]
+        if not left or not len(at):
             break
-        moves = before[order] >= SYMBOL
-        order, block = order[moves] - SYMBOL, block[moves]
-        turn = np.argsort(symbols[order], kind="stable")
-        order, block = order[turn], block[turn]
-        key = symbols[order]
-        starts = np.concatenate(([True], (key[1:] != key[:-1]) | (block[1:] != block[:-1]))) if len(order) else np.zeros(0, bool)
-    else:
-        return repeated
-    if len(order) and k == rounds - 1:
-        repeated[order] = True
-    return repeated
+        moves = shards.before[at] >= SYMBOL
+        at, block = at[moves] - SYMBOL, block[moves]
+        symbol = shards.words[at]
+        turn = np.argsort(symbol, kind="stable")
+        at, block, symbol = at[turn], block[turn], symbol[turn]
+        starts = np.concatenate(([True], (symbol[1:] != symbol[:-1]) | (block[1:] != block[:-1]))) if len(at) else np.zeros(0, bool)
+    return at
+
+
+def repeated_starts(raw: np.ndarray, bounds: np.ndarray, owner: np.ndarray, length: int) -> np.ndarray:
+    """Which places of the slices raw[bounds[k]:bounds[k + 1]] of shards owner[k] (ascending) start a string of `length` bytes that starts elsewhere too."""
+    shards = Transforms(raw, bounds, owner, length)
+    out = np.zeros(len(raw), bool)
+    twice = np.flatnonzero(shards.common >= length)  # with the one before it in its shard
+    out[shards.order[twice]] = True
+    out[shards.order[twice - 1]] = True
+    out[interleave(shards)] = True
+    return out
 
 
 def merge_shards(table: pa.Table, length: int) -> pa.Table:
@@ -246,8 +336,8 @@ def merge_shards(table: pa.Table, length: int) -> pa.Table:
     del table, hot
     if warm.num_rows:
         raw, offsets = column_bytes(warm["payload"])
-        values, keys, sizes, places, per_block = [], [], [], [], []
-        for at in offsets[:-1].tolist():
+        values, keys, sizes, places, per_block, sources = [], [], [], [], [], []
+        for at, src in zip(offsets[:-1].tolist(), warm["src"].to_pylist(), strict=True):
             n = int(raw[at : at + 8].copy().view(np.uint64)[0])
             part = raw[at + 8 : at + 8 + 24 * n].copy().view(np.uint64)
             values.append(part[:n])
@@ -256,7 +346,8 @@ def merge_shards(table: pa.Table, length: int) -> pa.Table:
             spans = sizes[-1] + length - 1
             places.append(at + 8 + 24 * n + np.cumsum(spans) - spans)
             per_block.append(n)
-        v, key, size, begin = (np.concatenate(x) for x in (values, keys, sizes, places))
+            sources.append(np.full(n, src, np.int32))
+        v, key, size, begin, source = (np.concatenate(x) for x in (values, keys, sizes, places, sources))
         order = np.lexsort((key, v))
         new = np.concatenate(([True], (v[order][1:] != v[order][:-1]) | (key[order][1:] != key[order][:-1])))
         same = np.empty(len(v), np.int64)
@@ -269,9 +360,10 @@ def merge_shards(table: pa.Table, length: int) -> pa.Table:
         flags = np.repeat(whole, size[one])
         rest = np.flatnonzero(~lone)
         for mine in _portions(v[one[rest]], size[one[rest]] + length - 1, rest):
+            mine = mine[np.argsort(source[one[mine]], kind="stable")]  # shard by shard
             some = one[mine]
             bounds = np.concatenate(([0], np.cumsum(size[some] + length - 1)))
-            found = refine(raw[_ranges(begin[some], begin[some] + size[some] + length - 1)], bounds, length)
+            found = repeated_starts(raw[_ranges(begin[some], begin[some] + size[some] + length - 1)], bounds, source[some], length)
             flags[_ranges(starts[mine], starts[mine] + size[some])] |= found[_ranges(bounds[:-1], bounds[:-1] + size[some])]
         edges, bits = np.concatenate(([0], np.cumsum(per_block))).tolist(), []
         for a, b in zip(edges[:-1], edges[1:], strict=True):
@@ -283,21 +375,45 @@ def merge_shards(table: pa.Table, length: int) -> pa.Table:
     return pa.concat_tables(answers)
 
 
-def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, buckets: int | None = None, hot_sources: int | None = None) -> DataFrame:
+SEEN = "src int, dst int, payload binary, counts binary"
+
+
+def _sent_anchors(src: int, shard: _Shard, targets: int) -> pa.Table:
+    """A block of minimizers per target, and how many slices each has here (255 stands for more)."""
+    blocks = split_blocks(src, shard.anchors, targets)
+    counts, edges = np.minimum(shard.slice_counts(), 255).astype(np.uint8), target_edges(shard.anchors, targets)
+    parts = [counts[edges[t] : edges[t + 1]].tobytes() for t in blocks["dst"].to_pylist()]
+    return blocks.append_column("counts", pa.array(parts, pa.binary()))
+
+
+def _shared_anchors(table: pa.Table, hot_slices: int) -> pa.Table:
+    """Two bits per minimizer: another shard has it too; all shards together have more than hot_slices slices of it."""
+    table = table.take(pc.sort_indices(table["src"]))
+    raw, offsets = column_bytes(table["payload"])
+    hashes, slices = raw.view(np.uint64), column_bytes(table["counts"])[0].astype(np.int64)
+    _, which, times = np.unique(hashes, return_inverse=True, return_counts=True)
+    # a shard with 255 slices or more of one minimizer may have any number
+    many = np.bincount(which, weights=np.where(slices == 255, hot_slices + 1, slices)) > hot_slices
+    flags = np.stack((times[which] > 1, many[which]), axis=1).ravel()
+    return flag_rows(table, flags, 2 * (np.diff(offsets) // 8), SHARED)
+
+
+def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, buckets: int | None = None, hot_slices: int = HOT_SLICES) -> DataFrame:
     """One row per input row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the other bytes).
 
-    length: a multiple of eight, at least 48. A null text is empty; texts shorter than `length` are kept whole. Null
-    ids and rows that repeat an id have a row each. An empty table gives no rows; other columns play no part.
-    buckets: source buckets, four per shuffle partition unless given. hot_sources: half of them, 64 at least.
+    length: a multiple of eight, at least 48. A null text is empty; texts shorter than `length` are kept whole, and a
+    text is never cut. Null ids and rows that repeat an id have a row each. An empty table gives no rows; other
+    columns, whatever their names, play no part. buckets: the least number of source buckets, four per shuffle
+    partition unless given; large inputs have more. hot_slices: the most different slices of a minimizer that are merged.
     """
     if length % 8 or length < GRAM + 8:
         raise ValueError("length has to be a multiple of 8, at least 48")
     partitions = shuffle_partitions(docs.sparkSession)
     targets, sources = partitions // 2 + 1, buckets or 4 * partitions
-    texts = bucketed(docs, id_col, text_col, sources).groupBy("bucket")
+    texts = bucketed(docs, id_col, text_col, sources, BUCKET_BYTES).groupBy("bucket")
 
     def anchors(table: pa.Table) -> pa.Table:
-        return split_blocks(table["bucket"][0].as_py(), _Shard(table, length).anchors, targets)
+        return _sent_anchors(table["bucket"][0].as_py(), _Shard(table, length), targets)
 
     def chosen(table: pa.Table, bits: pa.Table) -> _Shard:
         shard = _Shard(table, length)
@@ -320,7 +436,7 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         kept = to_column(shard.raw[~removed], np.concatenate(([0], np.cumsum(~removed)))[shard.offsets], pa.binary())
         return pa.Table.from_arrays([*(pa.array(c) for c in columns), kept], schema=_RESULT)
 
-    shared = flag_shared(texts.applyInArrow(anchors, BLOCKS), SHARED, False, hot_sources or max(64, sources // 2)).repartition("src")  # read twice
+    shared = texts.applyInArrow(anchors, SEEN).groupBy("dst").applyInArrow(lambda table: _shared_anchors(table, hot_slices), BITS).repartition("src")  # read twice
     sent = texts.cogroup(shared.groupBy("src")).applyInArrow(slices, SENT)
     merged = sent.groupBy("dst").applyInArrow(lambda table: merge_shards(table, length), BITS)
     return texts.cogroup(shared.unionByName(merged).groupBy("src")).applyInArrow(results, RESULT)

@@ -56,9 +56,16 @@ def column_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.nda
     return raw, offsets - offsets[0]
 
 
+def as_offsets(offsets: np.ndarray) -> np.ndarray:
+    """For an Arrow column of strings or bytes; what doesn't fit its 32-bit offsets is an error."""
+    if len(offsets) and offsets[-1] > np.iinfo(np.int32).max:
+        raise OverflowError(f"{offsets[-1]} bytes do not fit one Arrow column")
+    return offsets.astype(np.int32)
+
+
 def to_column(raw: np.ndarray, offsets: np.ndarray, kind: pa.DataType) -> pa.Array:
     """The inverse of column_bytes(), for pa.string() or pa.binary()."""
-    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(raw))])
+    return pa.Array.from_buffers(kind, len(offsets) - 1, [None, pa.py_buffer(as_offsets(offsets)), pa.py_buffer(np.ascontiguousarray(raw))])
 
 
 @dataclass
