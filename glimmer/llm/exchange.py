@@ -18,6 +18,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -49,6 +50,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, for tables that are read again; it goes when the driver's JVM ends."""
+    folder = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the session's checkpoint folder (shared by all executors), its lineage cut."""
     shared_folder(df.sparkSession)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -10,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from glimmer.llm import ann, decontaminate, near_dedup, oracles, packing, pii, quality, substring_dedup, suffix_dedup, token_output, url_filters
-from glimmer.llm.exchange import shared_folder
+from glimmer.llm.exchange import scratch_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +33,7 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    path = f"{scratch_folder(spark, 'tokens')}/images"
     token_output.write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
     out = token_output.read_tokens(spark, path)
     return out.select(F.col("id").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
