@@ -7,6 +7,11 @@ def r6(x: str) -> str:
     return f"round({x}, 6)"
 
 
+def mean6(x: str) -> str:
+    """A mean of figures with six places, of which halves are common: a billionth more decides them all alike."""
+    return f"round({x} + 1e-9::DOUBLE, 6)"
+
+
 def unit(x: str) -> str:
     """x scaled to the video's range."""
     over = "OVER (PARTITION BY video_id)"
@@ -122,7 +127,7 @@ def _snap(t: str, test: str) -> str:
 
 PARTS |= {
     "cand": f"""SELECT video_id, peak, {_snap('s', '<= 5')} AS "start", {_snap('e', '<= 5')} AS "end" FROM placed""",
-    "scored": f"""SELECT c.video_id, c.peak, {r6('c."start"')} AS "start", {r6('c."end"')} AS "end", {r6('coalesce(avg(l.interest), 0)')} AS score FROM cand c LEFT JOIN line l ON c.video_id = l.video_id AND l.time BETWEEN c."start" AND c."end" GROUP BY c.video_id, c.peak, c."start", c."end" """,
+    "scored": f"""SELECT c.video_id, c.peak, {r6('c."start"')} AS "start", {r6('c."end"')} AS "end", {mean6('coalesce(avg(l.interest), 0)')} AS score FROM cand c LEFT JOIN line l ON c.video_id = l.video_id AND l.time BETWEEN c."start" AND c."end" GROUP BY c.video_id, c.peak, c."start", c."end" """,
     "ranked": """SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY score DESC, peak, "start", "end") AS r FROM scored""",
 }
 
@@ -234,7 +239,7 @@ ORACLES: dict[str, str] = {
     "f9_candidates": sql(f"""SELECT video_id, {r6('peak')} AS peak, {r6('"start"')} AS "start", {r6('"end"')} AS "end" FROM cand""", "cand"),
     "f10_f11_chapters": sql(f"""SELECT video_id, chapter, {r6('"start"')} AS "start", {r6('"end"')} AS "end", 'Глава ' || chapter || ': ' || {_CHAPTER} AS title,
       CASE WHEN n = 0 THEN 'Контент без особенностей' WHEN len({_TOLD}) > 0 THEN 'Сегмент с ' || array_to_string({_TOLD}, ', ') ELSE 'Спокойный контент' END AS description FROM stats""", "stats"),
-    "highlights": sql(f"""SELECT video_id, {r6('"start"')} AS "start", {r6('"end"')} AS "end", 'top_interest' AS type, {r6('score')} AS score FROM mrgh""", "mrgh"),
+    "highlights": sql(f"""SELECT video_id, {r6('"start"')} AS "start", {r6('"end"')} AS "end", 'top_interest' AS type, {mean6('score')} AS score FROM mrgh""", "mrgh"),
     "j1_a3_motion_heatmap": sql("SELECT video_id, second, value FROM heat", "heat"),
     "j2_interp_to_grid": sql(f"SELECT video_id, time, slot, {r6('value')} AS value FROM i_high", "i_high"),
     "j6_window_mean": sql("""SELECT video_id, peak, "start", "end", score FROM scored""", "scored"),
@@ -270,7 +275,7 @@ ORACLES: dict[str, str] = {
       SELECT video_id, max({{'score': score, 'k': -t}}).score AS score, -max({{'score': score, 'k': -t}}).k AS t FROM (
         SELECT h.video_id, h.t, avg(h.value) OVER (PARTITION BY h.video_id ORDER BY h.t RANGE BETWEEN CURRENT ROW AND 24 FOLLOWING) AS score FROM (SELECT video_id, second::DOUBLE AS t, floor(value * 64) / 64 AS value FROM heat) h) JOIN videos USING (video_id) WHERE t + 24 <= duration GROUP BY video_id) b USING (video_id)""", "heat"),
     "w16_j5_topic_blocks": sql("SELECT video_id, block, pos FROM held", "held"),
-    "w17_merge": sql(f"""SELECT video_id, "start", "end", {r6('score')} AS score FROM mrg50""", "mrg50"),
+    "w17_merge": sql(f"""SELECT video_id, "start", "end", {mean6('score')} AS score FROM mrg50""", "mrg50"),
     "w18_absorb_short": sql(f"""SELECT video_id, chapter, {r6('"start"')} AS "start", {r6('"end"')} AS "end", topic FROM chaps""", "chaps"),
     "a7_pixel_difference": sql(f"SELECT video_id, frame_index, time, {r6('list_sum(list_transform(list_zip(px, before), lambda z: abs(z[1] - z[2])))::DOUBLE / len(px)')} AS value FROM pixpairs", "pixpairs"),
     "a8_moving_fraction": sql(f"SELECT video_id, frame_index, {r6('CASE WHEN list_max(px) > 0 THEN len(list_filter(px, lambda x: x::DOUBLE / list_max(px) > 0.3::DOUBLE))::DOUBLE / len(px) ELSE 0.0::DOUBLE END')} AS value FROM pix", "pix"),

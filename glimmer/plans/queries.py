@@ -25,6 +25,11 @@ def rounded(df: DataFrame, *columns: str, places: int = 6) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c) + F.lit(0.0), places) for c in columns})
 
 
+def rounded_means(df: DataFrame, column: str = "score") -> DataFrame:
+    """Means of figures with six places, of which halves are common: a billionth more decides them all alike."""
+    return df.withColumn(column, F.round(F.col(column) + F.lit(1e-9), 6))
+
+
 # ---- stand-in relations
 
 
@@ -342,7 +347,7 @@ def f9_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(intervals.scored_candidates(_timeline(spark, d), _videos(spark, d), _marks(spark, d), CONFIG), "start", "end", "score")
+    return rounded_means(rounded(intervals.scored_candidates(_timeline(spark, d), _videos(spark, d), _marks(spark, d), CONFIG), "start", "end"))
 
 
 def j6_window_mean(spark: SparkSession, d: str) -> DataFrame:
@@ -356,11 +361,11 @@ def k4_nms_topk(spark: SparkSession, d: str) -> DataFrame:
 def w17_merge(spark: SparkSession, d: str) -> DataFrame:
     wide = replace(CONFIG, top_k=50, merge_gap=24.0)
     found = intervals.highlights(_timeline(spark, d), _videos(spark, d), _marks(spark, d), wide)
-    return rounded(found.select(KEY, "start", "end", "score"), "start", "end", "score")
+    return rounded_means(rounded(found.select(KEY, "start", "end", "score"), "start", "end"))
 
 
 def highlights(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(intervals.highlights(_timeline(spark, d), _videos(spark, d), _marks(spark, d), CONFIG), "start", "end", "score")
+    return rounded_means(rounded(intervals.highlights(_timeline(spark, d), _videos(spark, d), _marks(spark, d), CONFIG), "start", "end"))
 
 
 def _pauses(spark: SparkSession, d: str) -> DataFrame:
