@@ -31,13 +31,21 @@ def listed(rows: DataFrame, name: str, *order: str) -> DataFrame:
 
 
 def document(videos: DataFrame, sections: dict[str, DataFrame]) -> DataFrame:
-    """(video_id, video_info, a column per section). A section is (video_id, one column) and null where it has no row."""
+    """(video_id, video_info, a column per section). A section is (video_id, one column) and null where it has no row.
+
+    Videos and sections are one union, brought together by one aggregate, not joined one by one.
+    """
     info = F.struct(F.coalesce("duration", F.lit(0.0)).alias("duration_seconds"), F.coalesce("fps", F.lit(0.0)).alias("fps"), F.coalesce("file_size_bytes", F.lit(0).cast("long")).alias("file_size_bytes"))
-    out = videos.select(KEY, info.alias("video_info"))
+    parts = {"video_info": videos.select(KEY, info.alias("video_info"))}
     for name, rows in sections.items():
         (value,) = [c for c in rows.columns if c != KEY]
-        out = out.join(rows.select(KEY, F.col(value).alias(name)), KEY, "left")
-    return out
+        parts[name] = rows.select(KEY, F.col(value).alias(name))
+    kinds = {name: rows.schema[name].dataType for name, rows in parts.items()}
+    together = None
+    for name, rows in parts.items():
+        own = rows.select(KEY, *[F.col(c).alias(c) if c == name else F.lit(None).cast(kind).alias(c) for c, kind in kinds.items()])
+        together = own if together is None else together.unionByName(own)
+    return together.groupBy(KEY).agg(*[F.first(c, ignorenulls=True).alias(c) for c in kinds]).where(F.col("video_info").isNotNull())
 
 
 def as_json(documents: DataFrame) -> DataFrame:
