@@ -422,7 +422,7 @@ def _verified(texts: DataFrame, reps: DataFrame, clusters: DataFrame, m: int, pe
     hubs = first.where(F.col("kind") == HUB).select(F.col("a").alias("class"), F.col("b").alias("cluster"))
     most = large.agg(F.max("blocks")).first()[0]  # nominees of one cluster: one per block
     while True:
-        parts = -(-most // block)
+        parts = -(-most // max(block, 4 * HUBS))
         booth = F.pmod(F.xxhash64("class", F.lit(most)), F.lit(parts)).cast("int").alias("booth")
         hubs = large.join(hubs, ["cluster", "class"], "left_semi").select("cluster", "class", "text", booth).groupBy("cluster", "booth").applyInArrow(elect, ROWS).select(F.col("a").alias("class"), F.col("b").alias("cluster"))
         if parts == 1:

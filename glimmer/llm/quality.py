@@ -35,6 +35,8 @@ TARGETS = ("junk", "toxic")
 FIGURES = ("word_bytes", "line_words", "upper", "symbols", "digits", "distinct", "longest_run")
 BINS = 10
 SCORES = "p_junk double, p_toxic double"
+#: Bytes of text worked through at a time.
+PORTION = 1 << 20
 #: Log-odds from which a view is sure enough to teach.
 SURE = 2.0
 
@@ -199,7 +201,7 @@ class Model:
 
     def score(self, texts: pa.Array, sources: pa.Array, languages: pa.Array, lengths: pa.Array) -> list[np.ndarray]:
         """(p_junk, p_toxic)."""
-        parts = [self._score(texts[p], sources[p], languages[p], lengths[p]) for p in portions(texts)]
+        parts = [self._score(texts[p], sources[p], languages[p], lengths[p]) for p in portions(texts, PORTION)]
         return [np.concatenate([p[k] for p in parts]) if parts else np.zeros(0) for k in range(len(TARGETS))]
 
     def _score(self, texts: pa.Array, sources: pa.Array, languages: pa.Array, lengths: pa.Array) -> list[np.ndarray]:
@@ -295,7 +297,7 @@ def _seen(texts: DataFrame, model: Model) -> DataFrame:
     """(key, and what both views see) of every row of texts (key, text, source, lang, length)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b[p] for b in batches for p in portions(b["text"])):
+        for batch in (b[p] for b in batches for p in portions(b["text"], PORTION)):
             views = Views(batch["text"], model.edges)
             facts = metadata(batch["source"], batch["lang"], batch["length"], model.lengths)
             columns = [batch["key"], pa.array([f.tobytes() for f in facts], pa.binary())]
@@ -374,11 +376,11 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     model = Model(np.zeros((len(FIGURES), BINS - 1)), np.array(bounds or [0.0] * (BINS - 1)), {name: Target() for name in TARGETS})
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b[p] for b in batches for p in portions(b["text"])):
+        for batch in (b[p] for b in batches for p in portions(b["text"], PORTION)):
             yield pa.RecordBatch.from_arrays([pa.array([f.tobytes() for f in Views(batch["text"]).figures], pa.binary())], names=["figures"])
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b[p] for b in batches for p in portions(b["text"])):
+        for batch in (b[p] for b in batches for p in portions(b["text"], PORTION)):
             views = Views(batch["text"], model.edges)
             order = np.lexsort((views.features, views.owners))
             f, d = views.features[order], views.owners[order]

@@ -119,3 +119,30 @@ def test_the_pipeline_links_by_five_words(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(words) + " end")], "doc_id long, text string")
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_deduplication(spark, docs, "").collect()) == [1, 2]
     assert sorted(r["id"] for r in near_dedup.near_duplicates(docs).where("kept").collect()) == [1]
+
+
+def test_all_ids_null_and_texts_of_one_id(spark):
+    text = [" ".join(f"{c}{k}" for k in range(50)) for c in "abc"]
+    none = spark.createDataFrame([(None, t) for t in text * 20], "doc_id long, text string")
+    out = near_dedup.near_duplicates(none).collect()
+    assert len(out) == 60 and all(r["id"] is None and r["kept"] and r["component_id"] is None for r in out)
+    rows = spark.createDataFrame([(1, text[0]), (2, text[0] + " end"), (2, text[1]), (3, text[1] + " end"), (3, text[2]), (3, text[2] + " end")], "doc_id long, text string")
+    found = near_dedup.near_duplicates(rows).join(rows.selectExpr("xxhash64(text) as mark", "text"), "mark").collect()
+    kept = sorted((r["id"], r["text"]) for r in found if r["kept"])
+    # of the two near texts of id 3 one stays
+    assert kept[:2] == [(1, text[0]), (2, text[1])] and len(kept) == 3 and kept[2][1].startswith(text[2])
+    assert {(r["id"], r["component_id"]) for r in found} == {(1, 1), (2, 1), (2, 2), (3, 2), (3, 3)}
+
+
+def test_more_outside_classes_than_a_block_holds(spark):
+    rng = np.random.default_rng(9)
+    rows, n = [], 0
+    for family in range(8):  # families of one cluster: half of the words are common to all
+        common = [f"w{k}" for k in range(60)]
+        own = [f"f{family}x{k}" for k in range(40)]
+        for _ in range(9):
+            rows.append((n, edited(common + own, rng, 0.02)))
+            n += 1
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    found = near_dedup.near_duplicates(docs, block=4, bands=60, rows=2).collect()
+    assert {r["id"]: (r["n_shingles"], r["component_id"], r["kept"]) for r in found} == groups(rows)
