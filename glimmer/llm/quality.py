@@ -4,7 +4,8 @@ Two views of a document: its text content (words, word beginnings, token endings
 capitals) and its page metadata (source, language, length, and pairs of these). For each target (junk, toxic) a
 classifier per view is trained on labelled documents. Then, over some rounds, each view scores all documents without a
 label and hands the ones it is surest of, with their pseudo-labels, to the other view, which is trained again; the
-metadata view so learns sources that no labelled document has. At last both views' log-odds are calibrated together on
+metadata view so learns sources that no labelled document has. How sure a view is comes from labelled documents that
+it wasn't trained on, so one that can't tell them apart teaches nothing. At last both views' log-odds are calibrated together on
 labelled documents that neither was trained on, which gives one probability; a view without signal gets next to no
 weight. All documents are scored.
 
@@ -32,12 +33,12 @@ from glimmer.llm.text_kernels import ALNUM_SPLIT, LOWER, SPACE_SPLIT, Lookup, Wo
 
 TARGETS = ("junk", "toxic")
 #: Style of a text; part of the text view.
-FIGURES = ("word_bytes", "line_words", "upper", "symbols", "digits", "distinct", "longest_run")
+FIGURES = ("words", "word_bytes", "line_words", "upper", "symbols", "digits", "distinct", "longest_run")
 BINS = 10
 SCORES = "p_junk double, p_toxic double"
 #: Bytes of text worked through at a time.
 PORTION = 1 << 20
-#: Log-odds from which a view is sure enough to teach.
+#: Evidence (a logarithm of odds, beyond those of any document) from which a view is sure enough to teach.
 SURE = 2.0
 
 _UPPER = np.zeros(256, bool)
@@ -67,10 +68,8 @@ class Views:
         self.features = np.concatenate((_tagged(self.word_hashes, 1), _tagged(cut(low, 4), 2), _tagged(cut(low, 5), 3), _tagged(cut(low, 6), 4), _tagged(ends, 5)))
         self.owners = np.concatenate((*[docs(low)] * 4, docs(tokens)))
         self.figures = self._figures(raw, offsets, low, tokens)
-        if edges is not None:  # the bin of each figure is a feature as well
-            bins = np.stack([np.searchsorted(edges[k], self.figures[:, k], side="right") + 100 * (k + 1) for k in range(len(FIGURES))], axis=1)
-            self.features = np.concatenate((self.features, _tagged(bins.astype(np.uint64).ravel(), 6)))
-            self.owners = np.concatenate((self.owners, np.repeat(np.arange(self.n), len(FIGURES))))
+        if edges is not None:  # places of the figures' bins in Target.style
+            self.bins = np.stack([np.searchsorted(edges[k], self.figures[:, k], side="right") + BINS * k for k in range(len(FIGURES))], axis=1).astype(np.uint8)
 
     def _figures(self, raw: np.ndarray, offsets: np.ndarray, low: Words, tokens: Words) -> np.ndarray:
         def count(flags: np.ndarray) -> np.ndarray:
@@ -86,7 +85,7 @@ class Views:
                 distinct[d] = (1 + np.count_nonzero(some[1:] != some[:-1])) / (b - a) * np.log2(8 + b - a)
                 turns = np.flatnonzero(np.concatenate(([True], names[a + 1 : b] != names[a : b - 1], [True])))
                 run[d] = np.diff(turns).max()
-        return np.stack((size / words, words / (1 + count(raw == 10)), count(_UPPER[raw]) / size, count(_SYMBOL[raw]) / size, count(_DIGIT[raw]) / size, distinct, run), axis=1)
+        return np.stack((words, size / words, words / (1 + count(raw == 10)), count(_UPPER[raw]) / size, count(_SYMBOL[raw]) / size, count(_DIGIT[raw]) / size, distinct, run), axis=1)
 
 
 
@@ -162,12 +161,16 @@ class Target:
     features: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     #: What a feature counts in training: its log-odds ratio among the labelled.
     scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    #: Coefficients of the features (their scale included), the constant last.
+    #: The text view: coefficients of the features (their scale included), and of the figures' bins; constants last.
     text: np.ndarray = field(default_factory=lambda: np.zeros(1))
+    style: np.ndarray = field(default_factory=lambda: np.zeros(len(FIGURES) * BINS + 1))
     #: Known metadata features, sorted, and their coefficients, the constant last.
     places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     meta: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    join: np.ndarray = field(default_factory=lambda: np.zeros(3))
+    #: How log-odds of words, style and metadata combine: slopes and a constant.
+    join: np.ndarray = field(default_factory=lambda: np.zeros(4))
+    #: By view (text, metadata): slopes and a constant that make its log-odds evidence, beyond the share of positives.
+    evidence: np.ndarray = field(default_factory=lambda: np.zeros((2, 4)))
 
     def known(self, facts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(document, place) of each metadata feature that training has met."""
@@ -179,8 +182,10 @@ class Target:
         doc, place = self.known(facts)
         return np.bincount(doc, weights=self.meta[:-1][place], minlength=len(facts)) + self.meta[-1]
 
-    def by_text(self, doc: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
-        return np.bincount(doc, weights=self.text[:-1][feature], minlength=n) + self.text[-1]
+    def odds(self, doc: np.ndarray, feature: np.ndarray, bins: np.ndarray, facts: np.ndarray) -> np.ndarray:
+        """Log-odds by words, style and metadata; feature is in document doc."""
+        words = np.bincount(doc, weights=self.text[:-1][feature], minlength=len(bins)) + self.text[-1]
+        return np.stack((words, self.style[:-1][bins].sum(axis=1) + self.style[-1], self.by_metadata(facts)), axis=1)
 
 
 @dataclass
@@ -209,16 +214,17 @@ class Model:
         out = []
         for name in TARGETS:
             target = self.targets[name]
-            text, side = target.by_text(*self.presence(views, target), views.n), target.by_metadata(facts)
-            out.append(1 / (1 + np.exp(-np.clip(target.join[0] * text + target.join[1] * side + target.join[2], -30, 30))))
+            odds = target.odds(*self.presence(views, target), views.bins, facts)
+            out.append(1 / (1 + np.exp(-np.clip(odds @ target.join[:-1] + target.join[-1], -30, 30))))
         return out
 
 
 @dataclass
 class Rows:
-    """Training rows of one target: features by document, metadata, and labels."""
+    """Training rows of one target: features by document, bins of figures, metadata, and labels."""
 
     features: list[np.ndarray]
+    bins: np.ndarray
     facts: np.ndarray
     y: np.ndarray
 
@@ -231,13 +237,22 @@ class Rows:
         doc, place = target.known(self.facts)
         return Sparse(doc, place, np.ones(len(doc)), (len(self.facts), len(target.places)))
 
-    def with_more(self, features: list[np.ndarray], facts: np.ndarray, y: np.ndarray) -> Rows:
-        return Rows([*self.features, *features], np.concatenate((self.facts, facts)), np.concatenate((self.y, y)))
+    def style(self) -> Sparse:
+        n, k = self.bins.shape
+        return Sparse(np.repeat(np.arange(n), k), self.bins.astype(np.int64).ravel(), np.ones(n * k), (n, len(FIGURES) * BINS))
+
+    def odds(self, target: Target) -> np.ndarray:
+        counts = [len(f) for f in self.features]
+        return target.odds(np.repeat(np.arange(len(counts)), counts), np.concatenate([np.zeros(0, np.int64), *self.features]).astype(np.int64), self.bins, self.facts)
+
+    def with_more(self, features: list[np.ndarray], bins: np.ndarray, facts: np.ndarray, y: np.ndarray) -> Rows:
+        return Rows([*self.features, *features], np.concatenate((self.bins, bins)), np.concatenate((self.facts, facts)), np.concatenate((self.y, y)))
 
 
 def fit_text(target: Target, rows: Rows, weight: np.ndarray) -> None:
     target.text = fit_logistic(rows.text(target), rows.y, weight)
     target.text[:-1] *= target.scale
+    target.style = fit_logistic(rows.style(), rows.y, weight)
 
 
 def fit_metadata(target: Target, rows: Rows, weight: np.ndarray) -> None:
@@ -245,21 +260,34 @@ def fit_metadata(target: Target, rows: Rows, weight: np.ndarray) -> None:
     target.meta = fit_logistic(rows.meta(target), rows.y, weight)
 
 
+def combined(odds: np.ndarray, y: np.ndarray, columns: tuple[int, ...]) -> np.ndarray:
+    """Slopes of log-odds by words, style and metadata (of these columns) and a constant; one that speaks against its own labels counts 0."""
+    live = list(columns)
+    while True:
+        fit = fit_logistic(dense(odds[:, live]), y, decay=1e-5, steps=1500)
+        if not (fit[:-1] < 0).any():
+            break
+        live = [c for c, w in zip(live, fit[:-1], strict=True) if w >= 0]
+    out = np.zeros(4)
+    out[[*live, 3]] = fit
+    return out
+
+
 def calibrated(target: Target, rows: Rows) -> np.ndarray:
-    """How both views' log-odds combine, on rows that neither was trained on."""
-    text = rows.text(target)
-    odds = np.stack((text.dot(target.text[:-1] / np.where(target.scale == 0, 1, target.scale)) + target.text[-1], target.by_metadata(rows.facts)), axis=1)
-    joint = fit_logistic(dense(odds), rows.y, decay=1e-5, steps=1500)
-    if (against := joint[:2] < 0).any():  # a view that speaks against its own labels has no signal
-        odds[:, against] = 0
-        joint = fit_logistic(dense(odds), rows.y, decay=1e-5, steps=1500)
-        joint[:2][against] = 0
-    return joint if joint[:2].any() else _prior(rows.y)
+    """How the views combine, on rows that neither was trained on."""
+    join = combined(rows.odds(target), rows.y, (0, 1, 2))
+    return join if join[:3].any() else _prior(rows.y)
+
+
+def weighed(target: Target, rows: Rows) -> np.ndarray:
+    """Target.evidence, from rows that neither view was trained on: next to nothing for a view that can't tell them apart."""
+    odds, prior = rows.odds(target), np.log((rows.y == 1).sum() / (rows.y == 0).sum())
+    return np.stack([combined(odds, rows.y, columns) for columns in ((0, 1), (2,))]) - np.array([0, 0, 0, prior])
 
 
 def _prior(y: np.ndarray) -> np.ndarray:
     """How nothing but a constant combines: the share of positives, but below one half, as no document stands out."""
-    return np.array([0, 0, min(np.log((y == 1).sum() / ((y == 0).sum() + 1)), -1e-3)])
+    return np.array([0, 0, 0, min(np.log((y == 1).sum() / ((y == 0).sum() + 1)), -1e-3)])
 
 
 def only_metadata(target: Target, rows: Rows, folds: int = 8, least_z: float = 2.0) -> None:
@@ -287,10 +315,10 @@ def only_metadata(target: Target, rows: Rows, folds: int = 8, least_z: float = 2
         target.join = _prior(y)
     else:
         w, c = fit_logistic(dense(odds[:, None]), y, decay=1e-5, steps=1500)
-        target.join = np.array([0, w, c])
+        target.join = np.array([0, 0, w, c])
 
 
-_SEEN = "key long, facts binary, f_junk binary, f_toxic binary"
+_SEEN = "key long, facts binary, bins binary, f_junk binary, f_toxic binary"
 
 
 def _seen(texts: DataFrame, model: Model) -> DataFrame:
@@ -300,25 +328,26 @@ def _seen(texts: DataFrame, model: Model) -> DataFrame:
         for batch in (b[p] for b in batches for p in portions(b["text"], PORTION)):
             views = Views(batch["text"], model.edges)
             facts = metadata(batch["source"], batch["lang"], batch["length"], model.lengths)
-            columns = [batch["key"], pa.array([f.tobytes() for f in facts], pa.binary())]
+            columns = [batch["key"], pa.array([f.tobytes() for f in facts], pa.binary()), pa.array([b.tobytes() for b in views.bins], pa.binary())]
             for name in TARGETS:
                 doc, feature = model.presence(views, model.targets[name])
                 ends = np.searchsorted(doc, np.arange(views.n + 1))
                 columns.append(pa.array([feature[a:b].astype(np.int32).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary()))
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "facts", "f_junk", "f_toxic"])
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "facts", "bins", "f_junk", "f_toxic"])
 
     return texts.select("key", "text", "source", "lang", "length").mapInArrow(run, _SEEN)
 
 
-def _unpacked(table: pa.Table | pa.RecordBatch, name: str) -> tuple[list[np.ndarray], np.ndarray]:
-    """(features of each document, metadata features) for one target."""
+def _unpacked(table: pa.Table | pa.RecordBatch, name: str) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(features of each document, bins of its figures, metadata features) for one target."""
     raw, offsets = column_bytes(table[f"f_{name}"])
     facts = column_bytes(table["facts"])[0].view(np.uint64).reshape(-1, 6)
-    return np.split(raw.view(np.int32), offsets[1:-1] // 4) if len(offsets) > 1 else [], facts
+    bins = column_bytes(table["bins"])[0].reshape(-1, len(FIGURES))
+    return np.split(raw.view(np.int32), offsets[1:-1] // 4) if len(offsets) > 1 else [], bins, facts
 
 
 def _surest(pool: DataFrame, model: Model, wanted: dict[int, int], taught: dict[int, np.ndarray]) -> pa.Table:
-    """(kind, key, facts, f_junk, f_toxic): the surest unlabelled documents of each kind, wanted[kind] of them at most.
+    """(kind, key, facts, bins, f_junk, f_toxic): the surest unlabelled documents of each kind, wanted[kind] of them at most.
 
     A kind is 4 * target + 2 * teacher + label, teachers being text and metadata; taught[kind] holds the keys that this
     teacher has taught already. A task hands on no more documents of a kind than are wanted.
@@ -329,11 +358,12 @@ def _surest(pool: DataFrame, model: Model, wanted: dict[int, int], taught: dict[
             keys = batch["key"].to_numpy()
             for t, name in enumerate(TARGETS):
                 target = model.targets[name]
-                features, facts = _unpacked(batch, name)
+                features, bins, facts = _unpacked(batch, name)
                 doc = np.repeat(np.arange(len(keys)), [len(f) for f in features])
-                odds = [target.by_text(doc, np.concatenate([np.zeros(0, np.int32), *features]), len(keys)), target.by_metadata(facts)]
+                odds = target.odds(doc, np.concatenate([np.zeros(0, np.int32), *features]), bins, facts)
                 for kind in (k for k in wanted if k // 4 == t):
-                    sure = odds[kind // 2 % 2] * (1 if kind % 2 else -1)
+                    evidence = target.evidence[kind // 2 % 2]
+                    sure = (odds @ evidence[:-1] + evidence[-1]) * (1 if kind % 2 else -1)
                     some = np.flatnonzero((sure > SURE) & ~np.isin(keys, taught[kind]))
                     some = some[np.lexsort((keys[some], -sure[some]))[: wanted[kind]]]
                     part = batch.take(pa.array(some))
@@ -399,7 +429,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     for name, short in zip(TARGETS, "jt", strict=True):
         yes, no = totals[f"{name}1"], totals[f"{name}0"]
         if not yes or not no:
-            model.targets[name].join = np.array([0, 0, 30.0 if yes else -30.0])
+            model.targets[name].join = np.array([0, 0, 0, 30.0 if yes else -30.0])
             continue
         a, b = F.col(f"{short}1"), F.col(f"{short}0")
         share = (a + b + 1) / (yes + no + 2)
@@ -419,9 +449,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             continue
         order = np.argsort(seen["key"].to_numpy())
         table = seen.take(pa.array(order))
-        lists, facts = _unpacked(table.combine_chunks(), name)
+        lists, bins, facts = _unpacked(table.combine_chunks(), name)
         y = marks[name].reindex(table["key"].to_numpy()).fillna(-1).to_numpy(np.int64)
-        rows = lambda mask: Rows([lists[k] for k in np.flatnonzero(mask)], facts[mask], y[mask])  # noqa: B023, E731
+        rows = lambda mask: Rows([lists[k] for k in np.flatnonzero(mask)], bins[mask], facts[mask], y[mask])  # noqa: B023, E731
         if not len(target.features):
             only_metadata(target, rows(y >= 0))
             continue
@@ -432,7 +462,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             whole = rows(y >= 0)
             fit_text(target, whole, np.ones(len(whole.y)))
             fit_metadata(target, whole, np.ones(len(whole.y)))
-            target.join = np.array([1.0, 0, 0])
+            target.join = np.array([1.0, 0, 0, 0])
             continue
         training[name] = rows((y >= 0) & ~fold), rows(fold)
         fit_text(target, training[name][0], np.ones(len(training[name][0].y)))
@@ -440,15 +470,16 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     if training and rounds:
         unlabelled = slim.join(F.broadcast(sample.select(F.col("key").alias("labelled"))), F.col("key") == F.col("labelled"), "left_anti")
         pool = checkpointed(_seen(unlabelled, model))
-        _teach(pool, model, {name: given for name, (given, _) in training.items()}, rounds, picks)
+        _teach(pool, model, training, rounds, picks)
     for name, (_, held) in training.items():
         model.targets[name].join = calibrated(model.targets[name], held)
     return model
 
 
-def _teach(pool: DataFrame, model: Model, given: dict[str, Rows], rounds: int, picks: int) -> None:
+def _teach(pool: DataFrame, model: Model, training: dict[str, tuple[Rows, Rows]], rounds: int, picks: int) -> None:
     """Rounds of co-training: each view is trained again on the labelled rows and on what the other one was surest of."""
     wanted, taught = {}, {}
+    given = {name: rows for name, (rows, _) in training.items()}
     pupils = {(t, view): given[name] for t, name in enumerate(TARGETS) if name in given for view in (0, 1)}
     for t, name in enumerate(TARGETS):
         for teacher in (0, 1) if name in given else ():
@@ -457,6 +488,8 @@ def _teach(pool: DataFrame, model: Model, given: dict[str, Rows], rounds: int, p
                 kind = 4 * t + 2 * teacher + label
                 wanted[kind], taught[kind] = max(1, round(picks * float(share))), np.zeros(0, np.int64)
     for _ in range(rounds):
+        for name, (_, held) in training.items():
+            model.targets[name].evidence = weighed(model.targets[name], held)
         found = _surest(pool, model, wanted, taught)
         if not found.num_rows:
             break

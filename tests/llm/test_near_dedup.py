@@ -88,7 +88,7 @@ def test_words_are_split_at_ascii_space_only():
 def test_edges_and_facts_of_many_tasks_meet_in_no_single_target(spark):
     rng = np.random.default_rng(6)
     base = [f"w{rng.integers(500)}" for _ in range(80)]
-    texts = spark.createDataFrame([(n, edited(base, rng, 0.03)) for n in range(320)], "id long, text string").repartition(8)
+    texts = spark.createDataFrame([(n, edited(base, rng, 0.03)) for n in range(320)], "id long, text string").repartition(8).selectExpr("*", "xxhash64(text) as mark")
     sent = near_dedup._sent(texts, 65, 7, 8).selectExpr("dst", "kind", "length(payload) as n")
     for kind in (near_dedup.DOCUMENT, near_dedup.EDGE):
         sizes = [r["n"] for r in sent.where(sent["kind"] == kind).groupBy("dst").sum("n").toDF("dst", "n").collect()]

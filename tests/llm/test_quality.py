@@ -54,8 +54,12 @@ def test_the_surest_of_all_unlabelled_documents_are_chosen(spark):
     pool = quality._seen(slim, model).cache()
     target = model.targets["junk"]
     table = pool.toArrow().combine_chunks()
-    lists, facts = quality._unpacked(table, "junk")
-    odds = np.array([[target.text[:-1][f].sum() + target.text[-1], sum(target.meta[:-1][np.flatnonzero(target.places == x)[0]] if x in target.places else 0 for x in row) + target.meta[-1]] for f, row in zip(lists, facts, strict=True)])
+    lists, bins, facts = quality._unpacked(table, "junk")
+    target.evidence = np.array([[1.5, 0.5, 0, 0.2], [0, 0, 1.0, -0.1]])
+    words, style = [target.text[:-1][f].sum() + target.text[-1] for f in lists], [target.style[:-1][b].sum() + target.style[-1] for b in bins]
+    places = dict(zip(target.places.tolist(), target.meta, strict=False))
+    side = [sum(places.get(x, 0) for x in row) + target.meta[-1] for row in facts.tolist()]
+    odds = np.stack((1.5 * np.array(words) + 0.5 * np.array(style) + 0.2, np.array(side) - 0.1), axis=1)
     keys = table["key"].to_numpy()
     gone = keys[np.argsort(-odds[:, 0])[:7]]
     wanted = {0: 30, 1: 12, 2: 5, 3: 40}
@@ -78,11 +82,13 @@ def test_scores_are_sums_over_a_documents_features(spark):
     assert len(out) == docs.count()
     for r in out[:60] + out[-6:]:
         row = r["row"]
-        seen = set(quality.Views(pa.array([row["text"]], pa.string()), model.edges).features.tolist())
+        views = quality.Views(pa.array([row["text"]], pa.string()), model.edges)
+        seen = set(views.features.tolist())
         size = row["n_chars"] if row["n_chars"] is not None else None if row["text"] is None else len(row["text"])
         facts = quality.metadata(pa.array([row["source"]], pa.string()), pa.array([row["lang"]], pa.string()), pa.array([size], pa.float64()), model.lengths)[0]
-        text, side = sum(weight.get(f, 0) for f in seen) + target.text[-1], sum(place.get(f, 0) for f in facts.tolist()) + target.meta[-1]
-        odds = target.join[0] * text + target.join[1] * side + target.join[2]
+        words, style = sum(weight.get(f, 0) for f in seen) + target.text[-1], sum(target.style[b] for b in views.bins[0].tolist()) + target.style[-1]
+        side = sum(place.get(f, 0) for f in facts.tolist()) + target.meta[-1]
+        odds = target.join[0] * words + target.join[1] * style + target.join[2] * side + target.join[3]
         assert abs(r["p_junk"] - 1 / (1 + np.exp(-np.clip(odds, -30, 30)))) < 1e-9
 
 
