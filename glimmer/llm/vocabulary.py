@@ -80,14 +80,15 @@ class _Pieces:
             single = np.zeros(len(raw) + 1, bool)
             single[:-1] = begins
             single[offsets[:-1]] = False
-            lone = single[gaps + 1]  # a piece of the same text follows
-            lone &= ~np.isin(gaps, first)
+            opens = np.zeros(len(raw), bool)
+            opens[first] = True
+            lone = single[gaps + 1] & ~opens[gaps]  # a piece of the same text follows, and something stands before
             self.odd[np.searchsorted(offsets, gaps[~lone], side="right") - 1] = True
             held = raw[self.starts - 1]
             self.before = np.where(held == 0x20, SPACED, np.where(held == 0x0A, BROKEN, BARE))
             at_start = np.searchsorted(self.starts, first)
             at_start = at_start[at_start < len(self.starts)]
-            self.before[at_start[np.isin(self.starts[at_start], first)]] = BARE
+            self.before[at_start[opens[self.starts[at_start]]]] = BARE
         self.marks = self.sizes * 4 + self.before
         self.head = self.eight[self.starts] & _TAIL[np.minimum(self.sizes, 8)]
         h = self.head ^ (self.marks.astype(np.uint64) * _MULT)
