@@ -35,6 +35,8 @@ TARGETS = ("junk", "toxic")
 #: Style of a text; part of the text view.
 FIGURES = ("words", "word_bytes", "line_words", "upper", "symbols", "digits", "distinct", "longest_run")
 BINS = 10
+#: What stands for all bins of a text without words.
+NO_WORDS = len(FIGURES) * BINS
 SCORES = "p_junk double, p_toxic double"
 #: Bytes of text worked through at a time.
 PORTION = 1 << 20
@@ -68,8 +70,9 @@ class Views:
         self.features = np.concatenate((_tagged(self.word_hashes, 1), _tagged(cut(low, 4), 2), _tagged(cut(low, 5), 3), _tagged(cut(low, 6), 4), _tagged(ends, 5)))
         self.owners = np.concatenate((*[docs(low)] * 4, docs(tokens)))
         self.figures = self._figures(raw, offsets, low, tokens)
-        if edges is not None:  # places of the figures' bins in Target.style
-            self.bins = np.stack([np.searchsorted(edges[k], self.figures[:, k], side="right") + BINS * k for k in range(len(FIGURES))], axis=1).astype(np.uint8)
+        if edges is not None:  # places of the figures' bins in Target.style; a text without words has none but the last
+            bins = np.stack([np.searchsorted(edges[k], self.figures[:, k], side="right") + BINS * k for k in range(len(FIGURES))], axis=1)
+            self.bins = np.where(tokens.counts[:, None] > 0, bins, NO_WORDS).astype(np.uint8)
 
     def _figures(self, raw: np.ndarray, offsets: np.ndarray, low: Words, tokens: Words) -> np.ndarray:
         def count(flags: np.ndarray) -> np.ndarray:
@@ -163,7 +166,7 @@ class Target:
     scale: np.ndarray = field(default_factory=lambda: np.zeros(0))
     #: The text view: coefficients of the features (their scale included), and of the figures' bins; constants last.
     text: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    style: np.ndarray = field(default_factory=lambda: np.zeros(len(FIGURES) * BINS + 1))
+    style: np.ndarray = field(default_factory=lambda: np.zeros(NO_WORDS + 2))
     #: Known metadata features, sorted, and their coefficients, the constant last.
     places: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     meta: np.ndarray = field(default_factory=lambda: np.zeros(1))
@@ -239,7 +242,7 @@ class Rows:
 
     def style(self) -> Sparse:
         n, k = self.bins.shape
-        return Sparse(np.repeat(np.arange(n), k), self.bins.astype(np.int64).ravel(), np.ones(n * k), (n, len(FIGURES) * BINS))
+        return Sparse(np.repeat(np.arange(n), k), self.bins.astype(np.int64).ravel(), np.ones(n * k), (n, NO_WORDS + 1))
 
     def odds(self, target: Target) -> np.ndarray:
         counts = [len(f) for f in self.features]

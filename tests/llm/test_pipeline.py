@@ -31,7 +31,7 @@ def corpus():
     rows, labels = [], []
     for k in range(240):
         junk = k % 6 == 0
-        rows.append((k, "BUY!! NOW!! $$$ " * 12 if junk and k % 12 else text(60).upper() + " !!!" if junk else text(60), "en", f"s{k % 3}"))
+        rows.append((k, "BUY!! NOW!! $$$ " * 12 if junk and k % 12 else text(60).upper() + " !!!" if junk else text(int(rng.integers(20, 120))), "en", f"s{k % 3}"))
         labels.append((k, 0 if junk else 1, 0, 0, 0))
     rows += [(300, rows[7][1], "en", "s1"), (301, rows[7][1] + " end", "en", "s1"), (302, f"{text(30)} {passage} {text(30)}", "en", "s0"), (303, f"write to ab@cd.org and {text(40)}", "en", "s2")]
     rows += [(None, text(50), "en", "s0"), (None, None, None, None), (304, None, "en", "s0"), (305, "", "en", "s0"), (303, rows[-1][1], "en", "s2"), (306, text(9000), "en", "s1")]
