@@ -106,3 +106,29 @@ SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY l
 FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0
 QUALIFY rank <= 10
 """
+
+#: crc32 in SQL: a table of a byte's remainders, then a step per byte.
+_CRC_TABLE = "list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
+_CRC = "xor(list_reduce(list_prepend(4294967295, {bytes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+
+OP13 = f"""
+WITH crc AS (SELECT {_CRC_TABLE} AS t),
+own AS (
+  SELECT conv_id AS c, list({{'r': coalesce(role, ''), 'x': coalesce(text, '')}} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS seq
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (SELECT c, seq, {_CRC.format(bytes="list_transform(string_split(c::VARCHAR, ''), lambda d: ord(d)::BIGINT)")} % 6 AS h FROM own, crc),
+rebuilt AS (
+  SELECT a.c, list_concat(coalesce(b.seq, [])[1:a.h], a.seq[a.h + 1:]) AS seq FROM heads a LEFT JOIN own b ON b.c = a.c - a.c % 100),
+members AS (SELECT c, len(seq) AS size, unnest(range(0, len(seq) + 1)) AS d, seq FROM rebuilt),
+nodes AS (
+  SELECT seq[1:d] AS node, d, min(c) AS conv_id, count(*) AS n, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (d = size), '')) AS ends
+  FROM members GROUP BY 1, 2),
+children AS (SELECT node[1:d - 1] AS parent, d - 1 AS d, count(*) AS k FROM nodes WHERE d > 0 GROUP BY 1, 2),
+below AS (
+  SELECT node[1:up] AS top, up, count(*) FILTER (k IS NULL) AS leaves, sum(CASE WHEN d > 0 THEN (n - 1) * length(node[d].x) ELSE 0 END) AS saved
+  FROM (SELECT node, n, nodes.d AS d, k, unnest(range(0, nodes.d + 1)) AS up FROM nodes LEFT JOIN children ON parent = node AND children.d = nodes.d) GROUP BY 1, 2)
+SELECT v.conv_id, v.d::BIGINT AS depth, p.conv_id AS parent_conv_id, v.n::BIGINT AS n_convs, coalesce(k, 0)::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, v.ends AS ends_sha256
+FROM nodes v JOIN below ON top = v.node AND up = v.d LEFT JOIN children ON parent = v.node AND children.d = v.d
+LEFT JOIN nodes p ON v.d > 0 AND p.d = v.d - 1 AND p.node = v.node[1:v.d - 1]
+"""
