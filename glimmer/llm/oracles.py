@@ -111,6 +111,32 @@ QUALIFY rank <= 10
 _CRC_TABLE = "list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END))"
 _CRC = "xor(list_reduce(list_prepend(4294967295, {bytes}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
 
+OP11 = f"""
+WITH RECURSIVE crc AS (SELECT {_CRC_TABLE} AS t),
+runs AS (
+  SELECT doc_id, run, length(run) AS size, count(*) AS k FROM (
+    SELECT doc_id, unnest(regexp_extract_all({_LOW.format(text="text")}, '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) AS run FROM documents) WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (
+  SELECT run, size, k, {_CRC.format(bytes="list_concat(list_transform(string_split(doc_id::VARCHAR || ':', ''), lambda c: ord(c)::BIGINT), flatten(list_transform(string_split(run, ''), lambda c: CASE WHEN ord(c) < 128 THEN [ord(c)::BIGINT] ELSE [195, ord(c)::BIGINT - 64] END)))")} AS h FROM runs, crc),
+words AS (
+  SELECT word, sum(k)::BIGINT AS n FROM (
+    SELECT CASE WHEN h % 31 = 0 THEN left(run, h % size) || substr(run, h % size + 2) ELSE run END AS word, k FROM hashed) WHERE length(word) >= 7 GROUP BY word HAVING sum(k) >= 2),
+places AS (SELECT word, length(word) AS size, i, left(word, i) || substr(word, i + 2) AS rest FROM (SELECT word, unnest(range(0, length(word))) AS i FROM words)),
+pairs AS (
+  SELECT a.word AS w, b.word AS v FROM places a JOIN places b USING (size, i, rest) WHERE a.word <> b.word
+  UNION SELECT p.word, s.word FROM places p JOIN words s ON p.rest = s.word
+  UNION SELECT s.word, p.word FROM places p JOIN words s ON p.rest = s.word),
+near AS (
+  SELECT w, count(*) AS n_near, arg_min(v, (-n, v)) AS best, max(n) AS best_n FROM pairs JOIN words ON word = v GROUP BY w),
+facts AS (
+  SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN best_n >= 10 * n THEN best END AS form, CASE WHEN best_n >= 10 * n THEN best_n END AS form_n FROM words LEFT JOIN near ON w = word),
+chain(word, last, step) AS (
+  SELECT word, word, 0 FROM facts
+  UNION ALL
+  SELECT c.word, f.form, step + 1 FROM chain c JOIN facts f ON f.word = c.last WHERE f.form IS NOT NULL)
+SELECT word, form, (SELECT arg_max(last, step) FROM chain c WHERE c.word = facts.word) AS root, n, n_near::BIGINT AS n_near, form_n FROM facts
+"""
+
 OP13 = f"""
 WITH crc AS (SELECT {_CRC_TABLE} AS t),
 own AS (
