@@ -28,7 +28,7 @@ clusters (a join on the id); nothing about all documents is collected.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,8 @@ HUBS = 4
 BLOCK_SHINGLES = 1 << 20
 #: Distinct sets after which a task sends what it holds of bucket keys.
 HELD_SETS = 1 << 15
+#: Bytes of bucket keys of a target, about.
+TARGET_BYTES = 1 << 26
 #: Further elections, sixteen times as many hubs each, before what is left is asked about in blocks; a round has to
 #: halve the groups that are left, as each costs a search for components.
 HUB_ROUNDS = 2
@@ -196,13 +198,21 @@ class Block:
         found = [self.of[a:b] for a, b in zip(low[rare].tolist(), high[rare].tolist(), strict=True) if b > a]
         return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
-    def best(self) -> int:
-        """The member whose registers agree with most others'."""
+    def linked_with(self, members: np.ndarray, other: Block, q: int) -> np.ndarray:
+        """Those members that are linked with the other block's class q."""
+        return self.linked(members, other.items(q), other.registers[q])
+
+    def scores(self) -> np.ndarray:
+        """How many registers of others each member's registers agree with."""
         score = np.zeros(len(self.names), np.int64)
         for column in self.registers.T:
             _, which, times = np.unique(column, return_inverse=True, return_counts=True)
             score += times[which]
-        return int(score.argmax())
+        return score
+
+    def best(self) -> int:
+        """The member that agrees best with the others."""
+        return int(self.scores().argmax())
 
     def connect(self) -> None:
         """Finds which members are connected; every possible link between two groups has been tried at the end."""
@@ -303,15 +313,15 @@ def _candidates(texts: DataFrame, bands: int, rows: int, targets: int, words: in
     return _sent(texts, bands, rows, targets, words).groupBy("dst").applyInArrow(meet, ROWS)
 
 
-def _block_of(table: pa.Table, m: int, percent: int, words: int) -> Block:
+def _block_of(table: pa.Table, m: int, percent: int, words: int, kind: type[Block] = Block) -> Block:
     """The distinct classes of a table of (class, text)."""
     hashes, bounds = shingle_sets(table["text"], words)
     wanted = table["class"].to_numpy()
     names = class_of(hashes, bounds)
     _, first = np.unique(np.where(names == wanted, names, 0), return_index=True)
-    keep = [d for d in np.sort(first).tolist() if names[d] == wanted[d]]  # an id may have come with another text as well
+    keep = [d for d in np.sort(first).tolist() if names[d] == wanted[d]]
     parts = [hashes[bounds[d] : bounds[d + 1]] for d in keep]
-    return Block(names[keep], np.concatenate(parts) if parts else hashes[:0], np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64), m, percent)
+    return kind(names[keep], np.concatenate(parts) if parts else hashes[:0], np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64), m, percent)
 
 
 def _edge_table(edges: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -333,12 +343,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     m = bands * rows
-    found = checkpointed(_candidates(texts, bands, rows, shuffle_partitions(spark), words))
+    targets = max(shuffle_partitions(spark), -(-texts.count() * 16 * bands // TARGET_BYTES))
+    found = checkpointed(_candidates(texts, bands, rows, targets, words))
     facts = found.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("id"), F.col("b").alias("class"), "n", "mark")
     clusters = components(found.where(F.col("kind") == EDGE).select("a", "b")).toDF("class", "cluster")
-    reps = checkpointed(facts.groupBy("class").agg(F.min("id").alias("id"), F.max("n").alias("n")))
-    links = _verified(texts, reps, clusters, m, percent, block, words)
-    groups = components(links).toDF("class", "group")
+    return grouped_documents(texts, facts, lambda reps: _verified(texts, reps, clusters, m, percent, block, words))
+
+
+def grouped_documents(texts: DataFrame, facts: DataFrame, verified: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """near_duplicates()'s rows from texts (id, text, mark), facts (id, class, n, mark; of texts with shingles) and the links
+    (a, b) that verified() gives for classes (class, id, mark, n: one text of each)."""
+    reps = checkpointed(facts.groupBy("class").agg(F.min(F.struct("id", "mark")).alias("first"), F.max("n").alias("n")).select("class", "first.id", "first.mark", "n"))
+    groups = components(verified(reps)).toDF("class", "group")
     # written between aggregating by group and joining on it, so that Spark can split a join's hot group or class
     grouping = checkpointed(reps.join(groups, "class", "left").select("class", "id", F.coalesce("group", "class").alias("group")))
     least = checkpointed(grouping.groupBy("group").agg(F.min(F.struct("id", "class")).alias("first")))
@@ -379,7 +395,7 @@ def _spanning(part: Block, asked: Block, label: dict[int, int], all_of: bool) ->
     for q, name in enumerate(asked.names.tolist()):
         near = everyone if all_of else part.holders(asked.items(q))
         near = near[root[at[near]] != root[own[q]]]
-        for d in part.linked(near, asked.items(q), asked.registers[q]).tolist():
+        for d in part.linked_with(near, asked, q).tolist():
             old, new = root[at[d]], root[own[q]]
             if old != new:
                 root[root == old] = new
@@ -387,16 +403,18 @@ def _spanning(part: Block, asked: Block, label: dict[int, int], all_of: bool) ->
     return pairs
 
 
-def _verified(texts: DataFrame, reps: DataFrame, clusters: DataFrame, m: int, percent: int, block: int, words: int = 2) -> DataFrame:
-    """(a, b): links between classes, as many as connect each group. reps: (class, id, n), one document of each class."""
-    sized = clusters.join(reps, "class").select("cluster", "class", "id", "n")
+def _verified(texts: DataFrame, reps: DataFrame, clusters: DataFrame, m: int, percent: int, block: int, words: int = 2, kind: type[Block] = Block) -> DataFrame:
+    """(a, b): links between classes, as many as connect each group. reps: (class, id, mark, n), one text of each class."""
+    key = [c for c in ("id", "mark") if c in reps.columns]  # where ids have a text each, the id tells
+    sized = clusters.join(reps, "class").select("cluster", "class", *key, "n")
     sizes = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
     blocks = F.col("parts")
-    members = sized.join(sizes, "cluster").select("cluster", "class", "id", blocks.cast("int").alias("blocks"), F.pmod(F.xxhash64("class"), blocks).cast("int").alias("block"))
-    held = checkpointed(texts.join(members, "id").select("cluster", "block", "blocks", "class", "text"))
+    members = sized.join(sizes, "cluster").select("cluster", "class", *key, blocks.cast("int").alias("blocks"), F.pmod(F.xxhash64("class"), blocks).cast("int").alias("block"))
+    # a row a class: rows may repeat id and text
+    held = checkpointed(texts.join(members, key).select("cluster", "block", "blocks", "class", "text").dropDuplicates(["class"]))
 
     def work(table: pa.Table) -> pa.Table:
-        part = _block_of(table, m, percent, words)
+        part = _block_of(table, m, percent, words, kind)
         part.connect()
         out = [_edge_table(part.edges)]
         if table["blocks"][0].as_py() > 1:
@@ -411,12 +429,8 @@ def _verified(texts: DataFrame, reps: DataFrame, clusters: DataFrame, m: int, pe
         return links
 
     def elect(table: pa.Table) -> pa.Table:
-        part = _block_of(table, m, percent, words)
-        score = np.zeros(len(part.names), np.int64)
-        for column in part.registers.T:
-            _, which, times = np.unique(column, return_inverse=True, return_counts=True)
-            score += times[which]
-        top = np.argsort(-score, kind="stable")[:HUBS]
+        part = _block_of(table, m, percent, words, kind)
+        top = np.argsort(-part.scores(), kind="stable")[:HUBS]
         return pa.Table.from_batches([_table(HUB, part.names[top], np.full(len(top), table["cluster"][0].as_py()))])
 
     hubs = first.where(F.col("kind") == HUB).select(F.col("a").alias("class"), F.col("b").alias("cluster"))
@@ -436,7 +450,7 @@ def _verified(texts: DataFrame, reps: DataFrame, clusters: DataFrame, m: int, pe
             marks = left.filter(pc.is_null(left["text"]))
             label = dict(zip(marks["class"].to_pylist(), marks["group"].to_pylist(), strict=True))
             label |= dict(zip(right["class"].to_pylist(), right["group"].to_pylist(), strict=True))
-            part, asked = _block_of(left.filter(pc.is_valid(left["text"])), m, percent, words), _block_of(right, m, percent, words)
+            part, asked = _block_of(left.filter(pc.is_valid(left["text"])), m, percent, words, kind), _block_of(right, m, percent, words, kind)
             return pa.Table.from_batches([_edge_table(_spanning(part, asked, label, all_of))])
 
         return run
@@ -446,7 +460,7 @@ def _verified(texts: DataFrame, reps: DataFrame, clusters: DataFrame, m: int, pe
         blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
         renamed = [F.col(c).alias(c) for c in ("cluster", "turn", "class", "group", "text")]  # the same columns are on the other side
         asked = large.join(queries, ["cluster", "class"]).select(*renamed[:1], blocks, *renamed[1:])
-        turns = F.broadcast(queries.groupBy("cluster").agg(F.max("turns").alias("turns")))  # a row per large cluster
+        turns = queries.groupBy("cluster").agg(F.max("turns").alias("turns"))
         turn = F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn")
         members = large.join(turns, "cluster").select("cluster", "block", turn, "class", F.lit(None).cast("long").alias("group"), "text")
         marks = at.join(turns, "cluster").select("cluster", "block", turn, "class", "group", F.lit(None).cast("string").alias("text"))

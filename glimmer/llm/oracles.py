@@ -98,6 +98,26 @@ least AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN n USING (doc_id)
 """
 
+OP12 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {_SPACED.format(text=_LOW.format(text="coalesce(text, '')"))} AS w FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, g FROM (
+    SELECT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda k: array_to_string(w[k:k + 3], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y FROM common JOIN n p ON x = p.doc_id JOIN n q ON y = q.doc_id WHERE 100 * c >= 85 * (p.n + q.n - c)),
+pairs AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, seen) AS (
+  SELECT doc_id, doc_id FROM w
+  UNION
+  SELECT y, seen FROM reach JOIN pairs ON reach.doc_id = pairs.x WHERE seen < y),
+least AS (SELECT doc_id, min(seen) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM least LEFT JOIN n USING (doc_id)
+"""
+
 OP6 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glimmer.llm import ann, conversation_trie, decontaminate, near_dedup, oracles, packing, pii, quality, spelling, substring_dedup, suffix_dedup, token_output, url_filters
+from glimmer.llm import ann, conversation_trie, decontaminate, near_dedup, ngram_join, oracles, packing, pii, quality, spelling, substring_dedup, suffix_dedup, token_output, url_filters
 from glimmer.llm.exchange import scratch_folder
 
 
@@ -81,6 +81,11 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.group_variants(spelling.word_counts(_table(spark, sf_dir, "documents"), every=31))
 
 
+def op12_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = ngram_join.ngram_groups(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation c begins with the first turns, crc32(c) % 6 of them, of the first conversation of its hundred."""
     return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations"), lambda c: c - c % 100, lambda c: F.crc32(c.cast("string")) % 6, most_head=5)
@@ -98,6 +103,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_decontamination": op9_decontamination,
     "op10_near_dedup": op10_near_dedup,
     "op11_spelling_variants": op11_spelling_variants,
+    "op12_ngram_join": op12_ngram_join,
     "op13_conversation_trie": op13_conversation_trie,
 }
 
@@ -110,5 +116,6 @@ ORACLES: dict[str, str] = {
     "op9_decontamination": oracles.OP9,
     "op10_near_dedup": oracles.OP10,
     "op11_spelling_variants": oracles.OP11,
+    "op12_ngram_join": oracles.OP12,
     "op13_conversation_trie": oracles.OP13,
 }
