@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from math import gcd
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +15,68 @@ from glimmer.operators import series
 from glimmer.operators.series import KEY, by_video, everything
 
 
+#: Chunks of a video's mono samples: all but the last are of one length.
+CHUNKS = "video_id string, chunk long, start long, rate int, samples array<double>"
+#: Zero crossings of the interpolating sinc to each side.
+CROSSINGS = 16
+
+
+def filter_bank(rate: int, target: int, crossings: int = CROSSINGS) -> tuple[np.ndarray, int]:
+    """(phases x taps, reach): weights of the samples from reach before a new sample's place to reach after it, for each
+    place between two samples that occurs. A sinc of the lower rate's band under a Hann window; weights of a phase add up to 1."""
+    down = min(1.0, target / rate)
+    phases = target // gcd(rate, target)
+    reach = int(np.ceil(crossings / down))
+    apart = np.arange(phases)[:, None] / phases - np.arange(-reach, reach + 2)
+    inside = np.abs(apart) < crossings / down
+    bank = np.where(inside, np.sinc(apart * down) * (0.5 + 0.5 * np.cos(np.pi * apart * down / crossings)), 0.0)
+    return bank / bank.sum(axis=1, keepdims=True), reach
+
+
+def resampled(chunks: DataFrame, target: int, crossings: int = CROSSINGS) -> DataFrame:
+    """chunks (video_id, chunk, start, rate, samples) at another rate: the same columns, start counted in new samples.
+
+    New sample n lies at n * rate / target; beyond both ends there is silence. A chunk gets as many samples of its
+    neighbours as the filter reaches, by their numbers, so that chunks of one video are worked on anywhere and the result is that of the
+    whole. Chunks but the last have to be longer than that reach (an error, else). All new samples of
+    N old ones are ceil(N * target / rate). A chunk that holds no place of a new sample gives an empty row.
+    """
+    key = [KEY, "chunk"]
+    most = F.ceil(F.lit(float(crossings)) * F.greatest(F.lit(1.0), F.col("rate") / target)).cast("int") + 2
+    size = F.size("samples")
+    slim = chunks.select(KEY, "chunk", "start", "rate", "samples")
+    tails = slim.select(KEY, (F.col("chunk") + 1).alias("chunk"), F.slice("samples", F.greatest(size - most + 1, F.lit(1)), most).alias("before"), (size >= most).alias("enough"))
+    heads = slim.select(KEY, (F.col("chunk") - 1).alias("chunk"), F.slice("samples", F.lit(1), most).alias("after"))
+    none = F.array().cast("array<double>")
+    long = F.when(F.col("enough") | (F.col("chunk") == 0) | F.col("enough").isNull(), F.lit(True)).otherwise(F.raise_error(F.lit("a chunk is shorter than the filter")).cast("boolean"))
+    whole = slim.join(tails, key, "left").join(heads, key, "left").where(long).select(*slim.columns, F.coalesce("before", none).alias("before"), F.coalesce("after", none).alias("after"))
+    banks: dict[int, tuple[np.ndarray, int]] = {}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            starts, out = [], []
+            for start, rate, samples, before, after in zip(batch["start"].to_pylist(), batch["rate"].to_pylist(), *(batch[c] for c in ("samples", "before", "after")), strict=True):
+                parts = [np.asarray(x.values, float) for x in (before, samples, after)]
+                first, end = -(-start * target // rate), -(-(start + len(parts[1])) * target // rate)
+                n = np.arange(first, end)
+                starts.append(first)
+                if rate not in banks:
+                    banks[rate] = filter_bank(rate, target, crossings)
+                bank, reach = banks[rate]
+                wide = np.concatenate((np.zeros(reach + 2), *parts, np.zeros(reach + 2)))
+                at = n * rate // target - start + len(parts[0]) + 2  # the first of the samples that are looked at
+                seen = np.lib.stride_tricks.sliding_window_view(wide, bank.shape[1])[at]
+                out.append((seen * bank[n * rate % target // gcd(rate, target)]).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([batch[KEY], batch["chunk"], pa.array(starts, pa.int64()), pa.array([target] * batch.num_rows, pa.int32()), pa.array(out, pa.list_(pa.float64()))], names=[KEY, "chunk", "start", "rate", "samples"])
+
+    return whole.mapInArrow(run, CHUNKS)
+
+
+def sample_rows(chunks: DataFrame) -> DataFrame:
+    """(video_id, index, value): the samples of chunks, a row each."""
+    return chunks.select(KEY, "start", F.posexplode("samples").alias("k", "value")).select(KEY, (F.col("start") + F.col("k")).alias("index"), "value")
+
+
 def window_rms(samples: DataFrame, size: int, hop: int) -> DataFrame:
     """(video_id, frame, rms) of samples (video_id, index, value): each sample goes to the frames that hold it."""
     last = F.floor(F.col("index") / hop).cast("long")
