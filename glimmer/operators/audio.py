@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glimmer.functions import peaks
 from glimmer.functions.expressions import clip, sigmoid
 from glimmer.operators import series
 from glimmer.operators.series import KEY, by_video, everything
@@ -129,35 +130,25 @@ def prominent_peaks(scored: DataFrame, threshold: float, min_gap: float, promine
 
     A flat top counts once, at its middle sample (the earlier of two). Distance is in samples: the gap divided by
     the median interval. Prominence is the height over the higher of the two lowest points on either side, up to
-    the next sample that is higher. A video's scores are one array, as long as the video.
+    the next sample that is higher. A video's scores are one series, as long as the video, in one task; its work is linear-log.
+    Null times and scores are left out; a video of fewer than three has no peaks.
     """
-    ordered = F.array_sort(F.collect_list(F.struct("time", "score")))
-    arrays = scored.groupBy(KEY).agg(ordered.alias("s")).where(F.size("s") >= 3).join(sampling_interval(scored), KEY)
-    flat = scored.withColumn("i", F.row_number().over(by_video("time")) - 1).withColumn("new", (F.lag("score").over(by_video("time")) != F.col("score")).cast("int"))
-    flat = flat.withColumn("run", F.sum(F.coalesce("new", F.lit(0))).over(by_video("time")))
-    runs = flat.groupBy(KEY, "run").agg(F.min("i").alias("a"), F.max("i").alias("b"), F.first("score").alias("h"))
-    order = by_video("run")
-    tops = runs.withColumn("l", F.lag("h").over(order)).withColumn("r", F.lead("h").over(order)).where((F.col("h") > F.col("l")) & (F.col("h") > F.col("r")) & (F.col("h") >= threshold))
-    tops = tops.select(KEY, F.floor((F.col("a") + F.col("b")) / 2).cast("int").alias("i"), "h")
-    apart = F.greatest(F.lit(1), F.floor(F.lit(min_gap) / F.col("dt")).cast("int"))
-    # the highest first; of equal ones the later first
-    ranked = tops.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct((-F.col("h")).alias("k"), (-F.col("i")).alias("j")))).alias("tops"))
-    held = ranked.join(arrays, KEY).withColumn("apart", apart)
-    kept = F.aggregate("tops", F.array().cast("array<int>"), lambda acc, p: F.when(F.exists(acc, lambda q: F.abs(q + p["j"]) < F.col("apart")), acc).otherwise(F.concat(acc, F.array(-p["j"]))))
-    peaks = held.withColumn("i", F.explode(kept)).withColumn("h", F.col("s")[F.col("i")]["score"])
-
-    def lowest(backwards: bool):
-        side = F.slice("s", 1, F.col("i")) if backwards else F.slice("s", F.col("i") + 2, F.size("s"))
-        side = F.reverse(side) if backwards else side
-        higher = F.array_position(F.transform(side, lambda x: x["score"] > F.col("h")), True).cast("int")
-        until = F.when(higher > 0, F.slice(side, 1, F.greatest(higher - 1, F.lit(0)))).otherwise(side)
-        return F.least(F.col("h"), F.coalesce(F.array_min(F.transform(until, lambda x: x["score"])), F.col("h")))
-
-    lifted = peaks.withColumn("rise", F.col("h") - F.greatest(lowest(True), lowest(False)))
-    return lifted.where(F.col("rise") >= prominence).select(KEY, F.col("s")[F.col("i")]["time"].alias("time"), F.col("h").alias("score"))
-
-
-def extents(scored: DataFrame, peaks: DataFrame, threshold: float, min_duration: float) -> DataFrame:
+
+    def find(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("time", "ascending"), ("score", "ascending")])
+        time, x = (table[c].to_numpy() for c in ("time", "score"))
+        if len(x) < 3:
+            return table.slice(0, 0)
+        distance = max(1, int(np.floor(min_gap / max(1e-3, float(np.median(np.diff(time)))))))
+        at = peaks.tops(x)
+        at = peaks.apart(x, at[x[at] >= threshold], distance)
+        return table.take(at[peaks.prominences(x, at) >= prominence])
+
+    clean = scored.where(F.col("time").isNotNull() & F.col("score").isNotNull()).select(F.col(KEY).cast("string").alias(KEY), F.col("time").cast("double").alias("time"), F.col("score").cast("double").alias("score"))
+    return clean.groupBy(KEY).applyInArrow(find, "video_id string, time double, score double")
+
+
+def extents(scored: DataFrame, found: DataFrame, threshold: float, min_duration: float) -> DataFrame:
     """Loud events: each peak widened to the first samples below max(0.85 threshold, 0.05), or the series' ends.
 
     Shorter ones become a window of max(min_duration / 2, the sampling interval) to each side, from 0 on.
@@ -170,7 +161,7 @@ def extents(scored: DataFrame, peaks: DataFrame, threshold: float, min_duration:
         F.coalesce(F.last(low, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.min("time").over(by_video())).alias("left"),
         F.coalesce(F.first(low, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)), F.max("time").over(by_video())).alias("right"),
     )
-    wide = peaks.select(KEY, "time", "score").join(sides, [KEY, "time"]).join(sampling_interval(scored), KEY)
+    wide = found.select(KEY, "time", "score").join(sides, [KEY, "time"]).join(sampling_interval(scored), KEY)
     half = F.greatest(F.lit(min_duration / 2), F.col("dt"))
     short = F.col("right") - F.col("left") < min_duration
     start = F.when(short, F.greatest(F.lit(0.0), F.col("time") - half)).otherwise(F.col("left"))

@@ -37,9 +37,12 @@ def coverage(segments: DataFrame, slots: DataFrame, step: float) -> DataFrame:
 
 
 def score_or_sentiment(points: DataFrame) -> DataFrame:
-    """(video_id, time, value): the score of each point, or what is named `sentiment` where there is none."""
-    named = [F.col(c).try_cast("double") for c in ("score", "sentiment") if c in points.columns]
-    return points.select(KEY, "time", F.coalesce(*named).alias("value"))
+    """(video_id, time, value): the score of each point; where there is no such column, what is named `sentiment`.
+
+    A point whose score is null or no number has a null value, which no signal takes, whatever its sentiment is.
+    """
+    name = "score" if "score" in points.columns else "sentiment"
+    return points.select(KEY, "time", F.col(name).try_cast("double").alias("value"))
 
 
 def timeline(

@@ -9,18 +9,26 @@ from glimmer.operators.series import KEY, by_video
 
 
 def dissimilarity(a: Column, b: Column) -> Column:
-    """1 - the correlation of two arrays, clamped to 0..1; null without two arrays, 0 where the correlation is undefined and both are equal."""
-    def total(x: Column) -> Column:
-        return F.aggregate(x, F.lit(0.0), lambda acc, v: acc + v)
-
-    n = F.size(a).cast("double")
-    x, y = F.transform(a, lambda v: v.cast("double")), F.transform(b, lambda v: v.cast("double"))
-    dx = F.transform(x, lambda v: v - total(x) / n)
-    dy = F.transform(y, lambda v: v - total(y) / n)
-    up = total(F.zip_with(dx, dy, lambda p, q: p * q))
-    down = F.sqrt(total(F.transform(dx, lambda v: v * v)) * total(F.transform(dy, lambda v: v * v)))
-    r = F.when(down > 0, up / down).otherwise(F.when(x == y, F.lit(1.0)).otherwise(F.lit(0.0)))
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - r))
+    """1 - the correlation of two arrays, clamped to 0..1; null without two arrays of one length and of numbers, 0 where the
+    correlation is undefined and both are equal.
+
+    One fold over five sums, of entries less the arrays' first ones, so that a constant array has no spread at all.
+    """
+    names = ("x", "y", "xx", "yy", "xy")
+
+    def add(acc: Column, pair: Column) -> Column:
+        x, y = pair["p"] - F.get(a, 0).cast("double"), pair["q"] - F.get(b, 0).cast("double")
+        return F.struct(*[(acc[c] + v).alias(c) for c, v in zip(names, (x, y, x * x, y * y, x * y), strict=True)])
+
+    def finish(acc: Column) -> Column:
+        n = F.size(a).cast("double")
+        up = acc["xy"] - acc["x"] * acc["y"] / n
+        down = F.sqrt((acc["xx"] - acc["x"] * acc["x"] / n) * (acc["yy"] - acc["y"] * acc["y"] / n))
+        r = F.when(down > 0, up / down).otherwise(F.when(a == b, F.lit(1.0)).otherwise(F.lit(0.0)))
+        return F.when(up.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - r)))
+
+    pairs = F.zip_with(a, b, lambda p, q: F.struct(p.cast("double").alias("p"), q.cast("double").alias("q")))
+    return F.when(F.size(a) > 0, F.aggregate(pairs, F.struct(*[F.lit(0.0).alias(c) for c in names]), add, finish)).when((F.size(a) == 0) & (F.size(b) == 0), F.lit(0.0))
 
 
 def shot_scores(histograms: DataFrame) -> DataFrame:

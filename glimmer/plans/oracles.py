@@ -201,6 +201,34 @@ PARTS |= {
       WHERE score >= 0.5 AND (around <= 1e-5 OR score / around >= 1.02::DOUBLE)""",
     "acuts": """SELECT video_id, 0.0::DOUBLE AS time FROM hscore GROUP BY video_id
       UNION SELECT s.video_id, min(c.time) FROM acuts s JOIN adapt c ON s.video_id = c.video_id AND c.time - s.time >= 1.5::DOUBLE GROUP BY s.video_id, s.time""",
+    "bytes3": "SELECT video_id, i // 216 AS frame_index, i % 216 AS k, ('0x' || substr(x, 2 * i + 1, 2))::INT AS v FROM (SELECT 'd' || doc_id AS video_id, hex(encode(text)) AS x, unnest(range(0, octet_length(encode(text)) // 216 * 216)) AS i FROM documents WHERE text IS NOT NULL)",
+    "bgr": "SELECT video_id, frame_index, k // 3 // 12 AS y, k // 3 % 12 AS x, max(v) FILTER (k % 3 = 0) AS b, max(v) FILTER (k % 3 = 1) AS g, max(v) FILTER (k % 3 = 2) AS r FROM bytes3 GROUP BY ALL",
+    "luma": "SELECT video_id, frame_index, y, x, (b * 3735 + g * 19235 + r * 9798 + 16384) >> 15 AS v FROM bgr",
+    "taps": "SELECT o, s, greatest(0.0::DOUBLE, least(s + 1, (o + 1) * 1.5::DOUBLE) - greatest(s, o * 1.5::DOUBLE)) / 1.5::DOUBLE AS w FROM range(8) a(o), range(12) b(s) WHERE s < (o + 1) * 1.5 AND s + 1 > o * 1.5",
+    "halved": "SELECT video_id, frame_index, y // 2 AS y, x // 2 AS x, round_even(sum(b) / 4, 0)::INT AS b, round_even(sum(g) / 4, 0)::INT AS g, round_even(sum(r) / 4, 0)::INT AS r FROM bgr GROUP BY ALL",
+    "spread": "SELECT *, greatest(b, g, r) AS v, greatest(b, g, r) - least(b, g, r) AS d FROM halved",
+    "hues": "SELECT *, ((CASE WHEN v = r THEN g - b WHEN v = g THEN b - r + 2 * d ELSE r - g + 4 * d END) * CASE WHEN d > 0 THEN round_even(30::DOUBLE * 4096 / d, 0)::INT ELSE 0 END + 2048)::DOUBLE / 4096 AS t, ((d * CASE WHEN v > 0 THEN round_even(255::DOUBLE * 4096 / v, 0)::INT ELSE 0 END + 2048) >> 12) AS s FROM spread",
+    "hsv": "SELECT video_id, frame_index, floor(t)::INT + CASE WHEN floor(t) < 0 THEN 180 ELSE 0 END AS h, s, v FROM hues",
+    "bins": "SELECT video_id, frame_index, c, bin, count(*) AS n FROM (SELECT video_id, frame_index, unnest([0, 1, 2]) AS c, unnest([h * 32 // 180, s * 32 // 256, v * 32 // 256]) AS bin FROM hsv) GROUP BY ALL",
+    "colours": "SELECT video_id, frame_index, (c * 32 + bin)::INT AS bin, n / sqrt(sum(n * n) OVER (PARTITION BY video_id, frame_index, c)) AS value FROM bins",
+    "colourpairs": "SELECT a.video_id, a.frame_index, sum(a.value) AS sx, sum(a.value * a.value) AS sxx FROM colours a GROUP BY ALL",
+    "colourdots": "SELECT a.video_id, a.frame_index, sum(a.value * b.value) AS sxy FROM colours a JOIN colours b ON a.video_id = b.video_id AND a.frame_index = b.frame_index + 1 AND a.bin = b.bin GROUP BY ALL",
+    "colourscore": f"""SELECT a.video_id, a.frame_index / 25::DOUBLE AS time, {r6(clip('1 - (coalesce(sxy, 0) - a.sx * b.sx / 96) / sqrt((a.sxx - a.sx * a.sx / 96) * (b.sxx - b.sx * b.sx / 96))'))} AS score
+      FROM colourpairs a JOIN colourpairs b ON a.video_id = b.video_id AND a.frame_index = b.frame_index + 1 LEFT JOIN colourdots d ON d.video_id = a.video_id AND d.frame_index = a.frame_index""",
+    "colourcuts": """SELECT video_id, 0.0::DOUBLE AS time FROM colourscore GROUP BY video_id
+      UNION SELECT s.video_id, min(c.time) FROM colourcuts s JOIN colourscore c ON s.video_id = c.video_id AND c.score >= 0.35::DOUBLE AND c.time - s.time >= 0.2::DOUBLE GROUP BY s.video_id, s.time""",
+    "marked": "SELECT video_id, frame_index, list_transform(range(72), lambda k: substr(hx, 2 * (72 * frame_index + k) + 1, 2) NOT IN ('00', '7F')) AS m FROM (SELECT 'd' || doc_id AS video_id, hex(encode(regexp_replace(text, '[aeiou ]', chr(127), 'g'))) AS hx, unnest(range(0, octet_length(encode(text)) // 72)) AS frame_index FROM documents WHERE text IS NOT NULL)",
+    "worn": "SELECT video_id, frame_index, list_transform(range(72), lambda k: m[k + 1] AND (k % 12 = 0 OR m[k]) AND (k % 12 = 11 OR m[k + 2]) AND (k < 12 OR m[k - 11]) AND (k >= 60 OR m[k + 13])) AS m FROM marked",
+    "grown": "SELECT video_id, frame_index, list_transform(range(72), lambda k: m[k + 1] OR (k % 12 > 0 AND m[k]) OR (k % 12 < 11 AND m[k + 2]) OR (k >= 12 AND m[k - 11]) OR (k < 60 AND m[k + 13])) AS m FROM worn",
+    "bytes1": "SELECT video_id, i AS frame_index, substr(hx, 144 * i + 1, 144) AS hx FROM (SELECT 'd' || doc_id AS video_id, hex(encode(text)) AS hx, unnest(range(0, octet_length(encode(text)) // 72)) AS i FROM documents WHERE text IS NOT NULL)",
+    "pixels1": "SELECT video_id, frame_index, k, ('0x' || substr(hx, 2 * k + 1, 2))::INT AS v FROM (SELECT video_id, frame_index, hx, unnest(range(0, 72)) AS k FROM bytes1)",
+    "letters": "SELECT 'd' || doc_id AS video_id, i - 1 AS i, length(text) AS size, (unicode(substr(text, i, 1)) % 256 - 128) / 128::DOUBLE AS x FROM (SELECT doc_id, text, unnest(range(1, length(text) + 1)) AS i FROM documents)",
+    "bank": """SELECT phase, k, w / sum(w) OVER (PARTITION BY phase) AS w FROM (
+      SELECT phase, k, CASE WHEN abs(a) < 4 THEN CASE WHEN a = 0 THEN 1.0 ELSE sin(pi() * a) / (pi() * a) END * (0.5 + 0.5 * cos(pi() * a / 4)) ELSE 0 END AS w
+      FROM (SELECT phase, k, (phase / 320::DOUBLE - k) * (16000 / 22050::DOUBLE) AS a FROM range(320) p(phase), range(-6, 8) t(k)))""",
+    "resounds": """SELECT video_id, n, sum(x * w) AS y FROM (
+      SELECT video_id, n, n * 22050 // 16000 + k AS i, w FROM (SELECT video_id, n, n * 22050 % 16000 // 50 AS phase FROM (
+        SELECT video_id, unnest(range(0, (size * 16000 + 22049) // 22050)) AS n FROM (SELECT DISTINCT video_id, size FROM letters))) JOIN bank USING (phase) WHERE w <> 0) JOIN letters USING (video_id, i) GROUP BY ALL""",
     "power": "SELECT video_id, time, avg(value * value) AS v FROM sig WHERE event_type = 'view' GROUP BY ALL",
     "louds": "SELECT video_id, event_id, time, value FROM sig WHERE event_type <> 'view' AND video_id IN (SELECT video_id FROM power)",
     "resampled": """SELECT video_id, time, value AS loudness, CASE WHEN n = 1 THEN m WHEN pt IS NULL OR qt IS NULL THEN 0.0::DOUBLE WHEN qt = pt THEN pv ELSE pv + (qv - pv) / (qt - pt) * (time - pt) END AS energy
@@ -289,8 +317,17 @@ ORACLES: dict[str, str] = {
     "j14_zipped_points": sql("""SELECT video_id, a.t AS time, b.pos AS value FROM (SELECT video_id, "start" AS t, row_number() OVER (PARTITION BY video_id ORDER BY "start") AS i FROM seg) a JOIN (SELECT video_id, pos, row_number() OVER (PARTITION BY video_id ORDER BY pos) AS i FROM seg WHERE pos % 3 <> 2) b USING (video_id, i)""", "seg"),
     "k2_time_order": sql("SELECT video_id, pos, floor(time / 20)::DOUBLE AS time, row_number() OVER (PARTITION BY video_id ORDER BY floor(time / 20), pos)::INT AS place FROM funny", "funny"),
     "p11_scene_starts": sql("""SELECT DISTINCT video_id, "start"::DOUBLE AS time FROM numbered""", "numbered"),
-    "p15_score_or_sentiment": sql(f"SELECT video_id, {r6('time')} AS time, {r6('CASE WHEN value > 100 THEN value ELSE value / 2 END')} AS value FROM sig", "sig"),
+    "p15_score_or_sentiment": sql(f"SELECT video_id, {r6('time')} AS time, {r6('CASE WHEN event_id % 2 = 0 THEN value ELSE value / 2 END')} AS value FROM sig WHERE event_id % 2 = 1 OR value > 100", "sig"),
     "w6_adaptive_cuts": sql("SELECT video_id, time FROM acuts", "acuts"),
+    "p3_grey_resized": sql("""SELECT video_id, frame_index, 8 AS width, 4 AS height, string_agg(format('{:02X}', v), '' ORDER BY y, x) AS pixels FROM (
+      SELECT video_id, frame_index, a.o AS y, b.o AS x, round_even(sum(v * a.w * b.w), 0)::INT AS v FROM luma JOIN taps a ON a.s = y JOIN taps b ON b.s = x WHERE a.o < 4 GROUP BY ALL) GROUP BY video_id, frame_index""", "luma"),
+    "a9_opened_fraction": sql(f"SELECT video_id, frame_index, {r6('len(list_filter(m, lambda x: x)) / 72::DOUBLE')} AS value FROM grown", "grown"),
+    "a10_colour_histogram": sql(f"SELECT video_id, frame_index, bin, {r6('value')} AS value FROM colours", "colours"),
+    "w4_colour_scores": sql("SELECT video_id, time, score FROM colourscore", "colourscore"),
+    "w5_colour_cuts": sql("SELECT video_id, time FROM colourcuts", "colourcuts"),
+    "s4_frame_scan": sql("SELECT video_id, frame_index, 12 AS width, 6 AS height, hx AS pixels FROM bytes1 WHERE frame_index >= 3 AND frame_index % 3 = 0", "bytes1"),
+    "s5_scan_differences": sql(f"SELECT b.video_id, b.frame_index, {r6('avg(abs(b.v - a.v))')} AS value FROM pixels1 a JOIN pixels1 b ON a.video_id = b.video_id AND a.k = b.k AND b.frame_index = a.frame_index + 2 WHERE b.frame_index % 2 = 0 GROUP BY b.video_id, b.frame_index", "pixels1"),
+    "s6_resampled_levels": sql(f"SELECT video_id, frame, {r6('sqrt(avg(y * y))')} AS rms FROM (SELECT video_id, y, unnest(range(greatest(0, n // 800 - 1), n // 800 + 1)) AS frame FROM resounds) GROUP BY ALL", "resounds"),
     "w6_content_cuts": sql("SELECT video_id, time FROM ccuts", "ccuts"),
 }
 for _key, _test in (("j3_snap_inclusive", "<= 5"), ("j4_snap_strict", "< 5")):

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from glimmer.config import EngineConfig
 from glimmer.functions.expressions import signed_confidence
-from glimmer.operators import audio, chapters, document, fusion, intervals, motion, scenes, series, text
+from glimmer.operators import audio, chapters, document, frames, fusion, intervals, motion, scenes, series, text
 from glimmer.operators.series import KEY
-from glimmer.sources import media, tables
+from glimmer.sources import media, scratch, tables, video
 
 Query = Callable[[SparkSession, str], DataFrame]
 CONFIG = EngineConfig(loud_threshold=0.6, min_highlight=30.0)
@@ -476,8 +476,11 @@ def p11_scene_starts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p15_score_or_sentiment(spark: SparkSession, d: str) -> DataFrame:
+    """Points with a score, some of which are null, and points that have a sentiment alone."""
     rows = _signals(spark, d).select(KEY, "event_id", "time", F.when(F.col("value") > 100, F.col("value")).alias("score"), (F.col("value") / 2).alias("sentiment"))
-    return rounded(fusion.score_or_sentiment(rows), "time", "value")
+    scored = fusion.score_or_sentiment(rows.where(F.col("event_id") % 2 == 0))
+    named = fusion.score_or_sentiment(rows.where(F.col("event_id") % 2 == 1).drop("score"))
+    return rounded(series.valid_points(scored.unionByName(named)), "time", "value")
 
 
 def f8_covered_dialogue(spark: SparkSession, d: str) -> DataFrame:
@@ -494,6 +497,73 @@ def f9_unsnapped(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found.select(KEY, "peak", "start", "end"), "start", "end")
 
 
+# ---- frames and sound: documents' bytes stand in for pixels, their letters for samples
+
+
+def p3_grey_resized(spark: SparkSession, d: str) -> DataFrame:
+    small = frames.grey(tables.byte_frames(spark, d), 8)
+    return small.select(KEY, "frame_index", "width", "height", F.hex("pixels").alias("pixels"))
+
+
+def _colours(spark: SparkSession, d: str) -> DataFrame:
+    return frames.histograms(tables.byte_frames(spark, d), (6, 3))
+
+
+def a10_colour_histogram(spark: SparkSession, d: str) -> DataFrame:
+    bins = _colours(spark, d).select(KEY, "frame_index", F.posexplode("hist").alias("bin", "value"))
+    return rounded(bins.where(F.col("value") > 0), "value")
+
+
+def _colour_scores(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(scenes.shot_scores(_colours(spark, d)), "score")
+
+
+def w4_colour_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _colour_scores(spark, d)
+
+
+def w5_colour_cuts(spark: SparkSession, d: str) -> DataFrame:
+    return scenes.shot_boundaries(_colour_scores(spark, d), 0.35, 0.2)
+
+
+def a9_opened_fraction(spark: SparkSession, d: str) -> DataFrame:
+    """Masks: some letters are shadow, all others foreground."""
+    masks = tables.byte_frames(spark, d, channels=1, text=F.regexp_replace("text", "[aeiou ]", chr(127)))
+    return rounded(frames.opened_fraction(masks), "value").select(KEY, "frame_index", "value")
+
+
+def w3_background_model(spark: SparkSession, d: str) -> DataFrame:
+    shots = tables.byte_frames(spark, d)
+    videos = shots.select(KEY, F.lit(25.0).alias("fps")).distinct()
+    return rounded(frames.foreground(shots, videos, width=8, step=2, history=12), "time", "value")
+
+
+def w2_optical_flow(spark: SparkSession, d: str) -> DataFrame:
+    """What A8 makes of the flow between neighbouring frames."""
+    return rounded(frames.flow_changes(tables.byte_frames(spark, d), width=0, window=5), "value")
+
+
+def _scanned(spark: SparkSession, d: str, step: int) -> DataFrame:
+    """Every step-th frame of video files that are written first: a file per document."""
+    folder = scratch.new_folder(spark, "frames")
+    named = tables.byte_frames(spark, d, channels=1).withColumn(KEY, F.concat(KEY, F.lit(".y4m")))
+    video.write_frames(named, folder).write.format("noop").mode("overwrite").save()
+    return video.frames(spark, folder, step, segment=64).withColumn(KEY, F.regexp_replace(KEY, r"\.y4m$", ""))
+
+
+def s4_frame_scan(spark: SparkSession, d: str) -> DataFrame:
+    return frames.grey(_scanned(spark, d, 3).where(F.col("frame_index") >= 3), 0).select(KEY, "frame_index", "width", "height", F.hex("pixels").alias("pixels"))
+
+
+def s5_scan_differences(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(frames.differences(_scanned(spark, d, 2), 0, 2, 16), "value").select(KEY, "frame_index", "value")
+
+
+def s6_resampled_levels(spark: SparkSession, d: str) -> DataFrame:
+    """Levels of sound that is brought to another rate first."""
+    return rounded(audio.window_rms(audio.sample_rows(audio.resampled(tables.letter_sound(spark, d), 16000, crossings=4)), 1600, 800), "rms")
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     a1_second_mean, a4_max_normalized_heatmap, a5_unit_range, a6_motion_summary, a11_shot_score, a12_window_rms, a14_quantile, a15_sampling_interval,
     a16_scene_summary, a17_sentiment_summary, a18_humor_summary, a19_safe_mean, a20_speech_summary, a21_unique_topics, a22_full_transcript, a25_shot_summary,
@@ -504,4 +574,5 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     w12_interest_peaks, w13_best_window, w16_j5_topic_blocks, w17_merge, w18_absorb_short,
     a7_pixel_difference, a8_moving_fraction, f8_covered_dialogue, f9_unsnapped, j13_energy_on_loudness, j14_zipped_points, k2_time_order, p11_scene_starts, p15_score_or_sentiment,
     w6_content_cuts, w6_adaptive_cuts,
+    p3_grey_resized, a9_opened_fraction, a10_colour_histogram, s4_frame_scan, s5_scan_differences, s6_resampled_levels, w2_optical_flow, w3_background_model, w4_colour_scores, w5_colour_cuts,
 )}

@@ -6,7 +6,7 @@ event's value is the frame's scalar and the audio level. Conversations are trans
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glimmer.operators.series import KEY
@@ -56,3 +56,21 @@ def histograms(spark: SparkSession, sf_dir: str, per_video: int = 50, fps: float
     rows = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull())
     video = F.concat(F.lit("e"), F.floor(F.col("vec_id") / per_video).cast("string"))
     return rows.select(video.alias(KEY), (F.pmod("vec_id", F.lit(per_video)) / F.lit(fps)).alias("time"), F.col("embedding").alias("hist"))
+
+
+def byte_frames(spark: SparkSession, sf_dir: str, width: int = 12, height: int = 6, channels: int = 3, fps: float = 25.0, text: Column | None = None) -> DataFrame:
+    """(video_id, frame_index, time, width, height, pixels): the bytes of each document's text (or of what is made of it), cut into frames."""
+    size = width * height * channels
+    raw = F.encode(F.col("text") if text is None else text, "utf-8")
+    rows = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias(KEY), raw.alias("raw")).where(F.octet_length("raw") >= size)
+    cut = rows.select(KEY, "raw", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("raw") / size).cast("int") - 1)).alias("k"))
+    return cut.select(KEY, F.col("k").cast("long").alias("frame_index"), (F.col("k") / F.lit(fps)).alias("time"), F.lit(width).alias("width"), F.lit(height).alias("height"), F.substring("raw", F.col("k") * size + 1, F.lit(size)).alias("pixels"))
+
+
+def letter_sound(spark: SparkSession, sf_dir: str, rate: int = 22050, chunk: int = 4096) -> DataFrame:
+    """(video_id, chunk, start, rate, samples): each document's letters as samples, by their codes modulo 256."""
+    rows = table(spark, sf_dir, "documents").where(F.length("text") > 0).select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias(KEY), "text")
+    cut = rows.select(KEY, "text", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk).cast("int"))).alias("chunk"))
+    letters = F.split(F.substring("text", F.col("chunk") * chunk + 1, F.lit(chunk)), "(?s)(?<=.)(?=.)")
+    samples = F.transform(letters, lambda c: (F.pmod(F.ascii(c), F.lit(256)) - 128) / F.lit(128.0))
+    return cut.select(KEY, F.col("chunk").cast("long").alias("chunk"), (F.col("chunk") * chunk).cast("long").alias("start"), F.lit(rate).alias("rate"), samples.alias("samples"))

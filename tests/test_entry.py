@@ -17,7 +17,7 @@ def test_every_oracle_has_its_query():
 def test_without_the_llm_subpackage(tmp_path):
     shutil.copytree(ROOT / "glimmer", tmp_path / "glimmer", ignore=shutil.ignore_patterns("llm", "__pycache__"))
     shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
-    code = "import __spark_entry__ as e; q = e.queries(); assert set(q) == set(e.oracle_sql()) and not [k for k in q if k.startswith('op')], q; print(len(q))"
+    code = "import __spark_entry__ as e; q = e.queries(); assert set(e.oracle_sql()) <= set(q) and not [k for k in q if k.startswith('op')], q; print(len(q))"
     # an empty folder of that name is no subpackage either
     for extra in (False, True):
         if extra:

@@ -272,7 +272,7 @@ def test_zipped_points_and_scores(spark):
     rows = spark.createDataFrame([("v", [1.0, 2.0, 3.0], [5.0, 6.0]), ("w", None, [1.0]), ("x", [], [1.0])], "video_id string, a array<double>, b array<double>")
     assert [tuple(r) for r in series.zipped_points(rows, "a", "b").collect()] == [("v", 1.0, 5.0), ("v", 2.0, 6.0)]
     mixed = spark.createDataFrame([("v", 0.0, 0.5, None), ("v", 1.0, None, 0.2)], "video_id string, time double, score double, sentiment double")
-    assert column(fusion.score_or_sentiment(mixed), "value") == [0.5, 0.2]
+    assert column(fusion.score_or_sentiment(mixed), "value") == [0.5, None]  # a score that is null is none, whatever the sentiment is
     assert column(fusion.score_or_sentiment(mixed.drop("score")), "value") == [None, 0.2]
 
 

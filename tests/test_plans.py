@@ -28,8 +28,12 @@ def database():
     return con
 
 
+#: Models that go from frame to frame; tests/test_frames.py holds them against plain loops.
+WITHOUT_SQL = {"w2_optical_flow", "w3_background_model"}
+
+
 def test_every_query_has_sql():
-    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) - WITHOUT_SQL == set(ORACLES)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
