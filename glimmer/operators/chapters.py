@@ -55,16 +55,22 @@ def title(number: Column, topic: Column) -> Column:
 
 
 def chapter_stats(parts: DataFrame, timeline: DataFrame, bucket: float = 60.0) -> DataFrame:
-    """parts (video_id, chapter, start, end) with n, motion, humor, sentiment, dialogue of the points within, ends included.
+    """parts (video_id, chapter, start, end, and what else they have) with n, motion, humor, sentiment, dialogue of the points within, ends included.
 
-    The range join is an equi-join on time buckets: a chapter is repeated for the buckets it reaches over.
+    The range join is an equi-join on time buckets: a chapter is repeated for the buckets it reaches over, and its rows are
+    brought together again by one aggregate, without a join back.
     """
     number = lambda t: F.floor(t / F.lit(bucket)).cast("long")
-    spread = parts.select(KEY, "chapter", "start", "end", F.explode(F.sequence(number(F.col("start")), F.greatest(number(F.col("start")), number(F.col("end"))))).alias("bucket"))
+    own = [c for c in parts.columns if c not in (KEY, "chapter")]
+    spread = parts.select(KEY, "chapter", F.struct(*own).alias("part"), F.explode(F.sequence(number(F.col("start")), F.greatest(number(F.col("start")), number(F.col("end"))))).alias("bucket"))
     points = timeline.select(KEY, number(F.col("time")).alias("bucket"), "time", "motion", "humor", "sentiment", "is_dialogue")
-    inside = spread.join(points, [KEY, "bucket"]).where((F.col("time") >= F.col("start")) & (F.col("time") <= F.col("end")))
-    stats = inside.groupBy(KEY, "chapter").agg(F.count("*").alias("n"), F.avg("motion").alias("motion"), F.avg("humor").alias("humor"), F.avg(F.abs("sentiment")).alias("sentiment"), F.max("is_dialogue").alias("dialogue"))
-    return parts.join(stats, [KEY, "chapter"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    inside = (F.col("time") >= F.col("part.start")) & (F.col("time") <= F.col("part.end"))
+    held = lambda value: F.when(inside, value)
+    stats = spread.join(points, [KEY, "bucket"], "left").groupBy(KEY, "chapter").agg(
+        F.first("part").alias("part"), F.count_if(inside).alias("n"), F.avg(held(F.col("motion"))).alias("motion"), F.avg(held(F.col("humor"))).alias("humor"),
+        F.avg(held(F.abs("sentiment"))).alias("sentiment"), F.max(held(F.col("is_dialogue"))).alias("dialogue"),
+    )
+    return stats.select(KEY, "chapter", "part.*", "n", "motion", "humor", "sentiment", "dialogue")
 
 
 def description() -> Column:

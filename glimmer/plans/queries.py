@@ -87,7 +87,11 @@ def _segment_videos(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _topics(spark: SparkSession, d: str) -> DataFrame:
-    return text.topics(_segments(spark, d), _segment_videos(spark, d), CONFIG.block_duration, text.ENGLISH)
+    return _topics_of(_segments(spark, d))
+
+
+def _topics_of(segments: DataFrame) -> DataFrame:
+    return text.topics(segments, tables.transcript_videos(segments), CONFIG.block_duration, text.ENGLISH)
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
@@ -368,31 +372,37 @@ def highlights(spark: SparkSession, d: str) -> DataFrame:
     return rounded_means(rounded(intervals.highlights(_timeline(spark, d), _videos(spark, d), _marks(spark, d), CONFIG), "start", "end"))
 
 
-def _pauses(spark: SparkSession, d: str) -> DataFrame:
-    return _segments(spark, d).where(F.col("pos") % 2 == 1).select(KEY, F.col("start").alias("time"))
+def _pauses(segments: DataFrame) -> DataFrame:
+    return segments.where(F.col("pos") % 2 == 1).select(KEY, F.col("start").alias("time"))
 
 
 def _absorbed(spark: SparkSession, d: str) -> DataFrame:
-    return chapters.absorbed(chapters.snapped_topics(_topics(spark, d), _pauses(spark, d), CONFIG.chapter_snap), 60.0)
+    return chapters.absorbed(chapters.snapped_topics(_topics(spark, d), _pauses(_segments(spark, d)), CONFIG.chapter_snap), 60.0)
 
 
 def w18_absorb_short(spark: SparkSession, d: str) -> DataFrame:
     return rounded(_absorbed(spark, d), "start", "end")
 
 
-def _talk_timeline(spark: SparkSession, d: str) -> DataFrame:
+def _talk_timeline(segments: DataFrame) -> DataFrame:
     """A stand-in timeline of transcripts: a point per segment; sums of such binary fractions are exact."""
     size = F.length("text")
-    return _segments(spark, d).select(KEY, F.col("start").alias("time"), (F.pmod(size, F.lit(64)) / 64.0).alias("motion"), (F.pmod(size, F.lit(7)) / 8.0).alias("humor"), (F.pmod(size, F.lit(16)) / 8.0 - 1.0).alias("sentiment"), (F.pmod(size, F.lit(3)) == 0).alias("is_dialogue"))
+    return segments.select(KEY, F.col("start").alias("time"), (F.pmod(size, F.lit(64)) / 64.0).alias("motion"), (F.pmod(size, F.lit(7)) / 8.0).alias("humor"), (F.pmod(size, F.lit(16)) / 8.0 - 1.0).alias("sentiment"), (F.pmod(size, F.lit(3)) == 0).alias("is_dialogue"))
 
 
 def j12_chapter_stats(spark: SparkSession, d: str) -> DataFrame:
     parts = _absorbed(spark, d).select(KEY, "chapter", "start", "end")
-    return rounded(chapters.chapter_stats(parts, _talk_timeline(spark, d)), "start", "end", "motion", "humor", "sentiment")
+    return rounded(chapters.chapter_stats(parts, _talk_timeline(_segments(spark, d))), "start", "end", "motion", "humor", "sentiment")
+
+
+def _chapters_of(segments: DataFrame, topics: DataFrame, videos: DataFrame) -> DataFrame:
+    return rounded(chapters.chapters(topics, videos, _pauses(segments), _talk_timeline(segments), EngineConfig(min_chapter=60.0)), "start", "end")
 
 
 def f10_f11_chapters(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(chapters.chapters(_topics(spark, d), _segment_videos(spark, d), _pauses(spark, d), _talk_timeline(spark, d), EngineConfig(min_chapter=60.0)), "start", "end")
+    segments = scratch.shared(_segments(spark, d), "segments")
+    topics = scratch.shared(_topics_of(segments), "topics")
+    return _chapters_of(segments, topics, tables.transcript_videos(segments))
 
 
 def s11_truncate(spark: SparkSession, d: str) -> DataFrame:
@@ -407,12 +417,13 @@ _DOCUMENT = """video_info struct<duration_seconds: double>, transcript string, s
 
 def f12_document(spark: SparkSession, d: str) -> DataFrame:
     """The JSON document of each transcript, field by field as it reads back."""
-    segments, videos = _segments(spark, d), _segment_videos(spark, d)
+    segments = scratch.shared(_segments(spark, d), "segments")
+    topics, videos = scratch.shared(_topics_of(segments), "topics"), scratch.shared(tables.transcript_videos(segments), "videos")
     sections = {
         "segments": document.listed(segments, "segments", "pos"),
         "transcript": text.full_transcript(segments),
-        "topics": document.listed(_topics(spark, d), "topics", "block"),
-        "chapters": document.listed(f10_f11_chapters(spark, d), "chapters", "chapter"),
+        "topics": document.listed(topics, "topics", "block"),
+        "chapters": document.listed(_chapters_of(segments, topics, videos), "chapters", "chapter"),
     }
     read = document.as_json(document.document(videos, sections)).select(KEY, F.from_json("json", _DOCUMENT).alias("doc"))
 

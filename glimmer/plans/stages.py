@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from glimmer.config import EngineConfig
 from glimmer.operators import audio, chapters, document, fusion, intervals, motion, scenes, text
 from glimmer.operators.series import KEY
+from glimmer.sources import scratch
 
 #: Takes the relations so far and gives new ones; a stage of one's own is any such function.
 Stage = Callable[[Mapping[str, DataFrame], EngineConfig], Mapping[str, DataFrame]]
@@ -65,17 +66,27 @@ def document_stage(have: Mapping[str, DataFrame], config: EngineConfig) -> Mappi
 STAGES: tuple[Stage, ...] = (motion_stage, audio_stage, scene_stage, text_stage, fusion_stage, highlight_stage, chapter_stage, document_stage)
 
 
+#: Relations that more than one stage, or a stage and the document, consume.
+SHARED = ("motion", "audio", "events", "scenes", "boundaries", "segments", "topics", "timeline", "highlights", "chapters")
+
+
 @dataclass(frozen=True)
 class Analysis:
-    """videos, frames, levels (video_id, time, rms), cuts (video_id, time) and transcripts in; every relation out, lazily."""
+    """videos, frames, levels (video_id, time, rms), cuts (video_id, time) and transcripts in; every relation out.
+
+    Relations with several consumers are worked out once, as they come up, and read from a shared folder after that
+    (share=False: nothing is worked out before it is asked for, and as often as it is).
+    """
 
     config: EngineConfig = EngineConfig()
     stages: tuple[Stage, ...] = STAGES
+    share: bool = True
 
     def run(self, **relations: DataFrame) -> dict[str, DataFrame]:
         have = dict(relations)
         for stage in self.stages:
-            have.update(stage(have, self.config))
+            found = stage(have, self.config)
+            have.update({k: scratch.shared(v, k) if self.share and k in SHARED else v for k, v in found.items()})
         return have
 
 

@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -28,3 +28,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     files.mkdirs(path)
     files.deleteOnExit(path)
     return folder
+
+
+def shared(df: DataFrame, name: str) -> DataFrame:
+    """df, worked out once and read by all its consumers; as Parquet in a new folder, so that a lost executor costs nothing."""
+    folder = new_folder(df.sparkSession, name) + "/rows"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
