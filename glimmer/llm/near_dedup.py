@@ -50,7 +50,7 @@ HUBS = 4
 #: Shingles of a block, about: what a task reads of a cluster of long texts.
 BLOCK_SHINGLES = 1 << 20
 #: Distinct sets after which a task sends what it holds of bucket keys.
-HELD_SETS = 1 << 15
+HELD_SETS = 1 << 14
 #: Bytes of bucket keys of a target, about.
 TARGET_BYTES = 1 << 26
 #: Further elections, sixteen times as many hubs each, before what is left is asked about in blocks; a round has to
