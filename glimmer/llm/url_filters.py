@@ -22,11 +22,9 @@ from glimmer.llm.components import components
 ALLOW, BLOCK = "allow", "block"
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A link element that names the canonical url, and a refresh to another url, attributes in either order.
-_LINK = r"(?is)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_HREF = r"(?is)\bhref\s*=\s*[\"']?([^\"'\s>]+)"
-_META = r"(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
-_GOES = r"(?is)\burl\s*=\s*[\"']?([^\"'\s>]+)"
+#: Elements that may name another url; a tag ends before the next one begins.
+_TAGS = r"(?is)<(?:link|meta|base)\b[^<>]*>"
+_MAY_NAME = r"(?i)canonical|refresh"
 
 
 def _after_scheme(url: Column) -> Column:
@@ -43,8 +41,12 @@ def path_of(url: Column) -> Column:
 
 
 def alias_of(url: Column) -> Column:
-    """What urls that always lead to the same page share: host, path and query, without scheme and fragment."""
-    return F.concat(host_of(url), F.regexp_extract(_after_scheme(url), r"^[^/?#]*([^#]*)", 1))
+    """What urls that always lead to the same page share: host, path and query, without scheme, user, the scheme's own port, and fragment; no path is /."""
+    after = _after_scheme(url)
+    site = F.regexp_replace(F.translate(F.regexp_extract(after, r"^([^/?#]*)", 1), _UPPER, _LOWER), "^.*@", "")
+    site = F.regexp_replace(site, F.when(url.rlike("(?i)^https:"), F.lit(":(?:443)?$")).otherwise(F.lit(":(?:80)?$")), F.lit(""))
+    rest = F.regexp_extract(after, r"^[^/?#]*([^#]*)", 1)
+    return F.when(F.length(site) > 0, F.concat(site, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest)))).otherwise(F.lit(""))
 
 
 def decoded(text: Column) -> Column:
@@ -104,13 +106,40 @@ def best_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> C
     return found
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """An attribute's value, in quotes of either kind or none, trimmed; empty where there is none."""
+    pattern = rf"(?is)[\s\"'/]{name}\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))"
+    return F.trim(F.regexp_replace(F.concat(*[F.regexp_extract(tag, pattern, k) for k in (1, 2, 3)]), r"[\t\n\f\r]", " "))
+
+
+def _goal_of(tag: Column) -> Column:
+    """Where a canonical link or a refresh leads, as written; else empty."""
+    rel = F.split(F.lower(_attribute(tag, "rel")), r"\s+")
+    goes = F.regexp_extract(_attribute(tag, "content"), r"(?is)^[\d.\s]*[;,\s]\s*(?:url\s*=\s*)?[\"']?\s*([^\"'\s]+)", 1)
+    return F.when(tag.rlike(r"(?i)^<link\b") & F.array_contains(rel, "canonical"), _attribute(tag, "href")).when(tag.rlike(r"(?i)^<meta\b") & (F.lower(_attribute(tag, "http-equiv")) == "refresh"), goes).otherwise(F.lit(""))
+
+
 def link_edges(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(a, b): aliases that a redirect or a canonical link joins. Character references are decoded, relative links resolved against the page's host and path."""
-    html, url = F.col(html_col), F.col(url_col)
-    canonical = F.when(html.ilike("%canonical%"), F.regexp_extract(F.regexp_extract(html, _LINK, 0), _HREF, 1))
-    redirect = F.when(html.ilike("%http-equiv%"), F.regexp_extract(F.regexp_extract(html, _META, 0), _GOES, 1))
-    goals = pages.select(url.alias("url"), F.explode(F.array(canonical, redirect)).alias("goal")).select("url", decoded(F.col("goal")).alias("goal")).where(F.length("goal") > 0)
-    return goals.select(alias_of(F.col("url")).alias("a"), alias_of(resolved(F.col("url"), F.col("goal"))).alias("b")).where((F.length("a") > 0) & (F.length("b") > 0))
+    """(a, b): aliases that a redirect or a canonical link joins, for every such link of a page.
+
+    Character references are decoded, relative links resolved against the page's host and path, or its base element.
+    """
+    tags = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).where(F.col("html").rlike(_MAY_NAME)).select("url", F.regexp_extract_all("html", F.lit(_TAGS), F.lit(0)).alias("tags"))
+    bases = F.transform(F.filter("tags", lambda t: t.rlike(r"(?i)^<base\b") & (F.length(_attribute(t, "href")) > 0)), lambda t: _attribute(t, "href"))
+    goals = tags.select("url", F.get(bases, 0).alias("base"), F.explode(F.array_distinct(F.transform("tags", _goal_of))).alias("goal")).where(F.length("goal") > 0)
+    goals = _worked_out(goals, F.col("url"), decoded(F.col("base")).alias("base"), decoded(F.col("goal")).alias("goal"))
+    goals = _worked_out(goals, F.col("url"), F.coalesce(resolved(F.col("url"), F.col("base")), "url").alias("base"), F.col("goal"))
+    return _edges(_worked_out(goals, F.col("url"), resolved(F.col("base"), F.col("goal")).alias("goal")))
+
+
+def _worked_out(rows: DataFrame, *columns: Column) -> DataFrame:
+    """rows.select(*columns), behind which the optimizer can't put an expression into another one or a filter below it, again and again."""
+    return rows.select(F.explode(F.array(F.struct(*columns))).alias("row")).select("row.*")
+
+
+def _edges(links: DataFrame) -> DataFrame:
+    """(a, b) of (url, goal), absolute ones."""
+    return _worked_out(links, alias_of(F.col("url")).alias("a"), alias_of(F.col("goal")).alias("b")).where((F.length("a") > 0) & (F.length("b") > 0))
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "page_id", url_col: str = "url", html_col: str = "html", redirects: DataFrame | None = None) -> DataFrame:
@@ -118,8 +147,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "pag
 
     rules: (allow or block, "host/path"). redirects: further (from url, to url) rows, of a crawl log for instance.
     A null url, or one without ://, has empty host and path, fits no rule and is allowed. Null html has no edges.
-    Rows may repeat; other columns, whatever their names, play no part; an empty table gives no rows. Of several
-    canonical links, or redirects, of a page the first counts.
+    Rows may repeat; other columns, whatever their names, play no part; an empty table gives no rows. All canonical
+    links and redirects of a page count.
     """
     slim = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"))
     rule = F.lit(None).cast("int") if not rules else best_rule(F.col("host"), F.col("path"), rules)
@@ -130,7 +159,8 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]], id_col: str = "pag
     edges = link_edges(pages, url_col, html_col)
     if redirects is not None:
         a, b = redirects.columns[:2]
-        edges = edges.unionByName(redirects.select(alias_of(F.col(a)).alias("a"), alias_of(resolved(F.col(a), F.col(b))).alias("b")))
+        log = redirects.select(F.col(f"`{a}`").alias("url"), F.col(f"`{b}`").alias("goal"))
+        edges = edges.unionByName(_edges(_worked_out(log, F.col("url"), resolved(F.col("url"), F.col("goal")).alias("goal"))))
     groups = components(edges)
     # a target may be known only from links: it is judged by the rules as well
     known = groups.select("node", "component", F.regexp_extract("node", r"^([^/?#]*)", 1).alias("host"), F.regexp_extract("node", r"^[^/?#]*([^?]*)", 1).alias("path"))
