@@ -240,3 +240,30 @@ def test_pairs_over_segments_and_batches(spark, segment):
     still = np.repeat(noise(rng, 1, 8, 8), 3, axis=0)
     assert [r["value"] for r in frames.flow_changes(table(spark, {"s": still}), 0).collect()] == [0.0, 0.0]
     assert not math.isnan(diff[0]["value"])
+
+
+def test_queries_are_those_of_whole_videos(spark):
+    from glimmer.plans import queries
+    from glimmer.sources import tables
+
+    data = "/root/testdata/sf0.001"
+    shots = {}
+    for r in tables.byte_frames(spark, data).collect():
+        shots.setdefault(r["video_id"], {})[r["frame_index"]] = np.frombuffer(r["pixels"], np.uint8).reshape(r["height"], r["width"], 3)
+    models, flows = {}, {}
+    for v, by_index in shots.items():
+        stack = np.stack([by_index[k] for k in range(len(by_index))])
+        small = pixels.area_resized(stack, 8)
+        model = pixels.Mixture(small[0].size // 3, 3, 12, 16.0, 0.7)
+        for k, frame in enumerate(small):
+            if k < 6 or (k - 6) % 2 == 0:
+                mask = model.apply(frame.reshape(-1, 3)).reshape(1, *frame.shape[:2])
+                if k >= 6:
+                    models[(v, k - 6)] = pixels.opened(mask == 255).mean()
+        luma = pixels.grey(stack)
+        if len(luma) > 1:
+            size = np.hypot(*pixels.optical_flow(luma[:-1], luma[1:], window=5))
+            flows |= {(v, k + 1): (s > 0.1 * s.max()).mean() if s.max() > 0 else 0.0 for k, s in enumerate(size)}
+    for query, want in ((queries.w3_background_model, models), (queries.w2_optical_flow, flows)):
+        got = {(r["video_id"], r["frame_index"]): r["value"] for r in query(spark, data).collect()}
+        assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-6
