@@ -51,6 +51,8 @@ HUBS = 4
 BLOCK_SHINGLES = 1 << 20
 #: Distinct sets after which a task sends what it holds of bucket keys.
 HELD_SETS = 1 << 14
+#: Clusters of several blocks, up to which a table with a row for each is broadcast.
+FEW_CLUSTERS = 100_000
 #: Bytes of bucket keys of a target, about.
 TARGET_BYTES = 1 << 26
 #: Further elections, sixteen times as many hubs each, before what is left is asked about in blocks; a round has to
@@ -275,7 +277,7 @@ def _sent(texts: DataFrame, bands: int, rows: int, targets: int, words: int = 2)
         held_names: list[np.ndarray] = []
         seen: set[int] = set()
         turn = TaskContext.get().partitionId()
-        for batch in (b[p] for b in batches for p in portions(b["text"])):
+        for batch in (b[p] for b in batches for p in portions(b["text"], 1 << 20)):
             hashes, bounds = shingle_sets(batch["text"], words)
             names, sizes = class_of(hashes, bounds), np.diff(bounds)
             ids = batch["id"]
@@ -410,8 +412,8 @@ def _verified(texts: DataFrame, reps: DataFrame, clusters: DataFrame, m: int, pe
     sizes = sized.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("parts"))
     blocks = F.col("parts")
     members = sized.join(sizes, "cluster").select("cluster", "class", *key, blocks.cast("int").alias("blocks"), F.pmod(F.xxhash64("class"), blocks).cast("int").alias("block"))
-    # a row a class: rows may repeat id and text
-    held = checkpointed(texts.join(members, key).select("cluster", "block", "blocks", "class", "text").dropDuplicates(["class"]))
+    # a row a class: rows may repeat id and text, and lie side by side after the join
+    held = checkpointed(texts.join(members, key).dropDuplicates(key).select("cluster", "block", "blocks", "class", "text"))
 
     def work(table: pa.Table) -> pa.Table:
         part = _block_of(table, m, percent, words, kind)
@@ -433,6 +435,7 @@ def _verified(texts: DataFrame, reps: DataFrame, clusters: DataFrame, m: int, pe
         top = np.argsort(-part.scores(), kind="stable")[:HUBS]
         return pa.Table.from_batches([_table(HUB, part.names[top], np.full(len(top), table["cluster"][0].as_py()))])
 
+    few = sizes.where(blocks > 1).count() <= FEW_CLUSTERS
     hubs = first.where(F.col("kind") == HUB).select(F.col("a").alias("class"), F.col("b").alias("cluster"))
     most = large.agg(F.max("blocks")).first()[0]  # nominees of one cluster: one per block
     while True:
@@ -460,7 +463,8 @@ def _verified(texts: DataFrame, reps: DataFrame, clusters: DataFrame, m: int, pe
         blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
         renamed = [F.col(c).alias(c) for c in ("cluster", "turn", "class", "group", "text")]  # the same columns are on the other side
         asked = large.join(queries, ["cluster", "class"]).select(*renamed[:1], blocks, *renamed[1:])
-        turns = queries.groupBy("cluster").agg(F.max("turns").alias("turns"))
+        turns = queries.groupBy("cluster").agg(F.max("turns").alias("turns"))  # a row per large cluster
+        turns = F.broadcast(turns) if few else turns
         turn = F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn")
         members = large.join(turns, "cluster").select("cluster", "block", turn, "class", F.lit(None).cast("long").alias("group"), "text")
         marks = at.join(turns, "cluster").select("cluster", "block", turn, "class", "group", F.lit(None).cast("string").alias("text"))
