@@ -159,7 +159,7 @@ def extents(scored: DataFrame, found: DataFrame, threshold: float, min_duration:
     sides = scored.select(
         KEY, "time",
         F.coalesce(F.last(low, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.min("time").over(by_video())).alias("left"),
-        F.coalesce(F.first(low, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)), F.max("time").over(by_video())).alias("right"),
+        F.coalesce(F.last(low, ignorenulls=True).over(by_video(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)), F.max("time").over(by_video())).alias("right"),
     )
     wide = found.select(KEY, "time", "score").join(sides, [KEY, "time"]).join(sampling_interval(scored), KEY)
     half = F.greatest(F.lit(min_duration / 2), F.col("dt"))

@@ -62,27 +62,29 @@ def timeline(
     step = config.step
     signals = {
         "motion": motion.select(KEY, "time", "value"),
-        "audio_loudness": audio.select(KEY, "time", F.col("loudness").alias("value")),
-        "speech": audio.select(KEY, "time", F.col("speech_probability").alias("value")),
         "sentiment": score_or_sentiment(sentiment),
         "humor": humor.select(KEY, "time", F.col("score").alias("value")),
     }
+    number = lambda c: F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double"))
+    heard = audio.select(KEY, number("time").alias("time"), number("loudness").alias("audio_loudness"), number("speech_probability").alias("speech"))
+    names = ("motion", "audio_loudness", "speech", "sentiment", "humor")
     flags = ("has_laughter", "has_loud_sound", "is_scene_boundary")
     # at: what belongs to the slot nearest to it; later: so many slots on
-    kinds = {"time": "double", "slot": "long", "slots": "long", "at": "double", "later": "long", "delta": "long"} | dict.fromkeys(flags, "boolean") | dict.fromkeys(signals, "double")
+    kinds = {"time": "double", "slot": "long", "slots": "long", "at": "double", "later": "long", "delta": "long"} | dict.fromkeys(flags, "boolean") | dict.fromkeys(names, "double")
 
     def rows(df: DataFrame, **given: Column) -> DataFrame:
         return df.select(KEY, *[given.get(c, F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()])
 
     told = lambda kind: F.coalesce(F.col("type").contains(kind), F.lit(False))
-    reach = segments.where(F.col("end") > F.col("start"))
+    ends = F.array(*[F.struct(F.col(c).cast("double").alias("at"), F.lit(k).alias("later"), F.lit(1 - 2 * k).alias("delta")) for k, c in enumerate(("start", "end"))])
+    reach = segments.where(F.col("end") > F.col("start")).select(KEY, F.explode(ends).alias("reach")).select(KEY, "reach.*")
     parts = [
         rows(series.grid(videos.where(F.col("duration") > 0), step), time=F.col("time"), slot=F.col("slot"), slots=F.col("slots")),
         *[rows(series.valid_points(v, keep_nan=False), time=F.col("time"), **{k: F.col("value")}) for k, v in signals.items()],
+        rows(heard.where(F.col("time").isNotNull() & F.coalesce("audio_loudness", "speech").isNotNull()), **{c: F.col(c) for c in ("time", "audio_loudness", "speech")}),
         rows(events, at=F.col("time"), has_laughter=told("laughter"), has_loud_sound=told("loud")),
         rows(boundaries, at=F.col("time"), is_scene_boundary=F.lit(True)),
-        rows(reach, at=F.col("start"), later=F.lit(0), delta=F.lit(1)),
-        rows(reach, at=F.col("end"), later=F.lit(1), delta=F.lit(-1)),
+        rows(reach, **{c: F.col(c) for c in ("at", "later", "delta")}),
     ]
     together = parts[0]
     for part in parts[1:]:
@@ -90,16 +92,16 @@ def timeline(
     placed = together.where(F.col("time").isNotNull() | F.col("at").isNotNull()).repartition(KEY).withColumn("slots", F.max("slots").over(by_video())).where(F.col("slots").isNotNull())
     place = slot_of(F.col("at"), step, F.col("slots")) + F.coalesce("later", F.lit(0))
     placed = placed.withColumn("time", F.coalesce("time", place * F.lit(step)))
-    one = placed.groupBy(KEY, "time").agg(F.max("slot").alias("slot"), F.sum("delta").alias("delta"), *[F.max(c).alias(c) for c in flags], *[F.avg(c).alias(c) for c in signals])
+    one = placed.groupBy(KEY, "time").agg(F.max("slot").alias("slot"), F.sum("delta").alias("delta"), *[F.max(c).alias(c) for c in flags], *[F.avg(c).alias(c) for c in names])
     over = F.sum(F.coalesce("delta", F.lit(0))).over(by_video("time").rowsBetween(Window.unboundedPreceding, 0))
-    seen = series.carried(one.withColumn("covered", over > 0), list(signals)).where(F.col("slot").isNotNull())
-    on_grid = seen.select(KEY, "slot", "time", "covered", *flags, *[series.interpolated(c).alias(c) for c in signals])
+    seen = series.carried(one.withColumn("covered", over > 0), list(names)).where(F.col("slot").isNotNull())
+    on_grid = seen.select(KEY, "slot", "time", "covered", *flags, *[series.interpolated(c).alias(c) for c in names])
     spoken = F.when(F.max("speech").over(by_video()) > 0, F.col("speech") >= config.dialogue_threshold).otherwise(F.col("covered"))
     rows_ = on_grid.select(
         KEY, "slot", "time", series.unit_range(F.col("motion")).alias("motion"), series.unit_range(F.col("audio_loudness")).alias("audio_loudness"),
         "sentiment", clip(F.col("humor")).alias("humor"), *[F.coalesce(c, F.lit(False)).alias(c) for c in flags], F.coalesce(spoken, F.lit(False)).alias("is_dialogue"),
     )
     w = config.weights()
-    heard = clip(config.laughter_boost * F.col("has_laughter").cast("double") + config.loud_boost * F.col("has_loud_sound").cast("double"))
-    interest = w["motion"] * F.col("motion") + w["audio"] * F.col("audio_loudness") + w["sentiment"] * clip(F.abs("sentiment")) + w["humor"] * F.col("humor") + w["events"] * heard
+    loud = clip(config.laughter_boost * F.col("has_laughter").cast("double") + config.loud_boost * F.col("has_loud_sound").cast("double"))
+    interest = w["motion"] * F.col("motion") + w["audio"] * F.col("audio_loudness") + w["sentiment"] * clip(F.abs("sentiment")) + w["humor"] * F.col("humor") + w["events"] * loud
     return rows_.select(KEY, "slot", "time", clip(interest).alias("interest"), "motion", "audio_loudness", "sentiment", "humor", *flags, "is_dialogue")
