@@ -233,6 +233,7 @@ class Block:
 
 
 _PACKED = pa.schema([("dst", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
+PACKED = "dst int, kind int, payload binary"
 _ROWS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64()), ("mark", pa.int64())])
 ROWS = "kind int, a long, b long, n long, mark long"
 DOCUMENT, EDGE, KEYS, HUB = 0, 1, 2, 3
@@ -255,22 +256,38 @@ def _table(kind: int, a: np.ndarray, b: np.ndarray, *more: np.ndarray) -> pa.Rec
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), *(pa.array(np.ascontiguousarray(x)) for x in (a, b, *more, *zeros))], schema=_ROWS)
 
 
-def _sent(texts: DataFrame, bands: int, rows: int, targets: int, words: int = 2) -> DataFrame:
-    """(dst, kind, payload): a task's documents, edges and bucket keys, each kind dealt out over all targets."""
+def packed_rows(kind: int, dealt: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    """Rows (dst, kind, payload) of one kind."""
+    return pa.RecordBatch.from_arrays([pa.array([t for t, _ in dealt], pa.int32()), pa.array([kind] * len(dealt), pa.int32()), pa.array([x for _, x in dealt], pa.binary())], schema=_PACKED)
+
+
+def packed_keys(keys: np.ndarray, names: np.ndarray, targets: int) -> Iterator[pa.RecordBatch]:
+    """A task's edges between names that share a key, and each of its keys once with its least name, dealt out over all targets."""
+    keys, least, a, b = _stars(keys, names)
+    with np.errstate(over="ignore"):
+        home = (mix(a.view(np.uint64) * _GOLD) % np.uint64(targets)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    local, cuts = np.stack((a, b), axis=1)[order], np.searchsorted(home[order], np.arange(targets + 1))
+    yield packed_rows(EDGE, [(t, local[cuts[t] : cuts[t + 1]].tobytes()) for t in range(targets) if cuts[t + 1] > cuts[t]])
+    edges = target_edges(keys, targets)
+    both = np.stack((keys.view(np.int64), least), axis=1)
+    yield packed_rows(KEYS, [(t, both[edges[t] : edges[t + 1]].tobytes()) for t in range(targets) if edges[t + 1] > edges[t]])
+
 
-    def rows_of(kind: int, dealt: list[tuple[int, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([t for t, _ in dealt], pa.int32()), pa.array([kind] * len(dealt), pa.int32()), pa.array([x for _, x in dealt], pa.binary())], schema=_PACKED)
+def met(packed: DataFrame) -> DataFrame:
+    """ROWS of (dst, kind, payload): the documents and edges that were sent, and edges between the least names of equal keys."""
+
+    def meet(table: pa.Table) -> pa.Table:
+        raw = {kind: np.frombuffer(b"".join(table.filter(pc.equal(table["kind"], kind))["payload"].to_pylist()), np.int64) for kind in (DOCUMENT, EDGE, KEYS)}
+        facts, local, keys = raw[DOCUMENT].reshape(-1, 4), raw[EDGE].reshape(-1, 2), raw[KEYS].reshape(-1, 2)
+        _, _, a, b = _stars(keys[:, 0].copy().view(np.uint64), keys[:, 1].copy())
+        return pa.Table.from_batches([_table(DOCUMENT, *facts.T), _table(EDGE, np.concatenate((a, local[:, 0])), np.concatenate((b, local[:, 1])))])
 
-    def flushed(held_keys: list[np.ndarray], held_names: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        keys, least, a, b = _stars(np.concatenate(held_keys), np.concatenate(held_names))
-        with np.errstate(over="ignore"):
-            home = (mix(a.view(np.uint64) * _GOLD) % np.uint64(targets)).astype(np.int64)
-        order = np.argsort(home, kind="stable")
-        local, cuts = np.stack((a, b), axis=1)[order], np.searchsorted(home[order], np.arange(targets + 1))
-        yield rows_of(EDGE, [(t, local[cuts[t] : cuts[t + 1]].tobytes()) for t in range(targets) if cuts[t + 1] > cuts[t]])
-        edges = target_edges(keys, targets)
-        both = np.stack((keys.view(np.int64), least), axis=1)
-        yield rows_of(KEYS, [(t, both[edges[t] : edges[t + 1]].tobytes()) for t in range(targets) if edges[t + 1] > edges[t]])
+    return packed.groupBy("dst").applyInArrow(meet, ROWS)
+
+
+def _sent(texts: DataFrame, bands: int, rows: int, targets: int, words: int = 2) -> DataFrame:
+    """(dst, kind, payload): a task's documents, edges and bucket keys, each kind dealt out over all targets."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_keys: list[np.ndarray] = []
@@ -283,7 +300,7 @@ def _sent(texts: DataFrame, bands: int, rows: int, targets: int, words: int = 2)
             ids = batch["id"]
             some = np.flatnonzero((sizes > 0) & ~np.asarray(ids.is_null()))
             facts = np.stack((ids.fill_null(0).to_numpy()[some], names[some], sizes[some], batch["mark"].to_numpy()[some]), axis=1).astype(np.int64)
-            yield rows_of(DOCUMENT, [(turn % targets, facts.tobytes())])
+            yield packed_rows(DOCUMENT, [(turn % targets, facts.tobytes())])
             turn += 1
             _, first = np.unique(names[some], return_index=True)
             new = [d for d in some[np.sort(first)].tolist() if int(names[d]) not in seen]
@@ -295,24 +312,17 @@ def _sent(texts: DataFrame, bands: int, rows: int, targets: int, words: int = 2)
             held_keys.append(band_keys(registers, bands, rows).ravel())
             held_names.append(np.repeat(names[new], bands))
             if len(seen) >= HELD_SETS:
-                yield from flushed(held_keys, held_names)
+                yield from packed_keys(np.concatenate(held_keys), np.concatenate(held_names), targets)
                 held_keys, held_names, seen = [], [], set()
         if held_keys:
-            yield from flushed(held_keys, held_names)
+            yield from packed_keys(np.concatenate(held_keys), np.concatenate(held_names), targets)
 
-    return texts.mapInArrow(pack, "dst int, kind int, payload binary")
+    return texts.mapInArrow(pack, PACKED)
 
 
 def _candidates(texts: DataFrame, bands: int, rows: int, targets: int, words: int) -> DataFrame:
     """Documents (id, class, size) and star edges between classes that share a bucket."""
-
-    def meet(table: pa.Table) -> pa.Table:
-        raw = {kind: np.frombuffer(b"".join(table.filter(pc.equal(table["kind"], kind))["payload"].to_pylist()), np.int64) for kind in (DOCUMENT, EDGE, KEYS)}
-        facts, local, keys = raw[DOCUMENT].reshape(-1, 4), raw[EDGE].reshape(-1, 2), raw[KEYS].reshape(-1, 2)
-        _, _, a, b = _stars(keys[:, 0].copy().view(np.uint64), keys[:, 1].copy())
-        return pa.Table.from_batches([_table(DOCUMENT, *facts.T), _table(EDGE, np.concatenate((a, local[:, 0])), np.concatenate((b, local[:, 1])))])
-
-    return _sent(texts, bands, rows, targets, words).groupBy("dst").applyInArrow(meet, ROWS)
+    return met(_sent(texts, bands, rows, targets, words))
 
 
 def _block_of(table: pa.Table, m: int, percent: int, words: int, kind: type[Block] = Block) -> Block:

@@ -4,14 +4,15 @@ A document's set is its distinct shingles of `words` words; two documents are li
 sets reaches `percent`, and a group is what links connect.
 
 Method.
-1. Documents are dealt out to source buckets. A bucket sends each of its shingles once, with the number of its different
-   sets that hold it, and gets back how rare the shingle is over all buckets: one byte, exact up to 127 sets, in
-   eighths of a power of two beyond.
+1. Documents are dealt out to source buckets. A bucket sends each of its shingles once, as four bytes beyond those that
+   name its target, with the number of its different sets that hold it, and gets back how rare the shingle is over all
+   buckets: one byte, exact up to 127 sets, in eighths of a power of two beyond. Shingles that agree in these bytes
+   (one in some hundreds, at most) count as one there, which is the same for all sets that hold them and so loses nothing.
 2. Prefix filter: a set's shingles are ordered rare first. Two linked sets share one of their first
    n - ceil(n * percent / 100) + 1 shingles, so only these are indexed; those that one set alone holds find no partner and
    aren't sent, though they count.
 3. Join on prefix n-grams: sets that share one, and whose sizes are near enough for a link, are connected through the
-   least of them (as many edges as entries, never pairs). Connected components of these edges are candidate clusters;
+   least of them (as many edges as entries, never pairs), first within a bucket and then across buckets. Connected components of these edges are candidate clusters;
    a link never leaves its cluster. Sets with prefixes of their own, the bulk of a corpus, are in none.
 4. In a cluster, cut into blocks of bounded size, sets are joined on prefix n-grams again, rare first in the block: a
    pair has to pass the length filter, the positional filter (shingles left after the first common one) and the suffix
@@ -25,6 +26,8 @@ two groups. Sets are compared by 64-bit shingle hashes. Texts cross the network
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,8 +36,8 @@ from pyspark.sql import functions as F
 
 from glimmer.llm.components import components
 from glimmer.llm.exchange import BLOCKS, bucketed, checkpointed, shuffle_partitions, target_edges
-from glimmer.llm.near_dedup import DOCUMENT, KEYS, ROWS, SMALL, Block, _table, _verified, class_of, grouped_documents, shingle_sets
-from glimmer.llm.text_kernels import portions
+from glimmer.llm.near_dedup import DOCUMENT, EDGE, PACKED, SMALL, Block, _verified, class_of, grouped_documents, met, packed_keys, packed_rows, shingle_sets
+from glimmer.llm.text_kernels import mix, portions
 
 #: Text of a source bucket, about: a task holds some ten times as much. A target gets as many bytes of shingles.
 BUCKET_BYTES, TARGET_BYTES = 1 << 24, 1 << 26
@@ -42,6 +45,7 @@ BUCKET_BYTES, TARGET_BYTES = 1 << 24, 1 << 26
 PIVOTS = 7
 ANSWERS = "src int, dst int, codes binary"
 _ANSWERS = pa.schema([("src", pa.int32()), ("dst", pa.int32()), ("codes", pa.binary())])
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 _PAIR = np.dtype([("at", "<u4"), ("n", "<u4")])
 
 
@@ -57,6 +61,22 @@ def needed(sizes: np.ndarray, percent: int) -> np.ndarray:
     return sizes - -(-sizes * percent // 100) + 1
 
 
+def short_hashes(hashes: np.ndarray, target: int, targets: int) -> np.ndarray:
+    """A target's hashes by their first 32 bits of those that tell them apart; sorted if they were."""
+    return ((hashes - np.uint64((target << 64) // targets)) >> np.uint64(32 - (targets.bit_length() - 1))).astype("<u4")
+
+
+def entry_keys(grams: np.ndarray, names: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """(keys, names) of entries (gram, class, size of its set), two each; two classes that may be linked share one if they share a gram.
+
+    A key is a gram with a step of size. Steps are a little wider than a link allows, and a class is on two of them.
+    """
+    step = np.floor(np.log(sizes) / (1.0001 * np.log(100 / percent))) if percent < 100 else sizes
+    with np.errstate(over="ignore"):
+        keys = [mix(grams.view(np.uint64) ^ mix((step.astype(np.int64) + k).view(np.uint64) * _STEP)) for k in (0, 1)]
+    return np.concatenate(keys), np.concatenate((names, names))
+
+
 class _Sets:
     """The documents of a source bucket, its different sets, and its shingles."""
 
@@ -89,29 +109,28 @@ class _Sets:
             more = np.flatnonzero(counts > 1)
             pairs = np.zeros(len(more), _PAIR)
             pairs["at"], pairs["n"] = more, counts[more]
-            payload.append(np.array([len(part)], "<u8").tobytes() + part.tobytes() + pairs.tobytes())
+            payload.append(np.array([len(part)], "<u8").tobytes() + short_hashes(part, t, targets).tobytes() + pairs.tobytes())
         return pa.Table.from_arrays([pa.array([src] * len(some), pa.int32()), pa.array(some, pa.int32()), pa.array(payload, pa.binary())], names=["src", "dst", "payload"])
 
-    def prefixes(self, codes: np.ndarray, percent: int) -> pa.Table:
-        """Documents, and (shingle, class, size) for those shingles of a class's prefix that other sets hold as well."""
+    def prefixes(self, codes: np.ndarray, percent: int, src: int, targets: int) -> pa.Table:
+        """Packed: documents, and keys of those shingles of a class's prefix that other sets hold as well."""
         owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
         order = np.lexsort((self.which, codes[self.which], owner))
         place = np.arange(len(order)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         which = self.which[order]
         sent = (place < needed(self.sizes, percent)[owner]) & (codes[which] > 1)
-        rows = [_table(DOCUMENT, *facts) for facts in self.facts]
-        rows.append(_table(KEYS, self.distinct[which[sent]].view(np.int64), self.names[owner[sent]], self.sizes[owner[sent]]))
-        return pa.Table.from_batches(rows)
+        rows = [packed_rows(DOCUMENT, [(src % targets, np.stack(facts, axis=1).astype(np.int64).tobytes())]) for facts in self.facts]
+        return pa.Table.from_batches([*rows, *packed_keys(*entry_keys(self.distinct[which[sent]], self.names[owner[sent]], self.sizes[owner[sent]], percent), targets)])
 
 
 def _answered(table: pa.Table) -> pa.Table:
     """The rarity of each shingle of each block."""
     raw = [np.frombuffer(b, np.uint8) for b in table["payload"].to_pylist()]
     sizes = [int(b[:8].view("<u8")[0]) for b in raw]
-    hashes = np.concatenate([b[8 : 8 + 8 * n].view("<u8") for b, n in zip(raw, sizes, strict=True)])
+    hashes = np.concatenate([b[8 : 8 + 4 * n].view("<u4") for b, n in zip(raw, sizes, strict=True)])
     counts, start = np.ones(len(hashes), np.int64), 0
     for b, n in zip(raw, sizes, strict=True):
-        pairs = b[8 + 8 * n :].view(_PAIR)
+        pairs = b[8 + 4 * n :].view(_PAIR)
         counts[start + pairs["at"]] = pairs["n"]
         start += n
     _, which = np.unique(hashes, return_inverse=True)
@@ -225,7 +244,7 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     partitions = shuffle_partitions(spark)
     dealt = bucketed(docs, id_col, text_col, buckets or partitions, BUCKET_BYTES).withColumn("mark", F.xxhash64("text"))
     size = docs.agg(F.sum(F.octet_length(F.col(f"`{text_col}`").cast("string"))).alias("n")).first()["n"] or 0
-    targets = max(partitions, 2 * size // TARGET_BYTES)  # no more than about one shingle of eight bytes for four of text
+    targets = max(partitions, 2 * size // TARGET_BYTES)  # no more than about one shingle for four bytes of text; a target holds eight of each
 
     def send(table: pa.Table) -> pa.Table:
         return _Sets(table, words).blocks(table["bucket"][0].as_py(), targets)
@@ -236,23 +255,27 @@ def ngram_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         sets = _Sets(table, words)
         if len(codes) != len(sets.distinct):
             raise ValueError(f"{len(codes)} answers came back for {len(sets.distinct)} shingles")
-        return sets.prefixes(codes, percent)
+        return sets.prefixes(codes, percent, table["bucket"][0].as_py(), targets)
 
     by_bucket = dealt.groupBy("bucket")
     answers = by_bucket.applyInArrow(send, BLOCKS).groupBy("dst").applyInArrow(_answered, ANSWERS)
-    found = checkpointed(by_bucket.cogroup(answers.groupBy("src")).applyInArrow(prefixes, ROWS))
+    found = checkpointed(met(by_bucket.cogroup(answers.groupBy("src")).applyInArrow(prefixes, PACKED)))
     facts = found.where(F.col("kind") == DOCUMENT).select(F.col("a").alias("id"), F.col("b").alias("class"), "n", "mark")
-    clusters = components(prefix_edges(found.where(F.col("kind") == KEYS).select(F.col("a").alias("gram"), F.col("b").alias("class"), "n"), percent)).toDF("class", "cluster")
+    clusters = components(found.where(F.col("kind") == EDGE).select("a", "b")).toDF("class", "cluster")
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
     return grouped_documents(texts, facts, lambda reps: _verified(texts, reps, clusters, 0, percent, block, words, PrefixBlock))
 
 
 def prefix_edges(entries: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of (gram, class, n): classes that share a gram, with the least of them of about their size.
+    """(a, b) of (gram, class, n): classes that share a gram, with the least of them of about their size, in a task or over all.
 
-    Steps of size are a little wider than a link allows, and a class is on two of them: two classes that may be linked share one.
+    ngram_groups() sends its entries from where they are made; this takes them from any table.
     """
-    step = F.floor(F.log(F.col("n").cast("double")) / (1.0001 * float(np.log(100 / percent)))) if percent < 100 else F.col("n")
-    dealt = entries.select("gram", "class", F.explode(F.array(step, step + 1)).alias("step"))
-    least = dealt.groupBy("gram", "step").agg(F.min("class").alias("least"))
-    return dealt.join(least, ["gram", "step"]).where(F.col("class") != F.col("least")).select("class", "least").distinct()
+    targets = shuffle_partitions(entries.sparkSession)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            gram, name, n = (batch[c].to_numpy() for c in ("gram", "class", "n"))
+            yield from packed_keys(*entry_keys(gram, name, n, percent), targets)
+
+    return met(entries.mapInArrow(pack, PACKED)).where(F.col("kind") == EDGE).select("a", "b").distinct()

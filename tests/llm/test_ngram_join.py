@@ -126,3 +126,35 @@ def test_held_texts_are_as_many_as_classes(spark):
 
 def test_query(spark):
     assert queries.op12_ngram_join(spark, "/root/testdata/sf0.001").where("doc_id <> component_id").count() > 0
+
+
+def test_an_exchanged_shingle_takes_four_bytes_and_a_prefix_entry_thirty_two(spark):
+    """Eight and, in a row of five longs, 52 before; a shingle held by one set alone isn't sent on."""
+    rows = families(np.random.default_rng(11), (5,) * 40, words=300, pool=10**6)
+    table = pa.table({"id": [i for i, _ in rows], "text": [t for _, t in rows], "mark": [i for i, _ in rows]})
+    sets, targets = ngram_join._Sets(table, 4), 5
+    blocks = sets.blocks(3, targets)
+    n, pairs = len(sets.distinct), int((sets.counts > 1).sum())
+    assert sum(len(b) for b in blocks["payload"].to_pylist()) == 4 * n + 8 * pairs + 8 * blocks.num_rows
+    answers = ngram_join._answered(blocks)
+    codes = np.frombuffer(b"".join(answers["codes"].to_pylist()), np.uint8)
+    assert (codes >= ngram_join.rarity(sets.counts)).all() and (codes == ngram_join.rarity(sets.counts)).mean() > 0.999
+    packed = sets.prefixes(codes, 85, 3, targets)
+    sent = sum(len(p) for k, p in zip(packed["kind"].to_pylist(), packed["payload"].to_pylist(), strict=True) if k != near_dedup.DOCUMENT)
+    assert 0 < sent <= 32 * int(ngram_join.needed(sets.sizes, 85).sum())
+
+
+@pytest.mark.parametrize("targets", [1, 2, 3, 51, 64, 3001])
+def test_short_hashes_fit_and_keep_the_order(targets):
+    hashes = np.unique(np.concatenate((np.random.default_rng(1).integers(0, 2**64, 4000, np.uint64), np.array([0, 2**64 - 1], np.uint64))))
+    edges = near_dedup.target_edges(hashes, targets)
+    for t in range(targets):
+        part = hashes[edges[t] : edges[t + 1]]
+        exact = [(int(h) - (t << 64) // targets) >> (32 - (targets.bit_length() - 1)) for h in part.tolist()]
+        assert ngram_join.short_hashes(part, t, targets).tolist() == exact and all(0 <= e < 2**32 for e in exact)
+
+
+def test_shingles_that_agree_in_their_short_hashes_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "short_hashes", lambda h, t, n: (h >> np.uint64(54)).astype("<u4"))
+    rows = families(np.random.default_rng(5), (20, 9, 3))
+    assert run(spark, rows, buckets=3) == groups(rows)
