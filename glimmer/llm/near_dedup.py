@@ -37,6 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glimmer.llm import vocabulary
 from glimmer.llm.components import components
 from glimmer.llm.exchange import checkpointed, shuffle_partitions, target_edges
 from glimmer.llm.text_kernels import LOWER, SPACE_SPLIT, column_bytes, gram_hashes, mix, portions, split_words
@@ -290,6 +291,7 @@ def _sent(texts: DataFrame, bands: int, rows: int, targets: int, words: int = 2)
     """(dst, kind, payload): a task's documents, edges and bucket keys, each kind dealt out over all targets."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary.release()
         held_keys: list[np.ndarray] = []
         held_names: list[np.ndarray] = []
         seen: set[int] = set()

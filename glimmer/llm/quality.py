@@ -28,6 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glimmer.llm import vocabulary
 from glimmer.llm.exchange import annotate_rows, checkpointed
 from glimmer.llm.text_kernels import ALNUM_SPLIT, LOWER, SPACE_SPLIT, Lookup, Words, column_bytes, mix, portions, split_words
 
@@ -328,6 +329,7 @@ def _seen(texts: DataFrame, model: Model) -> DataFrame:
     """(key, and what both views see) of every row of texts (key, text, source, lang, length)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary.release()
         for batch in (b[p] for b in batches for p in portions(b["text"], PORTION)):
             views = Views(batch["text"], model.edges)
             facts = metadata(batch["source"], batch["lang"], batch["length"], model.lengths)
