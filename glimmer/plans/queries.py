@@ -350,8 +350,12 @@ def f9_candidates(spark: SparkSession, d: str) -> DataFrame:
     return rounded(found, "peak", "start", "end")
 
 
+def _scored_of(timeline: DataFrame, spark: SparkSession, d: str) -> DataFrame:
+    return rounded_means(rounded(intervals.scored_candidates(timeline, _videos(spark, d), _marks(spark, d), CONFIG), "start", "end"))
+
+
 def _scored(spark: SparkSession, d: str) -> DataFrame:
-    return rounded_means(rounded(intervals.scored_candidates(_timeline(spark, d), _videos(spark, d), _marks(spark, d), CONFIG), "start", "end"))
+    return _scored_of(_timeline(spark, d), spark, d)
 
 
 def j6_window_mean(spark: SparkSession, d: str) -> DataFrame:
@@ -363,9 +367,10 @@ def k4_nms_topk(spark: SparkSession, d: str) -> DataFrame:
 
 
 def w17_merge(spark: SparkSession, d: str) -> DataFrame:
-    wide = replace(CONFIG, top_k=50, merge_gap=24.0)
-    found = intervals.highlights(_timeline(spark, d), _videos(spark, d), _marks(spark, d), wide)
-    return rounded_means(rounded(found.select(KEY, "start", "end", "score"), "start", "end"))
+    """Windows are ranked by their rounded scores: equal means stay equal, and the earlier peak comes first."""
+    line = scratch.shared(_timeline(spark, d).select(KEY, "time", "interest"), "timeline")
+    kept = intervals.suppressed(_scored_of(line, spark, d), 50)
+    return rounded_means(rounded(intervals.merged(kept, intervals.interest_arrays(line), 24.0), "start", "end"))
 
 
 def highlights(spark: SparkSession, d: str) -> DataFrame:

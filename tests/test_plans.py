@@ -70,3 +70,23 @@ def test_streams(spark, tmp_path):
         query = stream.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
         query.awaitTermination()
         assert spark.table(name).count() == wanted
+
+
+def sql_of(name, folder):
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{folder}/events.parquet/*.parquet'")
+    return sorted(con.sql(ORACLES[name]).fetchall())
+
+
+def test_windows_of_equal_scores_merge_as_in_sql(spark, tmp_path):
+    # two windows of one mean, which running sums and plain means tell apart in the sixteenth place, in either order
+    spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("user_id = 1073").write.parquet(f"{tmp_path}/events.parquet")
+    assert sorted(map(tuple, QUERIES["w17_merge"](spark, str(tmp_path)).collect())) == sql_of("w17_merge", tmp_path) != []
+
+
+def test_a_video_without_peaks_has_nothing_to_merge(spark, tmp_path):
+    # interest rises to its last point
+    rows = [(k, f"2024-01-01 0{k}:00:00", 1, "view", x) for k, x in enumerate((1.0, 5.0, 9.0, 20.0), 1)]
+    spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES["j11_fusion_timeline"](spark, str(tmp_path)).count() == 5
+    assert [tuple(r) for r in QUERIES["w17_merge"](spark, str(tmp_path)).collect()] == sql_of("w17_merge", tmp_path) == []
