@@ -1,14 +1,16 @@
 """Uncompressed video files (YUV4MPEG2, .y4m) as a Spark data source, and back.
 
 A file has a header line and frames of one length, so any frame can be read without those before it: a file is cut into
-segments of frames, each a partition of its own, and frames that sampling leaves out are never read. What is pushed into the
-scan: comparisons of frame_index and video_id (as Spark filters), sampling (option step) and pixels (option
-pixels=false leaves them on disk). Paths may lie in any file system that Arrow opens.
+segments of frames. A partition is a segment, or as many small ones, of one or of many files, as make up TASK_BYTES; the
+headers of small files are read in tasks. Frames that sampling leaves out are never read, unless they are so small that
+they lie within a page. What is pushed into the scan: comparisons of frame_index and video_id (as Spark filters), sampling
+(option step) and pixels (option pixels=false leaves them on disk). Paths may lie in any file system that Arrow opens.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import nullcontext
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +27,10 @@ from glimmer.operators.series import KEY
 MAGIC, MARK = b"YUV4MPEG2", b"FRAME"
 #: Bytes of a file in which its header line has to end, and of frames in a batch.
 HEADER_BYTES, BATCH_BYTES = 4096, 1 << 24
+#: Small segments make up a task until they have so many bytes or lie in so many files; a scan has about TASKS of them, if it can, before they get there.
+TASK_BYTES, TASK_FILES, TASKS = 1 << 24, 512, 64
+#: Frames that are so many bytes apart at most are read with what lies between them.
+PAGE_BYTES = 4096
 #: Samples of each chroma plane for one pixel, by colour space; 420 has several spellings.
 CHROMA = {"mono": 0.0, "444": 1.0, "420": 0.25}
 
@@ -48,6 +54,10 @@ class Header:
     def stride(self) -> int:
         return len(MARK) + 1 + self.frame_bytes
 
+    def frames(self, size: int) -> int:
+        """Of a file of so many bytes; a frame that is cut off isn't one."""
+        return max(0, size - self.length) // self.stride
+
 
 def parse_header(raw: bytes) -> Header:
     """The header line of a file; one that isn't such a file is an error. A rate that isn't positive is 0."""
@@ -98,12 +108,28 @@ def opened(path: str) -> tuple[pafs.FileSystem, str]:
 
 
 @dataclass
-class Segment(InputPartition):
+class Segment:
     path: str
     name: str
-    header: Header
+    size: int
+    header: Header | None
+    """None: it is read in the task."""
     first: int
-    end: int
+    end: int | None
+    """None: the last frame of the file is the last one."""
+
+
+@dataclass
+class Segments(InputPartition):
+    parts: list[Segment]
+
+    @property
+    def first(self) -> int:
+        return self.parts[0].first
+
+    @property
+    def end(self) -> int | None:
+        return self.parts[-1].end
 
 
 @dataclass
@@ -141,35 +167,83 @@ class FrameReader(DataSourceReader):
                 continue
             yield f
 
-    def partitions(self) -> list[Segment]:
-        out = []
-        for path, name, size in listed(self.path, ".y4m"):
-            if self.names is not None and name not in self.names:
-                continue
-            with opened(self.path)[0].open_input_file(path) as file:
-                header = parse_header(file.read(HEADER_BYTES))
-            frames = (size - header.length) // header.stride  # a frame that is cut off isn't one
-            low, high = max(0, self.index.low or 0), frames if self.index.high is None else min(frames, self.index.high + 1)
-            out += [Segment(path, name, header, k, min(k + self.segment, high)) for k in range(low, high, self.segment)]
-        return out or [Segment("", "", Header(1, 1, 0.0, "mono", 0), 0, 0)]
-
-    def read(self, part: Segment) -> Iterator[pa.RecordBatch]:
-        wanted = list(range(part.first + -part.first % self.step, part.end, self.step))
-        names, header = self.schema.names, part.header
-        most = max(1, BATCH_BYTES // header.frame_bytes) if "pixels" in names else 1 << 16
-        file = opened(self.path)[0].open_input_file(part.path) if "pixels" in names and wanted else None
-        fps = header.fps if header.fps > 0 else 25.0
-        for k in range(0, len(wanted), most):
-            index = wanted[k : k + most]
-            column = lambda x, kind: pa.array([x] * len(index), kind)
-            columns = {KEY: column(part.name, pa.string()), "frame_index": pa.array(index, pa.int64()), "time": pa.array([i / fps for i in index]), "width": column(header.width, pa.int32()), "height": column(header.height, pa.int32())}
-            if file is not None:
-                raw = [file.read_at(header.stride, header.length + i * header.stride)[len(MARK) + 1 :] for i in index]
-                frames = to_bgr(np.frombuffer(b"".join(raw), np.uint8).reshape(len(index), -1), header)
-                columns["pixels"] = pa.array([f.tobytes() for f in frames], pa.binary())
-            yield pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
-        if file is not None:
-            file.close()
+    def partitions(self) -> list[Segments]:
+        found = [x for x in listed(self.path, ".y4m") if self.names is None or x[1] in self.names]
+        most = min(TASK_BYTES, sum(size for _, _, size in found) // TASKS)
+        most_files = min(TASK_FILES, max(1, len(found) // TASKS))
+        low, high = max(0, self.index.low or 0), None if self.index.high is None else self.index.high + 1
+        out, held, files = [], 0, 0
+        for path, name, size in found:
+            if size <= most:
+                cut = [(Segment(path, name, size, None, low, high), size)]
+            else:
+                with opened(self.path)[0].open_input_file(path) as file:
+                    header = parse_header(file.read(HEADER_BYTES))
+                end = header.frames(size) if high is None else min(header.frames(size), high)
+                cut = [(Segment(path, name, size, header, k, min(k + self.segment, end)), header.stride * min(self.segment, end - k)) for k in range(low, end, self.segment)]
+            for k, (part, size_of) in enumerate(cut):
+                if not out or held + size_of > most or k == 0 and files == most_files:
+                    out.append(Segments([part]))
+                    held, files = size_of, 1
+                    continue
+                held, files, last = held + size_of, files + (k == 0), out[-1].parts[-1]
+                if k and last.path == path:
+                    last.end = part.end
+                else:
+                    out[-1].parts.append(part)
+        return out or [Segments([])]
+
+    def read(self, part: Segments) -> Iterator[pa.RecordBatch]:
+        files, names = opened(self.path)[0], self.schema.names
+        held: list[tuple[Segment, Header, np.ndarray, np.ndarray | None]] = []
+        rows = size = 0
+        for segment in part.parts:
+            for header, index, stack in self._stacks(files, segment):
+                held.append((segment, header, index, stack))
+                rows, size = rows + len(index), size + len(index) * (header.frame_bytes if stack is not None else 0)
+                if rows >= 1 << 16 or size >= BATCH_BYTES:
+                    yield _batch(held, names)
+                    held, rows, size = [], 0, 0
+        if held:
+            yield _batch(held, names)
+
+    def _stacks(self, files: pafs.FileSystem, part: Segment) -> Iterator[tuple[Header, np.ndarray, np.ndarray | None]]:
+        """(header, indexes, frames) of a segment; without frames where pixels aren't asked for."""
+        pixels, header = "pixels" in self.schema.names, part.header
+        with files.open_input_file(part.path) if pixels or header is None else nullcontext() as file:
+            header = header or parse_header(file.read(HEADER_BYTES))
+            end = header.frames(part.size) if part.end is None else min(header.frames(part.size), part.end)
+            wanted, far = np.arange(part.first + -part.first % self.step, end, self.step), self.step * header.stride
+            through = self.step == 1 or far <= PAGE_BYTES
+            most = max(1, BATCH_BYTES // (far if through else header.stride)) if pixels else 1 << 16
+            for k in range(0, len(wanted), most):
+                index = wanted[k : k + most]
+                if not pixels:
+                    yield header, index, None
+                    continue
+                at = header.length + index * header.stride
+                raw = file.read_at(int(at[-1] - at[0]) + header.stride, int(at[0])) if through else b"".join(file.read_at(header.stride, x) for x in at.tolist())
+                planes = np.frombuffer(raw, np.uint8).reshape(-1, header.stride)[:: self.step if through else 1, len(MARK) + 1 :]
+                yield header, index, to_bgr(planes, header)
+
+
+def _batch(held: list[tuple[Segment, Header, np.ndarray, np.ndarray | None]], names: list[str]) -> pa.RecordBatch:
+    """The frames of several segments as one batch."""
+
+    def repeated(of: Callable[[Segment, Header], object], kind: pa.DataType) -> pa.Array:
+        return pa.array([of(part, header) for part, header, _, _ in held], kind).take(pa.array(np.repeat(np.arange(len(held)), [len(x[2]) for x in held])))
+
+    index = np.concatenate([x[2] for x in held])
+    fps = np.concatenate([np.full(len(x[2]), x[1].fps if x[1].fps > 0 else 25.0) for x in held])
+    columns = {KEY: repeated(lambda part, _: part.name, pa.string()), "frame_index": pa.array(index, pa.int64()), "time": pa.array(index / fps), "width": repeated(lambda _, header: header.width, pa.int32()), "height": repeated(lambda _, header: header.height, pa.int32())}
+    if "pixels" in names:
+        columns["pixels"] = pa.concat_arrays([_pixels(x[3]) for x in held])
+    return pa.RecordBatch.from_arrays([columns[n] for n in names], names=names)
+
+
+def _pixels(stack: np.ndarray) -> pa.Array:
+    cells = stack[0].size
+    return pa.FixedSizeBinaryArray.from_buffers(pa.binary(cells), len(stack), [None, pa.py_buffer(np.ascontiguousarray(stack))]).cast(pa.binary())
 
 
 class FrameSource(DataSource):
@@ -189,8 +263,8 @@ class FrameSource(DataSource):
 def frames(spark: SparkSession, path: str, step: int = 1, segment: int = 512, pixels: bool = True) -> DataFrame:
     """(video_id, frame_index, time, width, height, pixels) of .y4m files; video_id is the file's name.
 
-    Every step-th frame; `segment` frames at most are one task's. A missing path and a file without such a header are errors; a
-    folder without such files gives no rows.
+    Every step-th frame; `segment` frames at most are one task's, unless they are small: then a task takes several segments,
+    and whole files. A missing path and a file without such a header are errors; a folder without such files gives no rows.
     """
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(FrameSource)

@@ -51,6 +51,34 @@ def test_what_is_pushed_into_the_scan(spark, folder):
     assert len(left) == 1 and [(p.first, p.end) for p in reader.partitions()] == [(9, 13), (13, 17)]
 
 
+def test_small_segments_share_tasks(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    stacks = {f"v{k:03}.y4m": rng.integers(0, 256, (1 + k % 9, 2, 3 + k % 2)).astype(np.uint8) for k in range(300)}
+    stacks["long.y4m"] = rng.integers(0, 256, (2000, 2, 3)).astype(np.uint8)
+    for name, stack in stacks.items():
+        y4m(tmp_path / name, stack)
+    reader = video.FrameReader({"path": str(tmp_path), "segment": "2"}, None)
+    assert 40 < len(reader.partitions()) <= 200  # 1898 segments
+    df = video.frames(spark, str(tmp_path), 3, 2).where("frame_index >= 2 and frame_index < 1500")
+    assert df.rdd.getNumPartitions() <= 200
+    got = {(r["video_id"], r["frame_index"]): (r["time"], r["height"], r["width"], r["pixels"][::3]) for r in df.collect()}
+    assert got == {(v, k): (k / 25, *x.shape[1:], x[k].tobytes()) for v, x in stacks.items() for k in range(3, min(1500, len(x)), 3)}
+    assert df.count() == len(got) and video.frames(spark, str(tmp_path), 5, 2, pixels=False).count() == sum(-(-len(x) // 5) for x in stacks.values())
+    (tmp_path / "w.y4m").write_bytes(b"no video")
+    with pytest.raises(Exception, match="header"):
+        video.frames(spark, str(tmp_path)).count()
+
+
+def test_frames_over_a_page_are_read_one_by_one(spark, tmp_path, monkeypatch):
+    stack = np.random.default_rng(4).integers(0, 256, (7, 50, 60)).astype(np.uint8)
+    y4m(tmp_path / "a.y4m", stack)
+    reader = video.FrameReader({"path": str(tmp_path), "step": "2"}, video.StructType.fromDDL(frames.FRAME))
+    for most in (video.BATCH_BYTES, 5000):  # batches of all frames, and of one or two
+        monkeypatch.setattr(video, "BATCH_BYTES", most)
+        rows = [r for p in reader.partitions() for batch in reader.read(p) for r in batch.to_pylist()]
+        assert [(r["frame_index"], r["pixels"][::3]) for r in rows] == [(k, stack[k].tobytes()) for k in (0, 2, 4, 6)]
+
+
 def test_headers_and_colours(spark, folder, tmp_path):
     root, _ = folder
     info = {r["video_id"]: r for r in media.video_info(video.video_rows(spark, str(root))).collect()}
