@@ -304,37 +304,82 @@ class HeaderSource(DataSource):
         return HeaderReader(self.options["path"])
 
 
+#: Frames in a row of a video, packed: frames first to first + n - 1, all of one size.
+RUN = "video_id string, first long, n int, width int, height int, frames binary"
+#: Bytes of frames in a run, and the missing index, which comes before all others.
+RUN_BYTES, NO_INDEX = 1 << 20, -(1 << 63)
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Grey frames (video_id, frame_index, width, height, pixels) as RUN; frames whose indexes follow one another as they come share a row."""
+    codec = pa.Codec("zstd", compression_level=1)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        index = batch["frame_index"].fill_null(NO_INDEX).to_numpy()
+        codes = batch[KEY].dictionary_encode(null_encoding="encode").indices.to_numpy()
+        width, height = batch["width"].to_numpy(), batch["height"].to_numpy()
+        follows = index[1:] == index[:-1] + 1
+        for x in (codes, width, height):
+            follows &= x[1:] == x[:-1]
+        starts = np.flatnonzero(np.concatenate(([True], ~follows)))
+        cells = np.maximum(1, width[starts].astype(np.int64) * height[starts])
+        cut = [np.arange(k, end, max(1, RUN_BYTES // size)) for k, end, size in zip(starts.tolist(), [*starts[1:].tolist(), len(index)], cells.tolist(), strict=True)]
+        starts = np.concatenate(cut)
+        ends = np.append(starts[1:], len(index))
+        _, offsets, data = batch["pixels"].buffers()
+        at = np.frombuffer(offsets, np.int32)[batch["pixels"].offset :]
+        frames = [codec.compress((data or b"")[int(at[a]) : int(at[b])], asbytes=True) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        rows = pa.array(starts)
+        yield pa.RecordBatch.from_arrays([batch[KEY].take(rows), pa.array(index[starts]), pa.array((ends - starts).astype(np.int32)), batch["width"].take(rows), batch["height"].take(rows), pa.array(frames, pa.binary())], names=[KEY, "first", "n", "width", "height", "frames"])
+
+
 def write_frames(grey: DataFrame, folder: str, fps: int = 25) -> DataFrame:
     """Grey frames (one byte a pixel) as one .y4m file per video in a folder; (video_id, path, n) of what was written.
 
     A task writes a video's frames as they come, in order of their indexes, to a file of its own that takes its name
-    when it is whole: a repeated task writes the same again. Nothing is written until the result is read.
+    when it is whole: a repeated task writes the same again. Frames cross the network in packed runs. Nothing is written until the
+    result is read.
     """
-    dealt = grey.where(F.octet_length("pixels") == F.col("width") * F.col("height")).select(KEY, "frame_index", "width", "height", "pixels").repartition(KEY).sortWithinPartitions(KEY, "frame_index")
+    used = grey.where(F.octet_length("pixels") == F.col("width") * F.col("height")).select(KEY, F.col("frame_index").cast("long").alias("frame_index"), F.col("width").cast("int").alias("width"), F.col("height").cast("int").alias("height"), "pixels")
+    dealt = used.mapInArrow(_runs, RUN).repartition(KEY).sortWithinPartitions(KEY, "first")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = opened(folder)
         video, sink, n, size = None, None, 0, None
+        held: list[tuple[int, np.ndarray]] = []  # runs that overlap, as indexes occur twice or runs interleave
+
+        def put() -> None:
+            stack = np.concatenate([x for _, x in held])
+            if len(held) > 1:
+                stack = stack[np.argsort(np.concatenate([first + np.arange(len(x)) for first, x in held]), kind="stable")]
+            out = np.empty((len(stack), len(MARK) + 1 + stack.shape[1]), np.uint8)
+            out[:, : len(MARK) + 1], out[:, len(MARK) + 1 :] = np.frombuffer(MARK + b"\n", np.uint8), stack
+            sink.write(pa.py_buffer(out))
+            held.clear()
 
         def close() -> list[tuple[str, str, int]]:
             if sink is None:
                 return []
+            put()
             sink.close()
             files.move(f"{root}/{video}.part", f"{root}/{video}")
             return [(video, f"{folder}/{video}", n)]
 
         for batch in batches:
             done = []
-            for name, width, height, raw in zip(*(batch[c].to_pylist() for c in (KEY, "width", "height", "pixels")), strict=True):
+            for name, first, count, width, height, raw in zip(*(batch[c].to_pylist() for c in (KEY, "first", "n", "width", "height", "frames")), strict=True):
                 if name != video:
                     done += close()
-                    video, n, size = name, 0, (width, height)
+                    video, n, size, reach = name, 0, (width, height), first
                     sink = files.open_output_stream(f"{root}/{video}.part")
                     sink.write(f"YUV4MPEG2 W{width} H{height} F{fps}:1 Cmono\n".encode())
                 if (width, height) != size:
                     raise ValueError(f"frames of {video} differ in size")
-                sink.write(MARK + b"\n" + raw)
-                n += 1
+                if held and first >= reach:
+                    put()
+                held.append((first, np.frombuffer(pa.decompress(raw, count * width * height, "zstd"), np.uint8).reshape(count, width * height)))
+                n, reach = n + count, max(reach, first + count)
             yield _written(done)
         yield _written(close())
 

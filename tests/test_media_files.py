@@ -4,6 +4,7 @@ import struct
 import wave
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -108,6 +109,35 @@ def test_written_frames_come_back(spark, tmp_path):
     assert {(r["video_id"], r["frame_index"]): r["pixels"][::3] for r in back} == {r[:2]: r[5] for r in rows}
 
 
+def test_runs_are_written_in_order_of_their_indexes(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(v, k, 0.0, 5, 4, rng.integers(0, 256, 20).astype(np.uint8).tobytes()) for v, n in (("a.y4m", 40), ("b.y4m", 1)) for k in range(n)]
+    rows += [("a.y4m", k, 0.0, 5, 4, bytes([200 + k] * 20)) for k in range(10, 14)]  # indexes that occur twice
+    parts = [[rows[k] for k in range(41) if k % 3 == 0], [rows[k] for k in range(41) if k % 3], rows[41:], [("a.y4m", 3, 0.0, 5, 4, b"short"), ("a.y4m", None, 0.0, 5, 4, b"n" * 20)]]
+    grey = spark.createDataFrame(parts[0], frames.FRAME)
+    for part in parts[1:]:
+        grey = grey.unionByName(spark.createDataFrame(part, frames.FRAME))
+    assert {(r["video_id"], r["n"]) for r in video.write_frames(grey, str(tmp_path)).collect()} == {("a.y4m", 45), ("b.y4m", 1)}
+    raw = (tmp_path / "a.y4m").read_bytes()
+    got = [raw[k + 6 : k + 26] for k in range(raw.index(b"FRAME"), len(raw), 26)]
+    index = sorted([-1, *range(40), *range(10, 14)])
+    assert len(got) == 45 and got[0] == b"n" * 20
+    for k in range(-1, 40):
+        assert {x for i, x in zip(index, got, strict=True) if i == k} == ({b"n" * 20} if k < 0 else {r[5] for r in rows if r[:2] == ("a.y4m", k)})
+
+
+def test_frames_cross_the_network_packed(monkeypatch):
+    rows = [("a.y4m", k, 5, 4, b"x" * 20) for k in range(100)] + [("a.y4m", 101, 5, 4, b"y" * 20), ("b.y4m", 102, 5, 4, b"z" * 20), ("b.y4m", 103, 4, 5, b"z" * 20)]
+    batch = pa.RecordBatch.from_pylist([dict(zip(("video_id", "frame_index", "width", "height", "pixels"), r, strict=True)) for r in rows], pa.schema([("video_id", pa.string()), ("frame_index", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("pixels", pa.binary())]))
+    for most, firsts in ((video.RUN_BYTES, [0, 101, 102, 103]), (1000, [0, 50, 101, 102, 103])):
+        monkeypatch.setattr(video, "RUN_BYTES", most)
+        (out,) = video._runs(iter([batch.slice(0, 0), batch]))
+        assert [r["first"] for r in out.to_pylist()] == firsts
+        assert [x for r in out.to_pylist() for x in [pa.decompress(r["frames"], 20 * r["n"], "zstd").to_pybytes()[k : k + 20] for k in range(0, 20 * r["n"], 20)]] == [r[4] for r in rows]
+        (tail,) = video._runs(iter([batch.slice(98)]))
+        assert [(r["first"], r["n"]) for r in tail.to_pylist()] == [(98, 2), (101, 1), (102, 1), (103, 1)]
+
+
 def wav(path, samples, rate, channels):
     with wave.open(str(path), "wb") as f:
         f.setnchannels(channels)
