@@ -9,6 +9,7 @@ they lie within a page. What is pushed into the scan: comparisons of frame_index
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from contextlib import nullcontext
 from dataclasses import dataclass
@@ -308,6 +309,8 @@ class HeaderSource(DataSource):
 RUN = "video_id string, first long, n int, width int, height int, frames binary"
 #: Bytes of frames in a run, and the missing index, which comes before all others.
 RUN_BYTES, NO_INDEX = 1 << 20, -(1 << 63)
+#: Folders that written files are spread over: tasks that make files in one folder wait for each other.
+FOLDERS = 256
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -335,9 +338,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def write_frames(grey: DataFrame, folder: str, fps: int = 25) -> DataFrame:
-    """Grey frames (one byte a pixel) as one .y4m file per video in a folder; (video_id, path, n) of what was written.
+    """Grey frames (one byte a pixel) as one .y4m file per video below a folder; (video_id, path, n) of what was written.
 
-    A task writes a video's frames as they come, in order of their indexes, to a file of its own that takes its name
+    Which of FOLDERS folders a file lies in follows from its name. A task writes a video's frames as they come, in order of their indexes, to a file of its own that takes its name
     when it is whole: a repeated task writes the same again. Frames cross the network in packed runs. Nothing is written until the
     result is read.
     """
@@ -346,7 +349,8 @@ def write_frames(grey: DataFrame, folder: str, fps: int = 25) -> DataFrame:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = opened(folder)
-        video, sink, n, size = None, None, 0, None
+        video, place, sink, n, size = None, "", None, 0, None
+        made: set[str] = set()
         held: list[tuple[int, np.ndarray]] = []  # runs that overlap, as indexes occur twice or runs interleave
 
         def put() -> None:
@@ -363,8 +367,8 @@ def write_frames(grey: DataFrame, folder: str, fps: int = 25) -> DataFrame:
                 return []
             put()
             sink.close()
-            files.move(f"{root}/{video}.part", f"{root}/{video}")
-            return [(video, f"{folder}/{video}", n)]
+            files.move(f"{root}/{place}.part", f"{root}/{place}")
+            return [(video, f"{folder}/{place}", n)]
 
         for batch in batches:
             done = []
@@ -372,7 +376,12 @@ def write_frames(grey: DataFrame, folder: str, fps: int = 25) -> DataFrame:
                 if name != video:
                     done += close()
                     video, n, size, reach = name, 0, (width, height), first
-                    sink = files.open_output_stream(f"{root}/{video}.part")
+                    within = f"{zlib.crc32(name.encode()) % FOLDERS:02x}"
+                    if within not in made:
+                        files.create_dir(f"{root}/{within}")
+                        made.add(within)
+                    place = f"{within}/{video}"
+                    sink = files.open_output_stream(f"{root}/{place}.part")
                     sink.write(f"YUV4MPEG2 W{width} H{height} F{fps}:1 Cmono\n".encode())
                 if (width, height) != size:
                     raise ValueError(f"frames of {video} differ in size")

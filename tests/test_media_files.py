@@ -2,6 +2,7 @@
 
 import struct
 import wave
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -117,8 +118,10 @@ def test_runs_are_written_in_order_of_their_indexes(spark, tmp_path):
     grey = spark.createDataFrame(parts[0], frames.FRAME)
     for part in parts[1:]:
         grey = grey.unionByName(spark.createDataFrame(part, frames.FRAME))
-    assert {(r["video_id"], r["n"]) for r in video.write_frames(grey, str(tmp_path)).collect()} == {("a.y4m", 45), ("b.y4m", 1)}
-    raw = (tmp_path / "a.y4m").read_bytes()
+    done = {r["video_id"]: r for r in video.write_frames(grey, str(tmp_path)).collect()}
+    assert {v: r["n"] for v, r in done.items()} == {"a.y4m": 45, "b.y4m": 1}
+    assert {Path(r["path"]).parent.parent for r in done.values()} == {tmp_path} and len({Path(r["path"]).parent for r in done.values()}) == 2  # spread over folders
+    raw = Path(done["a.y4m"]["path"]).read_bytes()
     got = [raw[k + 6 : k + 26] for k in range(raw.index(b"FRAME"), len(raw), 26)]
     index = sorted([-1, *range(40), *range(10, 14)])
     assert len(got) == 45 and got[0] == b"n" * 20
